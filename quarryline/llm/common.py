@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import sys
 import tempfile
 import uuid
@@ -38,7 +39,8 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    The table is deleted when the driver's process ends.
+    Shuffle files of finished steps that nothing refers to any more are let go.  The table is deleted when the driver's
+    process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
@@ -53,6 +55,8 @@ def stash(df: DataFrame, name: str = "step") -> DataFrame:
             pass
 
     atexit.register(remove)
+    gc.collect()
+    jvm.System.gc()  # Spark's cleaner acts on what the JVM's collector finds
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
-from . import language_id, packing, quality_crf, quality_rules
+from . import decontaminate, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_crf.op1,
     "op2_language_id": language_id.op2,
     "op3_best_fit_packing": packing.op3,
+    "op4_license_scan": license_scan.op4,
     "op5_quality_rules": quality_rules.op5,
     "op5_rule_ablation": quality_rules.op5_ablation,
+    "op7_url_filter": url_filter.op7,
+    "op9_decontamination": decontaminate.op9,
+    "op10_line_dedup": line_dedup.op10,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op9_decontamination": decontaminate.SQL,
+    "op10_line_dedup": line_dedup.SQL,
+}
