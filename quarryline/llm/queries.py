@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, url_filter
+from . import decontaminate, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_crf.op1,
@@ -11,12 +11,14 @@ QUERIES = {
     "op4_license_scan": license_scan.op4,
     "op5_quality_rules": quality_rules.op5,
     "op5_rule_ablation": quality_rules.op5_ablation,
+    "op6_substring_dedup": substring_dedup.op6,
     "op7_url_filter": url_filter.op7,
     "op9_decontamination": decontaminate.op9,
     "op10_line_dedup": line_dedup.op10,
 }
 
 SQL: dict[str, str] = {
+    "op6_substring_dedup": substring_dedup.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
