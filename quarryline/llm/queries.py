@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, substring_dedup, url_filter
+from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_crf.op1,
@@ -13,12 +13,14 @@ QUERIES = {
     "op5_rule_ablation": quality_rules.op5_ablation,
     "op6_substring_dedup": substring_dedup.op6,
     "op7_url_filter": url_filter.op7,
+    "op8_jaccard_join": jaccard_join.op8,
     "op9_decontamination": decontaminate.op9,
     "op10_line_dedup": line_dedup.op10,
 }
 
 SQL: dict[str, str] = {
     "op6_substring_dedup": substring_dedup.SQL,
+    "op8_jaccard_join": jaccard_join.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_line_dedup": line_dedup.SQL,
 }
