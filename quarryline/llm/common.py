@@ -6,8 +6,10 @@ import atexit
 import gc
 import sys
 import tempfile
+import types
 import uuid
 from collections.abc import Callable, Iterator
+from typing import Any
 
 import pyarrow as pa
 from pyspark import cloudpickle
@@ -91,3 +93,11 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFr
     share = rows / total
     cut = int(share * (1 << 30))
     return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < cut).limit(int(rows * 1.2))
+
+
+def worker_state(key: Any, make: Callable[[], Any]) -> Any:
+    """make() once in the life of a Python worker process, which outlives tasks; for caches that change no result."""
+    held = sys.modules.setdefault("_quarryline_worker_state", types.ModuleType("_quarryline_worker_state")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]

@@ -85,7 +85,7 @@ def _sketches(keyed: DataFrame, n_runs: int, depth: int) -> DataFrame:
     longs = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = common.worker_state("word-hashes", WordHashes)
         for batch in batches:
             digest, size, steps = [], [], [[] for _ in range(2 * depth)]
             for text in common.binary(batch.column(2)):
@@ -168,7 +168,7 @@ def _compared(members: DataFrame) -> DataFrame:
             yield now, rows
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = common.worker_state("word-hashes", WordHashes)
         for (path, low, high), rows in cells(batches):
             if len(rows) < 2:
                 continue

@@ -34,7 +34,7 @@ CAPACITY = 4096
 OPEN, PIECES = 65_536, 100_000
 END_ID = 1
 #: Words whose ids a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 
 _FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -75,7 +75,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = _Encoder(tokenizer_path)
+        encode = common.worker_state(("encoder", tokenizer_path), lambda: _Encoder(tokenizer_path))
         for batch in batches:
             keys, pieces, starts, lengths, sums, bodies = [], [], [], [], [], []
             for key, body in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):

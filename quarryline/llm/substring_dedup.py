@@ -60,7 +60,7 @@ def _samples(keyed: DataFrame, window: int, gram: int) -> DataFrame:
     """sample, d, h, at, n for every document long enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
+        hashes = common.worker_state("word-hashes", WordHashes)
         for batch in batches:
             parts, owners = [], []
             for i, text in enumerate(common.binary(batch.column(2))):
