@@ -97,13 +97,13 @@ def _digest(spans: list[tuple[int, int]], items: set[str]) -> tuple[int, int, st
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, block_words: int = BLOCK_WORDS, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
-    texts = common.id_and_text(docs, id_col, text_col)
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and copy (a hash of the text) for every document."""
+    texts = common.id_and_text(docs, id_col, text_col).withColumn("copy", F.xxhash64("text"))
     asked = items.where(F.col(item_col).isNotNull() & F.col(item_text_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("string").alias("item_text"))
     # A word takes two bytes at least, with what parts it from the next.
     size = asked.agg(F.sum(F.octet_length("item_text"))).first()[0] or 0
     blocks = max(1, -(-size // (2 * block_words)))
-    schema = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
+    schema = "doc_id long, copy long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
     def prepared(block: int) -> dict:
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("item"), F.lit(blocks)) == block)
@@ -111,10 +111,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, block_words: in
         vocabulary = frozenset(w for _, text in rows for w in words_of(text))
         return _index(rows, _rarity(texts, vocabulary) if vocabulary else Counter(), k)
 
-    def finished(keys: pa.Array, rows: list[tuple[int, list, set]]) -> pa.RecordBatch:
+    def finished(keys: pa.Array, copies: pa.Array, rows: list[tuple[int, list, set]]) -> pa.RecordBatch:
         made = [(n, *_digest(spans, found)) for n, spans, found in rows]
         n, hit, many, digest = zip(*made, strict=True) if made else ((), (), (), ())
-        return pa.record_batch([keys, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(many, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+        return pa.record_batch([keys, copies, pa.array(n, pa.int64()), pa.array(hit, pa.int64()), pa.array(many, pa.int64()), pa.array(digest, pa.string()), pa.array([h > 0 for h in hit], pa.bool_())], ["doc_id", "copy", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     if blocks == 1:
         shared = texts.sparkSession.sparkContext.broadcast(prepared(0))  # at most block_words words
@@ -126,11 +126,10 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, block_words: in
                 for text in common.binary(batch.column(1)):
                     words = words_of(text)
                     rows.append((len(words), *_hits(words, index)))
-                yield finished(batch.column(0), rows)
+                yield finished(batch.column(0), batch.column(2), rows)
 
         return common.map_arrow(texts, whole, schema)
 
-    keyed = texts.withColumn("copy", F.xxhash64("text"))
     each = []
     for block in range(blocks):
         shared = texts.sparkSession.sparkContext.broadcast(prepared(block))
@@ -146,29 +145,29 @@ def decontaminate(docs: DataFrame, items: DataFrame, k: int = K, block_words: in
                         key.append(k_), copy.append(c), n.append(len(words)), starts.append([s for s, _ in spans]), ends.append([e for _, e in spans]), found.append(sorted(items_))
                 yield pa.record_batch([pa.array(key, pa.int64()), pa.array(copy, pa.int64()), pa.array(n, pa.int64()), pa.array(starts, pa.list_(pa.int64())), pa.array(ends, pa.list_(pa.int64())), pa.array(found, pa.list_(pa.string()))], ["doc_id", "copy", "n", "starts", "ends", "items"])
 
-        each.append(common.map_arrow(keyed, part, "doc_id long, copy long, n long, starts array<long>, ends array<long>, items array<string>"))
+        each.append(common.map_arrow(texts, part, "doc_id long, copy long, n long, starts array<long>, ends array<long>, items array<string>"))
     rows = each[0]
     for more in each[1:]:
         rows = rows.unionByName(more.dropDuplicates(["doc_id", "copy"]))
     # Block 0 has a row for every document; copies of a row have the same hits, so they are counted and spread again.
     merged = rows.groupBy("doc_id", "copy").agg(
-        F.first("n").alias("n"), F.flatten(F.collect_set("starts")).alias("x"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
-    ).drop("x")
-    copies = keyed.groupBy("doc_id", "copy").agg(F.count("*").cast("int").alias("times"))
+        F.first("n").alias("n"), F.array_distinct(F.flatten(F.collect_list(F.arrays_zip("starts", "ends")))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items")
+    )
+    copies = texts.groupBy("doc_id", "copy").agg(F.count("*").cast("int").alias("times"))
     same = merged["doc_id"].eqNullSafe(copies["doc_id"]) & merged["copy"].eqNullSafe(copies["copy"])
-    spread = merged.join(copies, same).select(merged["doc_id"], "n", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("times"))))
+    spread = merged.join(copies, same).select(merged["doc_id"], merged["copy"], "n", "spans", "items", F.explode(F.sequence(F.lit(1), F.col("times"))))
 
     def last(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(n, [(s["starts"], s["ends"]) for s in spans], set(found)) for n, spans, found in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True)]
-            yield finished(batch.column(0), rows)
+            rows = [(n, [(s["starts"], s["ends"]) for s in spans], set(found)) for n, spans, found in zip(*(batch.column(i).to_pylist() for i in (2, 3, 4)), strict=True)]
+            yield finished(batch.column(0), batch.column(1), rows)
 
-    return common.map_arrow(spread.select("doc_id", "n", "spans", "items"), last, schema)
+    return common.map_arrow(spread.select("doc_id", "copy", "n", "spans", "items"), last, schema)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated for every document."""
-    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return decontaminate(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).drop("copy")
 
 
 SQL = r"""

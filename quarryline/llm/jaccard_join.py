@@ -225,9 +225,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall: float = RECALL, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """doc_id, class_id, n_links, h for every document.
+    """doc_id, class_id, n_links, h, group for every document.
 
-    class_id is the least id of the group, n_links how many other documents have a similarity of 0.8 or more, h a hash of the text.
+    class_id is the least id of the group, n_links how many other documents have a similarity of 0.8 or more, h a hash of
+    the text, group the group's own key (null for documents that can have no links).
     """
     keyed = common.id_and_text(docs, id_col, text_col).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
     depth = depth_for(docs.count())
@@ -256,9 +257,9 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
     linked = classes.select("set", "d", "copies").join(counted, "set", "left").join(roots, "set", "left").select("set", "d", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("root", "set").alias("root"))
     linked = common.stash(linked, "linked")
     least = linked.groupBy("root").agg(F.min("d").alias("class_id"))
-    named = linked.join(least, "root").select("set", "class_id", "n_links")
+    named = linked.join(least, "root").select("set", "class_id", "n_links", F.col("root").alias("group"))
     rows = sketches.select(F.col("d").alias("doc_id"), "h", F.when(F.col("d").isNotNull(), F.col("set")).alias("set"))
-    return rows.join(named, "set", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "h")
+    return rows.join(named, "set", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "h", "group")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

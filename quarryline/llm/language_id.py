@@ -130,21 +130,21 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(languages, code, weights.astype(float), bias.astype(float), trust / trust.sum())
 
 
-def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """lang_pred, score and ambiguous for every row of docs; `keep` names columns to carry along."""
-    carried = [F.col(c) for c in keep or []]
+def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
+    """lang_pred, score and ambiguous, or what `out` calls them, for every row of docs; `keep` names columns to carry along."""
+    carried = [F.col(f"`{c}`") for c in keep or []]
     schema = docs.select(*carried).schema if carried else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = model  # travels with the function: its size is fixed
         for batch in batches:
-            out: list[tuple[str, float, bool]] = []
+            rows: list[tuple[str, float, bool]] = []
             for text in common.binary(batch.column(batch.num_columns - 1)):
                 if own is None or not text or not _LETTER.search(text.decode("utf-8", "replace")):
-                    out.append((UNDETERMINED, 0.0, False))
+                    rows.append((UNDETERMINED, 0.0, False))
                 else:
-                    out.append(own.score(features(text)))
-            lang, score, unsure = zip(*out, strict=True) if out else ((), (), ())
+                    rows.append(own.score(features(text)))
+            lang, score, unsure = zip(*rows, strict=True) if rows else ((), (), ())
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.record_batch(
                 [*columns, pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(unsure, pa.bool_())],
@@ -154,7 +154,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
     names = [f"c{i}" for i in range(len(carried))]
     fields = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(schema or []))
     put = common.map_arrow(docs.select(*(c.alias(n) for c, n in zip(carried, names, strict=True)), F.col(text_col).cast("string").alias("t")), run, f"{fields}lang_pred string, score double, ambiguous boolean")
-    return put.select(*(F.col(n).alias(c) for n, c in zip(names, keep or [], strict=True)), "lang_pred", "score", "ambiguous")
+    return put.select(*(F.col(n).alias(c) for n, c in zip(names, keep or [], strict=True)), *(F.col(c).alias(o) for c, o in zip(("lang_pred", "score", "ambiguous"), out, strict=True)))
 
 
 def held_out(id_col: str = "doc_id") -> Column:
