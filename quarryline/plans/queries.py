@@ -303,10 +303,15 @@ def fact_table(t) -> DataFrame:
 
 _FACT = """SELECT conv_id || '-' || turn AS id, CAST(conv_id AS VARCHAR) AS node_id, CASE role WHEN 'system' THEN 'constraint' WHEN 'user' THEN 'decision' ELSE 'learning' END AS fact_type, text AS content,
   1700000000 + conv_id * 1000 + turn AS valid_from, lead(turn) OVER (PARTITION BY conv_id, role ORDER BY turn) AS nxt FROM conversations"""
-_SECONDS = F.unix_seconds("valid_from").alias("valid_from")
-query("active_facts", f"SELECT id, fact_type, content, CAST(valid_from AS BIGINT) AS valid_from FROM ({_FACT}) WHERE nxt IS NULL")(lambda t, s: temporal.active_facts(fact_table(t), P).select("id", "fact_type", "content", _SECONDS))
-query("facts_by_type", f"SELECT id, CAST(valid_from AS BIGINT) AS valid_from FROM ({_FACT}) WHERE nxt IS NULL AND fact_type = 'decision'")(lambda t, s: temporal.active_facts(fact_table(t), P, "no such type").select("id", _SECONDS))
-query("fact_history", f"SELECT id, CAST(valid_from AS BIGINT) AS valid_from, node_id || '-' || nxt AS superseded_by FROM ({_FACT}) WHERE node_id = '3'")(lambda t, s: temporal.fact_history(fact_table(t), "3", P).select("id", _SECONDS, "superseded_by"))
+
+
+def _seconds():
+    return F.unix_seconds("valid_from").alias("valid_from")
+
+
+query("active_facts", f"SELECT id, fact_type, content, CAST(valid_from AS BIGINT) AS valid_from FROM ({_FACT}) WHERE nxt IS NULL")(lambda t, s: temporal.active_facts(fact_table(t), P).select("id", "fact_type", "content", _seconds()))
+query("facts_by_type", f"SELECT id, CAST(valid_from AS BIGINT) AS valid_from FROM ({_FACT}) WHERE nxt IS NULL AND fact_type = 'decision'")(lambda t, s: temporal.active_facts(fact_table(t), P, "no such type").select("id", _seconds()))
+query("fact_history", f"SELECT id, CAST(valid_from AS BIGINT) AS valid_from, node_id || '-' || nxt AS superseded_by FROM ({_FACT}) WHERE node_id = '3'")(lambda t, s: temporal.fact_history(fact_table(t), "3", P).select("id", _seconds(), "superseded_by"))
 query("supersession_chain", f"SELECT CAST(row_number() OVER (ORDER BY valid_from) - 1 AS INTEGER) AS step, id FROM ({_FACT}) f WHERE node_id = '3' AND fact_type = (SELECT fact_type FROM ({_FACT}) WHERE id = '3-0')")(
     lambda t, s: temporal.supersession_chain(fact_table(t), "3-0")
 )
@@ -344,9 +349,14 @@ def _pct(df: DataFrame) -> DataFrame:
     return df.withColumn("cumulative_savings_pct", F.round("cumulative_savings_pct", 6))
 
 
-_NOW = F.lit("2024-01-20 12:00:00").cast("timestamp")
+
+
+def _now():
+    return F.lit("2024-01-20 12:00:00").cast("timestamp")
+
+
 query("stats_cumulative", _stats_sql())(lambda t, s: _pct(accounting.stats(log_table(t), P)))
-query("stats_since", _stats_sql("WHERE ts >= TIMESTAMP '2024-01-19 12:00:00'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, since=accounting.seconds_ago(_NOW, X.parse_since("24h")))))
+query("stats_since", _stats_sql("WHERE ts >= TIMESTAMP '2024-01-19 12:00:00'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, since=accounting.seconds_ago(_now(), X.parse_since("24h")))))
 query("stats_session", _stats_sql("WHERE session_id = '2024-01-15'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, session="2024-01-15")))
 query("stats_today", _stats_sql("WHERE CAST(ts + INTERVAL 2 HOUR AS DATE) = DATE '2024-01-20'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, day=F.to_date(F.lit("2024-01-20")), zone="+02:00")))
 query("stats_empty", _stats_sql("WHERE session_id = 'none'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, session="none")))
