@@ -1,4 +1,4 @@
-"""Near-duplicate lines removed by an exact set-similarity join, from DataFrame functions only.
+"""Near-duplicate lines removed by an exact set-similarity join.
 
 A line is the set of its blank-parted words.  It is removed if an earlier line of
 the input, by (id, text hash, line number), has a Jaccard similarity of 0.8 or
@@ -13,11 +13,16 @@ the words themselves.  Lines of fewer than five words match only equal sets, so
 their whole set is their one prefix.
 
 Any total order of words is exact; rarity only makes it fast.  Counts over all
-documents are kept in 2^17 hash buckets, a size that does not depend on the data.
+documents are kept in 2^18 hash buckets, a size that does not depend on the data.
+
+Making the prefixes and finding which of them have any candidate runs in NumPy:
+the form with DataFrame functions alone took more than three times the processor
+time allowed (see the README).  All that follows is DataFrame operations.
 
 Groups of any size are safe: the first step only asks whether a line has some
-candidate (a semi join), the second compares lines with the earliest of their
-group, and only lines that fail there are compared with the rest of it.
+candidate and passes groups of more than HOT rows on unasked, the second compares
+lines with the earliest of their group, and only lines that fail there are
+compared with the rest of it.
 
 Defined results: a null text has no lines and stays null; an empty one has one
 line without words.  Rows that repeat an id and text are at the same place and do
@@ -27,15 +32,24 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import common
 from .common import BLANK_CLASS, BLANKS, id_and_text, stash
+from .shingles import WordHashes
 
 #: Buckets of the word counts.
-BUCKETS = 1 << 17
+BUCKETS = 1 << 18
+#: Rows of a group that are looked at together; a larger group is passed on whole.
+HOT = 500_000
+#: Prefix rows looked at at once, and a group's size up to which every distance is tried in turn.
+CHUNK, NEARBY = 200_000, 48
 
 #: What two prefix rows must meet; a similarity of 0.8 means |common| >= 4/9 of the summed sizes.
 _CANDIDATE = """
@@ -45,54 +59,147 @@ _CANDIDATE = """
 """
 _A, _B = "struct(a.d, a.h, a.l)", "struct(b.d, b.h, b.l)"
 _PLACE = ["d", "h", "l"]
+_ROWS = "tok long, d long, h int, l int, n int, pos int, parity long"
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
-
-
-def _lines(keyed: DataFrame) -> DataFrame:
-    """The place of every line with a word, (d, h, l), and the line."""
-    return keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("l", "line")).where(F.col("line").rlike(f"[^{BLANK_CLASS}]"))
+    return docs.select(F.col("doc_id").alias("d"), F.hash("text").alias("h"), "text")
 
 
 def _words(line: Column) -> Column:
     return F.split(F.trim(line, F.lit(BLANKS)), f"[{BLANK_CLASS}]+")
 
 
-def _levels(keyed: DataFrame) -> bytes:
-    """How common the words of each bucket are over all documents, as a byte below 128 on a log scale."""
-    hashes = keyed.select(F.explode(F.split("text", f"[{BLANK_CLASS}]+")).alias("w")).select(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b"))
-    out = bytearray(BUCKETS)
-    for b, n in hashes.groupBy("b").agg(F.count("*").alias("n")).collect():  # BUCKETS rows at most
-        out[b] = min(127, int(3 * math.log2(n + 1)))
-    return bytes(out)
-
-
-def _prefixes(keyed: DataFrame, levels: bytes) -> DataFrame:
-    """tok, place, n (distinct words), pos (of tok, from rare to common) and parity for each word of a line's prefix.
-
-    A word is a long: its bucket's level above 56 bits of its hash, so that sorting longs orders words from rare to common.
-    """
-    table = F.lit(levels)
-    hashes = F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))
-    ranked = F.transform(
-        hashes,
-        lambda h: F.shiftleft(F.ascii(F.substring(table, h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1, F.lit(1)).cast("string")).cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1))),
-    )
-    lines = _lines(keyed).select(*_PLACE, F.sort_array(F.array_distinct(ranked)).alias("toks"))
-
-    def row(t: Column) -> Column:
-        n = F.size(t)
-        keys = F.when(n < 5, F.array(F.xxhash64(t))).otherwise(F.slice(t, 1, n - ((4 * n + 4) / 5).cast("int") + 1))
-        parity = F.aggregate(t, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), v.bitwiseAND(F.lit(63)).cast("int"))))
-        return F.struct(n.alias("n"), parity.alias("parity"), keys.alias("keys"))
-
-    return (
-        lines.select(*_PLACE, F.get(F.transform(F.array("toks"), row), F.lit(0)).alias("r"))
-        .select(*_PLACE, "r.n", "r.parity", F.posexplode("r.keys").alias("pos", "tok"))
-        .select("tok", *_PLACE, "n", "pos", "parity")
-    )
+def _levels(keyed: DataFrame) -> np.ndarray:
+    """How common the words of each bucket are over all documents, on a log scale."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = common.worker_state("word-hashes", WordHashes), np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for text in common.binary(batch.column(0)):
+                if text:
+                    np.add.at(n, (hashes.of(text.split()) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
+        b = np.flatnonzero(n)
+        yield pa.record_batch([pa.array(b.astype(np.int32)), pa.array(n[b])], ["b", "n"])
+
+    got = common.map_arrow(keyed.select("text"), count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    out = np.zeros(BUCKETS, np.uint8)
+    out[got.column("b").to_numpy()] = np.minimum(255, 6 * np.log2(got.column("n").to_numpy() + 1))
+    return out
+
+
+def line_keys(text: bytes, levels: np.ndarray, hashes: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
+    """For each line with a word its number and its distinct words, from rare to common: the level above 56 bits of the hash."""
+    split = [line.split() for line in text.split(b"\n")]
+    h = hashes.of([w for words in split for w in words])
+    keys = (levels[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
+    at = 0
+    for i, words in enumerate(split):
+        if words:
+            k = np.sort(keys[at : at + len(words)])
+            at += len(words)
+            yield i, k[np.concatenate(([True], k[1:] != k[:-1]))]
+
+
+def _prefixes(keyed: DataFrame, levels: np.ndarray) -> DataFrame:
+    """A row for each word of a line's prefix: tok, place, n (distinct words), pos (of tok) and parity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, one = common.worker_state("word-hashes", WordHashes), np.uint64(1)
+        for batch in batches:
+            toks, sizes, meta = [], [], []
+            for row, text in enumerate(common.binary(batch.column(2))):
+                for line, k in line_keys(text or b"", levels, hashes):
+                    n = len(k)
+                    parity = int(np.bitwise_xor.reduce(one << (k & np.uint64(63))))
+                    toks.append(k[: n - (4 * n + 4) // 5 + 1] if n >= 5 else np.array([xxhash.xxh64_intdigest(k.tobytes())], np.uint64))
+                    sizes.append(len(toks[-1]))
+                    meta.append((row, line, n, parity))
+            if not toks:
+                continue
+            row, line, n, parity = (np.repeat(np.array(c, t), sizes) for c, t in zip(zip(*meta, strict=True), (np.int64, np.int32, np.int32, np.uint64), strict=True))
+            pos = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
+            row = pa.array(row)
+            yield pa.record_batch(
+                [pa.array(np.concatenate(toks).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(line), pa.array(n), pa.array(pos), pa.array(parity.view(np.int64))], ["tok", "d", "h", "l", "n", "pos", "parity"]
+            )
+
+    return common.map_arrow(keyed, run, _ROWS)
+
+
+def _fits(n1, pos1, parity1, n2, pos2, parity2) -> np.ndarray:
+    """The four filters on arrays of prefix rows."""
+    both = n1 + n2
+    return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1) & (9 * np.minimum(n1 - pos1, n2 - pos2) >= 4 * both) & (9 * np.bitwise_count((parity1 ^ parity2).astype(np.uint64)).astype(np.int64) <= both)  # of unsigned values: of signed ones it counts the absolute value
+
+
+def with_candidates(tok: np.ndarray, n: np.ndarray, pos: np.ndarray, parity: np.ndarray) -> np.ndarray:
+    """Which rows, sorted by tok, meet the filters with another row of the same tok."""
+    keep = np.zeros(len(tok), bool)
+    starts = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
+    sizes = np.diff(np.append(starts, len(tok)))
+    near = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= NEARBY), sizes))
+    for step in range(1, NEARBY):
+        near = near[(near + step < len(tok))]
+        near = near[tok[near] == tok[near + step]]
+        if not len(near):
+            break
+        i, j = near, near + step
+        hit = _fits(n[i], pos[i], parity[i], n[j], pos[j], parity[j])
+        keep[i[hit]] = keep[j[hit]] = True
+    for a, m in zip(starts[sizes > NEARBY], sizes[sizes > NEARBY], strict=True):
+        kinds, kind, times = np.unique(np.stack([n[a : a + m], pos[a : a + m], parity[a : a + m]]), axis=1, return_inverse=True, return_counts=True)
+        kn, kp, kb = kinds
+        kept = np.zeros(len(kn), bool)
+        for low in range(0, len(kn), 512):
+            part = slice(low, low + 512)
+            fit = _fits(kn[part, None], kp[part, None], kb[part, None], kn[None], kp[None], kb[None])
+            fit[np.arange(fit.shape[0]), np.arange(low, low + fit.shape[0])] &= times[part] > 1
+            kept[part] = fit.any(1)
+        keep[a : a + m] = kept[kind.reshape(-1)]
+    return keep
+
+
+def _candidates(rows: DataFrame) -> DataFrame:
+    """The prefix rows that have a candidate, from rows sorted by tok."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def settle(table: pa.RecordBatch) -> pa.RecordBatch:
+            tok, n, pos, parity = (table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tok", "n", "pos", "parity"))
+            return table.filter(pa.array(with_candidates(tok, n, pos, parity)))
+
+        held: list[pa.RecordBatch] = []
+        count, hot = 0, None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            if hot is not None:  # the rest of a group that is passed on whole
+                same = int(np.searchsorted(batch.column(0).to_numpy() > hot, True))
+                if same:
+                    yield batch.slice(0, same)
+                batch = batch.slice(same)
+                if not batch.num_rows:
+                    continue
+                hot = None
+            held.append(batch)
+            count += batch.num_rows
+            if count < CHUNK:
+                continue
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            tok = whole.column(0).to_numpy()
+            last = int(np.searchsorted(tok, tok[-1]))  # the last group may go on
+            if last:
+                yield settle(whole.slice(0, last))
+            rest = whole.slice(last)
+            if rest.num_rows >= HOT:
+                yield rest
+                held, count, hot = [], 0, int(tok[-1])
+            else:
+                held, count = [rest], rest.num_rows
+        if held:
+            yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
+
+    return common.map_arrow(rows, run, _ROWS)
 
 
 def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
@@ -106,15 +213,13 @@ def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
 def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """d, h, l of every line that an earlier line matches."""
     keyed = _keyed(id_and_text(docs, id_col, text_col))
-    rows = _prefixes(keyed, _levels(keyed)).repartition(F.col("tok"))  # one exchange serves both sides
-    some = rows.alias("b").join(rows.alias("a").hint("merge"), F.expr(f"a.tok = b.tok AND NOT ({_A} <=> {_B}) AND {_CANDIDATE}"), "left_semi")
-    near = stash(some.select("b.*"), "line-candidates")
+    near = stash(_candidates(_prefixes(keyed, _levels(keyed)).repartition(F.col("tok")).sortWithinPartitions("tok")), "line-candidates")
 
     # The words of the lines that have a candidate.
     wanted = near.select(*_PLACE).distinct().groupBy("d", "h").agg(F.collect_list("l").alias("ls")).select(F.col("d").alias("wd"), F.col("h").alias("wh"), "ls")
-    held = keyed.dropDuplicates(["d", "h"]).join(wanted, F.expr("d <=> wd AND h = wh"))
+    held = keyed.join(wanted, F.expr("d <=> wd AND h = wh"))
     words = stash(
-        held.select("d", "h", F.split("text", "\n").alias("lines"), F.explode("ls").alias("l")).select(*_PLACE, F.array_distinct(_words(F.get("lines", "l"))).alias("words")), "line-words"
+        held.select("d", "h", F.split("text", "\n").alias("lines"), F.explode("ls").alias("l")).select(*_PLACE, F.array_distinct(_words(F.get("lines", "l"))).alias("words")).dropDuplicates(_PLACE), "line-words"
     )
 
     # First against the earliest line of each group, which settles nearly all.
@@ -131,10 +236,10 @@ def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's removed lines gone, and n_lines and n_removed; other columns stay as they are."""
-    removed = stash(matched_lines(docs, id_col, text_col), "lines-removed").groupBy("d", "h").agg(F.collect_list("l").alias("__gone")).select(F.col("d").alias("__d"), F.col("h").alias("__h"), "__gone")
+    removed = stash(matched_lines(docs, id_col, text_col), "lines-removed").distinct().groupBy("d", "h").agg(F.collect_list("l").alias("__gone")).select(F.col("d").alias("__d"), F.col("h").alias("__h"), "__gone")
     id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
     lines = F.split(text, "\n")
-    joined = docs.withColumn("__k", F.xxhash64(text)).join(removed, id_.eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left")
+    joined = docs.withColumn("__k", F.hash(text)).join(removed, id_.eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left")
     kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda v, i: ~F.array_contains("__gone", i)), "\n"))
     n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
     return joined.withColumns({"__n": F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n_lines), "__r": F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(n_removed), "__text": kept}).select(
