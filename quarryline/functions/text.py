@@ -124,12 +124,25 @@ def query_vector(query: str) -> list[float] | None:
     return [float(v) for v in (counts / np.sqrt(counts @ counts)).astype(np.float32)]
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once: a lambda variable is bound to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def hash_vector(tokens: Column) -> Column:
-    """Sparse unit vector of a token array: (b, v) for each bucket it has."""
-    buckets = F.transform(tokens, bucket)
-    counted = F.transform(F.array_sort(F.array_distinct(buckets)), lambda b: F.struct(b.alias("b"), F.size(F.filter(buckets, lambda x: x == b)).cast("double").alias("n")))
-    norm = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"]))
-    return F.transform(counted, lambda c: F.struct(c["b"].alias("b"), (c["n"] / norm).cast("float").alias("v")))
+    """Sparse unit vector of a token array: (b, v) for each bucket it has.
+
+    A bucket's count is what removing it takes from the array, which is one tight loop for each of at most 256 buckets.
+    """
+
+    def scaled(counted: Column) -> Column:
+        norm = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"]))
+        return _let(norm, lambda z: F.transform(counted, lambda c: F.struct(c["b"].alias("b"), (c["n"] / z).cast("float").alias("v"))))
+
+    def counted(buckets: Column) -> Column:
+        return F.transform(F.sort_array(F.array_distinct(buckets)), lambda b: F.struct(b.alias("b"), (F.size(buckets) - F.size(F.array_remove(buckets, b))).cast("double").alias("n")))
+
+    return _let(F.transform(tokens, bucket), lambda buckets: _let(counted(buckets), scaled))
 
 
 def cosine_with(vector: Column, query: list[float]) -> Column:

@@ -87,7 +87,7 @@ def _code(files: DataFrame) -> DataFrame:
 
 def markdown_sections(files: DataFrame) -> DataFrame:
     """A chunk for each # or ## heading, up to the line before the next."""
-    lines = files.select("path", X.line_array("content").alias("lines"))
+    lines = files.select("path", X.line_array(F.col("content")).alias("lines"))
     numbers = F.filter(F.transform("lines", lambda v, i: F.when(v.startswith("# ") | v.startswith("## "), i)), lambda i: i.isNotNull())
     starts = lines.select("path", "lines", numbers.alias("at")).select("path", "lines", "at", F.posexplode("at").alias("ordinal", "start"))
     end = F.coalesce(F.get("at", F.col("ordinal") + 1), F.size("lines"))

@@ -44,14 +44,15 @@ def scan(files: DataFrame) -> DataFrame:
     """name, file_path, is_definition for every finding in rows (path, content).  One pass: each file yields one array."""
     ext, base, content = extension(F.col("path")), F.substring_index("path", "/", -1), F.coalesce(F.col("content"), F.lit(""))
     none = F.array().cast("array<struct<name: string, is_definition: boolean>>")
+    as_hits = lambda names, defines: F.transform(names, lambda n: F.struct(n.alias("name"), F.lit(defines).alias("is_definition")))
     found = none
     for language, defines, pattern, groups in PATTERNS:
         for g in groups:
-            names = F.transform(F.regexp_extract_all(content, F.lit(pattern), F.lit(g)), lambda n, d=defines: F.struct(n.alias("name"), F.lit(d).alias("is_definition")))
-            found = F.concat(found, F.when(_applies(language, ext, base), names).otherwise(none))
+            names = F.regexp_extract_all(content, F.lit(pattern), F.lit(g))
+            found = F.concat(found, F.when(_applies(language, ext, base), as_hits(names, defines)).otherwise(none))
     items = F.flatten(F.transform(F.regexp_extract_all(content, F.lit(_TAKEN_APART), F.lit(1)), lambda x: F.split(x, ",")))
     keys = F.filter(F.transform(items, lambda i: F.trim(F.regexp_extract(i, r"^([^:=]*)", 1), F.lit(" \t\r\n"))), lambda k: k.rlike(r"^[\p{Lu}\p{N}_]+$"))
-    found = F.concat(found, F.when(ext.isin(*_JS), F.transform(keys, lambda k: F.struct(k.alias("name"), F.lit(False).alias("is_definition")))).otherwise(none))
+    found = F.concat(found, F.when(ext.isin(*_JS), as_hits(keys, False)).otherwise(none))
     rows = files.select(F.col("path").alias("file_path"), F.inline(found))
     return rows.where((F.col("name") != "") & ~F.col("name").isin(*WHITELIST)).select("name", "file_path", "is_definition")
 
