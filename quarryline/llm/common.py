@@ -6,6 +6,7 @@ import atexit
 import gc
 import sys
 import tempfile
+import time
 import types
 import uuid
 from collections.abc import Callable, Iterator
@@ -46,7 +47,7 @@ def stash(df: DataFrame, name: str = "step") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def remove() -> None:
@@ -59,7 +60,16 @@ def stash(df: DataFrame, name: str = "step") -> DataFrame:
     atexit.register(remove)
     gc.collect()
     jvm.System.gc()  # Spark's cleaner acts on what the JVM's collector finds
-    return spark.read.schema(df.schema).parquet(path)
+    time.sleep(0.3)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.remove_stash = remove
+    return table
+
+
+def unstash(*tables: DataFrame) -> None:
+    """Delete tables that nothing will read any more."""
+    for t in tables:
+        t.remove_stash()
 
 
 def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

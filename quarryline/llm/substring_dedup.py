@@ -9,13 +9,14 @@ windows are judged on the input, not on what is left.
    its sample recurs.  About two runs in nine are samples of some window; only
    these are shuffled, and those of a single document are dropped.
 2. The stretches of text around recurring samples, as long as the windows that
-   have the sample, are cut out and equal ones are merged, with the smallest and
-   largest id that has them.  A sample with very many stretches is cut into
-   single windows, so that the hot ones spread over all shards and merge before
-   they are gathered.
-3. Shards of about SHARD merged stretches each confirm which windows recur, compile them into
-   an Aho-Corasick automaton over word numbers, and stream the stretches through
-   it, which gives every occurrence and the first document that has it.
+   have the sample, are cut out and dealt by sample.  A sample with more than HOT
+   stretches is cut into single windows, each dealt by its own words; equal ones
+   of these are merged before they are dealt, so that no window, sample or
+   passage gathers more than HOT rows anywhere.
+3. Shards of whole samples, SHARD stretches or a little more each, confirm which
+   windows recur, compile them into an Aho-Corasick automaton over word numbers,
+   and stream the shard's stretches through it, which gives every occurrence and
+   the first document that has it.
 4. Occurrences with a smaller first document go back to their documents by join.
 
 Words are parted by blanks and compared unchanged.  Defined results: null and
@@ -36,10 +37,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .shingles import WordHashes, runs
+from .shingles import WordHashes, mix, runs
 
 WINDOW, GRAM = 13, 6
-#: Merged stretches in a shard on average, and stretches of one sample beyond which it is cut into windows.
+#: Stretches in a shard, and stretches of one sample beyond which it is cut into windows.
 SHARD, HOT = 8_000, 1_000
 
 
@@ -77,11 +78,11 @@ def _samples(keyed: DataFrame, window: int, gram: int) -> DataFrame:
 
 
 def _stretches(cuts: DataFrame, window: int) -> DataFrame:
-    """key, d, h, at, stretch from rows (d, h, text, cuts: array of sample, at, n, hot)."""
+    """key, d, h, at, stretch, hot from rows (d, h, text, cuts: array of sample, at, n, hot)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            key, d, h, at, stretch = [], [], [], [], []
+            key, d, h, at, stretch, hot = [], [], [], [], [], []
             for own, copy, text, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), common.binary(batch.column(2)), batch.column(3).to_pylist(), strict=True):
                 words = text.split()
                 for c in found:
@@ -92,68 +93,94 @@ def _stretches(cuts: DataFrame, window: int) -> DataFrame:
                             key.append(xxhash.xxh64_intdigest(part) - (1 << 63))
                             at.append(i)
                             stretch.append(part)
+                            hot.append(True)
                     else:
                         key.append(c["sample"])
                         at.append(first)
                         stretch.append(b" ".join(words[first : first + n + window - 1]))
+                        hot.append(False)
                 d += [own] * (len(key) - len(d))
                 h += [copy] * (len(key) - len(h))
-            yield pa.record_batch([pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(stretch, pa.binary())], ["key", "d", "h", "at", "stretch"])
+            yield pa.record_batch([pa.array(key, pa.int64()), pa.array(d, pa.int64()), pa.array(h, pa.int64()), pa.array(at, pa.int32()), pa.array(stretch, pa.binary()), pa.array(hot, pa.bool_())], ["key", "d", "h", "at", "stretch", "hot"])
 
-    return common.map_arrow(cuts, run, "key long, d long, h long, at int, stretch binary")
+    return common.map_arrow(cuts, run, "key long, d long, h long, at int, stretch binary, hot boolean")
 
 
-def locate(stretches: list[tuple[bytes, int, int]], window: int = WINDOW) -> list[list[tuple[int, int]]]:
-    """For each (stretch, smallest id, largest id) of a shard the windows that recur, as (place, first id).
+def locate(stretches: list[bytes], low: np.ndarray, high: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of a shard's stretches, with the smallest and largest id that has each: (stretch, place, first id) of every recurring window.
 
-    Windows whose first document is no smaller than the stretch's largest are left out: they remove nothing.
+    Windows whose first document is no smaller than the stretch's largest are left out: they remove nothing.  Each word is
+    numbered and written as one character, and the whole shard is one string in which a character of its own parts stretches.
     """
     import ahocorasick
 
-    numbers: dict[bytes, int] = {}
-    coded = [tuple(numbers.setdefault(w, len(numbers)) for w in stretch.split(b" ")) for stretch, _, _ in stretches]
-    seen: dict[tuple[int, ...], list[int]] = {}
-    for code, (_, low, high) in zip(coded, stretches, strict=True):
-        for i in range(len(code) - window + 1):
-            ends = seen.setdefault(code[i : i + window], [low, high])
-            if low < ends[0]:
-                ends[0] = low
-            if high > ends[1]:
-                ends[1] = high
-    confirmed = [(phrase, low) for phrase, (low, high) in seen.items() if low < high]
-    if not confirmed:
-        return [[] for _ in stretches]
-    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-    for i, (phrase, _) in enumerate(confirmed):
-        automaton.add_word(phrase, i)
+    none = (np.empty(0, np.int64),) * 3
+    split = [s.split(b" ") for s in stretches]
+    flat = [w for words in split for w in (*words, b" ")]
+    numbers = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    codes = np.fromiter(map(numbers.__getitem__, flat), np.uint32, len(flat))
+    size = np.fromiter(map(len, split), np.int64, len(split)) + 1
+    owner = np.repeat(np.arange(len(split)), size)
+    begin = np.cumsum(size) - size
+    place = np.arange(len(codes)) - begin[owner]
+    whole = np.flatnonzero(place <= size[owner] - 1 - window)
+    if not len(whole):
+        return none
+    hashes = runs(mix(codes.astype(np.uint64)), window)[whole]
+    order = np.argsort(hashes, kind="stable")
+    first = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+    least, most = np.minimum.reduceat(low[owner[whole[order]]], first), np.maximum.reduceat(high[owner[whole[order]]], first)
+    confirmed = np.flatnonzero(least < most)
+    if not len(confirmed):
+        return none
+    text = (codes + np.uint32(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+    automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    for i, at in zip(confirmed.tolist(), whole[order[first[confirmed]]].tolist(), strict=True):
+        automaton.add_word(text[at : at + window], i)
     automaton.make_automaton()
-    return [[(end - window + 1, confirmed[i][1]) for end, i in automaton.iter(code) if confirmed[i][1] < high] for code, (_, _, high) in zip(coded, stretches, strict=True)]
+    found = np.fromiter((v for hit in automaton.iter(text) for v in hit), np.int64).reshape(-1, 2)
+    start = found[:, 0] - window + 1
+    kept = least[found[:, 1]] < high[owner[start]]
+    start, ids = start[kept], least[found[kept, 1]]
+    return owner[start], place[start], ids
 
 
-def _located(merged: DataFrame, window: int) -> DataFrame:
-    """key, s (hash of the stretch), hits from rows (shard, key, stretch, low, high) sorted by shard."""
+def _located(dealt: DataFrame, window: int) -> DataFrame:
+    """key, s (hash of the stretch), hits from rows (key, s, stretch, low, high) sorted by key."""
+    kind = pa.struct([("i", pa.int32()), ("first", pa.int64())])
 
-    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-        now, rows = None, []
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+        held, count = [], 0
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if row[0] != now and rows:
-                    yield rows
-                    rows = []
-                now = row[0]
-                rows.append(row)
-        if rows:
-            yield rows
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            count += batch.num_rows
+            if count >= SHARD:
+                whole = pa.Table.from_batches(held).combine_chunks()
+                key = whole.column(0).to_numpy()
+                last = int(np.searchsorted(key, key[-1]))  # the last key may go on
+                if last:
+                    yield whole.slice(0, last)
+                held, count = whole.slice(last).to_batches(), whole.num_rows - last
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in shards(batches):
-            found = locate([(r[3], r[4], r[5]) for r in rows], window)
-            kept = [(r[1], r[2], f) for r, f in zip(rows, found, strict=True) if f]
-            key, s, hits = zip(*kept, strict=True) if kept else ((), (), ())
-            kind = pa.list_(pa.struct([("i", pa.int32()), ("first", pa.int64())]))
-            yield pa.record_batch([pa.array(key, pa.int64()), pa.array(s, pa.int64()), pa.array([[{"i": i, "first": d} for i, d in f] for f in hits], kind)], ["key", "s", "hits"])
-
-    return common.map_arrow(merged.select("shard", "key", "s", "stretch", "low", "high"), run, "key long, s long, hits array<struct<i: int, first: long>>")
+        for shard in shards(batches):
+            key, s, low, high = (shard.column(c).to_numpy() for c in ("key", "s", "low", "high"))
+            _, group = np.unique(np.stack([key, s]), axis=1, return_inverse=True)  # equal stretches of a key are one
+            order = np.argsort(group.reshape(-1), kind="stable")
+            first = np.flatnonzero(np.concatenate(([True], np.diff(group.reshape(-1)[order]) != 0)))
+            rows = order[first]
+            text = shard.column("stretch").take(pa.array(rows)).to_pylist()
+            which, place, ids = locate(text, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), window)
+            if len(which):
+                starts = np.flatnonzero(np.concatenate(([True], which[1:] != which[:-1])))
+                hits = pa.ListArray.from_arrays(pa.array(np.append(starts, len(which)).astype(np.int32)), pa.StructArray.from_arrays([pa.array(place.astype(np.int32)), pa.array(ids)], fields=list(kind)))
+                yield pa.record_batch([pa.array(key[rows][which[starts]]), pa.array(s[rows][which[starts]]), hits], ["key", "s", "hits"])
+
+    return common.map_arrow(dealt.select("key", "s", "stretch", "low", "high"), run, "key long, s long, hits array<struct<i: int, first: long>>")
 
 
 def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
@@ -163,12 +190,12 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     recurring = _samples(keyed, window, gram).withColumns({"low": F.min("d").over(of_sample), "high": F.max("d").over(of_sample), "many": F.count("*").over(of_sample)}).where("low < high")
     cuts = recurring.groupBy("d", "h").agg(F.collect_set(F.struct("sample", "at", "n", (F.col("many") > HOT).alias("hot"))).alias("cuts")).withColumnsRenamed({"d": "cd", "h": "ch"})
     cuts = common.stash(cuts, "recurring-samples")
-    held = keyed.dropDuplicates(["d", "h"]).join(cuts, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
+    held = keyed.join(cuts, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
     places = common.stash(_stretches(held.select("d", "h", "text", "cuts"), window), "stretches")
-    merged = common.stash(places.groupBy("key", "stretch").agg(F.min("d").alias("low"), F.max("d").alias("high")), "merged-stretches")
-    shards = max(1, round(merged.count() / SHARD))
-    dealt = merged.select(F.pmod(F.hash("key"), F.lit(shards)).alias("shard"), "key", F.xxhash64("stretch").alias("s"), "stretch", "low", "high").repartition(F.col("shard")).sortWithinPartitions("shard")
-    hits = _located(dealt, window)
+    few = places.where("NOT hot").select("key", "stretch", F.col("d").alias("low"), F.col("d").alias("high"))
+    many = places.where("hot").groupBy("key", "stretch").agg(F.min("d").alias("low"), F.max("d").alias("high"))
+    dealt = few.unionByName(many).select("key", F.xxhash64("stretch").alias("s"), "stretch", "low", "high").repartition(F.col("key")).sortWithinPartitions("key")
+    hits = common.stash(_located(dealt, window), "window-hits")
     theirs = places.select("key", F.xxhash64("stretch").alias("s"), "d", "h", "at").join(hits, ["key", "s"])
     smaller = F.transform(F.filter("hits", lambda x: x["first"] < F.col("d")), lambda x: x["i"] + F.col("at"))
     return theirs.select("d", "h", smaller.alias("starts")).where(F.size("starts") > 0).groupBy("d", "h").agg(F.array_distinct(F.flatten(F.collect_list("starts"))).alias("starts"))
