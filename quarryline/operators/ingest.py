@@ -16,7 +16,7 @@ from quarryline.functions import text as X
 from quarryline.operators import chunking, envscan, graph
 from quarryline.plans import schema as S
 from quarryline.sources.store import Store
-from quarryline.sources.workspace import read_workspace, wanted
+from quarryline.sources.workspace import EXTENSIONS, read_workspace
 
 
 @dataclass(frozen=True)
@@ -71,11 +71,11 @@ def ingest(store: Store, root: str, project: str) -> Report:
     everything = read_workspace(spark, root, env_files=True).persist()
     try:
         base = F.substring_index("path", "/", -1)
-        indexable = F.udf(wanted, "boolean")  # a file name's test, once a file
+        indexable = F.regexp_extract(base, r"^.+\.([^.]+)$", 1).isin(*sorted(EXTENSIONS))
         readable = everything.where(F.col("content").isNotNull())
         store.write({"config_registry": store.read("config_registry").where(F.col("project_id") != project).unionByName(envscan.registry(envscan.scan(readable), project))})
 
-        files = everything.where(indexable(base))
+        files = everything.where(indexable)
         hashes, nodes, edges, fts = (store.read(t) for t in ("file_hashes", "nodes", "edges", "fts"))
         judged = classify_files(files.where(F.col("content").isNotNull()), hashes, project).persist()
         changed = judged.where("changed").select("path", "content", "hash")
