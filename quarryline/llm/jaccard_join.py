@@ -47,8 +47,8 @@ SMALL, BLOCK = 256, 512
 
 
 def depth_for(documents: int) -> int:
-    """Steps of a path: two, and one more for each further factor of ten beyond 100,000 documents."""
-    return max(2, math.ceil(math.log10(max(documents, 1))) - 3)
+    """Steps of a path: two, and one more for each further factor of ten beyond a million documents."""
+    return max(2, math.ceil(math.log10(max(documents, 1))) - 4)
 
 
 def runs_for(depth: int, recall: float = RECALL) -> int:
@@ -212,7 +212,8 @@ def components(edges: DataFrame) -> DataFrame:
     Every round a node takes the least label of its neighbours and then that label's own label, so the rounds grow with the
     logarithm of a component's width.  Labels are written out each round; the driver sees only how many changed.
     """
-    both = common.stash(edges.where("a <> b").select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near"))))).distinct(), "component-edges")
+    once = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    both = common.stash(once.select(F.inline(F.array(F.struct(F.col("a").alias("node"), F.col("b").alias("near")), F.struct(F.col("b").alias("node"), F.col("a").alias("near"))))), "component-edges")
     labels = common.stash(both.groupBy("node").agg(F.min("near").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
         near = both.join(labels.select(F.col("node").alias("near"), "root"), "near").groupBy("node").agg(F.min("root").alias("m"))
@@ -233,9 +234,11 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
     keyed = common.id_and_text(docs, id_col, text_col).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
     depth = depth_for(docs.count())
     sketches = common.stash(_sketches(keyed, runs_for(depth, recall), depth), "sketches")
+    rows = common.stash(sketches.select(F.col("d").alias("doc_id"), "h", F.when(F.col("d").isNotNull(), F.col("set")).alias("set")), "document-sets")
     usable = sketches.where(F.col("d").isNotNull() & F.col("set").isNotNull())
     steps = [F.first(f"{x}{i}").alias(f"{x}{i}") for i in range(depth) for x in ("p", "q")]
     classes = common.stash(usable.groupBy("set").agg(F.min(F.struct("d", "h")).alias("own"), F.count("*").alias("copies"), F.first("n").alias("n"), *steps).select("set", F.col("own.d").alias("d"), F.col("own.h").alias("h"), "copies", "n", *(f"{x}{i}" for i in range(depth) for x in ("p", "q"))), "classes")
+    common.unstash(sketches)
     buckets = common.stash(_buckets(classes, depth, small), "members")
 
     # Each class with its buckets, and its text once.
@@ -258,7 +261,6 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", recall
     linked = common.stash(linked, "linked")
     least = linked.groupBy("root").agg(F.min("d").alias("class_id"))
     named = linked.join(least, "root").select("set", "class_id", "n_links", F.col("root").alias("group"))
-    rows = sketches.select(F.col("d").alias("doc_id"), "h", F.when(F.col("d").isNotNull(), F.col("set")).alias("set"))
     return rows.join(named, "set", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "h", "group")
 
 
