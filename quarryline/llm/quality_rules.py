@@ -166,3 +166,29 @@ def op5(spark, sf_dir: str) -> DataFrame:
 def op5_ablation(spark, sf_dir: str) -> DataFrame:
     """Rule, n_failed and n_only_this of policy v1 over every document."""
     return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICIES["v1"])
+
+
+SQL = r"""
+WITH doc AS (
+  SELECT row_number() OVER () AS rk, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda v: regexp_matches(v, '[^\x20\x09-\x0D]')) AS v FROM documents
+), win AS (
+  SELECT rk, i, w[i : i + 7] AS x FROM (SELECT rk, w, unnest(range(1, len(w) - 6)) AS i FROM doc WHERE len(w) >= 8)
+), cover AS (
+  SELECT rk, count(DISTINCT k) AS n FROM (SELECT rk, unnest(range(i, i + 8)) AS k FROM (SELECT rk, i, count(*) OVER (PARTITION BY rk, x) AS c FROM win) WHERE c > 1) GROUP BY rk
+), m AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(v) - len(list_distinct(v)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(v) AS n_lines, length(regexp_replace(t, '[^!]+', '', 'g')) AS n_exclamations
+  FROM doc LEFT JOIN cover USING (rk)
+), f AS (
+  SELECT *, CAST((CASE WHEN n_words < 20 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END)
+    + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN 2 * n_exclamations > n_words THEN 16 ELSE 0 END) + (CASE WHEN word_chars > 20 * n_words THEN 32 ELSE 0 END)
+    + (CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END) AS BIGINT) AS failed FROM m
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & 3 <> 0 AS base_failed, failed & 31 = 0 AS kept, failed FROM f
+"""
+
+SQL_ABLATION = f"""
+WITH l AS ({SQL}), r AS (SELECT unnest(['few_words', 'repeated_words', 'many_symbols', 'duplicate_lines', 'many_exclamations']) AS rule, unnest([1, 2, 4, 8, 16]) AS bit)
+SELECT rule, CAST(count(*) FILTER (failed & bit <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failed & 31 = bit) AS BIGINT) AS n_only_this FROM l, r GROUP BY rule
+"""

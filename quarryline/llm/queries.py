@@ -19,6 +19,8 @@ QUERIES = {
 }
 
 SQL: dict[str, str] = {
+    "op5_quality_rules": quality_rules.SQL,
+    "op5_rule_ablation": quality_rules.SQL_ABLATION,
     "op6_substring_dedup": substring_dedup.SQL,
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_decontamination": decontaminate.SQL,
