@@ -132,17 +132,24 @@ def _let(value: Column, body) -> Column:
 def hash_vector(tokens: Column) -> Column:
     """Sparse unit vector of a token array: (b, v) for each bucket it has.
 
-    A bucket's count is what removing it takes from the array, which is one tight loop for each of at most 256 buckets.
+    Buckets are sorted, and a run of equal ones is as long as it is to the start of the next.
     """
 
     def scaled(counted: Column) -> Column:
         norm = F.sqrt(F.aggregate(counted, F.lit(0.0), lambda acc, c: acc + c["n"] * c["n"]))
         return _let(norm, lambda z: F.transform(counted, lambda c: F.struct(c["b"].alias("b"), (c["n"] / z).cast("float").alias("v"))))
 
-    def counted(buckets: Column) -> Column:
-        return F.transform(F.sort_array(F.array_distinct(buckets)), lambda b: F.struct(b.alias("b"), (F.size(buckets) - F.size(F.array_remove(buckets, b))).cast("double").alias("n")))
+    def counted(ordered: Column, starts: Column) -> Column:
+        return F.transform(starts, lambda p, k: F.struct(F.get(ordered, p).alias("b"), (F.coalesce(F.get(starts, k + 1), F.size(ordered)) - p).cast("double").alias("n")))
 
-    return _let(F.transform(tokens, bucket), lambda buckets: _let(counted(buckets), scaled))
+    def starts_of(ordered: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(ordered) - 1), lambda i: (i == 0) | (F.get(ordered, i) != F.get(ordered, i - 1)))
+
+    def vector(ordered: Column) -> Column:
+        return _let(starts_of(ordered), lambda starts: _let(counted(ordered, starts), scaled))
+
+    # An empty array would make a sequence that runs backwards.
+    return F.when(F.size(tokens) > 0, _let(F.sort_array(F.transform(tokens, bucket)), vector))
 
 
 def cosine_with(vector: Column, query: list[float]) -> Column:
