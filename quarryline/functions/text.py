@@ -148,8 +148,8 @@ def hash_vector(tokens: Column) -> Column:
     def vector(ordered: Column) -> Column:
         return _let(starts_of(ordered), lambda starts: _let(counted(ordered, starts), scaled))
 
-    # An empty array would make a sequence that runs backwards.
-    return F.when(F.size(tokens) > 0, _let(F.sort_array(F.transform(tokens, bucket)), vector))
+    # Null without tokens: an empty array would make a sequence that runs backwards.
+    return _let(F.sort_array(F.transform(tokens, bucket)), lambda ordered: F.when(F.size(ordered) > 0, vector(ordered)))
 
 
 def cosine_with(vector: Column, query: list[float]) -> Column:

@@ -117,9 +117,9 @@ def _idf(n: int, df: int) -> float:
 
 
 def vector_index(nodes: DataFrame) -> DataFrame:
-    """id, project_id, vector of every node with tokens in name, summary or path.  Built once, read by every query."""
+    """id, project_id, vector of every node's name, summary and path; null without tokens.  Built once, read by every query."""
     text = F.concat_ws(" ", "name", "summary", "file_path")
-    return nodes.select("id", "project_id", X.vector_tokens(text).alias("t")).where(F.size("t") > 0).select("id", "project_id", X.hash_vector(F.col("t")).alias("vector"))
+    return nodes.select("id", "project_id", X.hash_vector(X.vector_tokens(text)).alias("vector"))
 
 
 def vector_search(index: DataFrame, query: str, project: str | None = None, limit: int = TIER_LIMIT, least: float = MIN_COSINE) -> DataFrame:
@@ -127,7 +127,8 @@ def vector_search(index: DataFrame, query: str, project: str | None = None, limi
     q = X.query_vector(query)
     if q is None:
         return index.sparkSession.createDataFrame([], "id string, score double")
-    return _of(index, project).select("id", X.cosine_with(F.col("vector"), q).alias("score")).where(F.col("score") >= least).orderBy(F.desc(F.round("score", 9)), "id").limit(limit)
+    # The threshold comes after the limit, where it means the same: before it, the optimizer would compute every score twice.
+    return _of(index, project).select("id", X.cosine_with(F.col("vector"), q).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(limit).where(F.col("score") >= least)
 
 
 def dedup_rank(results: DataFrame, k: int) -> DataFrame:
