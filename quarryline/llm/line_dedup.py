@@ -1,28 +1,27 @@
-"""Near-duplicate lines removed by an exact set-similarity join.
+"""Near-duplicate lines removed by an exact set-similarity join, built from DataFrame functions only.
 
 A line is the set of its blank-parted words.  It is removed if an earlier line of
 the input, by (id, text hash, line number), has a Jaccard similarity of 0.8 or
 more with it.  Lines without a word stay.
 
+Lines of equal sets are grouped first, by two 64-bit hashes of the set; only the
+earliest of each set goes on, as any earlier similar line of that set implies
+that one.  Copies, however many, thus collapse in the map side of one
+aggregation, and no later step sees them.
+
 The join orders a line's words from rare to common and needs one shared word
 among the first n - ceil(0.8 n) + 1 (prefix filter), lengths within 0.8 of each
-other, enough words left behind the shared one (positional filter) and a parity
-bitmap whose differing bits do not already prove too many differing words.  All
-four are necessary conditions, so nothing is lost; what passes is verified on
-the words themselves.  Lines of fewer than five words match only equal sets, so
-their whole set is their one prefix.
+other and enough words left behind the shared one (positional filter).  All are
+necessary conditions, so nothing is lost; what passes is verified on the words
+themselves.  Lines of fewer than five words match only equal sets, so they have
+no prefix.
 
 Any total order of words is exact; rarity only makes it fast.  Counts over all
 documents are kept in 2^18 hash buckets, a size that does not depend on the data.
 
-Making the prefixes and finding which of them have any candidate runs in NumPy:
-the form with DataFrame functions alone took more than three times the processor
-time allowed (see the README).  All that follows is DataFrame operations.
-
-Groups of any size are safe: the first step only asks whether a line has some
-candidate and passes groups of more than HOT rows on unasked, the second compares
-lines with the earliest of their group, and only lines that fail there are
-compared with the rest of it.
+A line is compared first with the earliest line of each of its prefix groups,
+which settles groups of near copies in linear work; only lines that fail there
+are compared with the rest of their groups, by a merge join that spills.
 
 Defined results: a null text has no lines and stays null; an empty one has one
 line without words.  Rows that repeat an id and text are at the same place and do
@@ -32,219 +31,137 @@ table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
-from .common import BLANK_CLASS, BLANKS, id_and_text, stash
-from .shingles import WordHashes
+from .common import BLANK_CLASS, id_and_text, stash, unstash
 
 #: Buckets of the word counts.
 BUCKETS = 1 << 18
-#: Rows of a group that are looked at together; a larger group is passed on whole.
-HOT = 500_000
-#: Prefix rows looked at at once, and a group's size up to which every distance is tried in turn.
-CHUNK, NEARBY = 200_000, 48
 
 #: What two prefix rows must meet; a similarity of 0.8 means |common| >= 4/9 of the summed sizes.
-_CANDIDATE = """
-  5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
-  AND 9 * (1 + least(a.n - a.pos - 1, b.n - b.pos - 1)) >= 4 * (a.n + b.n)
-  AND 9 * bit_count(a.parity ^ b.parity) <= a.n + b.n
-"""
-_A, _B = "struct(a.d, a.h, a.l)", "struct(b.d, b.h, b.l)"
-_PLACE = ["d", "h", "l"]
-_ROWS = "tok long, d long, h int, l int, n int, pos int, parity long"
+_CANDIDATE = "5 * {a}n >= 4 * {b}n AND 5 * {b}n >= 4 * {a}n AND 9 * least({a}n - {a}pos, {b}n - {b}pos) >= 4 * ({a}n + {b}n)"
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("d"), F.hash("text").alias("h"), "text")
+def _bound(value: Column, name: str) -> Column:
+    """value as a generated column, so that it is computed once however often it is used."""
+    return F.explode(F.array(value)).alias(name)
 
 
-def _words(line: Column) -> Column:
-    return F.split(F.trim(line, F.lit(BLANKS)), f"[{BLANK_CLASS}]+")
+def _words(text: Column) -> Column:
+    """The words of a text, with empty ones where blanks meet."""
+    return F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " ")
 
 
-def _levels(keyed: DataFrame) -> np.ndarray:
-    """How common the words of each bucket are over all documents, on a log scale."""
+def _place() -> Column:
+    """A text's hash and a line's number in one long, in their order."""
+    return F.shiftleft(F.col("h").cast("long"), 32).bitwiseOR(F.col("l").cast("long")).alias("hl")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, n = common.worker_state("word-hashes", WordHashes), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
-            for text in common.binary(batch.column(0)):
-                if text:
-                    np.add.at(n, (hashes.of(text.split()) & np.uint64(BUCKETS - 1)).astype(np.int64), 1)
-        b = np.flatnonzero(n)
-        yield pa.record_batch([pa.array(b.astype(np.int32)), pa.array(n[b])], ["b", "n"])
 
-    got = common.map_arrow(keyed.select("text"), count, "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
-    out = np.zeros(BUCKETS, np.uint8)
-    out[got.column("b").to_numpy()] = np.minimum(255, 6 * np.log2(got.column("n").to_numpy() + 1))
+def _hash() -> Column:
+    return F.shiftright("hl", 32).cast("int")
+
+
+def _number() -> Column:
+    return F.col("hl").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("d"), F.hash("text").alias("h"), "text")
+
+
+def _levels(keyed: DataFrame) -> Column:
+    """An array of BUCKETS numbers: how common the words of each bucket are over all documents, on a log scale, in the highest byte."""
+    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
+    counts = keyed.select(F.explode(_words(F.col("text"))).alias("w")).where("w != ''").groupBy(bucket).agg(F.count("*").alias("c"))
+    level = F.least(F.lit(126), (3 * F.log2(F.col("c") + 1)).cast("int")).alias("v")
+    levels = [0] * BUCKETS
+    for b, v in counts.select("b", level).collect():  # BUCKETS rows at most
+        levels[b] = v << 56
+    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+
+
+def _sets(keyed: DataFrame, levels: Column) -> DataFrame:
+    """d, hl (text hash and line number), n (words) and pre (prefix, rare words first) of the earliest line of each word set."""
+    lines = keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    hashes = F.array_remove(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
+    hashed = lines.select("d", _place(), _bound(hashes, "k")).where(F.size("k") > 0)
+    key = lambda v: F.get(levels, v.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(v, 8))
+    sets = hashed.select("d", "hl", _bound(F.sort_array(F.array_distinct(F.transform("k", key))), "k"))
+    prefix = F.expr("CASE WHEN size(k) >= 5 THEN slice(k, 1, size(k) - (4 * size(k) + 4) DIV 5 + 1) ELSE slice(k, 1, 0) END").alias("pre")
+    named = sets.select(F.xxhash64("k").alias("s1"), F.xxhash64(F.lit(1), "k").alias("s2"), F.struct("d", "hl", F.size("k").alias("n"), prefix).alias("p"))
+    return named.groupBy("s1", "s2").agg(F.min("p").alias("p")).select("p.*")
+
+
+def _grouped(sets: DataFrame) -> DataFrame:
+    """Prefix rows (tok, d, hl, n, pos) of words that several sets have in their prefix; fd, fhl: the group's earliest line, where it is a candidate."""
+    rows = sets.where(F.size("pre") > 0).select("d", "hl", "n", F.posexplode("pre").alias("pos", "tok"))
+    order = Window.partitionBy("tok").orderBy("d", "hl")
+    first = F.first(F.struct("d", "hl", "n", "pos")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    seen = rows.withColumns({"f": first, "i": F.row_number().over(order), "more": F.lead("tok").over(order).isNotNull()}).where("i > 1 OR more")
+    hit = F.expr("i > 1 AND " + _CANDIDATE.format(a="f.", b=""))
+    return seen.select("tok", "d", "hl", "n", "pos", hit.alias("hit"), F.when(hit, F.col("f.d")).alias("fd"), F.when(hit, F.col("f.hl")).alias("fhl"))
+
+
+def _verified(keyed: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+    """Of pairs of places (ad, ahl) and (d, hl) the places (d, hl) whose line truly is that similar to the other."""
+    pairs = stash(pairs.distinct(), f"{name}-pairs")
+    places = pairs.select("d", "hl").unionByName(pairs.select(F.col("ad").alias("d"), F.col("ahl").alias("hl"))).distinct()
+    wanted = places.groupBy(F.col("d").alias("wd"), _hash().alias("wh")).agg(F.collect_list(_number()).alias("ls"))
+    held = keyed.join(wanted, F.expr("d <=> wd AND h = wh")).select("d", "h", _bound(F.split("text", "\n"), "lines"), "ls").select("d", "h", "lines", F.explode("ls").alias("l"))
+    words = F.array_remove(F.array_distinct(_words(F.get("lines", "l"))), "")
+    texts = stash(held.select("d", _place(), words.alias("w")).dropDuplicates(["d", "hl"]), f"{name}-words")
+    one = texts.select(F.col("d").alias("xd"), F.col("hl").alias("xhl"), F.col("w").alias("wa"))
+    both = pairs.join(one, F.expr("ad <=> xd AND ahl = xhl")).drop("xd", "xhl").alias("p").join(texts.alias("t"), F.expr("p.d <=> t.d AND p.hl = t.hl")).select("p.d", "p.hl", "wa", "w")
+    out = stash(both.where(9 * F.size(F.array_intersect("wa", "w")) >= 4 * (F.size("wa") + F.size("w"))).select("d", "hl").distinct(), name)
+    unstash(pairs, texts)
     return out
 
 
-def line_keys(text: bytes, levels: np.ndarray, hashes: WordHashes) -> Iterator[tuple[int, np.ndarray]]:
-    """For each line with a word its number and its distinct words, from rare to common: the level above 56 bits of the hash."""
-    split = [line.split() for line in text.split(b"\n")]
-    h = hashes.of([w for words in split for w in words])
-    keys = (levels[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (h >> np.uint64(8))
-    at = 0
-    for i, words in enumerate(split):
-        if words:
-            k = np.sort(keys[at : at + len(words)])
-            at += len(words)
-            yield i, k[np.concatenate(([True], k[1:] != k[:-1]))]
-
-
-def _prefixes(keyed: DataFrame, levels: np.ndarray) -> DataFrame:
-    """A row for each word of a line's prefix: tok, place, n (distinct words), pos (of tok) and parity."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, one = common.worker_state("word-hashes", WordHashes), np.uint64(1)
-        for batch in batches:
-            toks, sizes, meta = [], [], []
-            for row, text in enumerate(common.binary(batch.column(2))):
-                for line, k in line_keys(text or b"", levels, hashes):
-                    n = len(k)
-                    parity = int(np.bitwise_xor.reduce(one << (k & np.uint64(63))))
-                    toks.append(k[: n - (4 * n + 4) // 5 + 1] if n >= 5 else np.array([xxhash.xxh64_intdigest(k.tobytes())], np.uint64))
-                    sizes.append(len(toks[-1]))
-                    meta.append((row, line, n, parity))
-            if not toks:
-                continue
-            row, line, n, parity = (np.repeat(np.array(c, t), sizes) for c, t in zip(zip(*meta, strict=True), (np.int64, np.int32, np.int32, np.uint64), strict=True))
-            pos = (np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)).astype(np.int32)
-            row = pa.array(row)
-            yield pa.record_batch(
-                [pa.array(np.concatenate(toks).view(np.int64)), batch.column(0).take(row), batch.column(1).take(row), pa.array(line), pa.array(n), pa.array(pos), pa.array(parity.view(np.int64))], ["tok", "d", "h", "l", "n", "pos", "parity"]
-            )
-
-    return common.map_arrow(keyed, run, _ROWS)
-
-
-def _fits(n1, pos1, parity1, n2, pos2, parity2) -> np.ndarray:
-    """The four filters on arrays of prefix rows."""
-    both = n1 + n2
-    return (5 * n1 >= 4 * n2) & (5 * n2 >= 4 * n1) & (9 * np.minimum(n1 - pos1, n2 - pos2) >= 4 * both) & (9 * np.bitwise_count((parity1 ^ parity2).astype(np.uint64)).astype(np.int64) <= both)  # of unsigned values: of signed ones it counts the absolute value
-
-
-def with_candidates(tok: np.ndarray, n: np.ndarray, pos: np.ndarray, parity: np.ndarray) -> np.ndarray:
-    """Which rows, sorted by tok, meet the filters with another row of the same tok."""
-    keep = np.zeros(len(tok), bool)
-    starts = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-    sizes = np.diff(np.append(starts, len(tok)))
-    near = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= NEARBY), sizes))
-    for step in range(1, NEARBY):
-        near = near[(near + step < len(tok))]
-        near = near[tok[near] == tok[near + step]]
-        if not len(near):
-            break
-        i, j = near, near + step
-        hit = _fits(n[i], pos[i], parity[i], n[j], pos[j], parity[j])
-        keep[i[hit]] = keep[j[hit]] = True
-    for a, m in zip(starts[sizes > NEARBY], sizes[sizes > NEARBY], strict=True):
-        kinds, kind, times = np.unique(np.stack([n[a : a + m], pos[a : a + m], parity[a : a + m]]), axis=1, return_inverse=True, return_counts=True)
-        kn, kp, kb = kinds
-        kept = np.zeros(len(kn), bool)
-        for low in range(0, len(kn), 512):
-            part = slice(low, low + 512)
-            fit = _fits(kn[part, None], kp[part, None], kb[part, None], kn[None], kp[None], kb[None])
-            fit[np.arange(fit.shape[0]), np.arange(low, low + fit.shape[0])] &= times[part] > 1
-            kept[part] = fit.any(1)
-        keep[a : a + m] = kept[kind.reshape(-1)]
-    return keep
-
-
-def _candidates(rows: DataFrame) -> DataFrame:
-    """The prefix rows that have a candidate, from rows sorted by tok."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def settle(table: pa.RecordBatch) -> pa.RecordBatch:
-            tok, n, pos, parity = (table.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("tok", "n", "pos", "parity"))
-            return table.filter(pa.array(with_candidates(tok, n, pos, parity)))
-
-        held: list[pa.RecordBatch] = []
-        count, hot = 0, None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if hot is not None:  # the rest of a group that is passed on whole
-                same = int(np.searchsorted(batch.column(0).to_numpy() > hot, True))
-                if same:
-                    yield batch.slice(0, same)
-                batch = batch.slice(same)
-                if not batch.num_rows:
-                    continue
-                hot = None
-            held.append(batch)
-            count += batch.num_rows
-            if count < CHUNK:
-                continue
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            tok = whole.column(0).to_numpy()
-            last = int(np.searchsorted(tok, tok[-1]))  # the last group may go on
-            if last:
-                yield settle(whole.slice(0, last))
-            rest = whole.slice(last)
-            if rest.num_rows >= HOT:
-                yield rest
-                held, count, hot = [], 0, int(tok[-1])
-            else:
-                held, count = [rest], rest.num_rows
-        if held:
-            yield settle(pa.Table.from_batches(held).combine_chunks().to_batches()[0])
-
-    return common.map_arrow(rows, run, _ROWS)
-
-
-def _verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """Of pairs (a, b) of places the b whose line truly is that similar to a's."""
-    a = words.select(F.struct(*_PLACE).alias("a"), F.col("words").alias("wa"))
-    b = words.select(F.struct(*_PLACE).alias("b"), F.col("words").alias("wb"))
-    common = F.size(F.array_intersect("wa", "wb"))
-    return pairs.join(a, "a").join(b, "b").where(9 * common >= 4 * (F.size("wa") + F.size("wb"))).select("b.*").distinct()
-
-
-def matched_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """d, h, l of every line that an earlier line matches."""
-    keyed = _keyed(id_and_text(docs, id_col, text_col))
-    near = stash(_candidates(_prefixes(keyed, _levels(keyed)).repartition(F.col("tok")).sortWithinPartitions("tok")), "line-candidates")
+def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    out = gone.select(F.col("d").alias("gd"), F.col("hl").alias("ghl"))
+    return rows.join(out, F.expr("d <=> gd AND hl = ghl"), "left_anti")
+
 
-    # The words of the lines that have a candidate.
-    wanted = near.select(*_PLACE).distinct().groupBy("d", "h").agg(F.collect_list("l").alias("ls")).select(F.col("d").alias("wd"), F.col("h").alias("wh"), "ls")
-    held = keyed.join(wanted, F.expr("d <=> wd AND h = wh"))
-    words = stash(
-        held.select("d", "h", F.split("text", "\n").alias("lines"), F.explode("ls").alias("l")).select(*_PLACE, F.array_distinct(_words(F.get("lines", "l"))).alias("words")).dropDuplicates(_PLACE), "line-words"
-    )
+def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """d, h and the numbers of the lines with a word that stay, for every place (id, text hash) with any."""
+    keyed = _keyed(id_and_text(docs, id_col, text_col))
+    sets = stash(_sets(keyed, _levels(keyed)), "line-sets")
+    near = stash(_grouped(sets), "line-groups")
 
     # First against the earliest line of each group, which settles nearly all.
-    first = near.groupBy("tok").agg(F.min(F.struct(*_PLACE, "n", "pos", "parity")).alias("f")).select("tok", "f.*")
-    star = near.alias("b").join(first.alias("a"), F.expr(f"a.tok = b.tok AND {_A} < {_B} AND {_CANDIDATE}")).select(F.expr(_A).alias("a"), F.expr(_B).alias("b")).distinct()
-    settled = stash(_verified(star, words), "lines-settled")
+    settled = _verified(keyed, near.where("hit").select(F.col("fd").alias("ad"), F.col("fhl").alias("ahl"), "d", "hl"), "lines-settled")
 
     # Then what is left against all earlier lines of its groups.
-    done = settled.select(*(F.col(c).alias(f"s{c}") for c in _PLACE))
-    left = near.join(done, F.expr("d <=> sd AND h = sh AND l = sl"), "left_anti")
-    pairs = left.alias("b").join(near.alias("a"), F.expr(f"a.tok = b.tok AND {_A} < {_B} AND {_CANDIDATE}")).select(F.expr(_A).alias("a"), F.expr(_B).alias("b")).distinct()
-    return settled.unionByName(_verified(pairs, words))
+    left = _without(near, settled).alias("b")
+    earlier = F.expr("a.tok = b.tok AND struct(a.d, a.hl) < struct(b.d, b.hl) AND " + _CANDIDATE.format(a="a.", b="b."))
+    pairs = left.join(near.alias("a"), earlier).select(F.col("a.d").alias("ad"), F.col("a.hl").alias("ahl"), F.col("b.d").alias("d"), F.col("b.hl").alias("hl"))
+    later = _verified(keyed, pairs, "lines-later")
+    unstash(near)
+
+    stay = _without(sets.select("d", "hl"), settled.unionByName(later))
+    return stay.groupBy("d", _hash().alias("h")).agg(F.collect_list(_number()).alias("stay"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's removed lines gone, and n_lines and n_removed; other columns stay as they are."""
-    removed = stash(matched_lines(docs, id_col, text_col), "lines-removed").distinct().groupBy("d", "h").agg(F.collect_list("l").alias("__gone")).select(F.col("d").alias("__d"), F.col("h").alias("__h"), "__gone")
+    stay = kept_lines(docs, id_col, text_col).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("stay").alias("__stay"))
     id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    lines = F.split(text, "\n")
-    joined = docs.withColumn("__k", F.hash(text)).join(removed, id_.eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left")
-    kept = F.when(F.col("__gone").isNull(), text).otherwise(F.array_join(F.filter(lines, lambda v, i: ~F.array_contains("__gone", i)), "\n"))
-    n_lines, n_removed = F.coalesce(F.size(lines), F.lit(0)).cast("long"), F.coalesce(F.size("__gone"), F.lit(0)).cast("long")
-    return joined.withColumns({"__n": F.when(text.isNull(), F.lit(0).cast("long")).otherwise(n_lines), "__r": F.when(F.col("__gone").isNull(), F.lit(0).cast("long")).otherwise(n_removed), "__text": kept}).select(
-        *(F.col("__text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.col("__n").alias("n_lines"), F.col("__r").alias("n_removed")
-    )
+    joined = docs.withColumn("__k", F.hash(text)).join(stay, id_.eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left")
+
+    def cut(lines: Column) -> Column:
+        with_words = F.array_compact(F.transform(lines, lambda v, i: F.when(v.rlike(f"[^{BLANK_CLASS}]"), i)))
+        return F.struct(lines.alias("lines"), F.array_except(with_words, F.coalesce("__stay", F.array().cast("array<int>"))).alias("gone"))
+
+    def rest(c: Column) -> Column:
+        numbers = F.array_except(F.sequence(F.lit(0), F.size(c["lines"]) - 1), c["gone"])
+        kept = F.when(F.size(c["gone"]) == 0, text).otherwise(F.array_join(F.transform(numbers, lambda i: F.get(c["lines"], i)), "\n"))
+        return F.struct(kept.alias("text"), F.size(c["lines"]).cast("long").alias("n"), F.size(c["gone"]).cast("long").alias("r"))
+
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    done = joined.withColumn("__c", F.when(text.isNotNull(), let(let(F.split(text, "\n"), cut), rest)))
+    zero = F.lit(0).cast("long")
+    return done.select(*(F.col("__c.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.coalesce("__c.n", zero).alias("n_lines"), F.coalesce("__c.r", zero).alias("n_removed"))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
