@@ -11,9 +11,9 @@ aggregation, and no later step sees them.
 
 The join orders a line's words from rare to common and needs one shared word
 among the first n - ceil(0.8 n) + 1 (prefix filter), lengths within 0.8 of each
-other and enough words left behind the shared one (positional filter).  All are
-necessary conditions, so nothing is lost; what passes is verified on the words
-themselves.  Lines of fewer than five words match only equal sets, so they have
+other, enough words left behind the shared one (positional filter) and enough
+words shared by the two prefixes.  All are necessary conditions, so nothing is
+lost; what passes is verified on the words themselves.  Lines of fewer than five words match only equal sets, so they have
 no prefix.
 
 Any total order of words is exact; rarity only makes it fast.  Counts over all
@@ -103,9 +103,17 @@ def _grouped(sets: DataFrame) -> DataFrame:
     return seen.select("tok", "d", "hl", "n", "pos", hit.alias("hit"), F.when(hit, F.col("f.d")).alias("fd"), F.when(hit, F.col("f.hl")).alias("fhl"))
 
 
-def _verified(keyed: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
+def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs whose prefixes share enough words: up to the lesser last word of two prefixes every common word is in both."""
+    one = sets.select(F.col("d").alias("xd"), F.col("hl").alias("xhl"), F.col("n").alias("an"), F.col("pre").alias("apre"))
+    both = pairs.join(one, F.expr("ad <=> xd AND ahl = xhl")).alias("p").join(sets.alias("s"), F.expr("p.d <=> s.d AND p.hl = s.hl"))
+    most = "size(array_intersect(apre, pre)) + CASE WHEN element_at(apre, -1) < element_at(pre, -1) THEN an - size(apre) ELSE n - size(pre) END"
+    return both.where(f"9 * ({most}) >= 4 * (an + n)").select("ad", "ahl", "p.d", "p.hl")
+
+
+def _verified(keyed: DataFrame, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
     """Of pairs of places (ad, ahl) and (d, hl) the places (d, hl) whose line truly is that similar to the other."""
-    pairs = stash(pairs.distinct(), f"{name}-pairs")
+    pairs = stash(_plausible(pairs.distinct(), sets), f"{name}-pairs")
     places = pairs.select("d", "hl").unionByName(pairs.select(F.col("ad").alias("d"), F.col("ahl").alias("hl"))).distinct()
     wanted = places.groupBy(F.col("d").alias("wd"), _hash().alias("wh")).agg(F.collect_list(_number()).alias("ls"))
     held = keyed.join(wanted, F.expr("d <=> wd AND h = wh")).select("d", "h", _bound(F.split("text", "\n"), "lines"), "ls").select("d", "h", "lines", F.explode("ls").alias("l"))
@@ -130,13 +138,13 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     near = stash(_grouped(sets), "line-groups")
 
     # First against the earliest line of each group, which settles nearly all.
-    settled = _verified(keyed, near.where("hit").select(F.col("fd").alias("ad"), F.col("fhl").alias("ahl"), "d", "hl"), "lines-settled")
+    settled = _verified(keyed, sets, near.where("hit").select(F.col("fd").alias("ad"), F.col("fhl").alias("ahl"), "d", "hl"), "lines-settled")
 
     # Then what is left against all earlier lines of its groups.
     left = _without(near, settled).alias("b")
     earlier = F.expr("a.tok = b.tok AND struct(a.d, a.hl) < struct(b.d, b.hl) AND " + _CANDIDATE.format(a="a.", b="b."))
     pairs = left.join(near.alias("a"), earlier).select(F.col("a.d").alias("ad"), F.col("a.hl").alias("ahl"), F.col("b.d").alias("d"), F.col("b.hl").alias("hl"))
-    later = _verified(keyed, pairs, "lines-later")
+    later = _verified(keyed, sets, pairs, "lines-later")
     unstash(near)
 
     stay = _without(sets.select("d", "hl"), settled.unionByName(later))
