@@ -93,14 +93,16 @@ def _sets(keyed: DataFrame, levels: Column) -> DataFrame:
     return named.groupBy("s1", "s2").agg(F.min("p").alias("p")).select("p.*")
 
 
-def _grouped(sets: DataFrame) -> DataFrame:
-    """Prefix rows (tok, d, hl, n, pos) of words that several sets have in their prefix; fd, fhl: the group's earliest line, where it is a candidate."""
-    rows = sets.where(F.size("pre") > 0).select("d", "hl", "n", F.posexplode("pre").alias("pos", "tok"))
-    order = Window.partitionBy("tok").orderBy("d", "hl")
-    first = F.first(F.struct("d", "hl", "n", "pos")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    seen = rows.withColumns({"f": first, "i": F.row_number().over(order), "more": F.lead("tok").over(order).isNotNull()}).where("i > 1 OR more")
-    hit = F.expr("i > 1 AND " + _CANDIDATE.format(a="f.", b=""))
-    return seen.select("tok", "d", "hl", "n", "pos", hit.alias("hit"), F.when(hit, F.col("f.d")).alias("fd"), F.when(hit, F.col("f.hl")).alias("fhl"))
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """A row for each word of a set's prefix: tok and its place in the prefix, pos."""
+    return sets.where(F.size("pre") > 0).select("d", "hl", "n", F.posexplode("pre").alias("pos", "tok"))
+
+
+def _with_first(rows: DataFrame) -> DataFrame:
+    """Candidate pairs (ad, ahl), (d, hl) of prefix rows with the earliest one of their word."""
+    first = F.first(F.struct("d", "hl", "n", "pos")).over(Window.partitionBy("tok").orderBy("d", "hl").rowsBetween(Window.unboundedPreceding, 0))
+    seen = rows.withColumn("f", first).where("struct(f.d, f.hl) < struct(d, hl) AND " + _CANDIDATE.format(a="f.", b=""))
+    return seen.select(F.col("f.d").alias("ad"), F.col("f.hl").alias("ahl"), "d", "hl")
 
 
 def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -135,17 +137,15 @@ def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """d, h and the numbers of the lines with a word that stay, for every place (id, text hash) with any."""
     keyed = _keyed(id_and_text(docs, id_col, text_col))
     sets = stash(_sets(keyed, _levels(keyed)), "line-sets")
-    near = stash(_grouped(sets), "line-groups")
 
     # First against the earliest line of each group, which settles nearly all.
-    settled = _verified(keyed, sets, near.where("hit").select(F.col("fd").alias("ad"), F.col("fhl").alias("ahl"), "d", "hl"), "lines-settled")
+    settled = _verified(keyed, sets, _with_first(_prefixes(sets)), "lines-settled")
 
     # Then what is left against all earlier lines of its groups.
-    left = _without(near, settled).alias("b")
+    left, all_rows = _prefixes(_without(sets, settled)).alias("b"), _prefixes(sets).alias("a")
     earlier = F.expr("a.tok = b.tok AND struct(a.d, a.hl) < struct(b.d, b.hl) AND " + _CANDIDATE.format(a="a.", b="b."))
-    pairs = left.join(near.alias("a"), earlier).select(F.col("a.d").alias("ad"), F.col("a.hl").alias("ahl"), F.col("b.d").alias("d"), F.col("b.hl").alias("hl"))
+    pairs = left.join(all_rows, earlier).select(F.col("a.d").alias("ad"), F.col("a.hl").alias("ahl"), F.col("b.d").alias("d"), F.col("b.hl").alias("hl"))
     later = _verified(keyed, sets, pairs, "lines-later")
-    unstash(near)
 
     stay = _without(sets.select("d", "hl"), settled.unionByName(later))
     return stay.groupBy("d", _hash().alias("h")).agg(F.collect_list(_number()).alias("stay"))
