@@ -26,6 +26,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 BLANK_CLASS = r"\x20\x09-\x0D"
 #: Rows of text in one Arrow batch at most: bounds a Python worker's memory when texts are long.
 ROWS_PER_BATCH = 500
+#: Setting under which Spark removes a query's shuffle files at the query's end.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,12 +44,17 @@ def shared_dir(spark: SparkSession) -> str:
 def stash(df: DataFrame, name: str = "step") -> DataFrame:
     """Write df as a table in the shared folder and read it back: cuts the lineage, survives lost executors.
 
-    Shuffle files of finished steps that nothing refers to any more are let go.  The table is deleted when the driver's
+    The write's own shuffle files are removed once it is done, others when nothing refers to them any more.  The table is deleted when the driver's
     process ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
 
     def remove() -> None:
