@@ -13,8 +13,8 @@ The join orders a line's words from rare to common and needs one shared word
 among the first n - ceil(0.8 n) + 1 (prefix filter), lengths within 0.8 of each
 other, enough words left behind the shared one (positional filter) and enough
 words shared by the two prefixes.  All are necessary conditions, so nothing is
-lost; what passes is verified on the words themselves.  Lines of fewer than five words match only equal sets, so they have
-no prefix.
+lost; what passes is verified on the words themselves.  Lines of fewer than four words match only equal sets (three of four
+is 0.75), so they have no prefix; one of four words also matches five that hold them.
 
 Any total order of words is exact; rarity only makes it fast.  Counts over all
 documents are kept in 2^18 hash buckets, a size that does not depend on the data.
@@ -88,7 +88,7 @@ def _sets(keyed: DataFrame, levels: Column) -> DataFrame:
     hashed = lines.select("d", _place(), _bound(hashes, "k")).where(F.size("k") > 0)
     key = lambda v: F.get(levels, v.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(v, 8))
     sets = hashed.select("d", "hl", _bound(F.sort_array(F.array_distinct(F.transform("k", key))), "k"))
-    prefix = F.expr("CASE WHEN size(k) >= 5 THEN slice(k, 1, size(k) - (4 * size(k) + 4) DIV 5 + 1) ELSE slice(k, 1, 0) END").alias("pre")
+    prefix = F.expr("CASE WHEN size(k) >= 4 THEN slice(k, 1, size(k) - (4 * size(k) + 4) DIV 5 + 1) ELSE slice(k, 1, 0) END").alias("pre")
     named = sets.select(F.xxhash64("k").alias("s1"), F.xxhash64(F.lit(1), "k").alias("s2"), F.struct("d", "hl", F.size("k").alias("n"), prefix).alias("p"))
     return named.groupBy("s1", "s2").agg(F.min("p").alias("p")).select("p.*")
 

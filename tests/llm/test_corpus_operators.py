@@ -113,6 +113,14 @@ def test_line_dedup(spark, docs, nothing):
     assert line_dedup.dedup_lines(docs).count() == docs.count()
 
 
+def test_line_dedup_four_words_in_five(spark):
+    four, five = ["red oak leaf fell", "cold rain came down", "old men sat still"], ["red oak leaf | fell", "so cold rain came down", "old men sat still there"]
+    rows = [(1, "\n".join(four[:2])), (2, "\n".join(five)), (3, four[2]), (4, "red oak leaf\noak leaf fell far"), (5, "red oak leaf"), (6, "oak leaf fell now so")]
+    got = collections.Counter((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_lines(rows)
+    assert got["2", 3, 2] == got["3", 1, 1] == 1
+
+
 def sets_of(text):
     w = (text or "").split()
     k = min(5, len(w))
