@@ -41,11 +41,29 @@ def fact_history(facts: DataFrame, node_id: str, project: str | None = None) ->
     return (out if project is None else out.where(F.col("project_id") == project)).orderBy(F.desc("valid_from"), "id")
 
 
-def supersession_chain(facts: DataFrame, fact_id: str, most: int = 100) -> DataFrame:
-    """step, id: a fact, what superseded it, what superseded that, ... (an extension)."""
-    facts.select("id", "superseded_by").createOrReplaceTempView("__facts")
-    return facts.sparkSession.sql(
-        "WITH RECURSIVE chain(step, id, next) AS (SELECT 0, id, superseded_by FROM __facts WHERE id = :f UNION ALL "
-        "SELECT step + 1, f.id, f.superseded_by FROM chain JOIN __facts f ON f.id = chain.next WHERE step < :m) SELECT step, id FROM chain ORDER BY step",
-        args={"f": fact_id, "m": most},
-    )
+def _settled(df: DataFrame) -> DataFrame:
+    """df computed once, without its lineage; in the checkpoint folder if there is one."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def supersession_chain(facts: DataFrame, fact_id: str, most: int | None = None) -> DataFrame:
+    """step, id: a fact, what superseded it, what superseded that, ... up to the last, or `most` steps if given (an extension).
+
+    Each round doubles the steps that are followed, so a chain of n facts takes about log2(n) rounds of joins.  A fact comes once, at its first
+    step, so a cycle ends where it closes; a successor that is no fact ends the chain.
+    """
+    ids = facts.select("id").distinct()
+    jump = facts.select("id", F.col("superseded_by").alias("next")).join(ids.select(F.col("id").alias("next")), "next", "left_semi").select("id", "next").distinct()
+    chain = ids.where(F.col("id") == fact_id).select(F.lit(0).alias("step"), "id")
+    span, known = 1, 1
+    while most is None or span <= most:
+        later = chain.join(jump, "id").select((F.col("step") + span).alias("step"), F.col("next").alias("id"))
+        chain = _settled(chain.unionByName(later).groupBy("id").agg(F.min("step").alias("step")))
+        before, known = known, chain.count()
+        if known in (before, 0):
+            break
+        jump = _settled(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("further")), "next").select("id", F.col("further").alias("next")).distinct())
+        span *= 2
+    if most is not None:
+        chain = chain.where(F.col("step") <= most)
+    return chain.select("step", "id").orderBy("step", "id")

@@ -67,6 +67,17 @@ def test_facts(spark):
     assert temporal.active_facts(after, "p", "architecture").count() == 0
 
 
+def test_supersession_chain_is_whole(spark):
+    links = [(f"f{i}", f"f{i + 1}" if i < 300 else None) for i in range(301)] + [("a", "b"), ("b", "c"), ("c", "b"), ("self", "self"), ("x", "no fact"), ("late", "f299")]
+    facts = spark.createDataFrame(links, "id string, superseded_by string")
+    chain = lambda *a: [(r["step"], r["id"]) for r in temporal.supersession_chain(facts, *a).collect()]
+    assert chain("f0") == [(i, f"f{i}") for i in range(301)]
+    assert chain("f0", 2) == [(0, "f0"), (1, "f1"), (2, "f2")]
+    assert chain("late") == [(0, "late"), (1, "f299"), (2, "f300")]
+    assert chain("a") == [(0, "a"), (1, "b"), (2, "c")]
+    assert chain("self") == [(0, "self")] and chain("x") == [(0, "x")] and chain("no fact") == []
+
+
 def test_stats(spark):
     log = spark.createDataFrame([("p", "a", 300, 0, 15000), ("p", "b", 250, 1200, 12000), ("q", "a", 50, 0, 0)], "project_id string, session_id string, pointer_tokens long, fetched_tokens long, traditional_est long")
     r = accounting.stats(log, "p").first()
