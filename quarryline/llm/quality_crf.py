@@ -17,6 +17,7 @@ rows are scored alike; an empty table gives an empty result.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-#: Bounds the fit: about so many labelled documents are read, each as at most FIT_CHAINS chains of FIT_LINES lines.
+#: Bounds the fit: about so many labelled documents are read whole, in chains of FIT_LINES lines; if these are more than FIT_CHAINS a document on
+#: average, a share of them is chosen by hash, evenly over all documents and all parts of a text.
 FIT_DOCS, FIT_LINES, FIT_CHAINS = 2000, 24, 2
 #: Share of the score from which a document counts as good.
 GOOD = 0.3
@@ -169,17 +171,23 @@ def train(chains: list[tuple[np.ndarray, int]], steps: int = 150, penalty: float
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", docs: int = FIT_DOCS) -> Model | None:
-    """Fit on about `docs` labelled documents (a bounded sample), each as at most FIT_CHAINS chains of FIT_LINES lines."""
+    """Fit on about `docs` labelled documents (a bounded sample), in chains of FIT_LINES lines from all over their texts, about docs * FIT_CHAINS at most."""
     usable = common.bounded_sample(labelled.where(F.col(label_col).isin(0, 1)), id_col, docs)
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    lines = F.length(text) - F.length(F.translate(text, "\n", "")) + 1
+    chains = usable.agg(F.sum(F.ceil(lines / FIT_LINES))).first()[0] or 0
+    limit = 1 << 32 if chains <= docs * FIT_CHAINS else (docs * FIT_CHAINS << 32) // int(chains)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made, label = [], []
             for text, y in zip(common.binary(batch.column(0)), batch.column(1).to_pylist(), strict=True):
                 x = with_neighbours(line_features(text or b"")[0])
-                for at in range(0, min(len(x), FIT_CHAINS * FIT_LINES), FIT_LINES):
-                    made.append(x[at : at + FIT_LINES].tobytes())
-                    label.append(y)
+                seed = zlib.crc32(text or b"")
+                for at in range(0, len(x), FIT_LINES):
+                    if zlib.crc32(b"%d" % at, seed) < limit:
+                        made.append(x[at : at + FIT_LINES].tobytes())
+                        label.append(y)
             yield pa.record_batch([pa.array(made, pa.binary()), pa.array(label, pa.int32())], ["x", "y"])
 
     got = common.map_arrow(usable.select(F.col(text_col).cast("string"), F.col(label_col).cast("int")), rows, "x binary, y int").toArrow()

@@ -71,6 +71,14 @@ def test_crf_learns_and_scores(spark, odd):
     assert {r["score"] for r in quality_crf.predict(odd, quality_crf.fit(rows.where("quality = 7"))).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("docs", [2000, 40])
+def test_crf_learns_from_whole_texts(spark, docs):
+    good, bad = "a calm line of plain words here\n", "BUY NOW!! $$$ ### CLICK!! %%%\n"
+    rows = spark.createDataFrame([(i, f"{i}\n" + good * 60 + (good if i % 2 else bad) * 60, i % 2) for i in range(40)], "doc_id long, text string, quality int")
+    model = quality_crf.fit(rows, docs=docs)
+    assert model.score(good.encode() * 5)[0] > 0.5 > 0.2 > model.score(bad.encode() * 5)[0]
+
+
 def test_language(spark, odd):
     words = {"aa": "kala mika sola tuna", "bb": "grob stark fest hart", "cc": "joli vert rouge bleu"}
     rng = np.random.default_rng(3)
