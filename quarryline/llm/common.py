@@ -107,9 +107,31 @@ def bounded_sample(df: DataFrame, key: str, rows: int, seed: int = 11) -> DataFr
     total = df.count()
     if total <= rows:
         return df
-    share = rows / total
-    cut = int(share * (1 << 30))
-    return df.where(F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) < cut).limit(int(rows * 1.2))
+    return df.where(_draw(seed, key) < int(rows / total * (1 << 30))).limit(int(rows * 1.2))
+
+
+def _draw(seed: int, *keys: str) -> F.Column:
+    """A number below 2^30 by a hash of the keys."""
+    return F.pmod(F.xxhash64(F.lit(seed), *map(F.col, keys)), F.lit(1 << 30))
+
+
+def sample_of_each(df: DataFrame, key: str, value: str, text: str, rows: int, least: int) -> DataFrame:
+    """bounded_sample of df, but with about `least` rows, and at least one, of each value that has fewer there.
+
+    These are chosen by a hash of key and text, without repeated rows.  The size is bounded by `rows` and the number of values.
+    """
+    counts = {r[0]: r[1] for r in df.groupBy(value).count().collect()}
+    total = sum(counts.values())
+    if total <= rows:
+        return df
+    common_draw, own_draw = _draw(11, key) < int(rows / total * (1 << 30)), _draw(12, key, text)
+    found = df.groupBy(value).agg(F.count_if(common_draw), F.min(own_draw)).collect()
+    rare = [(v, max(first, least * (1 << 30) // counts[v])) for v, n, first in found if n < least]
+    if not rare:
+        return df.where(common_draw).limit(int(rows * 1.2))
+    cuts = F.broadcast(df.sparkSession.createDataFrame(rare, f"`{value}` {df.schema[value].dataType.simpleString()}, __cut long"))
+    often = df.join(cuts, value, "left_anti").where(common_draw).limit(int(rows * 1.2))
+    return often.unionByName(df.join(cuts, value).where(own_draw <= F.col("__cut")).select(*df.columns).dropDuplicates([key, text, value]).select(*often.columns))
 
 
 def worker_state(key: Any, make: Callable[[], Any]) -> Any:

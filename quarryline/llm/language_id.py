@@ -28,8 +28,8 @@ from . import common
 UNDETERMINED = "und"
 #: Width of the hashed n-gram space.
 WIDTH = 4096
-#: Bounds the fit: about so many labelled rows are read, whatever the table's size.
-FIT_ROWS = 2000
+#: Bounds the fit: about so many labelled rows are read, whatever the table's size, and about LEAST of each language that has fewer among them.
+FIT_ROWS, LEAST = 2000, 20
 #: Of each fitted row, so many short snippets are fitted as well, so that short texts are known too.
 SNIPPETS = 3
 #: The two cheapest codewords closer than this (in nats a bit) make a text ambiguous.
@@ -91,8 +91,10 @@ class Model:
 
 
 def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model | None:
-    """Fit on about `rows` labelled rows (a bounded sample).  Features are made on the executors; the driver gets fixed-width vectors."""
-    usable = common.bounded_sample(training.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()), id_col, rows)
+    """Fit on about `rows` labelled rows (a bounded sample) with some of every language, so that each has a codeword.  Features are made on the executors; the driver gets fixed-width vectors."""
+    labelled = training.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
+    own = labelled.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l"))
+    usable = common.sample_of_each(own, "k", "l", "t", rows, LEAST)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -109,7 +111,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                     xs.append(features(part).astype(np.float16).tobytes())
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(xs, pa.binary())], ["lang", "x"])
 
-    got = common.map_arrow(usable.select(F.col(id_col).cast("long").alias("k"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")), vectors, "lang string, x binary").toArrow()
+    got = common.map_arrow(usable.select("k", "t", "l"), vectors, "lang string, x binary").toArrow()
     if not got.num_rows:
         return None
     labels = got.column("lang").to_pylist()

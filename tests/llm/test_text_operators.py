@@ -95,6 +95,18 @@ def test_language(spark, odd):
     assert (code @ code.T - 1000 * np.eye(30)).max() < code.shape[1]
 
 
+def test_rare_language_is_learnt(spark):
+    words = {"aa": "kala mika sola tuna", "bb": "grob stark fest hart", "cc": "joli vert rouge bleu", "dd": "xiq zuq wox yaz"}
+    rng = np.random.default_rng(4)
+    langs = ["aa", "bb"] * 2000 + ["cc"] * 30 + ["dd"]
+    rows = [(None if lang == "cc" else i, " ".join(rng.choice(words[lang].split(), 30)), lang) for i, lang in enumerate(langs)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, rows=100)
+    assert model.languages == [*words]
+    out = language_id.predict(df.where("lang IN ('cc', 'dd')"), model, keep=["lang"]).collect()
+    assert len(out) == 31 and all(r["lang"] == r["lang_pred"] for r in out)
+
+
 def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
