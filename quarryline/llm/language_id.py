@@ -39,6 +39,10 @@ _LETTER = re.compile(r"[^\W\d_]")
 _BLANK = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text and _LETTER.search(text))
+
+
 def features(text: bytes) -> np.ndarray:
     """Unit vector of square-rooted counts of hashed byte 2-, 3- and 4-grams of the lower-cased letters."""
     letters = b" " + _BLANK.sub(b" ", text.decode("utf-8", "replace").lower().encode()) + b" "
@@ -142,7 +146,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
         for batch in batches:
             rows: list[tuple[str, float, bool]] = []
             for text in common.binary(batch.column(batch.num_columns - 1)):
-                if own is None or not text or not _LETTER.search(text.decode("utf-8", "replace")):
+                if own is None or not text or not has_letter(text.decode("utf-8", "replace")):
                     rows.append((UNDETERMINED, 0.0, False))
                 else:
                     rows.append(own.score(features(text)))

@@ -201,6 +201,13 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == packed.count()
 
 
+def test_language_stage_without_labels(spark, tmp_path):
+    rows = [(1, "words"), (2, "12 _ 34"), (3, ""), (4, None), (5, "é 1"), (6, " \n")]
+    docs = pipeline_docs(spark, rows).withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.identify_language(spark, docs, str(tmp_path))
+    assert out.columns == docs.columns and {(r["doc_id"], r["lang"]) for r in out.collect()} == {(1, None), (5, None)}
+
+
 def test_pipeline_on_nothing(spark, tmp_path):
     spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     docs = pipeline_docs(spark, [(1, "x")]).limit(0)
