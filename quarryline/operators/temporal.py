@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.plans import schema as S
+from quarryline.sources.scratch import stash
 
 
 def fact_rows(df: DataFrame, project: str, now: Column | None = None) -> DataFrame:
@@ -41,11 +42,6 @@ def fact_history(facts: DataFrame, node_id: str, project: str | None = None) ->
     return (out if project is None else out.where(F.col("project_id") == project)).orderBy(F.desc("valid_from"), "id")
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """df computed once, without its lineage; in the checkpoint folder if there is one."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def supersession_chain(facts: DataFrame, fact_id: str, most: int | None = None) -> DataFrame:
     """step, id: a fact, what superseded it, what superseded that, ... up to the last, or `most` steps if given (an extension).
 
@@ -58,11 +54,11 @@ def supersession_chain(facts: DataFrame, fact_id: str, most: int | None = None)
     span, known = 1, 1
     while most is None or span <= most:
         later = chain.join(jump, "id").select((F.col("step") + span).alias("step"), F.col("next").alias("id"))
-        chain = _settled(chain.unionByName(later).groupBy("id").agg(F.min("step").alias("step")))
+        chain = stash(chain.unionByName(later).groupBy("id").agg(F.min("step").alias("step")))
         before, known = known, chain.count()
         if known in (before, 0):
             break
-        jump = _settled(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("further")), "next").select("id", F.col("further").alias("next")).distinct())
+        jump = stash(jump.join(jump.select(F.col("id").alias("next"), F.col("next").alias("further")), "next").select("id", F.col("further").alias("next")).distinct())
         span *= 2
     if most is not None:
         chain = chain.where(F.col("step") <= most)
