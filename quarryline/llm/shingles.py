@@ -10,7 +10,7 @@ _STEP = np.uint64(0x9E3779B97F4A7C15)
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 #: Words whose hashes a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 800_000
+REMEMBERED = 500_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
