@@ -5,16 +5,21 @@ cut into pieces of a sequence's length, of which the last may be shorter.  Piece
 are packed online: each goes into the open bin with the least free space that
 still holds it.  Open bins are kept by their free space in one integer used as a
 bitset, so the best fit is one shift and one lowest-set-bit.  At most OPEN bins
-are open; when one more is needed, the fullest is closed first.
+are open; when one more is needed, the fullest is closed first.  A packer's memory
+is thus fixed, however many pieces it takes.
 
 Tokenising happens where the rows are read.  Only the pieces' numbers (a few
 dozen bytes a document) are then dealt to packers, each of about PIECES pieces, so
 that what a packer leaves unfilled, less than a sequence or two, is small beside
-the thousands it fills.  Packers take long pieces first.
+the thousands it fills.  Packers take pieces as they come, by id and piece, which
+also makes a repeated task give the same bins.
 
 Defined results: a null text is an empty one; an empty text is a piece of the
-end id alone.  Repeated rows are packed each.  An empty table gives an empty
-result.  Columns other than the id and the text are ignored.
+end id alone; a very long one is cut as above, never dropped.  Of bins with equal
+free space the one that got it last is filled first.  Repeated rows are packed
+each, null ids too.  An empty table gives an empty result.  Columns other than the
+id and the text are ignored.  A special token's string in a text gets the ids that
+the tokenizer's file gives it; `special_as_text` reads it as ordinary text instead.
 """
 
 from __future__ import annotations
@@ -25,16 +30,15 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from . import common
 
 CAPACITY = 4096
 #: Open bins at most, and pieces a packer takes on average.
-OPEN, PIECES = 65_536, 100_000
+OPEN, PIECES = 512, 100_000
 END_ID = 1
 #: Words whose ids a worker remembers at most; beyond that it starts anew.
-REMEMBERED = 1_200_000
+REMEMBERED = 500_000
 
 _FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -43,14 +47,14 @@ class _Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     This tokenizer parts words at white space before anything else, so a text's ids are its blank-parted words' ids in
-    a row, and a word need be encoded once only.  Special tokens' strings are ordinary text.
+    a row, and a word need be encoded once only.  Special tokens' strings hold no white space, so they stay whole.
     """
 
-    def __init__(self, tokenizer_path: str):
+    def __init__(self, tokenizer_path: str, special_as_text: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
         self.known: dict[str, bytes] = {"": b""}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
@@ -67,7 +71,7 @@ class _Encoder:
         return [b"".join(map(known.__getitem__, words)) for words in split]
 
 
-def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False) -> DataFrame:
+def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False, special_as_text: bool = False) -> DataFrame:
     """The pieces of every document: doc_id, piece, start, length, ids_crc32, and with `ids` their ids as bytes."""
     end = end_id.to_bytes(4, "little")
 
@@ -75,7 +79,7 @@ def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        encode = common.worker_state(("encoder", tokenizer_path), lambda: _Encoder(tokenizer_path))
+        encode = common.worker_state(("encoder", tokenizer_path, special_as_text), lambda: _Encoder(tokenizer_path, special_as_text))
         for batch in batches:
             keys, pieces, starts, lengths, sums, bodies = [], [], [], [], [], []
             for key, body in zip(batch.column(0).to_pylist(), encode([t or "" for t in batch.column(1).to_pylist()]), strict=True):
@@ -155,7 +159,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, most_open: int = OPEN, pie
             yield pa.record_batch([*batch.columns, pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], [*batch.schema.names, "sequence_id", "offset"])
 
     packers = max(1, round(pieces.count() / pieces_each))
-    dealt = pieces.repartition(packers).sortWithinPartitions(F.desc("length"), *[F.col(f"`{c}`") for c in pieces.columns if c != "length"])
+    dealt = pieces.repartition(packers).sortWithinPartitions(*[common.quoted(c) for c in pieces.columns])
     return common.map_arrow(dealt, run, f"{schema}, sequence_id long, offset long")
 
 
