@@ -7,14 +7,21 @@ Trust is personalised PageRank along links; distrust is personalised PageRank
 against them, so that who links to blocked hosts is distrusted.  A host whose
 share of distrust in the two exceeds THRESHOLD is blocked, any other is allowed.
 
-Links are the absolute http(s) targets of a page's href attributes, summed by
-pair of hosts before anything is joined, so a page or host with any number of
-links gives one edge a pair; links within a host say nothing about others and
-are left out.
+Links are the targets of a page's href attributes that name a host, with http: or
+https: or without a scheme, summed by pair of hosts before anything is joined, so a
+page or host with any number of links gives one edge a pair; links within a host say
+nothing about others and are left out.
+
+Ranks are settled when a step reaches no further host and changes less than TOLERANCE
+of the mass, so every host that a seed reaches gets its share, however far it is.
+Each step is one join and one sum; a hub's edges are split by Spark, and sums are
+taken on the map side first.  A step's ranks are written out, which cuts the lineage.
 
 Defined results: a null url, or one without ://, has empty host and path, fits
-no rule and is allowed.  A null html has no links.  Repeated pages count each.
-An empty table gives an empty result.  Columns other than the named ones are
+no rule and is allowed.  A null html has no links; a html of any length is searched
+whole.  Of rules of one length that both fit the first counts.  A host that no seed
+reaches, or whose share is the threshold itself, is allowed.  Repeated pages count
+each.  An empty table gives an empty result.  Columns other than the named ones are
 ignored.
 """
 
@@ -25,9 +32,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import stash, unstash
 
-ITERATIONS, DAMPING, THRESHOLD = 12, 0.85, 0.5
+DAMPING, THRESHOLD, TOLERANCE = 0.85, 0.5, 1e-6
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -72,41 +79,42 @@ def matched_rule(host: Column, path: Column, rules: tuple[Rule, ...] = RULES) ->
 
 def host_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """src, dst, n: links from one host to another."""
-    target = F.explode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?i)\bhref\s*=\s*["']?(https?://[^"'\s>]+)"""), F.lit(1)))
-    links = pages.select(host_of(F.col(url_col)).alias("src"), target.alias("link")).select("src", host_of(F.col("link")).alias("dst"))
+    target = F.explode(F.regexp_extract_all(F.coalesce(F.col(html_col), F.lit("")), F.lit(r"""(?i)(?<![\w-])href\s*=\s*["']?(?:https?:)?//([^"'\s>/?#]+)"""), F.lit(1)))
+    links = pages.select(host_of(F.col(url_col)).alias("src"), target.alias("to")).select("src", F.translate("to", _UPPER, _LOWER).alias("dst"))
     return links.where((F.col("src") != F.col("dst")) & (F.col("src") != "") & (F.col("dst") != "")).groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, iterations: int = ITERATIONS, damping: float = DAMPING) -> DataFrame:
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = DAMPING, tolerance: float = TOLERANCE) -> DataFrame:
     """host, trust, distrust from edges (src, dst, n) and seeds (host, good, bad: summed page counts).
 
-    Mass that reaches a host without links to pass it on returns to the seeds.  One join and one sum an iteration;
-    every fourth is written out, so that the plan stays short.
+    Mass that reaches a host without links to pass it on returns to the seeds, which only scales all ranks alike.  So ranks are
+    summed without it, as the series of what the seeds pass on, and scaled to one at the end.
     """
-    total = seeds.agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).first()
-    good, bad = total["g"] or 0, total["b"] or 0
-    base = seeds.select("host", (F.col("good") / F.lit(good or 1)).alias("s_t"), (F.col("bad") / F.lit(bad or 1)).alias("s_d"))
     out_sum, in_sum = edges.groupBy(F.col("src").alias("host")).agg(F.sum("n").alias("o")), edges.groupBy(F.col("dst").alias("host")).agg(F.sum("n").alias("i"))
     hosts = edges.select(F.explode(F.array("src", "dst")).alias("host")).distinct()
-    nodes = stash(
-        base.join(hosts, "host", "full_outer").join(out_sum, "host", "left").join(in_sum, "host", "left").select("host", *(F.coalesce(c, F.lit(0.0)).alias(c) for c in ("s_t", "s_d")), F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("i", F.lit(0)).alias("i")), "hosts"
-    )
-    if edges.isEmpty():  # nothing spreads: what the seeds have stays with them
-        return nodes.select("host", F.col("s_t").alias("trust"), F.col("s_d").alias("distrust"))
+    own = [F.coalesce(c, F.lit(0)).cast("double").alias(to) for c, to in (("good", "t"), ("bad", "d"))]
+    nodes = seeds.join(hosts, "host", "full_outer").join(out_sum, "host", "left").join(in_sum, "host", "left")
+    nodes = stash(nodes.select("host", *own, F.coalesce("o", F.lit(0)).alias("o"), F.coalesce("i", F.lit(0)).alias("i")), "hosts")
     # Each edge passes trust from src to dst and distrust from dst to src.
     flow = edges.select(F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), "n", F.lit(True).alias("fwd")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"), "n", F.lit(False).alias("fwd")))))
-    ranks = nodes.select("*", F.col("s_t").alias("t"), F.col("s_d").alias("d"))
-    for step in range(1, iterations + 1):
-        loose = ranks.agg(F.sum(F.when(F.col("o") == 0, F.col("t")).otherwise(0.0)).alias("lt"), F.sum(F.when(F.col("i") == 0, F.col("d")).otherwise(0.0)).alias("ld")).first()
-        passed = ranks.join(flow, ranks["host"] == flow["a"]).select(
+    base, ranks, last = nodes.select("host", F.col("t").alias("t0"), F.col("d").alias("d0")), nodes, None
+    settled = edges.isEmpty()  # nothing spreads then: what the seeds have stays with them
+    while not settled:
+        passed = ranks.where("t > 0 OR d > 0").join(flow, ranks["host"] == flow["a"]).select(
             F.col("b").alias("to"), F.when(F.col("fwd"), F.col("t") * F.col("n") / F.col("o")).otherwise(0.0).alias("pt"), F.when(~F.col("fwd"), F.col("d") * F.col("n") / F.col("i")).otherwise(0.0).alias("pd")
         )
         summed = passed.groupBy("to").agg(F.sum("pt").alias("pt"), F.sum("pd").alias("pd"))
-        grown = lambda seed, got, lost: (F.col(seed) * F.lit(1 - damping + damping * (lost or 0.0)) + F.lit(damping) * F.coalesce(F.col(got), F.lit(0.0)))
-        ranks = nodes.join(summed, nodes["host"] == summed["to"], "left").select(nodes["*"], grown("s_t", "pt", loose["lt"]).alias("t"), grown("s_d", "pd", loose["ld"]).alias("d"))
-        if step % 4 == 0 or step == iterations:
-            ranks = stash(ranks, "ranks")
-    return ranks.select("host", F.col("t").alias("trust"), F.col("d").alias("distrust"))
+        got = lambda own, more: F.col(own) + F.lit(damping) * F.coalesce(F.col(more), F.lit(0.0))
+        step = ranks.join(base, "host").join(summed, F.col("host") == F.col("to"), "left")
+        new = stash(step.select("host", F.col("t").alias("was_t"), F.col("d").alias("was_d"), got("t0", "pt").alias("t"), got("d0", "pd").alias("d"), "o", "i"), "ranks")
+        change = [F.sum(F.abs(F.col(c) - F.col(f"was_{c}"))) <= tolerance * F.sum(c) for c in ("t", "d")]
+        reached = F.count_if(F.expr("(t > 0 AND was_t = 0) OR (d > 0 AND was_d = 0)")) == 0
+        settled = new.agg((change[0] & change[1] & reached).alias("done")).first()["done"]
+        if last is not None:
+            unstash(last)
+        ranks, last = new.select("host", "t", "d", "o", "i"), new
+    total = ranks.agg(F.sum("t").alias("t"), F.sum("d").alias("d")).first()
+    return ranks.select("host", (F.col("t") / F.lit(total["t"] or 1.0)).alias("trust"), (F.col("d") / F.lit(total["d"] or 1.0)).alias("distrust"))
 
 
 def judge(pages: DataFrame, rules: tuple[Rule, ...] = RULES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", threshold: float = THRESHOLD) -> DataFrame:
