@@ -5,13 +5,18 @@ features are surface statistics of the line and of its two neighbours.  The
 forward and backward passes give the marginal probability that a line is good;
 a document's score is the mean of these, weighted by the lines' lengths.
 
-Training has document labels only, so every line of a fitted document carries
-its document's label.
+Training has document labels only, so every line of a fitted document carries its
+document's label.  Chains of one document alone would teach that labels never change
+within a text; the fitted chains are therefore spliced, of stretches of a few lines of
+documents of both labels in turn, with features of the neighbours they have there.  So
+a junk line among good ones is known by itself, and its neighbours by theirs.
 
 Defined results: a null text scores like an empty one, which has a single empty
-line.  Labels that are null are not learnt from; where a document has several
-labels, each counts.  With no usable labels at all every score is 0.5.  Repeated
-rows are scored alike; an empty table gives an empty result.
+line; texts of any length are read whole.  Labels that are null are not learnt from;
+where a document has several labels, each counts.  With no usable labels, or with
+those of one kind only, every score is 0.5.  A score of exactly GOOD counts as good.
+Repeated rows are scored alike; an empty table gives an empty result.  Columns other
+than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -124,21 +129,50 @@ class Model:
         return float(min(1.0, max(0.0, p @ size / size.sum()))), len(p), int((p < 0.5).sum())
 
 
-def train(chains: list[tuple[np.ndarray, int]], steps: int = 150, penalty: float = 2e-3) -> Model | None:
-    """Maximise the chains' conditional log likelihood by Adam; gradients come from forward and backward passes over all chains at once."""
-    chains = [(x, y) for x, y in chains if len(x)]
-    if len({y for _, y in chains}) < 2:
+def spliced(chains: list[tuple[np.ndarray, int]], longest: int = 6, seed: int = 3) -> list[tuple[np.ndarray, np.ndarray]]:
+    """The same lines dealt anew: chains of own features of FIT_LINES lines or more, in which stretches of 1 to `longest` lines of both labels take turns, and each line's label."""
+    rng = np.random.default_rng(seed)
+    heaps: list[list[np.ndarray]] = [[], []]
+    for x, y in chains:
+        at = 0
+        while at < len(x):
+            n = int(rng.integers(1, longest + 1))
+            heaps[y].append(x[at : at + n])
+            at += n
+    orders = [rng.permutation(len(h)) for h in heaps]
+    if not all(heaps):
+        return []
+    out, rows, labels = [], [], []
+    for i in range(max(map(len, heaps))):  # the smaller heap is dealt again
+        for y in (i % 2, 1 - i % 2):
+            part = heaps[y][orders[y][i % len(heaps[y])]]
+            rows.append(part)
+            labels.append(np.full(len(part), y))
+        if sum(map(len, rows)) >= FIT_LINES:
+            out.append((np.concatenate(rows), np.concatenate(labels)))
+            rows, labels = [], []
+    return out
+
+
+def train(chains: list[tuple[np.ndarray, int | np.ndarray]], steps: int = 300, penalty: float = 2e-3) -> Model | None:
+    """Maximise the chains' conditional log likelihood by Adam; gradients come from forward and backward passes over all chains at once.
+
+    A chain is its lines' features and the label of all lines, or an array of them.  Lines of both labels weigh alike in sum.
+    """
+    chains = [(x, np.broadcast_to(y, len(x))) for x, y in chains if len(x)]
+    if len({int(v) for _, y in chains for v in (y.min(), y.max())}) < 2:
         return None
     n, most = len(chains), max(len(x) for x, _ in chains)
     x = np.zeros((n, most, chains[0][0].shape[1]), np.float32)
-    mask = np.zeros((n, most), bool)
-    for i, (rows, _) in enumerate(chains):
-        x[i, : len(rows)], mask[i, : len(rows)] = rows, True
-    y = np.array([label for _, label in chains])
-    good = y.mean()
-    each = np.where(y == 1, 0.5 / good, 0.5 / (1 - good)) / n  # both classes weigh alike
-    flat = x[mask]
-    of = np.repeat(np.arange(n), mask.sum(1))
+    mask, y = np.zeros((n, most), bool), np.zeros((n, most), np.int64)
+    for i, (rows, label) in enumerate(chains):
+        x[i, : len(rows)], mask[i, : len(rows)], y[i, : len(rows)] = rows, True, label
+    share = np.array([label.mean() for _, label in chains])  # of good lines in a chain
+    good = share.mean()
+    each = (share * 0.5 / good + (1 - share) * 0.5 / (1 - good)) / n
+    flat, lines = x[mask], np.repeat(np.arange(n), mask.sum(1))
+    both = mask[:, 1:]
+    moves = np.stack([((y[:, :-1] == a) & (y[:, 1:] == b) & both).sum(1) @ each for a in (0, 1) for b in (0, 1)]).reshape(2, 2)
     w, move = np.zeros(x.shape[2]), np.zeros((2, 2))
     first, second = [np.zeros_like(w), np.zeros_like(move)], [np.zeros_like(w), np.zeros_like(move)]
     for step in range(1, steps + 1):
@@ -157,12 +191,9 @@ def train(chains: list[tuple[np.ndarray, int]], steps: int = 150, penalty: float
             top = v.max(2)
             back[:, t] = np.where(mask[:, t + 1, None], top + np.log(np.exp(v - top[..., None]).sum(2)), back[:, t + 1])
         p = np.exp(fore[..., 1] + back[..., 1] - z[:, None])
-        grad_w = flat.T @ ((p[mask] - y[of]) * each[of]) + penalty * w
-        pair = np.exp(fore[:, :-1, :, None] + move + (node + back)[:, 1:, None, :] - z[:, None, None, None]) * mask[:, 1:, None, None]
-        grad_m = np.einsum("ntij,n->ij", pair, each) + penalty * move
-        moved = mask[:, 1:].sum(1) * each
-        grad_m[0, 0] -= moved[y == 0].sum()
-        grad_m[1, 1] -= moved[y == 1].sum()
+        grad_w = flat.T @ ((p[mask] - y[mask]) * each[lines]) + penalty * w
+        pair = np.exp(fore[:, :-1, :, None] + move + (node + back)[:, 1:, None, :] - z[:, None, None, None]) * both[..., None, None]
+        grad_m = np.einsum("ntij,n->ij", pair, each) - moves + penalty * move
         for k, (value, grad) in enumerate(((w, grad_w), (move, grad_m))):
             first[k] = 0.9 * first[k] + 0.1 * grad
             second[k] = 0.99 * second[k] + 0.01 * grad**2
@@ -182,7 +213,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
         for batch in batches:
             made, label = [], []
             for text, y in zip(common.binary(batch.column(0)), batch.column(1).to_pylist(), strict=True):
-                x = with_neighbours(line_features(text or b"")[0])
+                x = line_features(text or b"")[0]
                 seed = zlib.crc32(text or b"")
                 for at in range(0, len(x), FIT_LINES):
                     if zlib.crc32(b"%d" % at, seed) < limit:
@@ -191,7 +222,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
             yield pa.record_batch([pa.array(made, pa.binary()), pa.array(label, pa.int32())], ["x", "y"])
 
     got = common.map_arrow(usable.select(F.col(text_col).cast("string"), F.col(label_col).cast("int")), rows, "x binary, y int").toArrow()
-    return train([(np.frombuffer(x, np.float32).reshape(-1, 3 * OWN + 1), y) for x, y in zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True)])
+    chains = [(np.frombuffer(x, np.float32).reshape(-1, OWN), y) for x, y in zip(got.column("x").to_pylist(), got.column("y").to_pylist(), strict=True)]
+    return train([(with_neighbours(x), y) for x, y in spliced(chains)])
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
