@@ -1,7 +1,7 @@
 """Quality rules kept in a bitmask ledger, built from DataFrame functions only.
 
-`ledger` evaluates every rule once: a row holds the measurements and `failed`, a
-long whose bit i says that rule i failed.  A policy is a version, a mask of the
+`ledger` evaluates every rule once, and `stored_ledger` writes the outcome: a row
+holds the measurements and `failed`, a long whose bit i says that rule i failed.  A policy is a version, a mask of the
 rules it enforces and how many of them may fail; `apply_policy` needs only the
 stored bits, and `ablation` says, for every rule of a policy, how many more
 documents would be kept without it, from counts of the distinct bit patterns.
@@ -9,7 +9,8 @@ documents would be kept without it, from counts of the distinct bit patterns.
 Everything about a document is computed inside its own row, so no text is
 shuffled and a group of any size does no harm.
 
-Defined results: a null text has no words and no lines.  A text without words
+Defined results: a null text has no words and no lines; texts of any length are read
+whole.  A measurement that equals its limit passes.  A text without words
 has zero in every measurement and fails ``few_words``.  Repeated rows are judged
 alike, each on its own.  An empty table gives an empty ledger.  Columns other
 than the id and the text are ignored.
@@ -22,7 +23,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, id_and_text
+from .common import BLANK_CLASS, id_and_text, stash
 
 #: Words in a window of the repetition rule.
 WINDOW = 8
@@ -132,6 +133,11 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     return measurements(docs, id_col, text_col).withColumn("failed", failed)
 
 
+def stored_ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The ledger written as a table, so that every policy and ablation after it reads bits and no text."""
+    return stash(ledger(docs, id_col, text_col), "ledger")
+
+
 def fails(policy: Policy) -> Column:
     """Whether a ledger row fails the policy, from its bits alone."""
     return F.bit_count(F.col("failed").bitwiseAND(F.lit(policy.mask).cast("long"))) > policy.allowed
@@ -159,13 +165,13 @@ def ablation(rows: DataFrame, policy: Policy) -> DataFrame:
 
 def op5(spark, sf_dir: str) -> DataFrame:
     """doc_id, n_words, the four base measurements, base_failed, kept and the ledger's bits for every document."""
-    rows = apply_policy(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICIES["v1"])
+    rows = apply_policy(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICIES["v1"])
     return rows.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", fails(BASE).alias("base_failed"), "kept", "failed")
 
 
 def op5_ablation(spark, sf_dir: str) -> DataFrame:
     """Rule, n_failed and n_only_this of policy v1 over every document."""
-    return ablation(ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICIES["v1"])
+    return ablation(stored_ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), POLICIES["v1"])
 
 
 SQL = r"""
