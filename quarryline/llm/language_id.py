@@ -7,8 +7,9 @@ in training and picks the language whose codeword costs least.  A text whose two
 cheapest codewords cost nearly the same is flagged as ambiguous.
 
 Defined results: a null text, an empty one and one without any letter give
-``und`` with score 0.  Repeated rows are scored alike, each on its own.  An
-empty table gives an empty result; a training table without usable rows gives
+``und`` with score 0.  A text of any length is read whole.  Of codewords that cost
+the same the first language by name is given, and the text is ambiguous.  Repeated
+rows are scored alike, each on its own.  An empty table gives an empty result; a training table without usable rows gives
 ``und`` everywhere.  Columns other than the named ones are ignored.
 """
 
@@ -35,12 +36,13 @@ SNIPPETS = 3
 #: The two cheapest codewords closer than this (in nats a bit) make a text ambiguous.
 AMBIGUOUS = 0.02
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LATIN = re.compile("[A-Za-z]")
 _BLANK = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
 
 
 def has_letter(text: str | None) -> bool:
-    return bool(text and _LETTER.search(text))
+    """Whether any character is a letter; digits and fractions of any script are none."""
+    return bool(text) and (_LATIN.search(text) is not None or any(map(str.isalpha, text)))
 
 
 def features(text: bytes) -> np.ndarray:
@@ -119,7 +121,13 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if not got.num_rows:
         return None
     labels = got.column("lang").to_pylist()
-    x = np.frombuffer(b"".join(got.column("x").to_pylist()), np.float16).reshape(-1, WIDTH).astype(np.float32)
+    x = np.empty((got.num_rows, WIDTH), np.float32)  # filled part by part, so that the driver holds the vectors once
+    at = 0
+    for batch in got.to_batches():
+        for row in batch.column(1):
+            x[at] = np.frombuffer(row.as_buffer(), np.float16)
+            at += 1
+    del got, batch
     languages = sorted(set(labels))
     code = codewords(len(languages))
     y = code[[languages.index(v) for v in labels]].astype(np.float32)
@@ -138,10 +146,11 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:
     """lang_pred, score and ambiguous, or what `out` calls them, for every row of docs; `keep` names columns to carry along."""
-    carried = [F.col(f"`{c}`") for c in keep or []]
+    carried = [common.quoted(c) for c in keep or []]
     schema = docs.select(*carried).schema if carried else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.no_worker_state()
         own = model  # travels with the function: its size is fixed
         for batch in batches:
             rows: list[tuple[str, float, bool]] = []
@@ -159,7 +168,7 @@ def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_c
 
     names = [f"c{i}" for i in range(len(carried))]
     fields = "".join(f"c{i} {f.dataType.simpleString()}, " for i, f in enumerate(schema or []))
-    put = common.map_arrow(docs.select(*(c.alias(n) for c, n in zip(carried, names, strict=True)), F.col(text_col).cast("string").alias("t")), run, f"{fields}lang_pred string, score double, ambiguous boolean")
+    put = common.map_arrow(docs.select(*(c.alias(n) for c, n in zip(carried, names, strict=True)), common.quoted(text_col).cast("string").alias("t")), run, f"{fields}lang_pred string, score double, ambiguous boolean")
     return put.select(*(F.col(n).alias(c) for n, c in zip(names, keep or [], strict=True)), *(F.col(c).alias(o) for c, o in zip(("lang_pred", "score", "ambiguous"), out, strict=True)))
 
 
