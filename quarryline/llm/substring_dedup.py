@@ -6,23 +6,25 @@ windows are judged on the input, not on what is left.
 
 1. Every window holds eight runs of GRAM words; the one with the least hash is
    its sample.  Equal windows have equal samples, so a window can recur only if
-   its sample recurs.  About two runs in nine are samples of some window; only
-   these are shuffled, and those of a single document are dropped.
+   its sample recurs.  About two runs in nine are samples of some window; these
+   are counted with map-side sums, and those of a single document are dropped.
 2. The stretches of text around recurring samples, as long as the windows that
    have the sample, are cut out and dealt by sample.  A sample with more than HOT
    stretches is cut into single windows, each dealt by its own words; equal ones
-   of these are merged before they are dealt, so that no window, sample or
-   passage gathers more than HOT rows anywhere.
+   of these are merged, on the map side first, before they are dealt, so that no
+   sample or passage brings more than HOT rows to a shard.
 3. Shards of whole samples, SHARD stretches or a little more each, confirm which
    windows recur, compile them into an Aho-Corasick automaton over word numbers,
    and stream the shard's stretches through it, which gives every occurrence and
    the first document that has it.
-4. Occurrences with a smaller first document go back to their documents by join.
+4. Occurrences with a smaller first document go back to their documents by join,
+   whose large partitions Spark splits.
 
 Words are parted by blanks and compared unchanged.  Defined results: null and
 empty texts have no words.  Documents with the same id do not remove each
 other's words.  A document with a null id neither loses words nor removes any.
-Documents shorter than a window lose nothing.  An empty table gives an empty
+Documents shorter than a window lose nothing; very long ones are read whole.  Of
+equal ids none is smaller, so ties remove nothing.  An empty table gives an empty
 result.  Columns other than the id and the text are ignored.
 """
 
@@ -33,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
@@ -186,10 +188,13 @@ def _located(dealt: DataFrame, window: int) -> DataFrame:
 def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """d, h (hash of the text) and starts, the first words of the windows to remove, for documents that have any."""
     keyed = common.id_and_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
-    of_sample = Window.partitionBy("sample")
-    recurring = _samples(keyed, window, gram).withColumns({"low": F.min("d").over(of_sample), "high": F.max("d").over(of_sample), "many": F.count("*").over(of_sample)}).where("low < high")
+    samples = common.stash(_samples(keyed, window, gram), "samples")
+    # Counted with map-side sums, so that a sample of a third of all documents is one row a task; the join back is split by Spark where it is uneven.
+    often = samples.groupBy("sample").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("many")).where("low < high").select("sample", "many")
+    recurring = samples.join(common.stash(often, "recurring"), "sample")
     cuts = recurring.groupBy("d", "h").agg(F.collect_set(F.struct("sample", "at", "n", (F.col("many") > HOT).alias("hot"))).alias("cuts")).withColumnsRenamed({"d": "cd", "h": "ch"})
     cuts = common.stash(cuts, "recurring-samples")
+    common.unstash(samples)
     held = keyed.join(cuts, (F.col("d") == F.col("cd")) & (F.col("h") == F.col("ch")))
     places = common.stash(_stretches(held.select("d", "h", "text", "cuts"), window), "stretches")
     few = places.where("NOT hot").select("key", "stretch", F.col("d").alias("low"), F.col("d").alias("high"))
