@@ -164,7 +164,56 @@ def test_components(spark):
 
 def test_recall_rises_with_runs():
     assert jaccard_join.runs_for(2, 0.9) < jaccard_join.runs_for(2, 0.9995) < jaccard_join.runs_for(3, 0.9995)
-    assert [jaccard_join.depth_for(n) for n in (0, 10**6, 10**7, 10**10)] == [2, 2, 3, 6]
+
+
+def test_large_buckets_take_further_steps(spark, monkeypatch):
+    """Documents that share much boilerplate, and near copies of some: buckets split by further steps, and no link is lost."""
+    shared = [f"b{i}" for i in range(60)]
+    texts = [shared + [f"u{k}_{i}" for i in range(25)] for k in range(60)]
+    texts += [[*t[:-1], "x"] for t in texts[:20]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    steps = []
+    again = jaccard_join._next_step
+    monkeypatch.setattr(jaccard_join, "_next_step", lambda *a: steps.append(1) or again(*a))
+    got = [(str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in jaccard_join.join(spark.createDataFrame(rows, DOCS), small=5, block=16, recall=0.9999999).collect()]
+    assert sorted(got) == brute_groups(rows) and len(steps) > 1
+
+
+def test_sketches_lose_nothing():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 2**63, 3000).astype(np.uint64)
+    for n in (1, 5, 63, 64, 65, 300, 3000):
+        for _ in range(20):
+            gone = int(rng.integers(0, n // 9 + 1))
+            a, b = base[:n], np.concatenate([base[gone:n], rng.integers(0, 2**63, int(rng.integers(0, n // 20 + 1))).astype(np.uint64)])
+            if not len(b) or 9 * len(np.intersect1d(a, b)) < 4 * (len(np.unique(a)) + len(np.unique(b))):
+                continue
+            size = np.array([len(np.unique(a)), len(np.unique(b))])
+            both = [jaccard_join.parities(np.unique(x)).tobytes() for x in (a, b)]
+            assert jaccard_join.alike(both, size, np.arange(2), np.arange(2)).tolist() == [0, 1]
+            assert jaccard_join.alike(both, size, np.array([0]), np.array([1])).tolist() == [0, 1]
+
+
+def planted_pairs(n, seed=12):
+    """Pairs of documents with a similarity of 0.80 to 0.85, and documents that have none."""
+    rng = np.random.default_rng(seed)
+    rows, k = [], 0
+    while k < n:
+        words = [f"w{v}" for v in rng.integers(0, 10**6, 120)]
+        other = list(words)
+        for at in rng.choice(24, 2 if rng.random() < 0.5 else 3, replace=False) * 5:
+            other[at] = "changed"
+        a, b = sets_of(" ".join(words)), sets_of(" ".join(other))
+        if 0.8 <= len(a & b) / len(a | b) <= 0.85:
+            rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+            k += 1
+    return rows
+
+
+def test_recall_of_planted_pairs(spark):
+    rows = planted_pairs(1000)
+    found = jaccard_join.join(spark.createDataFrame(rows, DOCS)).where("n_links > 0").count()
+    assert found >= 0.99 * len(rows)
 
 
 def pipeline_docs(spark, rows):
@@ -214,3 +263,36 @@ def test_pipeline_on_nothing(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = common.stash(stage(spark, docs, str(tmp_path)), "test")
     assert docs.count() == 0
+
+
+def test_pipeline_with_clashing_columns(spark, tmp_path):
+    """Extra columns of any name come through unchanged; repeated rows, null ids and ties are handled."""
+    spark.createDataFrame([(1, "q1 q2 q3")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    clash = ["n_lines", "N_Removed", "lang_pred", "score", "kept_id", "text_hash", "bad_id", "__k", "h", "d", "row", "a`b", "c.d"]
+    rows = [(1, "alpha beta gamma delta epsilon\nalpha beta gamma delta epsilon"), (2, "one two three"), (2, "one two three"), (None, "null id words"), (None, "null id words"), (3, None), (4, ""), (5, "has q1 q2 q3 in")]
+    docs = pipeline_docs(spark, rows).withColumns({c: F.concat(F.lit(f"{c}-"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))) for c in clash})
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = common.stash(stage(spark, docs, str(tmp_path)), "test")
+        if name != "best-fit packing":
+            assert docs.columns == columns
+            for r in docs.collect():
+                assert all(r[c] == f"{c}-{'null' if r['doc_id'] is None else r['doc_id']}" for c in clash)
+    assert sorted(str(r["doc_id"]) for r in docs.collect()) == ["1", "2", "None", "None"]
+
+
+def test_line_dedup_with_the_names_it_adds(spark):
+    df = spark.createDataFrame([(1, "a b c d e\na b c d e", "x", "y")], DOCS + ", n_lines string, other string")
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "other", "n_lines", "n_removed"] and got.first()["n_removed"] == 1
+
+
+def test_line_dedup_by_prefix_alone(spark):
+    """Similar lines whose rarest words differ are found by the prefix join, and chains are not followed."""
+    rng = np.random.default_rng(5)
+    rows = []
+    for i in range(60):
+        words = [f"c{int(v)}" for v in rng.integers(0, 30, 24)]
+        rows.append((i, " ".join(words) + "\n" + " ".join(words[:-2] + [f"r{i}", f"s{i}"])))
+    got = collections.Counter((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_lines(rows)

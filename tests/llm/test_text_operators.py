@@ -111,8 +111,7 @@ def test_packing_round_trip(spark, odd):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
-    texts = [x for _, x in ODD] + ["it's  a\ttest, ok? <|endoftext|>\r\nÉté\x1c!　x"]
+    texts = [x for _, x in ODD] + ["it's  a\ttest, ok? <|endoftext|>\r\nx<|endoftext|>y <|startoftext|> Été\x1c!　x"]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     pieces = packing.tokenise(df, packing.default_tokenizer(), ids=True).collect()
     for i, text in enumerate(texts):
@@ -226,14 +225,135 @@ def test_propagation_is_pagerank(spark):
     links = {(int(a), int(b)): int(rng.integers(1, 4)) for a, b in rng.integers(0, n, (20, 2)) if a != b}
     edges = spark.createDataFrame([(f"h{a}", f"h{b}", k) for (a, b), k in links.items()], "src string, dst string, n long")
     seeds = spark.createDataFrame([("h0", 3, 0), ("h1", 1, 2), ("h9", 0, 1)], "host string, good long, bad long")
-    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds).collect()}
+    got = {r["host"]: (r["trust"], r["distrust"]) for r in url_filter.propagate(edges, seeds, tolerance=1e-5).collect()}
     for col, back, seed in ((0, False, {0: 0.75, 1: 0.25}), (1, True, {1: 2 / 3, 9: 1 / 3})):
         m = np.zeros((10, 10))
         for (a, b), k in links.items():
             m[(a, b) if back else (b, a)] += k
         s = np.array([seed.get(i, 0) for i in range(10)])
         out, r = m.sum(0), s.copy()
-        for _ in range(url_filter.ITERATIONS):
+        for _ in range(300):
             r = (1 - 0.85 + 0.85 * r[out == 0].sum()) * s + 0.85 * m @ np.divide(r, out, out=np.zeros(10), where=out > 0)
         for host, v in got.items():
-            assert v[col] == pytest.approx(r[int(host[1:])], abs=1e-9)
+            assert v[col] == pytest.approx(r[int(host[1:])], abs=1e-4)
+
+
+def test_propagation_reaches_far_hosts(spark):
+    """A chain of 30 hosts whose last is blocked: all that lead there are distrusted, however far."""
+    rows = [(i, f"http://h{i}.info/", f'<a data-href="http://no.info" href="//H{i + 1}.info/x"> <a href=/local>') for i in range(30)] + [(30, "http://a.com/en/1", ""), (31, "http://h30.info/", '<a href="https://a.com/?q">')]
+    got = {r["host"]: r["verdict"] for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {f"h{i}.info": "block" for i in range(31)} | {"a.com": "block"}
+
+
+def test_urls_of_odd_pages(spark):
+    long = "x" * 200_000 + '<a href="http://a.com/">'
+    rows = [(1, "http://l.info", long), (2, "http://a.com/en/", None), (2, "http://a.com/en/", None), (None, None, None)]
+    rules = (url_filter.Rule("allow", "info/p"), url_filter.Rule("block", "info/q"), url_filter.Rule("block", "a.com/en"), url_filter.Rule("allow", "com/en/"))
+    got = [(str(r["page_id"]), r["verdict"], r["rule"]) for r in url_filter.judge(spark.createDataFrame(rows, "page_id long, url string, html string"), rules).collect()]
+    assert sorted(got, key=str) == sorted([("1", "block", None), ("2", "block", "a.com/en"), ("2", "block", "a.com/en"), ("None", "allow", None)], key=str)
+
+
+def quadratic(text, template):
+    """Longest common subsequence, the most that any alignment can reach."""
+    row = [0] * (len(template) + 1)
+    for w in text:
+        last = 0
+        for j, v in enumerate(template, 1):
+            last, row[j] = row[j], last + 1 if v == w else max(row[j], row[j - 1])
+    return row[-1]
+
+
+def test_alignment_against_quadratic():
+    """Patience alignment is an ordered matching, never longer than the longest, and as long on texts with few edits."""
+    rng = np.random.default_rng(11)
+    short = 0
+    for name, text in license_scan.TEMPLATES.items():
+        template = license_scan.words_of(text)
+        for _ in range(4):
+            edited = [w if rng.random() > 0.05 else f"e{rng.integers(99)}" for w in template for _ in range(int(rng.random() > 0.03))]
+            pairs = license_scan.align(edited, template)
+            assert all(edited[i] == template[j] for i, j in pairs) and all(a < c and b < d for (a, b), (c, d) in zip(pairs, pairs[1:], strict=False)), name
+            most = quadratic(edited, template)
+            assert len(pairs) <= most
+            short += len(pairs) < 0.95 * most
+    assert short <= 6
+
+
+def test_sibling_licenses(spark):
+    cases = {
+        "Released under the BSD License.": "BSD", "Released under the MIT License.": "MIT", "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0", "Licensed under CC BY-SA 4.0.": "CC-BY-SA-4.0", "Licensed under CC BY 4.0.": "CC-BY-4.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0", "Released under the Foo License.": None, "This work is licensed under the GNU Affero Public License.": None,
+    }
+    for name, text in license_scan.TEMPLATES.items():
+        cases["before " * 40 + re.sub("[{}]", "", text) + " after" * 40] = name
+    header = license_scan.words_of(license_scan.TEMPLATES["GPL-3.0-header"])
+    cases[" ".join([*header[:50], *(f"inserted{i}" for i in range(70)), *header[50:]])] = "GPL-3.0-header"  # more than half its length again
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: r["license"] for r in license_scan.scan(df).collect()}
+    assert got == dict(enumerate(cases.values()))
+
+
+def test_license_ties(spark):
+    df = spark.createDataFrame([(1, "alpha beta gamma delta")], "doc_id long, text string")
+    r = license_scan.scan(df, {"b": "alpha beta gamma delta", "a": "alpha beta gamma delta", "none": " - "}).first()
+    assert (r["license"], r["licenses"], r["coverage"]) == ("a", ["a", "b"], 1.0)
+
+
+def test_crf_finds_a_junk_line(spark):
+    """One junk line in a good document is labelled bad by itself, and its neighbours are not."""
+    rng = np.random.default_rng(2)
+    calm = lambda: " ".join(["line", "of", "plain", *rng.choice("river stone house garden winter letter market bridge".split(), 5), "words"])
+    junk = [lambda: "BUY NOW!! $$$ ### CLICK!! " + str(rng.integers(999)), lambda: f"win{rng.integers(999)} " * 9, lambda: "=== *** ### $$$ %%% " + "*" * int(rng.integers(9))]
+    rows = [(i, "\n".join((calm if i % 2 else junk[int(rng.integers(3))])() for _ in range(12)), i % 2) for i in range(200)]
+    model = quality_crf.fit(spark.createDataFrame(rows, "doc_id long, text string, quality int"))
+    for make in junk:
+        text = "\n".join([*(calm() for _ in range(4)), make(), *(calm() for _ in range(4))]).encode()
+        p = model.marginals((quality_crf.with_neighbours(quality_crf.line_features(text)[0]) @ model.weights).tolist())
+        assert p[4] < 0.5 < min(p[:4] + p[5:])
+
+
+def test_held_out_documents(spark):
+    """Language and quality of generated documents that were not learnt from."""
+    rng = np.random.default_rng(8)
+    words = {"aa": "kala mika sola tuna rati", "bb": "grob stark fest hart wald", "cc": "joli vert rouge bleu noir"}
+    rows = []
+    for i in range(300):
+        lang, good = "abc"[i % 3] * 2, int(rng.random() < 0.7)
+        lines = [" ".join(rng.choice(words[lang].split(), 9)) if good or rng.random() < 0.3 else " ".join(rng.choice(["!!!", "###", "$$$", "BUY"], 9)) for _ in range(6)]
+        rows.append((i, "\n".join(lines), lang, good))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, quality int")
+    known, new = df.where("doc_id < 200"), df.where("doc_id >= 200")
+    out = language_id.predict(new, language_id.fit(known), keep=["doc_id", "lang"], out=("p", "s", "a")).collect()
+    assert sum(r["p"] == r["lang"] for r in out) >= 0.97 * len(out)
+    scores = {r["doc_id"]: r["score"] for r in quality_crf.predict(new, quality_crf.fit(known)).collect()}
+    good = [scores[i] for i, _, _, q in rows if q and i >= 200]
+    bad = [scores[i] for i, _, _, q in rows if not q and i >= 200]
+    assert np.mean([g > b for g in good for b in bad]) > 0.97
+
+
+def test_no_letter(spark):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(["½", "²3", "١٢", "é", "日", "a", "_"])], "doc_id long, text string")
+    model = language_id.Model(["x", "y"], language_id.codewords(2), np.zeros((language_id.WIDTH, 1)), np.zeros(1), np.ones(1))
+    got = [r["lang_pred"] for r in language_id.predict(df, model, keep=["doc_id"]).orderBy("doc_id").collect()]
+    assert got == ["und", "und", "und", "x", "x", "x", "und"]  # of a tie the first language
+
+
+def test_ablation_of_odd_tables(spark, odd):
+    policy = quality_rules.POLICIES["v1"]
+    got = {r["rule"]: (r["n_failed"], r["n_only_this"]) for r in quality_rules.ablation(quality_rules.stored_ledger(odd), policy).collect()}
+    rows = quality_rules.ledger(odd).collect()
+    for i, rule in enumerate(policy.rules):
+        assert got[rule] == (sum(r["failed"] >> i & 1 for r in rows), sum((r["failed"] & policy.mask) == 1 << i for r in rows))
+    assert quality_rules.ablation(quality_rules.stored_ledger(empty(spark)), policy).count() == 0
+
+
+def test_closing_bins_on_many_pieces():
+    """With real lengths and few open bins the fullest close, and little room is lost."""
+    rng = np.random.default_rng(9)
+    lengths = np.clip(rng.lognormal(6.3, 1.0, 20_000), 1, 4096).astype(int).tolist()
+    held = {}
+    for length, (number, offset) in zip(lengths, packing.best_fit(lengths, 4096, 64), strict=True):
+        assert offset == held.get(number, 0)
+        held[number] = offset + length
+    assert max(held.values()) <= 4096 and len(held) <= 1.02 * sum(lengths) / 4096
