@@ -11,36 +11,46 @@ aggregation, and no later step sees them.
 
 The join orders a line's words from rare to common and needs one shared word
 among the first n - ceil(0.8 n) + 1 (prefix filter), lengths within 0.8 of each
-other, enough words left behind the shared one (positional filter) and enough
-words shared by the two prefixes.  All are necessary conditions, so nothing is
-lost; what passes is verified on the words themselves.  Lines of fewer than four words match only equal sets (three of four
-is 0.75), so they have no prefix; one of four words also matches five that hold them.
+other, enough words left behind the shared one (positional filter) and few enough
+words that only one of them has: a 128-bit parity sketch of a set's words differs
+in at most that many bits from another's (bitmap filter).  All are necessary
+conditions, so nothing is lost; what passes is verified on the words themselves.
+Lines of fewer than four words match only equal sets (three of four is 0.75), so
+they have no prefix; one of four words also matches five that hold them.
 
 Any total order of words is exact; rarity only makes it fast.  Counts over all
-documents are kept in 2^18 hash buckets, a size that does not depend on the data.
+documents are kept in 2^19 hash buckets, a size that does not depend on the data;
+the array of their levels is a one-row table that plans read as a scalar subquery.
 
-A line is compared first with the earliest line of each of its prefix groups,
-which settles groups of near copies in linear work; only lines that fail there
-are compared with the rest of their groups, by a merge join that spills.
+The join is a semi-join first: it finds the lines that have any partner, whatever their
+number, and both its sides are one shuffle, whose large partitions Spark splits.  Only
+these lines go on.  Groups of near copies are then settled in linear work: a line is
+compared with the earliest line of each word of its prefix, and what that leaves once
+more with the earliest of those left.  What is left then is compared with all partners.
 
 Defined results: a null text has no lines and stays null; an empty one has one
-line without words.  Rows that repeat an id and text are at the same place and do
-not remove each other's lines.  A null id is earlier than any other.  An empty
-table gives an empty result.
+line without words.  A line of any length is one set.  Rows that repeat an id and
+text are at the same place and do not remove each other's lines.  A null id is
+earlier than any other.  Ties do not occur: places are ordered completely.  An
+empty table gives an empty result.  Other columns are carried along; one that has
+the name of a column added here gives way to it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANK_CLASS, id_and_text, stash, unstash
+from .common import BLANK_CLASS, id_and_text, quoted, stash, unstash
 
 #: Buckets of the word counts.
-BUCKETS = 1 << 18
-
-#: What two prefix rows must meet; a similarity of 0.8 means |common| >= 4/9 of the summed sizes.
-_CANDIDATE = "5 * {a}n >= 4 * {b}n AND 5 * {b}n >= 4 * {a}n AND 9 * least({a}n - {a}pos, {b}n - {b}pos) >= 4 * ({a}n + {b}n)"
+BUCKETS = 1 << 19
+#: What two lines must meet; a similarity of 0.8 means |common| >= 4/9 of the summed sizes, and |only in one| <= 1/9 of them.
+_NEAR = "5 * {a}n >= 4 * {b}n AND 5 * {b}n >= 4 * {a}n AND 9 * (bit_count({a}sig ^ {b}sig) + bit_count({a}sig2 ^ {b}sig2)) <= {a}n + {b}n"
+_POSITIONAL = "9 * least({a}n - {a}pos, {b}n - {b}pos) >= 4 * ({a}n + {b}n)"
+_PLACE = ("d", "h", "l")
+#: Pairs of places, of some 50 bytes each, up to which their places are broadcast.
+SENT = 400_000
 
 
 def _bound(value: Column, name: str) -> Column:
@@ -48,128 +58,159 @@ def _bound(value: Column, name: str) -> Column:
     return F.explode(F.array(value)).alias(name)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once: a lambda variable is bound to it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _words(text: Column) -> Column:
     """The words of a text, with empty ones where blanks meet."""
-    return F.split(F.translate(text, "\t\n\x0b\x0c\r", " " * 5), " ")
+    for blank in "\t\n\x0b\x0c\r":  # far cheaper than translate, which looks up every character
+        text = F.replace(text, F.lit(blank), F.lit(" "))
+    return F.split(text, " ")
 
 
-def _place() -> Column:
-    """A text's hash and a line's number in one long, in their order."""
-    return F.shiftleft(F.col("h").cast("long"), 32).bitwiseOR(F.col("l").cast("long")).alias("hl")
+def _keyed(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
 
 
-def _hash() -> Column:
-    return F.shiftright("hl", 32).cast("int")
+def _bucket(hashed: Column) -> Column:
+    return hashed.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")
 
 
-def _number() -> Column:
-    return F.col("hl").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+def _levels(keyed: DataFrame) -> DataFrame:
+    """One row with an array of BUCKETS levels: how common the words of each bucket are over all documents, on a log scale."""
+    words = keyed.select(F.explode(_words(F.col("text"))).alias("w")).where("w != ''")
+    counts = words.groupBy(_bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("c"))
+    every = keyed.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).cast("long").alias("c"))
+    level = F.least(F.lit(126), (3 * F.log2(F.sum("c") + 1)).cast("int")).cast("byte").alias("v")
+    each = counts.unionByName(every).groupBy("b").agg(level)
+    return each.agg(F.transform(F.sort_array(F.collect_list(F.struct("b", "v"))), lambda e: e["v"]).alias("levels"))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").alias("d"), F.hash("text").alias("h"), "text")
+def _sets(keyed: DataFrame, levels: DataFrame) -> DataFrame:
+    """d, h, l (line number), n (words), sig and sig2 (parity sketch) and pre (prefix, rare words first) of the earliest line of each word set."""
+    lines = keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("l", "line"))
+    hashes = F.array_remove(F.array_distinct(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    hashed = lines.select(*_PLACE, _bound(hashes, "k")).where(F.size("k") > 0)
+    # Named first, as a lambda may not hold a subquery; it is used once, so the optimizer puts it back in its place.
+    named = hashed.withColumn("levels", levels.scalar())
+    order = F.transform("k", lambda v: F.shiftleft(F.get("levels", _bucket(v)).cast("long"), 56).bitwiseOR(F.shiftrightunsigned(v, 8)))
+    ranked = named.select(*_PLACE, F.sort_array(order).alias("k"))
+    prefix = F.expr("CASE WHEN size(k) >= 4 THEN slice(k, 1, size(k) - (4 * size(k) + 4) DIV 5 + 1) ELSE slice(k, 1, 0) END").alias("pre")
+    sketch = [F.expr(f"aggregate(k, 0L, (acc, v) -> acc ^ shiftleft(shiftright({x}, 6) & 1L, cast(v & 63 AS int)))").alias(name) for x, name in (("v", "sig"), ("~v", "sig2"))]
+    keyed_sets = ranked.select(F.xxhash64("k").alias("s1"), F.xxhash64(F.lit(1), "k").alias("s2"), F.struct(*_PLACE, F.size("k").alias("n"), *sketch, prefix).alias("p"))
+    return keyed_sets.groupBy("s1", "s2").agg(F.min("p").alias("p")).select("p.*")
 
 
-def _levels(keyed: DataFrame) -> Column:
-    """An array of BUCKETS numbers: how common the words of each bucket are over all documents, on a log scale, in the highest byte."""
-    bucket = F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("b")
-    counts = keyed.select(F.explode(_words(F.col("text"))).alias("w")).where("w != ''").groupBy(bucket).agg(F.count("*").alias("c"))
-    level = F.least(F.lit(126), (3 * F.log2(F.col("c") + 1)).cast("int")).alias("v")
-    levels = [0] * BUCKETS
-    for b, v in counts.select("b", level).collect():  # BUCKETS rows at most
-        levels[b] = v << 56
-    return F.split(F.lit(",".join(map(str, levels))), ",").cast("array<bigint>")
+def _on(a: str, b: str) -> Column:
+    """Whether two places, of columns that start with a and with b, are the same."""
+    return F.expr(f"{a}d <=> {b}d AND {a}h = {b}h AND {a}l = {b}l")
 
 
-def _sets(keyed: DataFrame, levels: Column) -> DataFrame:
-    """d, hl (text hash and line number), n (words) and pre (prefix, rare words first) of the earliest line of each word set."""
-    lines = keyed.select("d", "h", F.posexplode(F.split("text", "\n")).alias("l", "line"))
-    hashes = F.array_remove(F.transform(_words(F.col("line")), lambda w: F.xxhash64(w)), F.xxhash64(F.lit("")))
-    hashed = lines.select("d", _place(), _bound(hashes, "k")).where(F.size("k") > 0)
-    key = lambda v: F.get(levels, v.bitwiseAND(F.lit(BUCKETS - 1)).cast("int")).bitwiseOR(F.shiftrightunsigned(v, 8))
-    sets = hashed.select("d", "hl", _bound(F.sort_array(F.array_distinct(F.transform("k", key))), "k"))
-    prefix = F.expr("CASE WHEN size(k) >= 4 THEN slice(k, 1, size(k) - (4 * size(k) + 4) DIV 5 + 1) ELSE slice(k, 1, 0) END").alias("pre")
-    named = sets.select(F.xxhash64("k").alias("s1"), F.xxhash64(F.lit(1), "k").alias("s2"), F.struct("d", "hl", F.size("k").alias("n"), prefix).alias("p"))
-    return named.groupBy("s1", "s2").agg(F.min("p").alias("p")).select("p.*")
+def _places(df: DataFrame, start: str = "", to: str = "") -> DataFrame:
+    return df.select(*(F.col(f"{start}{c}").alias(f"{to}{c}") for c in _PLACE))
 
 
-def _prefixes(sets: DataFrame) -> DataFrame:
+def _prefixes(sets: DataFrame, *more: str) -> DataFrame:
     """A row for each word of a set's prefix: tok and its place in the prefix, pos."""
-    return sets.where(F.size("pre") > 0).select("d", "hl", "n", F.posexplode("pre").alias("pos", "tok"))
-
-
-def _with_first(rows: DataFrame) -> DataFrame:
-    """Candidate pairs (ad, ahl), (d, hl) of prefix rows with the earliest one of their word."""
-    first = F.first(F.struct("d", "hl", "n", "pos")).over(Window.partitionBy("tok").orderBy("d", "hl").rowsBetween(Window.unboundedPreceding, 0))
-    seen = rows.withColumn("f", first).where("struct(f.d, f.hl) < struct(d, hl) AND " + _CANDIDATE.format(a="f.", b=""))
-    return seen.select(F.col("f.d").alias("ad"), F.col("f.hl").alias("ahl"), "d", "hl")
-
-
-def _plausible(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose prefixes share enough words: up to the lesser last word of two prefixes every common word is in both."""
-    one = sets.select(F.col("d").alias("xd"), F.col("hl").alias("xhl"), F.col("n").alias("an"), F.col("pre").alias("apre"))
-    both = pairs.join(one, F.expr("ad <=> xd AND ahl = xhl")).alias("p").join(sets.alias("s"), F.expr("p.d <=> s.d AND p.hl = s.hl"))
-    most = "size(array_intersect(apre, pre)) + CASE WHEN element_at(apre, -1) < element_at(pre, -1) THEN an - size(apre) ELSE n - size(pre) END"
-    return both.where(f"9 * ({most}) >= 4 * (an + n)").select("ad", "ahl", "p.d", "p.hl")
-
-
-def _verified(keyed: DataFrame, sets: DataFrame, pairs: DataFrame, name: str) -> DataFrame:
-    """Of pairs of places (ad, ahl) and (d, hl) the places (d, hl) whose line truly is that similar to the other."""
-    pairs = stash(_plausible(pairs.distinct(), sets), f"{name}-pairs")
-    places = pairs.select("d", "hl").unionByName(pairs.select(F.col("ad").alias("d"), F.col("ahl").alias("hl"))).distinct()
-    wanted = places.groupBy(F.col("d").alias("wd"), _hash().alias("wh")).agg(F.collect_list(_number()).alias("ls"))
-    held = keyed.join(wanted, F.expr("d <=> wd AND h = wh")).select("d", "h", _bound(F.split("text", "\n"), "lines"), "ls").select("d", "h", "lines", F.explode("ls").alias("l"))
-    words = F.array_remove(F.array_distinct(_words(F.get("lines", "l"))), "")
-    texts = stash(held.select("d", _place(), words.alias("w")).dropDuplicates(["d", "hl"]), f"{name}-words")
-    one = texts.select(F.col("d").alias("xd"), F.col("hl").alias("xhl"), F.col("w").alias("wa"))
-    both = pairs.join(one, F.expr("ad <=> xd AND ahl = xhl")).drop("xd", "xhl").alias("p").join(texts.alias("t"), F.expr("p.d <=> t.d AND p.hl = t.hl")).select("p.d", "p.hl", "wa", "w")
-    out = stash(both.where(9 * F.size(F.array_intersect("wa", "w")) >= 4 * (F.size("wa") + F.size("w"))).select("d", "hl").distinct(), name)
-    unstash(pairs, texts)
+    return sets.where(F.size("pre") > 0).select(*_PLACE, "n", "sig", "sig2", *more, F.posexplode("pre").alias("pos", "tok"))
+
+
+def _with_partner(sets: DataFrame) -> DataFrame:
+    """The sets of lines that share a word of both prefixes with another line and pass every filter with it."""
+    a, b = (_prefixes(sets).alias(x) for x in "ab")
+    near = f"a.tok = b.tok AND struct(a.d, a.h, a.l) <> struct(b.d, b.h, b.l) AND {_NEAR.format(a='a.', b='b.')} AND {_POSITIONAL.format(a='a.', b='b.')}"
+    found = _places(stash(_places(a.join(b, F.expr(near), "left_semi")).distinct(), "lines-with-partner"), to="g")
+    return sets.join(found, _on("", "g"), "left_semi")
+
+
+def _pairs_with_first(sets: DataFrame) -> DataFrame:
+    """Candidate pairs (ad, ah, al), (d, h, l) of lines with the earliest line of a word of their prefix; one for each line."""
+    rows = _prefixes(sets)
+    firsts = rows.groupBy("tok").agg(F.min(F.struct(*_PLACE, "n", "sig", "sig2", "pos")).alias("f"))
+    near = f"struct(f.d, f.h, f.l) < struct(d, h, l) AND {_NEAR.format(a='f.', b='')} AND {_POSITIONAL.format(a='f.', b='')}"
+    return rows.join(firsts, "tok").where(near).select(*(F.col(f"f.{c}").alias(f"a{c}") for c in _PLACE), *_PLACE).dropDuplicates(list(_PLACE))
+
+
+def _pairs(sets: DataFrame, settled: DataFrame) -> DataFrame:
+    """Candidate pairs of the lines that are not settled with all earlier lines."""
+    gone = sets.join(_places(settled, to="g"), _on("", "g"), "left").withColumn("gone", F.col("gl").isNotNull().cast("int"))
+    a, b = (_prefixes(gone, "gone").alias(x) for x in "ab")
+    near = f"a.tok = b.tok AND a.gone + 2 * b.gone < 2 AND struct(a.d, a.h, a.l) < struct(b.d, b.h, b.l) AND {_NEAR.format(a='a.', b='b.')} AND {_POSITIONAL.format(a='a.', b='b.')}"
+    return a.join(b, F.expr(near)).select(*(F.col(f"a.{c}").alias(f"a{c}") for c in _PLACE), *(F.col(f"b.{c}").alias(c) for c in _PLACE)).distinct()
+
+
+def _verified(keyed: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Of a table of pairs of places (ad, ah, al) and (d, h, l) the places (d, h, l) whose line truly is that similar to the other."""
+    places = _places(pairs).unionByName(_places(pairs, "a")).distinct()
+    wanted = places.groupBy(F.col("d").alias("wd"), F.col("h").alias("wh")).agg(F.collect_list("l").alias("ls"))
+    if pairs.count() <= SENT:  # so few are sent to the texts, instead of shuffling these
+        wanted = F.broadcast(wanted)
+    # A text's lines are parted once, and each wanted one goes on alone.
+    line_of = lambda lines: F.transform("ls", lambda l: F.struct(l.alias("l"), F.get(lines, l).alias("line")))
+    held = keyed.join(wanted, F.expr("d <=> wd AND h = wh")).select("d", "h", F.inline(_let(F.split("text", "\n"), line_of)))
+    texts = stash(held.select(*_PLACE, F.array_remove(F.array_distinct(_words(F.col("line"))), "").alias("w")).dropDuplicates(list(_PLACE)), "line-words")
+    one, other = (texts.select(*(F.col(c).alias(f"{to}{c}") for c in _PLACE), F.col("w").alias(f"{to}w")) for to in "xy")
+    both = pairs.join(one, _on("a", "x")).join(other, _on("", "y"))
+    out = stash(_places(both.where(9 * F.size(F.array_intersect("xw", "yw")) >= 4 * (F.size("xw") + F.size("yw")))).distinct(), "similar-lines")
+    unstash(texts)
     return out
 
 
-def _without(rows: DataFrame, gone: DataFrame) -> DataFrame:
-    out = gone.select(F.col("d").alias("gd"), F.col("hl").alias("ghl"))
-    return rows.join(out, F.expr("d <=> gd AND hl = ghl"), "left_anti")
+def _removed(keyed: DataFrame, sets: DataFrame) -> DataFrame:
+    """The places, earliest of their sets, whose line has an earlier similar one."""
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        held = stash(pairs, "line-pairs")
+        out = _verified(keyed, held)
+        unstash(held)
+        return out
+
+    some = stash(_with_partner(sets), "partnered-sets")
+    first = verified(_pairs_with_first(some))
+    second = verified(_pairs_with_first(some.join(_places(first, to="g"), _on("", "g"), "left_anti")))
+    settled = stash(first.unionByName(second), "settled-lines")
+    later = verified(_pairs(some, settled))
+    out = stash(settled.unionByName(later), "removed-lines")
+    unstash(some, first, second, settled, later)
+    return out
 
 
 def kept_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """d, h and the numbers of the lines with a word that stay, for every place (id, text hash) with any."""
     keyed = _keyed(id_and_text(docs, id_col, text_col))
-    sets = stash(_sets(keyed, _levels(keyed)), "line-sets")
-
-    # First against the earliest line of each group, which settles nearly all.
-    settled = _verified(keyed, sets, _with_first(_prefixes(sets)), "lines-settled")
-
-    # Then what is left against all earlier lines of its groups.
-    left, all_rows = _prefixes(_without(sets, settled)).alias("b"), _prefixes(sets).alias("a")
-    earlier = F.expr("a.tok = b.tok AND struct(a.d, a.hl) < struct(b.d, b.hl) AND " + _CANDIDATE.format(a="a.", b="b."))
-    pairs = left.join(all_rows, earlier).select(F.col("a.d").alias("ad"), F.col("a.hl").alias("ahl"), F.col("b.d").alias("d"), F.col("b.hl").alias("hl"))
-    later = _verified(keyed, sets, pairs, "lines-later")
-
-    stay = _without(sets.select("d", "hl"), settled.unionByName(later))
-    return stay.groupBy("d", _hash().alias("h")).agg(F.collect_list(_number()).alias("stay"))
+    levels = stash(_levels(keyed), "line-levels")
+    sets = stash(_sets(keyed, levels), "line-sets")
+    gone = _removed(keyed, sets)
+    stay = _places(sets).join(_places(gone, to="g"), _on("", "g"), "left_anti")
+    out = stash(stay.groupBy("d", "h").agg(F.collect_list("l").alias("stay")), "lines-kept")
+    unstash(levels, sets, gone)
+    return out
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the text's removed lines gone, and n_lines and n_removed; other columns stay as they are."""
-    stay = kept_lines(docs, id_col, text_col).select(F.col("d").alias("__d"), F.col("h").alias("__h"), F.col("stay").alias("__stay"))
-    id_, text = F.col(id_col).cast("long"), F.col(text_col).cast("string")
-    joined = docs.withColumn("__k", F.hash(text)).join(stay, id_.eqNullSafe(F.col("__d")) & (F.col("__k") == F.col("__h")), "left")
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", out: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """docs with the text's removed lines gone, and the number of its lines and of removed ones under the names of `out`; other columns stay as they are."""
+    stay = kept_lines(docs, id_col, text_col).withColumnsRenamed({"d": "sd", "h": "sh"})
+    # The input's columns travel in one, so that their names meet no other.
+    rows = docs.select(F.struct(*map(quoted, docs.columns)).alias("row"), quoted(id_col).cast("long").alias("d"), quoted(text_col).cast("string").alias("text"))
+    joined = rows.withColumn("h", F.xxhash64("text")).join(stay, F.expr("d <=> sd AND h = sh"), "left")
+    text = F.col("text")
 
     def cut(lines: Column) -> Column:
         with_words = F.array_compact(F.transform(lines, lambda v, i: F.when(v.rlike(f"[^{BLANK_CLASS}]"), i)))
-        return F.struct(lines.alias("lines"), F.array_except(with_words, F.coalesce("__stay", F.array().cast("array<int>"))).alias("gone"))
+        return F.struct(lines.alias("lines"), F.array_except(with_words, F.coalesce("stay", F.array().cast("array<int>"))).alias("gone"))
 
     def rest(c: Column) -> Column:
         numbers = F.array_except(F.sequence(F.lit(0), F.size(c["lines"]) - 1), c["gone"])
         kept = F.when(F.size(c["gone"]) == 0, text).otherwise(F.array_join(F.transform(numbers, lambda i: F.get(c["lines"], i)), "\n"))
         return F.struct(kept.alias("text"), F.size(c["lines"]).cast("long").alias("n"), F.size(c["gone"]).cast("long").alias("r"))
 
-    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
-    done = joined.withColumn("__c", F.when(text.isNotNull(), let(let(F.split(text, "\n"), cut), rest)))
+    done = joined.select("row", F.when(text.isNotNull(), _let(_let(F.split(text, "\n"), cut), rest)).alias("c"))
+    added = {name.lower() for name in out}
+    carried = [F.col("c.text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() not in added]
     zero = F.lit(0).cast("long")
-    return done.select(*(F.col("__c.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns), F.coalesce("__c.n", zero).alias("n_lines"), F.coalesce("__c.r", zero).alias("n_removed"))
+    return done.select(*carried, F.coalesce("c.n", zero).alias(out[0]), F.coalesce("c.r", zero).alias(out[1]))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
