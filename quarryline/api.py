@@ -53,23 +53,15 @@ class Engine:
         self.project = project or Path(root).resolve().name
         self.session = session or dt.date.today().isoformat()
         self.searches, self.fetches = TimedCache(256, 60.0), TimedCache(50)
-        self._indexes: dict[str, DataFrame] = {}
 
     # Searching
 
-    def _index(self, table: str) -> DataFrame:
-        """The token and vector indexes, made once for a snapshot and kept by Spark."""
-        if table not in self._indexes:
-            made = search.fts_index(self.store.read("fts")) if table == "fts" else search.vector_index(self.store.read("nodes"))
-            self._indexes[table] = made.persist()
-        return self._indexes[table]
+    def _full_text(self, query: str) -> DataFrame:
+        return search.fts_search_stored(self.store.read("fts_postings"), self.store.read("fts_sizes"), self.store.read("nodes"), query, self.project)[1]
 
     def _forget(self) -> None:
         self.searches.clear()
         self.fetches.clear()
-        for df in self._indexes.values():
-            df.unpersist()
-        self._indexes.clear()
 
     def search(self, query: str, top_k: int = search.TOP_K) -> dict:
         if not query.strip():
@@ -78,7 +70,7 @@ class Engine:
         answer = self.searches.get(key)
         if answer is None:
             nodes = self.store.read("nodes")
-            found = search.pointers(search.cascade(nodes, self._index("fts"), self._index("vector"), query, top_k, self.project), nodes)
+            found = search.pointers(search.cascade(nodes, lambda: self._full_text(query), self.store.read("vectors"), query, top_k, self.project), nodes)
             rows = [r.asDict() for r in found.orderBy(F.desc(F.round("relevance", 9)), "id").collect()]  # top_k rows
             tokens = sum(r.pop("tokens") for r in rows)
             answer = {"pointers": rows, "accounting": report(tokens, 0)}

@@ -21,6 +21,7 @@ CJK_RANGES = ((0x3040, 0x309F), (0x30A0, 0x30FF), (0x3400, 0x4DBF), (0x4E00, 0x9
 #: Fixed value: a traditional answer is taken to cost so many times a pointer answer.
 TRADITIONAL_FACTOR = 15
 
+_CJK_ANY = "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES) + "]"
 _CJK = "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in CJK_RANGES)
 _TOKEN = rf"[{_CJK}]|[\p{{L}}\p{{N}}&&[^{_CJK}]]+"
 _QUERY_TOKEN = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in CJK_RANGES) + r"]|\w")
@@ -68,8 +69,16 @@ def folded(column: Column) -> Column:
 
 
 def fts_tokens(column: Column) -> Column:
-    """Tokens of the full-text index: folded runs of letters and digits, each CJK character alone."""
-    return F.regexp_extract_all(folded(F.coalesce(column, F.lit(""))), F.lit(_TOKEN), F.lit(0))
+    """Tokens of the full-text index: folded runs of letters and digits, each CJK character alone.
+
+    Plain ASCII text and text without CJK characters are parted by simpler patterns with the same result, and only tokens
+    that need it are folded: a letter with a mark and its base are both letters, so folding parts nothing.
+    """
+    low = F.lower(F.coalesce(column, F.lit("")))
+    plain = F.split(low, "[^a-z0-9]+")
+    simple, full = F.split(low, r"[^\p{L}\p{N}]+"), F.regexp_extract_all(low, F.lit(_TOKEN), F.lit(0))
+    marked = F.transform(F.when(low.rlike(_CJK_ANY), full).otherwise(simple), lambda t: F.when(F.octet_length(t) == F.length(t), t).otherwise(F.translate(t, *_accents())))
+    return F.array_remove(F.when(F.octet_length(low) == F.length(low), plain).otherwise(marked), "")
 
 
 def fts_phrase(word: str) -> list[str]:

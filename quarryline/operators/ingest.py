@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
-from quarryline.operators import chunking, envscan, graph
+from quarryline.operators import chunking, envscan, graph, search
 from quarryline.plans import schema as S
 from quarryline.sources.store import Store
 from quarryline.sources.workspace import EXTENSIONS, read_workspace
@@ -65,6 +65,19 @@ def chunk_nodes(chunks: DataFrame, project: str) -> DataFrame:
     return graph.node_rows(rows, project)
 
 
+def _indexes(store: Store, doomed: DataFrame, texts: DataFrame, made: DataFrame) -> dict[str, DataFrame]:
+    """The next snapshots of the search indexes: entries of doomed nodes go, those of new ones are added."""
+    dead = doomed.select(F.col("id").alias("dead")).distinct()
+    kept = lambda table, key: store.read(table).join(dead, F.col(key) == F.col("dead"), "left_anti")
+    index = search.fts_index(texts)
+    postings = kept("fts_postings", "node_id").unionByName(search.fts_postings(index))
+    return {
+        "fts_postings": postings.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id"),
+        "fts_sizes": kept("fts_sizes", "node_id").unionByName(search.fts_sizes(index)),
+        "vectors": kept("vectors", "id").unionByName(search.vector_index(made)),
+    }
+
+
 def ingest(store: Store, root: str, project: str) -> Report:
     """Bring the store up to what the folder holds now."""
     spark = store.spark
@@ -103,7 +116,7 @@ def ingest(store: Store, root: str, project: str) -> Report:
         made = own.unionByName(parts)
         created = made.count() if counts["c"] else 0
         if counts["c"] or not gone.isEmpty():
-            store.write({"nodes": old_nodes.unionByName(made), "edges": graph.insert_edges(old_edges, links), "fts": old_fts.unionByName(texts), "file_hashes": old_hashes.unionByName(new_hashes)})
+            store.write({"nodes": old_nodes.unionByName(made), "edges": graph.insert_edges(old_edges, links), "fts": old_fts.unionByName(texts), "file_hashes": old_hashes.unionByName(new_hashes)} | _indexes(store, doomed, texts, made))
         total = files.count()
         return Report(total, counts["c"], counts["n"] - counts["c"], total - counts["n"], created)
     finally:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
+from quarryline.sources.scratch import stash
 
 #: Candidates of each tier, results of a front end, and the least cosine.
 TIER_LIMIT, TOP_K, MIN_COSINE = 20, 10, 0.20
@@ -37,9 +40,22 @@ def literal_search(nodes: DataFrame, query: str, project: str | None = None, lim
 
 
 def fts_index(rows: DataFrame) -> DataFrame:
-    """node_id, project_id, toks, size from rows of the full-text table."""
+    """node_id, project_id, toks, size from rows of the full-text table.  The tokens are a generated column, made once however often they are used."""
     parts = [X.fts_tokens(F.col(c)) for c in ("name", "content", "file_path")]
-    return rows.select("node_id", "project_id", F.concat(parts[0], F.array(F.lit(_EDGE)), parts[1], F.array(F.lit(_EDGE)), parts[2]).alias("toks")).withColumn("size", F.size("toks") - 2)
+    toks = F.concat(parts[0], F.array(F.lit(_EDGE)), parts[1], F.array(F.lit(_EDGE)), parts[2])
+    return rows.select("node_id", "project_id", F.explode(F.array(toks)).alias("toks")).withColumn("size", F.size("toks") - 2)
+
+
+def fts_postings(index: DataFrame) -> DataFrame:
+    """The inverted index: term, node_id, project_id, size and the term's positions, sorted by term, so that a query reads only what may hold its terms."""
+    each = index.select("node_id", "project_id", "size", F.posexplode("toks").alias("at", "term")).where(F.col("term") != _EDGE)
+    held = each.groupBy("term", "node_id", "project_id", "size").agg(F.sort_array(F.collect_list("at")).alias("positions"))
+    return held.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id").select("term", "node_id", "project_id", "size", "positions")
+
+
+def fts_sizes(index: DataFrame) -> DataFrame:
+    """node_id, project_id, size of every row, for what BM25 needs of rows that a query does not hit."""
+    return index.select("node_id", "project_id", "size")
 
 
 def phrase_count(toks: Column, phrase: list[str], prefix: bool = False) -> Column:
@@ -73,19 +89,68 @@ def strategies(query: str) -> list[tuple[str, list[tuple[list[str], bool]], bool
 
 
 def fts_search(index: DataFrame, nodes: DataFrame, query: str, project: str | None = None, limit: int = TIER_LIMIT) -> tuple[str | None, DataFrame]:
-    """The strategy used, and id, raw, score of its hits by BM25.
+    """The strategy used, and id, raw, score of its hits by BM25, from token arrays.
 
-    One pass computes every strategy's phrase counts, the corpus statistics (over all projects) and how many hits each
-    strategy has; a second scores the chosen strategy.
+    One pass over the tokens counts the phrases of every strategy; what follows reads these few numbers a row.
     """
-    empty = index.sparkSession.createDataFrame([], "id string, raw double, score double")
     plans = strategies(query)
     if not plans:
-        return None, empty
-    counts = {f"f{s}_{i}": phrase_count(F.col("toks"), p, prefix) for s, (_, phrases, _) in enumerate(plans) for i, (p, prefix) in enumerate(phrases)}
-    there = nodes.select(F.col("id").alias("node_id")).distinct().withColumn("known", F.lit(True))
-    rows = index.select("node_id", "project_id", "size", *(c.alias(n) for n, c in counts.items())).join(there, "node_id", "left")
-    mine = F.coalesce("known", F.lit(False)) & (F.lit(True) if project is None else F.col("project_id") == project)
+        return None, _nothing(index)
+    counts = [phrase_count(F.col("toks"), p, prefix).alias(n) for n, p, prefix in _phrases(plans)]
+    rows = stash(index.select("node_id", "project_id", "size", *counts), "phrase-counts")
+    total = rows.agg(F.count("*").alias("n"), F.sum("size").alias("total")).first()
+    return _ranked(rows, total, plans, nodes, project, limit)
+
+
+def fts_search_stored(postings: DataFrame, sizes: DataFrame, nodes: DataFrame, query: str, project: str | None = None, limit: int = TIER_LIMIT) -> tuple[str | None, DataFrame]:
+    """fts_search from the inverted index: reads only the query's terms, whose range the scan prunes by."""
+    plans = strategies(query)
+    if not plans:
+        return None, _nothing(postings)
+    wanted = sorted({(t, prefix and i == len(p) - 1) for _, p, prefix in _phrases(plans) for i, t in enumerate(p)})
+    if not wanted:
+        return None, _nothing(postings)
+    is_slot = [F.col("term").startswith(t) if prefix else F.col("term") == t for t, prefix in wanted]
+    slots = [F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(f"s{k}") for k, c in enumerate(is_slot)]
+    hit = is_slot[0]
+    for c in is_slot[1:]:
+        hit = hit | c
+    held = postings.where(hit).groupBy("node_id", "project_id", "size").agg(*slots)
+    place = {w: f"s{k}" for k, w in enumerate(wanted)}
+
+    def moved(slot: str, by: int) -> Column:
+        return F.transform(slot, lambda p: p - by)
+
+    def count(phrase: list[str], prefix: bool) -> Column:
+        if not phrase:
+            return F.lit(0)
+        at = F.col(place[phrase[0], prefix and len(phrase) == 1])
+        for k in range(1, len(phrase)):
+            at = F.array_intersect(at, moved(place[phrase[k], prefix and k == len(phrase) - 1], k))
+        return F.size(at)
+
+    rows = stash(held.select("node_id", "project_id", "size", *(count(p, prefix).alias(n) for n, p, prefix in _phrases(plans))), "phrase-counts")
+    total = sizes.agg(F.count("*").alias("n"), F.sum("size").alias("total")).first()
+    return _ranked(rows, total, plans, nodes, project, limit)
+
+
+def _nothing(df: DataFrame) -> DataFrame:
+    return df.sparkSession.createDataFrame([], "id string, raw double, score double")
+
+
+def _phrases(plans: list[tuple]) -> list[tuple[str, list[str], bool]]:
+    """(column, phrase, prefix) of every strategy's phrases."""
+    return [(f"f{s}_{i}", p, prefix) for s, (_, phrases, _) in enumerate(plans) for i, (p, prefix) in enumerate(phrases)]
+
+
+def _ranked(rows: DataFrame, total, plans: list[tuple], nodes: DataFrame, project: str | None, limit: int) -> tuple[str | None, DataFrame]:
+    """The first strategy with enough hits, and its best by BM25; statistics are over all projects, hits in the project and among the nodes."""
+    if not total["n"]:
+        return None, _nothing(rows)
+    counts = [n for n, _, _ in _phrases(plans)]
+    there = nodes.select(F.col("id").alias("node_id")).distinct()
+    some = rows.where(" OR ".join(f"{c} > 0" for c in counts))
+    mine = (some if project is None else some.where(F.col("project_id") == project)).join(there, "node_id", "left_semi")
 
     def matches(s: int) -> Column:
         _, phrases, every = plans[s]
@@ -95,17 +160,15 @@ def fts_search(index: DataFrame, nodes: DataFrame, query: str, project: str | No
             out = (out & h) if every else (out | h)
         return out
 
-    stats = rows.agg(F.count("*").alias("n"), F.sum("size").alias("total"), *(F.count_if(F.col(c) > 0).alias(c) for c in counts), *(F.count_if(mine & matches(s)).alias(f"hits{s}") for s in range(len(plans)))).first()
-    if not stats["n"]:
-        return None, empty
-    chosen = next((s for s in range(len(plans)) if min(stats[f"hits{s}"], limit) >= STRATEGY_MIN), len(plans) - 1)
-    average = max(stats["total"] / stats["n"], 1e-9)
+    df = some.agg(*(F.count_if(F.col(c) > 0).alias(c) for c in counts)).first()
+    hits = mine.agg(*(F.count_if(matches(s)).alias(f"hits{s}") for s in range(len(plans)))).first()
+    chosen = next((s for s in range(len(plans)) if min(hits[f"hits{s}"], limit) >= STRATEGY_MIN), len(plans) - 1)
+    average = max(total["total"] / total["n"], 1e-9)
     raw = F.lit(0.0)
     for i in range(len(plans[chosen][1])):
-        f, df = F.col(f"f{chosen}_{i}"), stats[f"f{chosen}_{i}"]
-        idf = F.lit(_idf(stats["n"], df))
-        raw = raw + idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / average))
-    scored = rows.where(mine & matches(chosen)).select(F.col("node_id").alias("id"), raw.alias("raw"))
+        f = F.col(f"f{chosen}_{i}")
+        raw = raw + F.lit(_idf(total["n"], df[f"f{chosen}_{i}"])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / average))
+    scored = mine.where(matches(chosen)).select(F.col("node_id").alias("id"), raw.alias("raw"))
     return plans[chosen][0], scored.orderBy(F.desc(F.round("raw", 9)), "id").limit(limit).select("id", "raw", X.bm25_normal(F.col("raw")).alias("score"))
 
 
@@ -138,8 +201,8 @@ def dedup_rank(results: DataFrame, k: int) -> DataFrame:
     return results.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r").orderBy(F.desc(F.round("score", 9)), "tier", "id").limit(k)
 
 
-def cascade(nodes: DataFrame, index: DataFrame, vectors: DataFrame, query: str, k: int = TOP_K, project: str | None = None) -> DataFrame:
-    """id, score, tier of the hybrid search.
+def cascade(nodes: DataFrame, full_text: Callable[[], DataFrame], vectors: DataFrame, query: str, k: int = TOP_K, project: str | None = None) -> DataFrame:
+    """id, score, tier of the hybrid search.  full_text makes the second tier's hits, if they are needed.
 
     The driver looks at the literal tier's at most 20 scores and adds the other tiers only if these do not suffice.
     """
@@ -148,7 +211,7 @@ def cascade(nodes: DataFrame, index: DataFrame, vectors: DataFrame, query: str,
     least = min(top[:k]) if len(top) >= k else 0.0
     found = literal
     if least < SKIP_ALL:
-        found = found.unionByName(fts_search(index, nodes, query, project)[1].select("id", "score", F.lit(FULL_TEXT).alias("tier")))
+        found = found.unionByName(full_text().select("id", "score", F.lit(FULL_TEXT).alias("tier")))
         if least < SKIP_VECTOR:
             found = found.unionByName(vector_search(vectors, query, project).withColumn("tier", F.lit(VECTOR)))
     return dedup_rank(found, k)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import accounting, chunking, envscan, graph, ingest, search, temporal
 from quarryline.plans import schema as S
+from quarryline.sources.scratch import stash
 
 P = "p"
 QUERIES: dict = {}
@@ -136,6 +137,17 @@ def _fts(index: DataFrame, nodes: DataFrame, q: str) -> DataFrame:
 for _name, _q in {"fts_single": "thnd", "fts_phrase": "of the", "fts_prefix_and": "thand onesen", "fts_or": "erblest eranenes whou", "fts_common": "the", "fts_path": "src3/en"}.items():
     query(_name, f"SELECT id, strategy, round(raw, 6) AS raw, round(score, 6) AS score FROM ({fts_sql(_DOC_FTS, _q)})")(lambda t, s, q=_q: _fts(doc_fts(t), doc_nodes(t), q))
 
+
+
+def _fts_stored(t, q: str) -> DataFrame:
+    index = search.fts_index(doc_fts(t))
+    strategy, hits = search.fts_search_stored(stash(search.fts_postings(index), "postings"), stash(search.fts_sizes(index), "sizes"), doc_nodes(t), q, P)
+    return hits.select("id", F.lit(strategy).alias("strategy"), _r("raw", "raw"), _r("score", "score"))
+
+
+for _name, _q in {"fts_stored_single": "thnd", "fts_stored_phrase": "of the", "fts_stored_prefix_and": "thand onesen", "fts_stored_or": "erblest eranenes whou"}.items():
+    query(_name, f"SELECT id, strategy, round(raw, 6) AS raw, round(score, 6) AS score FROM ({fts_sql(_DOC_FTS, _q)})")(lambda t, s, q=_q: _fts_stored(t, q))
+
 query("bm25_normalise", "SELECT event_id, CAST(round(CASE WHEN abs(value - 6.55) < 0.001 THEN 0.5 ELSE least(1 - 1 / (1 + abs(value - 6.55)), 1) END, 6) AS DOUBLE) AS score FROM events")(
     lambda t, s: t("events", "event_id", "value").select("event_id", _r(X.bm25_normal(F.col("value") - 6.55), "score"))
 )
@@ -178,7 +190,7 @@ def _part_fts(t) -> DataFrame:
 
 def _cascade(t, q: str) -> DataFrame:
     nodes = part_nodes(t)
-    return search.cascade(nodes, search.fts_index(_part_fts(t)), search.vector_index(nodes), q, search.TOP_K, P).select("id", _r("score", "score"), "tier")
+    return search.cascade(nodes, lambda: search.fts_search(search.fts_index(_part_fts(t)), nodes, q, P)[1], search.vector_index(nodes), q, search.TOP_K, P).select("id", _r("score", "score"), "tier")
 
 
 def cascade_sql(q: str) -> str:

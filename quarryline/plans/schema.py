@@ -21,11 +21,14 @@ FILE_HASHES = _table(("project_id", _S, 0), ("file_path", _S, 0), ("content_hash
 ACCOUNTING = _table(("id", _S, 0), ("project_id", _S, 0), ("session_id", _S, 0), ("query_text", _S, 0), ("pointer_tokens", _L, 0), ("fetched_tokens", _L, 0), ("traditional_est", _L, 0), ("created_at", _TS, 0))
 REGISTRY = _table(("project_id", _S, 0), ("key", _S, 0), ("is_defined", _B, 0), ("is_used", _B, 0), ("created_at", _TS, 0))
 FTS = _table(("node_id", _S, 0), ("project_id", _S, 0), ("name", _S), ("content", _S), ("file_path", _S))
+POSTINGS = _table(("term", _S, 0), ("node_id", _S, 0), ("project_id", _S, 0), ("size", T.IntegerType(), 0), ("positions", T.ArrayType(T.IntegerType()), 0))
+SIZES = _table(("node_id", _S, 0), ("project_id", _S, 0), ("size", T.IntegerType(), 0))
+VECTORS = _table(("id", _S, 0), ("project_id", _S, 0), ("vector", T.ArrayType(_table(("b", T.IntegerType()), ("v", T.FloatType())))))
 FILES = _table(("path", _S, 0), ("ext", _S), ("content", _S, 0))
 
 TABLES: dict[str, T.StructType] = {
     "nodes": NODES, "edges": EDGES, "temporal_facts": FACTS, "pointer_cache": POINTER_CACHE, "file_hashes": FILE_HASHES,
-    "accounting": ACCOUNTING, "config_registry": REGISTRY, "fts": FTS,
+    "accounting": ACCOUNTING, "config_registry": REGISTRY, "fts": FTS, "fts_postings": POSTINGS, "fts_sizes": SIZES, "vectors": VECTORS,
 }
 
 #: The closed sets and what an unknown value becomes.

@@ -1,3 +1,6 @@
+import datetime as dt
+import threading
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,6 +8,8 @@ from quarryline.api import Engine, TimedCache, report
 from quarryline.operators import accounting, chunking, envscan, graph, search, temporal
 from quarryline.plans import queries as Q
 from quarryline.plans import schema as S
+from quarryline.sources import store as store_module
+from quarryline.sources.store import Store
 from quarryline.sources.workspace import crawl, read_workspace
 
 
@@ -167,3 +172,54 @@ def test_cache():
     old = TimedCache(2, 0)
     old.put("a", 1)
     assert old.get("a") is None
+
+
+def test_store_survives_a_crash(spark, tmp_path, monkeypatch):
+    """A writer that stops between any two steps leaves the state before it, and the next one goes on."""
+    row = lambda k: (str(k), "p", "s", "q", 1, 0, 15, dt.datetime(2024, 1, 1))
+    ids = lambda: {r["id"] for r in Store(spark, str(tmp_path)).read("accounting").collect()}
+    monkeypatch.setattr(store_module, "WAIT", 0.2)
+    Store(spark, str(tmp_path)).append("accounting", [row(1)])
+
+    def stop(*a):
+        raise RuntimeError("crash")
+
+    for step in ("_claim", "_publish"):
+        broken = Store(spark, str(tmp_path))
+        monkeypatch.setattr(broken, step, stop)
+        with pytest.raises(RuntimeError):
+            broken.append("accounting", [row(9)])
+        assert ids() == {"1"}
+    Store(spark, str(tmp_path)).append("accounting", [row(2)])
+    assert ids() == {"1", "2"}
+
+
+def test_store_with_two_writers(spark, tmp_path):
+    stores = [Store(spark, str(tmp_path)) for _ in range(2)]
+
+    def write(k):
+        for i in range(4):
+            stores[k].append("accounting", [(f"{k}-{i}", "p", "s", "q", 1, 0, 15, dt.datetime(2024, 1, 1))])
+
+    threads = [threading.Thread(target=write, args=(k,)) for k in range(2)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert {r["id"] for r in stores[0].read("accounting").collect()} == {f"{k}-{i}" for k in range(2) for i in range(4)}
+
+
+def test_stored_index_follows_changes(spark, tmp_path):
+    root = tmp_path / "work"
+    root.mkdir()
+    (root / "a.md").write_text("# Tides\nspring tide tables for the harbour\n")
+    (root / "b.md").write_text("# Moon\nmoon and tide\n")
+    e = Engine(spark, str(tmp_path / "store"), str(root))
+    e.index()
+    found = lambda q: {r["id"] for r in e._full_text(q).collect()}
+    names = {r["id"]: r["file_path"][-4:] for r in e.store.read("nodes").collect()}
+    assert {names[i] for i in found("spring tide")} == {"a.md", "b.md"}  # fewer than three phrase hits: any word counts
+    assert {names[i] for i in found("harbour")} == {"a.md"}
+    (root / "a.md").unlink()
+    e.index()
+    assert found("harbour") == set() and {names[i] for i in found("tide")} == {"b.md"}
