@@ -188,8 +188,7 @@ class Engine:
     def check_consistency(self) -> dict:
         reg = self._registry()
         r = envscan.consistency(reg).first()
-        kinds = envscan.classify(reg)
-        keys = lambda c: [k["key"] for k in kinds.where(F.col("class") == c).orderBy("key").collect()]  # noqa: E731  a project's variables
+        keys = lambda c: [k["key"] for k in envscan.keys_of(reg, c).collect()]  # noqa: E731  a project's variables
         unknown = [x.asDict() for x in envscan.nearest_defined(reg).orderBy("variable").collect()]
         return {"status": r["status"], "summary": {k: r[k] for k in ("unknown", "unused", "consistent")}, "unknown": unknown, "unused": keys("unused"), "consistent": keys("consistent")}
 

@@ -15,6 +15,7 @@ from pyspark.sql import SparkSession
 from quarryline import __version__
 from quarryline.api import Engine
 
+#: Error codes and version of the protocol, and below the names of its tools.
 PARSE_ERROR, FAILED = -32700, -32603
 PROTOCOL = "2024-11-05"
 

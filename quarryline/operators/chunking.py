@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import heapq
 import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
@@ -30,17 +31,31 @@ def lines_of(text: str) -> list[str]:
 
 
 def block_ends(lines: list[str], starts: list[int]) -> list[int]:
-    """For each start the first line at which a brace has been opened and all since are closed; else the next line."""
-    out = []
-    for start in starts:
-        depth, opened, end = 0, False, min(start + 1, len(lines) - 1)
-        for i in range(start, len(lines)):
-            opened = opened or "{" in lines[i]
-            depth += lines[i].count("{") - lines[i].count("}")
-            if opened and depth <= 0:
-                end = i
-                break
-        out.append(end)
+    """For each start the first line at which a brace has been opened and all since are closed; else the next line.
+
+    One pass: depth is the running sum of braces.  A start is open from the first line with a brace on, and ends where the depth falls back
+    to what it was before the start; of the open ones those with the greatest depth before them end first.
+    """
+    last = len(lines) - 1
+    out = [min(s + 1, last) for s in starts]
+    waiting: dict[int, list[int]] = {}
+    next_open, by_line = None, {s: [] for s in starts}
+    for k, s in enumerate(starts):
+        by_line[s].append(k)
+    for i in range(last, -1, -1):
+        if "{" in lines[i]:
+            next_open = i
+        if next_open is not None:
+            waiting.setdefault(next_open, []).extend(by_line.get(i, ()))
+    depth, before, open_ = 0, {}, []
+    for i, line in enumerate(lines):
+        for k in by_line.get(i, ()):
+            before[k] = depth
+        depth += line.count("{") - line.count("}")
+        for k in waiting.get(i, ()):
+            heapq.heappush(open_, (-before[k], k))
+        while open_ and -open_[0][0] >= depth:
+            out[heapq.heappop(open_)[1]] = i
     return out
 
 
@@ -106,9 +121,3 @@ def chunk_files(files: DataFrame) -> DataFrame:
     typed = files.withColumn("ext", extension(F.col("path")))
     code, script = F.col("ext") == "rs", F.col("ext").isin(*SCRIPT)
     return _code(typed.where(code | script)).unionByName(markdown_sections(typed.where("ext = 'md'"))).unionByName(whole_files(typed.where(~(code | script | (F.col("ext") == "md")))))
-
-
-def brace_depth(lines: DataFrame) -> DataFrame:
-    """depth after each line of rows (path, line_no, line): the running sum of braces, as a window."""
-    delta: Column = F.regexp_count("line", F.lit(r"\{")) - F.regexp_count("line", F.lit(r"\}"))
-    return lines.withColumn("depth", F.sum(delta).over(Window.partitionBy("path").orderBy("line_no")))

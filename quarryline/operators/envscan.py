@@ -14,7 +14,7 @@ WHITELIST = (
 
 _NAME = "[A-Z_][A-Z0-9_]*"
 _JS = ("js", "ts", "jsx", "tsx")
-#: (language, defines, pattern, groups).  `(?dm)`: only a newline ends a line.  Python: getenv(, environ.get( and environ[.
+#: What counts as a definition or a use, as (language, defines, pattern, groups).  `(?dm)`: only a newline ends a line.  Python: getenv(, environ.get( and environ[.
 PATTERNS = (
     ("env", True, rf"(?dm)^\s*({_NAME})\s*=", (1,)),
     ("yaml", True, rf"(?dm)^\s*-\s*({_NAME})(?:\s*[:=]|\s*$)", (1,)),
@@ -24,6 +24,7 @@ PATTERNS = (
     ("rust", False, r"""env::var\(['"]([^'"]+)['"]\)""", (1,)),
     ("shell", False, rf"\$\{{?({_NAME})\}}?", (1,)),
 )
+#: Fixed value: the environment taken apart in a script.
 _TAKEN_APART = r"\{([^}]*)\}\s*=\s*process\.env\b"
 #: Suggestions at most, and the greatest distance at which an unknown name is taken for a defined one.
 SUGGESTIONS, NEAR = 5, 3
@@ -81,6 +82,11 @@ def classify(reg: DataFrame) -> DataFrame:
     return reg.select("key", "is_defined", kind.alias("class"))
 
 
+def keys_of(reg: DataFrame, kind: str) -> DataFrame:
+    """The keys of a class, in order."""
+    return classify(reg).where(F.col("class") == kind).select("key").orderBy("key")
+
+
 def nearest_defined(reg: DataFrame, near: int = NEAR) -> DataFrame:
     """variable, suggestion: every unknown key, and the defined key within `near` edits that is nearest, then first; or null.
 

@@ -1,8 +1,10 @@
 """Incremental ingestion: what changed, what vanished, and the next snapshots.
 
-A changed file's nodes, edges, full-text rows and hashes are all replaced; a
-vanished file's go, its hashes included, so that it is indexed again if it comes
-back.  Hashes are taken of the text as it was decoded.
+A changed file's nodes, edges and hashes are all replaced, but of its chunks only
+those whose content changed are indexed again: ids depend on what a chunk is, so the
+index rows of the others still fit.  A vanished file's rows go, its hashes included, so
+that it is indexed again if it comes back.  Hashes are taken of the text as it was
+decoded.
 """
 
 from __future__ import annotations
@@ -65,16 +67,18 @@ def chunk_nodes(chunks: DataFrame, project: str) -> DataFrame:
     return graph.node_rows(rows, project)
 
 
-def _indexes(store: Store, doomed: DataFrame, texts: DataFrame, made: DataFrame) -> dict[str, DataFrame]:
-    """The next snapshots of the search indexes: entries of doomed nodes go, those of new ones are added."""
-    dead = doomed.select(F.col("id").alias("dead")).distinct()
-    kept = lambda table, key: store.read(table).join(dead, F.col(key) == F.col("dead"), "left_anti")
+def _indexes(store: Store, stale: DataFrame, texts: DataFrame, doomed: DataFrame, made: DataFrame) -> dict[str, DataFrame]:
+    """The next snapshots of the search indexes: text entries of stale nodes and vectors of doomed ones go, those of texts and new nodes are added."""
+
+    def kept(table: str, key: str, gone: DataFrame) -> DataFrame:
+        return store.read(table).join(gone.select(F.col("id").alias("gone")).distinct(), F.col(key) == F.col("gone"), "left_anti")
+
     index = search.fts_index(texts)
-    postings = kept("fts_postings", "node_id").unionByName(search.fts_postings(index))
+    postings = kept("fts_postings", "node_id", stale).unionByName(search.fts_postings(index))
     return {
         "fts_postings": postings.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id"),
-        "fts_sizes": kept("fts_sizes", "node_id").unionByName(search.fts_sizes(index)),
-        "vectors": kept("vectors", "id").unionByName(search.vector_index(made)),
+        "fts_sizes": kept("fts_sizes", "node_id", stale).unionByName(search.fts_sizes(index)),
+        "vectors": kept("vectors", "id", doomed).unionByName(search.vector_index(made)),
     }
 
 
@@ -95,15 +99,19 @@ def ingest(store: Store, root: str, project: str) -> Report:
         paths = changed.select(F.col("path").alias("file_path"))
         gone = stale_paths(graph.file_paths(nodes, project), files)
         doomed = graph.nodes_of_files(nodes, paths.unionByName(gone), project)
-        old_nodes, old_edges, old_fts = graph.cascade_delete(nodes, edges, fts, doomed)
-
         chunks = chunking.chunk_files(changed)
+        fresh = changed_chunks(chunks, hashes, project)
         own, parts = file_nodes(changed, project), chunk_nodes(chunks, project)
         key = lambda kind, name, ordinal: S.stable_id(F.lit(project), F.col("path"), kind, name, ordinal)
         file_id, part_id = key(F.lit("file"), F.col("path"), F.lit(-1)), key(F.col("node_type"), F.col("name"), F.col("ordinal"))
+        # What is doomed and not among the unchanged chunks goes from the indexes.
+        same = chunks.select(part_id.alias("id")).join(fresh.select(part_id.alias("id")), "id", "left_anti")
+        stale = doomed.join(same, "id", "left_anti")
+        old_nodes, old_edges, _ = graph.cascade_delete(nodes, edges, fts, doomed)
+        old_fts = graph.cascade_delete(nodes, edges, fts, stale)[2]
         links = graph.edge_rows(chunks.select(file_id.alias("source_id"), part_id.alias("target_id"), F.lit("contains").alias("edge_type"), F.lit(1.0).alias("weight")), project)
         texts = changed.select(file_id.alias("node_id"), F.lit(project).alias("project_id"), F.col("path").alias("name"), "content", F.col("path").alias("file_path")).unionByName(
-            chunks.select(part_id.alias("node_id"), F.lit(project).alias("project_id"), "name", "content", F.col("path").alias("file_path"))
+            fresh.select(part_id.alias("node_id"), F.lit(project).alias("project_id"), "name", "content", F.col("path").alias("file_path"))
         )
         now = F.current_timestamp()
         new_hashes = changed.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path"), F.col("hash").alias("content_hash"), now.alias("indexed_at")).unionByName(
@@ -114,9 +122,9 @@ def ingest(store: Store, root: str, project: str) -> Report:
         old_hashes = hashes.join(touched, (owner == F.col("__f")) & (F.col("project_id") == project), "left_anti")
         counts = judged.agg(F.count("*").alias("n"), F.count_if("changed").alias("c")).first()
         made = own.unionByName(parts)
-        created = made.count() if counts["c"] else 0
+        created = counts["c"] + fresh.count() if counts["c"] else 0
         if counts["c"] or not gone.isEmpty():
-            store.write({"nodes": old_nodes.unionByName(made), "edges": graph.insert_edges(old_edges, links), "fts": old_fts.unionByName(texts), "file_hashes": old_hashes.unionByName(new_hashes)} | _indexes(store, doomed, texts, made))
+            store.write({"nodes": old_nodes.unionByName(made), "edges": graph.insert_edges(old_edges, links), "fts": old_fts.unionByName(texts), "file_hashes": old_hashes.unionByName(new_hashes)} | _indexes(store, stale, texts, doomed, made))
         total = files.count()
         return Report(total, counts["c"], counts["n"] - counts["c"], total - counts["n"], created)
     finally:

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import re
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.operators import accounting, chunking, envscan, graph, ingest, search, temporal
 from quarryline.plans import schema as S
-from quarryline.sources.scratch import stash
+from quarryline.sources.scratch import shared_dir, stash
+from quarryline.sources.store import Store
 
 P = "p"
 QUERIES: dict = {}
@@ -216,9 +220,17 @@ def _(t, s):
     return search.dedup_rank(rows, 10).select("id", _r("score", "score"), "tier")
 
 
-query("query_words", "SELECT unnest(['api', 'alerts', 'handler', 'now', '日', '本', 'x_y']) AS word, unnest(range(7)) AS place")(
-    lambda t, s: s.createDataFrame(list(enumerate(X.query_words("/api/alerts AND handler or now 日本 x_y not"))), "place long, word string").select("word", "place")
-)
+
+
+@query("query_words", r"""SELECT id, u.w AS word, CAST(u.i AS INTEGER) AS place FROM (SELECT id, unnest(list_zip(ws[1:10], range(len(ws[1:10])))) AS z FROM (
+    SELECT CAST(n_nationkey AS VARCHAR) AS id, list_filter(regexp_extract_all('GET /' || n_name || '/or_ders AND ' || r_name || ' not ' || repeat(n_name || ' ', 9), '\w+'), lambda w: upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR')) AS ws
+    FROM nation JOIN region ON r_regionkey = n_regionkey)), LATERAL (SELECT z[1] AS w, z[2] AS i) u""")
+def _(t, s):
+    joined = t("nation", "n_nationkey", "n_name", "n_regionkey").join(t("region", "r_regionkey", "r_name"), F.expr("r_regionkey = n_regionkey"))
+    # A query string is a driver's value, so this is one for each of the few nations.
+    asked = [(str(r["n_nationkey"]), f"GET /{r['n_name']}/or_ders AND {r['r_name']} not " + (r["n_name"] + " ") * 9) for r in joined.collect()]
+    return s.createDataFrame([(i, w, k) for i, q in asked for k, w in enumerate(X.query_words(q))], "id string, word string, place int")
+
 
 # Graph and store.
 
@@ -257,7 +269,34 @@ def _(t, s):
 @query("edge_dedup", "SELECT o_custkey AS source_id, o_orderpriority AS target_id, o_orderstatus AS edge_type, min(o_orderkey) AS id FROM orders GROUP BY 1, 2, 3")
 def _(t, s):
     e = t("orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").select(F.col("o_custkey").alias("source_id"), F.col("o_orderpriority").alias("target_id"), F.col("o_orderstatus").alias("edge_type"), F.col("o_orderkey").alias("id"), F.lit(0).alias("created_at"))
-    return graph.insert_edges(e.limit(0), e).drop("created_at")
+    return graph.insert_edges(s.createDataFrame([], e.schema), e).drop("created_at")
+
+
+@query("edge_insert_ignore", """SELECT o_custkey AS source_id, o_orderpriority AS target_id, o_orderstatus AS edge_type, coalesce(min(o_orderkey) FILTER (o_orderkey % 5 = 0), min(o_orderkey)) AS id FROM orders GROUP BY 1, 2, 3""")
+def _(t, s):
+    e = t("orders", "o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus").select(F.col("o_custkey").alias("source_id"), F.col("o_orderpriority").alias("target_id"), F.col("o_orderstatus").alias("edge_type"), F.col("o_orderkey").alias("id"), F.lit(0).alias("created_at"))
+    old = graph.insert_edges(s.createDataFrame([], e.schema), e.where("id % 5 = 0"))
+    return graph.insert_edges(old, e.where("id % 5 <> 0")).drop("created_at")
+
+
+_ID = "sha256(concat_ws(chr(31), 'p', {path}, '{kind}', {name}, '{ordinal}'))"
+_FILE_ID, _PART_ID = _ID.format(path="p_brand", kind="file", name="p_name", ordinal=0), _ID.format(path="p_brand", kind="concept", name="p_name", ordinal=1)
+
+
+@query("graph_builders", f"""SELECT {_ID.format(path="r_name", kind="module", name="n_name", ordinal=0)} AS id, n_name AS name, 'module' AS node_type, CAST(n_nationkey AS BIGINT) AS start_line FROM nation JOIN region ON r_regionkey = n_regionkey""")
+def _(t, s):
+    rows = t("nation", "n_nationkey", "n_name", "n_regionkey").join(t("region", "r_regionkey", "r_name"), F.expr("r_regionkey = n_regionkey")).collect()  # 25 rows
+    specs = [graph.NodeSpec(r["n_name"], "module", r["r_name"], r["n_nationkey"]) for r in rows]
+    return graph.build_nodes(s, P, specs).select("id", "name", "node_type", "start_line")
+
+
+@query("contains_edges", f"""SELECT sha256(concat_ws(chr(31), 'p', a, b, 'contains')) AS id, a AS source_id, b AS target_id, 'contains' AS edge_type, CAST(1.0 AS DOUBLE) AS weight FROM (SELECT {_FILE_ID} AS a, {_PART_ID} AS b FROM part GROUP BY p_brand, p_name)""")
+def _(t, s):
+    one = t("part", "p_brand", "p_name").distinct().select(F.col("p_name").alias("name"), F.col("p_brand").alias("file_path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), F.lit(None).cast("string").alias("summary"), F.lit(None).cast("string").alias("content_hash"))
+    files = graph.node_rows(one.withColumns({"node_type": F.lit("file"), "ordinal": F.lit(0)}), P).select(F.col("id").alias("source_id"), "name", "file_path")
+    parts = graph.node_rows(one.withColumns({"node_type": F.lit("concept"), "ordinal": F.lit(1)}), P).select(F.col("id").alias("target_id"), "name", "file_path")
+    pairs = files.join(parts, ["name", "file_path"]).select("source_id", "target_id", F.lit("contains").alias("edge_type"), F.lit(1.0).alias("weight"))
+    return graph.edge_rows(pairs, P).select("id", "source_id", "target_id", "edge_type", "weight")
 
 
 @query("cascade_delete", """SELECT (SELECT count(*) FROM customer WHERE c_nationkey <> 3) + (SELECT count(*) FROM orders) AS n_nodes,
@@ -293,6 +332,32 @@ query("stale_paths", "SELECT CAST(doc_id AS VARCHAR) AS file_path FROM documents
 query("ingest_report", "SELECT count(*) AS total_files, count(*) FILTER (doc_id % 3 = 0 OR doc_id % 7 = 0) AS indexed, count(*) FILTER (doc_id % 3 <> 0 AND doc_id % 7 <> 0) AS skipped FROM documents")(
     lambda t, s: ingest.classify_files(_doc_files(t), _stored(t), P).agg(F.count("*").alias("total_files"), F.count_if("changed").alias("indexed"), F.count_if(~F.col("changed")).alias("skipped"))
 )
+query("changed_chunks", "SELECT CAST(doc_id AS VARCHAR) || '::' || coalesce(lang, '') || '::' || doc_id % 4 AS key FROM documents WHERE doc_id % 3 = 0 OR doc_id % 7 = 0")(
+    lambda t, s: ingest.changed_chunks(_doc_chunks(t), _doc_chunks(t).where("CAST(path AS BIGINT) % 3 <> 0").select(F.lit(P).alias("project_id"), ingest.chunk_key().alias("file_path"), F.when(F.col("path").cast("long") % 7 == 0, "other").otherwise(ingest.content_hash(F.col("content"))).alias("content_hash")), P).select("key")
+)
+
+
+def _doc_chunks(t) -> DataFrame:
+    return t("documents", "doc_id", "text", "lang").select(F.col("doc_id").cast("string").alias("path"), F.coalesce("lang", F.lit("")).alias("name"), (F.col("doc_id") % 4).alias("ordinal"), F.coalesce("text", F.lit("")).alias("content"))
+
+
+@query("hash_upsert", "SELECT CAST(doc_id AS VARCHAR) AS file_path, CASE WHEN doc_id % 3 = 0 OR doc_id % 7 <> 0 THEN sha256(coalesce(text, '')) ELSE 'other' END AS content_hash FROM documents")
+def _(t, s):
+    new = _doc_files(t).where("CAST(path AS BIGINT) % 3 = 0").select(F.lit(P).alias("project_id"), F.col("path").alias("file_path"), ingest.content_hash(F.col("content")).alias("content_hash"))
+    return graph.upsert(_stored(t), new, ["project_id", "file_path"]).select("file_path", "content_hash")
+
+
+@query("fts_replace", "SELECT CAST(doc_id AS VARCHAR) AS node_id, CASE WHEN doc_id % 4 = 0 THEN 'new ' || doc_id ELSE md5(coalesce(text, '')) END AS content FROM documents WHERE doc_id % 4 <> 1")
+def _(t, s):
+    """Full-text rows of changed documents are replaced, those of vanished ones go."""
+    fts = doc_fts(t).withColumn("content", F.md5(F.coalesce("content", F.lit(""))))
+    doomed = fts.where("CAST(node_id AS BIGINT) % 4 < 2").select(F.col("node_id").alias("id"))
+    no_edges = s.createDataFrame([], "source_id string, target_id string")
+    kept = graph.cascade_delete(doc_nodes(t), no_edges, fts, doomed)[2]
+    new = fts.where("CAST(node_id AS BIGINT) % 4 = 0").withColumn("content", F.concat(F.lit("new "), "node_id"))
+    return kept.unionByName(new).select("node_id", "content")
+
+
 query("content_tokens", r"SELECT doc_id, CAST((4 * len(list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), lambda w: w <> '')) + 2) // 3 AS BIGINT) AS tokens FROM documents")(
     lambda t, s: t("documents", "doc_id", "text").select("doc_id", X.token_estimate(F.col("text")).alias("tokens"))
 )
@@ -397,40 +462,97 @@ query("env_nearest_defined", f"""WITH k AS ({_REG}), p AS (SELECT u.key AS varia
   FROM k u JOIN k d ON d.is_defined AND levenshtein(u.key, d.key) <= 3 WHERE NOT u.is_defined AND u.is_used)
   SELECT k.key AS variable, suggestion FROM k LEFT JOIN (SELECT * FROM p WHERE r = 1) q ON q.variable = k.key WHERE NOT is_defined AND is_used""")(lambda t, s: envscan.nearest_defined(reg_table(t)))
 query("env_suggestions", f"SELECT key, CAST(levenshtein('BRAND1_ECONOMIC', key) AS INTEGER) AS dist FROM ({_REG}) ORDER BY dist, key LIMIT 5")(lambda t, s: envscan.suggestions(reg_table(t), "BRAND1_ECONOMIC"))
-query("env_validate", "SELECT false AS valid, 5 AS n")(lambda t, s: s.createDataFrame([(v, len(n)) for v, n in [envscan.validate(reg_table(t), "BRAND_1")]], "valid boolean, n int"))
-
-ENV_FILES = [
-    ("/w/.env", "DATABASE_URL=postgres\nAPI_KEY = abc\nlower=1\nPORT=80\n"),
-    ("/w/a.py", "import os\nos.getenv('A_ONE'); os.environ[\"A_TWO\"]; os.environ.get('A_THREE', 1)\n"),
-    ("/w/b.ts", "const { B_ONE, B_TWO: two, B_THREE = 3, lower } = process.env;\nprocess.env.B_FOUR; process.env['B_FIVE']\n"),
-    ("/w/c.rs", "let x = std::env::var(\"C_ONE\"); let y = env::var(\"C_TWO\");\n"),
-    ("/w/d.sh", "echo $D_ONE ${D_TWO} $lower\n"),
-    ("/w/e.yml", "env:\n  - E_ONE: 1\n  - E_TWO=2\n  - E_THREE\n  E_FOUR: 4\n"),
-    ("/w/f.md", "| `F_ONE` | text |\n| F_TWO | $NOT_SHELL |\n"),
-]
-ENV_FOUND = [
-    ("API_KEY", "/w/.env", True), ("DATABASE_URL", "/w/.env", True), ("A_ONE", "/w/a.py", False), ("A_TWO", "/w/a.py", False), ("A_THREE", "/w/a.py", False),
-    ("B_ONE", "/w/b.ts", False), ("B_TWO", "/w/b.ts", False), ("B_THREE", "/w/b.ts", False), ("B_FOUR", "/w/b.ts", False), ("B_FIVE", "/w/b.ts", False),
-    ("C_ONE", "/w/c.rs", False), ("C_TWO", "/w/c.rs", False), ("D_ONE", "/w/d.sh", False), ("D_TWO", "/w/d.sh", False), ("E_ONE", "/w/e.yml", True), ("E_TWO", "/w/e.yml", True),
-    ("E_THREE", "/w/e.yml", True), ("F_ONE", "/w/f.md", True), ("F_TWO", "/w/f.md", True),
-]
-query("env_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{p}', {str(d).lower()})" for n, p, d in ENV_FOUND) + ") AS v(name, file_path, is_definition)")(
-    lambda t, s: envscan.scan(s.createDataFrame(ENV_FILES, "path string, content string"))
+query("registry_by_key", f"SELECT key, row_number() OVER (ORDER BY key) AS place FROM ({_REG}) WHERE {_KIND} = 'unused'")(
+    lambda t, s: envscan.keys_of(reg_table(t), "unused").withColumn("place", F.row_number().over(Window.orderBy("key")).cast("long"))
 )
+query("env_validate", f"""SELECT name, name IN (SELECT key FROM ({_REG})) AS valid, CASE WHEN name IN (SELECT key FROM ({_REG})) THEN NULL ELSE (SELECT string_agg(key, ',' ORDER BY d, key) FROM (SELECT key, levenshtein(v.name, key) AS d FROM ({_REG}) ORDER BY d, key LIMIT 5)) END AS near
+  FROM (VALUES ('BRAND_1'), ('BRAND11_ECONOMIC'), ('BRAND11_ECONOMY')) AS v(name)""")(
+    lambda t, s: s.createDataFrame([(name, valid, ",".join(near) or None) for name in ("BRAND_1", "BRAND11_ECONOMIC", "BRAND11_ECONOMY") for valid, near in [envscan.validate(reg_table(t), name)]], "name string, valid boolean, near string")
+)
+
+
+@query("env_scan", """WITH n AS (SELECT n_nationkey AS k, replace(upper(n_name), ' ', '_') AS v, replace(upper(r_name), ' ', '_') AS r FROM nation JOIN region ON r_regionkey = n_regionkey)
+  SELECT 'DEF_' || v AS name, '/w/' || k || '/.env' AS file_path, true AS is_definition FROM n UNION ALL SELECT 'LIST_' || v, '/w/' || k || '/l.yml', true FROM n UNION ALL SELECT 'ROW_' || v, '/w/' || k || '/r.md', true FROM n
+  UNION ALL SELECT 'PY_' || v, '/w/' || k || '/p.py', false FROM n UNION ALL SELECT 'PY_' || r, '/w/' || k || '/p.py', false FROM n UNION ALL SELECT 'JS_' || v, '/w/' || k || '/j.ts', false FROM n UNION ALL SELECT 'TAKEN_' || r, '/w/' || k || '/j.ts', false FROM n
+  UNION ALL SELECT 'RS_' || v, '/w/' || k || '/s.rs', false FROM n UNION ALL SELECT 'SH_' || v, '/w/' || k || '/h.sh', false FROM n UNION ALL SELECT 'SH_' || r, '/w/' || k || '/h.sh', false FROM n""")
+def _(t, s):
+    joined = t("nation", "n_nationkey", "n_name", "n_regionkey").join(t("region", "r_regionkey", "r_name"), F.expr("r_regionkey = n_regionkey"))
+    v, r = (F.translate(F.upper(c), " ", "_") for c in ("n_name", "r_name"))
+    texts = {
+        ".env": ("DEF_{v} = 1\nlower=2\nPORT=3\n", v), "l.yml": ("env:\n  - LIST_{v}: x\n  plain: y\n", v), "r.md": ("| `ROW_{v}` | about |\n", v),
+        "p.py": ("os.getenv('PY_{v}')\nos.environ[\"PY_{r}\"]\n", v, r), "j.ts": ("process.env.JS_{v};\nconst { TAKEN_{r}: other, lower } = process.env;\n", v, r),
+        "s.rs": ("let a = std::env::var(\"RS_{v}\");\n", v), "h.sh": ("echo $SH_{v} ${{SH_{r}}} $lower\n", v, r),
+    }
+
+    def filled(text: str) -> Column:
+        parts = re.split(r"(\{v\}|\{r\})", text)
+        return F.concat(*({"{v}": v, "{r}": r}.get(x, F.lit(x.replace("{{", "{").replace("}}", "}"))) for x in parts))
+
+    files = F.array(*(F.struct(F.concat(F.lit("/w/"), F.col("n_nationkey").cast("string"), F.lit(f"/{name}")).alias("path"), filled(text).alias("content")) for name, (text, *_) in texts.items()))
+    return envscan.scan(joined.select(F.inline(files)))
+
 
 # Chunks.
 
-MARKDOWN = "intro\n# Title\ntext\n### deep\n## Section A\na\n## Section B\nb\n"
-query("chunk_markdown", f"""WITH l AS (SELECT unnest(string_split(rtrim('{MARKDOWN}', chr(10)), chr(10))) AS v, unnest(range(1, 9)) AS i), h AS (SELECT i, trim(ltrim(v, '#')) AS name FROM l WHERE v LIKE '# %' OR v LIKE '## %')
-  SELECT name, CAST(i AS BIGINT) AS start_line, CAST(coalesce(lead(i) OVER (ORDER BY i) - 1, 8) AS BIGINT) AS end_line FROM h""")(
-    lambda t, s: chunking.markdown_sections(s.createDataFrame([("/w/x.md", MARKDOWN)], "path string, content string")).select("name", "start_line", "end_line")
+_DOC_MD = "'# Doc ' || doc_id || chr(10) || coalesce(text, '') || chr(10) || '## Tail' || chr(10) || '### no section' || chr(10) || coalesce(lang, '')"
+query("chunk_markdown", f"""WITH l AS (SELECT doc_id, unnest(ls) AS v, unnest(range(1, len(ls) + 1)) AS i, len(ls) AS n FROM (SELECT doc_id, CASE WHEN x LIKE '%' || chr(10) THEN string_split(x, chr(10))[:-2] ELSE string_split(x, chr(10)) END AS ls FROM (SELECT doc_id, {_DOC_MD} AS x FROM documents))),
+  h AS (SELECT doc_id, i, n, trim(ltrim(v, '#')) AS name FROM l WHERE v LIKE '# %' OR v LIKE '## %')
+  SELECT '/w/' || doc_id || '.md' AS path, name, CAST(i AS BIGINT) AS start_line, CAST(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, n) AS BIGINT) AS end_line FROM h""")(
+    lambda t, s: chunking.markdown_sections(t("documents", "doc_id", "text", "lang").select(F.format_string("/w/%d.md", "doc_id").alias("path"), F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")), F.lit("\n## Tail\n### no section\n"), F.coalesce("lang", F.lit(""))).alias("content"))).select("path", "name", "start_line", "end_line")
 )
 query("chunk_documents", f"SELECT CAST(doc_id AS VARCHAR) || '.toml' AS name, 'file' AS node_type, CAST(1 AS BIGINT) AS start_line, CAST(len({_LINES}) AS BIGINT) AS end_line, 'File: ' || doc_id || '.toml' AS summary FROM documents")(
     lambda t, s: chunking.chunk_files(t("documents", "doc_id", "text").select(F.concat(F.lit("/w/"), F.col("doc_id").cast("string"), F.lit(".toml")).alias("path"), F.col("text").alias("content"))).select("name", "node_type", "start_line", "end_line", "summary")
 )
-RUST = "pub fn hello(a: u8) -> u8 {\n  if a > 1 { 1 } else { 2 }\n}\nstruct Config {\n  x: u8,\n}\nimpl Show for Config {\n  fn show(&self) {}\n}\npub trait Searchable: Send {\n}\nenum Status { A, B }\n"
-SCRIPTS = "export function handleRequest(a) {\n  return a;\n}\nconst fetchData = async (u) => {\n  go();\n}\nexport default class App extends Base {\n}\nconst limit = 3;\n"
-query("chunk_code")(lambda t, s: chunking.chunk_files(s.createDataFrame([("/w/a.rs", RUST), ("/w/b.ts", SCRIPTS)], "path string, content string")))
-query("brace_depth", "SELECT CAST(unnest([0, 1, 2, 3, 4, 5]) AS INTEGER) AS line_no, CAST(unnest([1, 2, 1, 1, 0, 0]) AS BIGINT) AS depth")(
-    lambda t, s: chunking.brace_depth(s.createDataFrame([("f", i, v) for i, v in enumerate(["fn a() {", "if x {", "}", "y", "}", "z"])], "path string, line_no int, line string")).select("line_no", "depth")
-)
+
+#: A source file for every part: items, nested ones, ones without a block, and lines that only look like items.
+_RS = ["pub fn price_@(n: u32) -> u32 {", "    if n > @ { 1 } else { 2 }", "}", "struct Part@ {", "    size: u32,", "}", "impl fmt::Debug for Part@ {", "    fn show_@(&self) {", "    }", "}", "enum Kind@ { A, B }", "pub trait Priced@", "    : Send {", "}", "let fn_@ = 1;", "async fn late_@();", "// end", "fn " + "x" * 90 + "_@() {", "}"]
+_TS = ["export function total@(a) {", "  return { a };", "}", "const pick@ = async (u) => {", "  go();", "}", "const limit@ = 3;", "export default class Shop@ extends Base {", "}"]
+
+
+def _code_oracle() -> str:
+    out = []
+    for lines, ext, kind, name, summary in (
+        (_RS, "rs", "CASE regexp_extract(b, '^(?:pub )?(?:async )?(fn|struct|enum|trait|impl) ', 1) WHEN 'fn' THEN 'function' ELSE regexp_extract(b, '^(?:pub )?(?:async )?(fn|struct|enum|trait|impl) ', 1) END",
+         "regexp_extract(b, '^(?:pub )?(?:async )?(?:fn|struct|enum|trait|impl)(?: .* for)? (\\w+)', 1)", "kind || ': ' || CASE WHEN strlen(b) <= 80 THEN b ELSE name END"),
+        (_TS, "ts", "CASE WHEN regexp_matches(b, '^((export )?(function|const) |export default (function|class) )') AND (b LIKE 'export default %' OR contains(b, '=>') OR contains(b, '(')) THEN 'function' ELSE '' END",
+         "regexp_extract(b, '(?:function|const|class) (\\w+)', 1)", "'TypeScript function: ' || name"),
+    ):
+        listed = "[" + ", ".join(f"'{v}'" for v in lines) + "]"
+        out.append(f"""(WITH l AS (SELECT p_partkey AS k, unnest({listed}) AS t, unnest(range({len(lines)})) AS i FROM part), c AS (SELECT k, i, replace(t, '@', CAST(k AS VARCHAR)) AS v, len(replace(t, '}}', '')) - len(replace(t, '{{', '')) AS delta FROM l),
+          d AS (SELECT *, trim(v) AS b, sum(delta) OVER (PARTITION BY k ORDER BY i) AS d FROM c), o AS (SELECT *, min(CASE WHEN contains(v, '{{') THEN i END) OVER (PARTITION BY k ORDER BY i ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS opened FROM d),
+          s AS (SELECT k, i, b, d - delta AS base, opened, {kind} AS kind FROM o), m AS (SELECT *, {name} AS name FROM s WHERE kind <> ''), e AS (SELECT m.k, m.i, min(d.i) AS stop FROM m JOIN d ON d.k = m.k AND d.i >= m.opened AND d.d <= m.base GROUP BY 1, 2)
+          SELECT '/w/' || m.k || '.{ext}' AS path, name, kind AS node_type, CAST(m.i + 1 AS BIGINT) AS start_line, CAST(coalesce(stop, least(m.i + 1, {len(lines) - 1})) + 1 AS BIGINT) AS end_line, {summary} AS summary FROM m LEFT JOIN e ON e.k = m.k AND e.i = m.i)""")
+    return " UNION ALL ".join(out)
+
+
+@query("chunk_code", _code_oracle())
+def _(t, s):
+    key = F.col("p_partkey").cast("string")
+    files = F.array(*(F.struct(F.concat(F.lit("/w/"), key, F.lit(f".{ext}")).alias("path"), F.replace(F.lit("\n".join(lines)), F.lit("@"), key).alias("content")) for ext, lines in (("rs", _RS), ("ts", _TS))))
+    return chunking.chunk_files(t("part", "p_partkey").select(F.inline(files))).select("path", "name", "node_type", "start_line", "end_line", "summary")
+
+
+# Appending to a store.
+
+
+def _new_store(s) -> Store:
+    return Store(s, f"{shared_dir(s)}/store-{uuid.uuid4().hex}")
+
+
+@query("accounting_append", f"""SELECT session_id, count(*) AS n, CAST(sum(p) AS BIGINT) AS pointer_tokens FROM ({_LOG}) GROUP BY 1""")
+def _(t, s):
+    """The log appended in two parts to a store, and read back."""
+    store, log = _new_store(s), log_table(t)
+    for part in (F.col("id") % 2 == 0, F.col("id") % 2 == 1):
+        store.append("accounting", log.where(part))
+    return store.read("accounting").groupBy("session_id").agg(F.count("*").alias("n"), F.sum("pointer_tokens").alias("pointer_tokens"))
+
+
+@query("fact_append", """SELECT sha256(concat_ws(chr(31), 'p', conv_id, CASE role WHEN 'system' THEN 'constraint' ELSE 'decision' END, text, '2024-01-01 00:00:00')) AS id, CAST(conv_id AS VARCHAR) AS node_id,
+    CASE role WHEN 'system' THEN 'constraint' ELSE 'decision' END AS fact_type, text AS content, valid_to IS NULL AS active FROM (SELECT *, CAST(NULL AS TIMESTAMP) AS valid_to FROM conversations)""")
+def _(t, s):
+    """Facts of a known type, and of an unknown one, which become decisions, appended to a store."""
+    c = t("conversations", "conv_id", "role", "text").select(F.when(F.col("role") == "system", "constraint").otherwise("a guess").alias("fact_type"), F.col("text").alias("content"), F.col("conv_id").cast("string").alias("node_id"))
+    store = _new_store(s)
+    store.append("temporal_facts", temporal.fact_rows(c, P, F.lit("2024-01-01").cast("timestamp")))
+    return store.read("temporal_facts").select("id", "node_id", "fact_type", "content", F.col("valid_to").isNull().alias("active"))

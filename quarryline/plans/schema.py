@@ -16,7 +16,6 @@ def _table(*fields: tuple) -> T.StructType:
 NODES = _table(("id", _S, 0), ("project_id", _S, 0), ("name", _S, 0), ("node_type", _S, 0), ("file_path", _S), ("start_line", _L), ("end_line", _L), ("summary", _S), ("content_hash", _S), ("created_at", _TS, 0), ("updated_at", _TS, 0))
 EDGES = _table(("id", _S, 0), ("project_id", _S, 0), ("source_id", _S, 0), ("target_id", _S, 0), ("edge_type", _S, 0), ("weight", _D), ("created_at", _TS, 0))
 FACTS = _table(("id", _S, 0), ("project_id", _S, 0), ("node_id", _S), ("fact_type", _S, 0), ("content", _S, 0), ("valid_from", _TS, 0), ("valid_to", _TS), ("superseded_by", _S), ("source_reference", _S), ("created_at", _TS, 0))
-POINTER_CACHE = _table(("id", _S, 0), ("project_id", _S, 0), ("node_id", _S), ("chunk_label", _S), ("file_path", _S), ("start_line", _L), ("end_line", _L), ("summary", _S), ("token_estimate", _L), ("created_at", _TS, 0))
 FILE_HASHES = _table(("project_id", _S, 0), ("file_path", _S, 0), ("content_hash", _S, 0), ("indexed_at", _TS, 0))
 ACCOUNTING = _table(("id", _S, 0), ("project_id", _S, 0), ("session_id", _S, 0), ("query_text", _S, 0), ("pointer_tokens", _L, 0), ("fetched_tokens", _L, 0), ("traditional_est", _L, 0), ("created_at", _TS, 0))
 REGISTRY = _table(("project_id", _S, 0), ("key", _S, 0), ("is_defined", _B, 0), ("is_used", _B, 0), ("created_at", _TS, 0))
@@ -27,7 +26,7 @@ VECTORS = _table(("id", _S, 0), ("project_id", _S, 0), ("vector", T.ArrayType(_t
 FILES = _table(("path", _S, 0), ("ext", _S), ("content", _S, 0))
 
 TABLES: dict[str, T.StructType] = {
-    "nodes": NODES, "edges": EDGES, "temporal_facts": FACTS, "pointer_cache": POINTER_CACHE, "file_hashes": FILE_HASHES,
+    "nodes": NODES, "edges": EDGES, "temporal_facts": FACTS, "file_hashes": FILE_HASHES,
     "accounting": ACCOUNTING, "config_registry": REGISTRY, "fts": FTS, "fts_postings": POSTINGS, "fts_sizes": SIZES, "vectors": VECTORS,
 }
 

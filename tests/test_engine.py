@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 import threading
 
 import pytest
@@ -6,7 +7,6 @@ from pyspark.sql import functions as F
 
 from quarryline.api import Engine, TimedCache, report
 from quarryline.operators import accounting, chunking, envscan, graph, search, temporal
-from quarryline.plans import queries as Q
 from quarryline.plans import schema as S
 from quarryline.sources import store as store_module
 from quarryline.sources.store import Store
@@ -22,10 +22,10 @@ def names(df, all_nodes):
 
 
 def test_literal_gate(spark):
-    n = nodes(spark, "fetch_alerts", "process_alerts", "HandleRequest")
-    assert names(search.literal_search(n, "fetch"), n) == {"fetch_alerts"}
-    assert names(search.literal_search(n, "alerts"), n) == {"fetch_alerts", "process_alerts"}
-    assert names(search.literal_search(n, "handlerequest"), n) == {"HandleRequest"}
+    n = nodes(spark, "load_tides", "merge_tides", "OpenHarbour")
+    assert names(search.literal_search(n, "load"), n) == {"load_tides"}
+    assert names(search.literal_search(n, "tides"), n) == {"load_tides", "merge_tides"}
+    assert names(search.literal_search(n, "openharbour"), n) == {"OpenHarbour"}
 
 
 def test_graph(spark):
@@ -94,25 +94,41 @@ def test_stats(spark):
     assert report(12, 0)["savings_pct"] == pytest.approx(100 * 14 / 15)
 
 
+ENV_FILES = {
+    "/w/.env": ("TIDE_URL=x\nMOON_KEY = abc\nlower=1\nPORT=80\n", [("TIDE_URL", True), ("MOON_KEY", True)]),
+    "/w/a.py": ("import os\nos.getenv('A_ONE'); os.environ[\"A_TWO\"]; os.environ.get('A_THREE', 1)\n", [("A_ONE", False), ("A_TWO", False), ("A_THREE", False)]),
+    "/w/b.ts": ("const { B_ONE, B_TWO: two, B_THREE = 3, lower } = process.env;\nprocess.env.B_FOUR; process.env['B_FIVE']\n", [(f"B_{n}", False) for n in ("ONE", "TWO", "THREE", "FOUR", "FIVE")]),
+    "/w/c.rs": ("let x = std::env::var(\"C_ONE\"); let y = env::var(\"C_TWO\");\n", [("C_ONE", False), ("C_TWO", False)]),
+    "/w/d.sh": ("echo $D_ONE ${D_TWO} $lower\n", [("D_ONE", False), ("D_TWO", False)]),
+    "/w/e.yml": ("env:\n  - E_ONE: 1\n  - E_TWO=2\n  - E_THREE\n  E_FOUR: 4\n", [("E_ONE", True), ("E_TWO", True), ("E_THREE", True)]),
+    "/w/f.md": ("| `F_ONE` | text |\n| F_TWO | $NOT_SHELL |\n", [("F_ONE", True), ("F_TWO", True)]),
+}
+
+
 def test_env(spark):
-    found = {tuple(r) for r in envscan.scan(spark.createDataFrame(Q.ENV_FILES, "path string, content string")).collect()}
-    assert found == set(Q.ENV_FOUND)
-    reg = spark.createDataFrame([("p", "DATABASE_URL", True, True), ("p", "API_KEE", False, True), ("p", "API_KEY", True, False)], "project_id string, key string, is_defined boolean, is_used boolean")
-    assert envscan.validate(reg, "DATABASE_URL") == (True, [])
-    valid, near = envscan.validate(reg, "DATABASE_URI")
-    assert not valid and near[0] == "DATABASE_URL"
+    found = {tuple(r) for r in envscan.scan(spark.createDataFrame([(p, t) for p, (t, _) in ENV_FILES.items()], "path string, content string")).collect()}
+    assert found == {(n, p, d) for p, (_, names_) in ENV_FILES.items() for n, d in names_}
+    reg = spark.createDataFrame([("p", "HARBOUR_URL", True, True), ("p", "TIDE_KEE", False, True), ("p", "TIDE_KEY", True, False)], "project_id string, key string, is_defined boolean, is_used boolean")
+    assert envscan.validate(reg, "HARBOUR_URL") == (True, [])
+    valid, near = envscan.validate(reg, "HARBOUR_URI")
+    assert not valid and near[0] == "HARBOUR_URL"
     assert tuple(envscan.consistency(reg).first()) == (1, 1, 1, "issues_found")
-    assert [tuple(r) for r in envscan.nearest_defined(reg).collect()] == [("API_KEE", "API_KEY")]
+    assert [tuple(r) for r in envscan.nearest_defined(reg).collect()] == [("TIDE_KEE", "TIDE_KEY")]
+
+
+RUST = "pub fn tide(a: u8) -> u8 {\n  if a > 1 { 1 } else { 2 }\n}\nstruct Port {\n  x: u8,\n}\nimpl Show for Port {\n  fn draw(&self) {}\n}\npub trait Moored: Send {\n}\nenum Moon { Full, New }\n"
+SCRIPTS = "export function moor(a) {\n  return a;\n}\nconst sail = async (u) => {\n  go();\n}\nexport default class Deck extends Base {\n}\nconst limit = 3;\n"
+MARKDOWN = "intro\n# Title\ntext\n### deep\n## Section A\na\n## Section B\nb\n"
 
 
 def test_chunks(spark):
-    files = [("a.rs", Q.RUST), ("b.ts", Q.SCRIPTS), ("c.md", Q.MARKDOWN), ("d.toml", "x = 1\ny = 2\n"), ("e.md", ""), ("f.rs", "fn x();\n")]
+    files = [("a.rs", RUST), ("b.ts", SCRIPTS), ("c.md", MARKDOWN), ("d.toml", "x = 1\ny = 2\n"), ("e.md", ""), ("f.rs", "fn x();\n")]
     rows = chunking.chunk_files(spark.createDataFrame([(f"/w/{n}", t) for n, t in files], "path string, content string")).collect()
     got = {(r["path"][3:], r["name"], r["node_type"], r["start_line"], r["end_line"]) for r in rows}
     assert got == {
-        ("a.rs", "hello", "function", 1, 3), ("a.rs", "Config", "struct", 4, 6), ("a.rs", "Config", "impl", 7, 9), ("a.rs", "show", "function", 8, 8),
-        ("a.rs", "Searchable", "trait", 10, 11), ("a.rs", "Status", "enum", 12, 12), ("b.ts", "handleRequest", "function", 1, 3),
-        ("b.ts", "fetchData", "function", 4, 6), ("b.ts", "App", "function", 7, 8), ("c.md", "Title", "document", 2, 4), ("c.md", "Section A", "document", 5, 6),
+        ("a.rs", "tide", "function", 1, 3), ("a.rs", "Port", "struct", 4, 6), ("a.rs", "Port", "impl", 7, 9), ("a.rs", "draw", "function", 8, 8),
+        ("a.rs", "Moored", "trait", 10, 11), ("a.rs", "Moon", "enum", 12, 12), ("b.ts", "moor", "function", 1, 3),
+        ("b.ts", "sail", "function", 4, 6), ("b.ts", "Deck", "function", 7, 8), ("c.md", "Title", "document", 2, 4), ("c.md", "Section A", "document", 5, 6),
         ("c.md", "Section B", "document", 7, 8), ("d.toml", "d.toml", "file", 1, 2), ("f.rs", "x", "function", 1, 1),
     }
     long = "pub fn name(" + "a: u8, " * 20 + ") {}"
@@ -223,3 +239,35 @@ def test_stored_index_follows_changes(spark, tmp_path):
     (root / "a.md").unlink()
     e.index()
     assert found("harbour") == set() and {names[i] for i in found("tide")} == {"b.md"}
+
+
+def test_block_ends_against_a_scan_from_each_start():
+    rng = random.Random(4)
+    for _ in range(200):
+        lines = ["".join(rng.choices("{}x ", k=rng.randint(0, 4))) for _ in range(rng.randint(1, 30))]
+        starts = sorted(rng.choices(range(len(lines)), k=rng.randint(1, 10)))
+        want = []
+        for s in starts:
+            depth, opened, end = 0, False, min(s + 1, len(lines) - 1)
+            for i in range(s, len(lines)):
+                opened = opened or "{" in lines[i]
+                depth += lines[i].count("{") - lines[i].count("}")
+                if opened and depth <= 0:
+                    end = i
+                    break
+            want.append(end)
+        assert chunking.block_ends(lines, starts) == want
+
+
+def test_unchanged_chunks_keep_their_index(spark, tmp_path):
+    root = tmp_path / "work"
+    root.mkdir()
+    (root / "a.rs").write_text("fn tide() {\n  ebb();\n}\nfn moon() {\n  full();\n}\n")
+    e = Engine(spark, str(tmp_path / "store"), str(root))
+    assert e.index()["nodes_created"] == 3
+    (root / "a.rs").write_text("// new line\nfn tide() {\n  ebb();\n}\nfn moon() {\n  waning();\n}\n")
+    assert e.index()["nodes_created"] == 2  # the file and one function
+    assert {(r["name"], r["start_line"]) for r in e.store.read("nodes").where("node_type = 'function'").collect()} == {("tide", 2), ("moon", 5)}
+    assert e.store.read("fts").count() == 3 and e.store.read("edges").count() == 2
+    terms = {r["term"] for r in e.store.read("fts_postings").collect()}
+    assert "waning" in terms and "full" not in terms and e.store.read("fts_sizes").count() == 3

@@ -11,14 +11,14 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first()["x"]
 
 
-@pytest.mark.parametrize(("q", "name", "score"), [("main", "main", 1.0), ("fetch", "fetch_exchange_rate", 0.9), ("service", "rate_service", 0.9), ("rate", "exchange_rate_service", 0.5 + 0.4 * 4 / 21), ("é", "aéb", 0.5 + 0.4 * 2 / 4)])
+@pytest.mark.parametrize(("q", "name", "score"), [("tide", "tide", 1.0), ("load", "load_spring_tides", 0.9), ("table", "tide_table", 0.9), ("tide", "spring_tide_tables_x", 0.5 + 0.4 * 4 / 20), ("é", "aéb", 0.5 + 0.4 * 2 / 4)])
 def test_literal_score(spark, q, name, score):
     assert one(spark, X.literal_score(F.lit(q), F.lit(name))) == pytest.approx(score)
 
 
 def test_query_words():
-    assert X.query_words("NOT main AND test OR foo") == ["main", "test", "foo"]
-    assert X.query_words("/api/alerts handler") == ["api", "alerts", "handler"]
+    assert X.query_words("or ebb NOT flow and moon Near") == ["ebb", "flow", "moon"]
+    assert X.query_words("tide_table/2024 harbour!") == ["tide_table", "2024", "harbour"]
     assert X.query_words("AND OR NOT near") == []
     assert len(X.query_words(" ".join("abcdefghijklmn"))) == 10
     assert X.query_words("日本go") == ["日", "本", "go"]
@@ -30,10 +30,10 @@ def test_bm25_normal(spark, raw, score):
 
 
 def test_vector(spark):
-    assert one(spark, X.vector_tokens(F.lit("fn a fetch_exchange_rate é"))) == ["fn", "fetch_exchange_rate", "é"]
+    assert one(spark, X.vector_tokens(F.lit("my a load_tide_table é"))) == ["my", "load_tide_table", "é"]
     pair = lambda a, b: one(spark, X.cosine_with(X.hash_vector(X.vector_tokens(F.lit(a))), X.query_vector(b)))
-    assert pair("currency exchange rate fetch", "fetch currency rate") > 0.4
-    assert pair("currency exchange rate fetch", "paint wooden fence") < 0.4
+    assert pair("spring tide table load", "load spring table") > 0.4
+    assert pair("spring tide table load", "paint wooden fence") < 0.4
     assert pair("same words same", "same words same") == pytest.approx(1.0)
     assert X.query_vector("a ! ?") is None
 
