@@ -30,7 +30,7 @@ TOOLS = {
     "search": _tool("Search the graph; answers with pointers, not contents.", ("query",)),
     "fetch": _tool("The content of a node.", ("node_id",)),
     "index": _tool("Bring the graph up to date with the workspace."),
-    "stats": _tool("Token savings of today and of all time."),
+    "stats": _tool("Token savings of the session, of today and of all time, or of the time since (12h, 7d).", optional=("since",)),
     "fact": _tool("Record a fact.", ("fact_type", "content")),
     "facts": _tool("Active facts, newest first.", optional=("fact_type",)),
     "validate_env": _tool("Whether an environment variable is known, or what it may have meant.", ("env_var",)),
@@ -42,7 +42,7 @@ def call(engine: Engine, name: str, args: dict):
     """Run a tool; its answer is plain data."""
     get = lambda k: str(args.get(k) or "")
     tools = {
-        "search": lambda: engine.search(get("query")), "fetch": lambda: engine.fetch(get("node_id")), "index": engine.index, "stats": engine.stats,
+        "search": lambda: engine.search(get("query")), "fetch": lambda: engine.fetch(get("node_id")), "index": engine.index, "stats": lambda: engine.stats(args.get("since")),
         "fact": lambda: engine.add_fact(get("fact_type"), get("content")), "facts": lambda: [r.asDict() for r in engine.facts(args.get("fact_type")).collect()],
         "validate_env": lambda: engine.validate_env(get("env_var")), "check_consistency": engine.check_consistency,
     }
@@ -103,8 +103,7 @@ def main(argv: list[str] | None = None) -> int:
     if command == "serve":
         serve(engine, sys.stdin, sys.stdout, a["every"])
     else:
-        answer = engine.stats(a["since"]) if command == "stats" else call(engine, command, a)
-        print(json.dumps(answer, default=str, indent=2))
+        print(json.dumps(call(engine, command, a), default=str, indent=2))
     return 0
 
 

@@ -1,12 +1,13 @@
 import io
 import json
+import time
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from quarryline.api import Engine
-from quarryline.cli import respond, serve
+from quarryline.cli import main, respond, serve
 from quarryline.streaming.reports import windowed_stats
 
 
@@ -26,6 +27,37 @@ def test_rpc(spark, tmp_path):
     assert len(out.getvalue().splitlines()) == 1
 
 
+def test_main(spark, tmp_path, capsys):
+    root = tmp_path / "work"
+    root.mkdir()
+    (root / "a.rs").write_text("pub fn load_tides() {\n  let x = std::env::var(\"TIDE_URL\");\n}\n")
+    (root / ".env").write_text("TIDE_URI=1\n")
+
+    def run(*argv):
+        assert main(["--store", str(tmp_path / "store"), "--root", str(root), *argv]) == 0
+        return json.loads(capsys.readouterr().out)
+
+    assert run("index")["nodes_created"] == 2
+    top = run("search", "load_tides")["pointers"][0]
+    assert top["chunk"] == "load_tides"
+    assert run("fetch", top["id"])["content"].startswith("pub fn load_tides")
+    assert run("fact", "decision", "tides first")["status"] == "recorded" and [f["content"] for f in run("facts", "decision")] == ["tides first"]
+    assert run("validate_env", "TIDE_URX") == {"valid": False, "suggestions": ["TIDE_URI", "TIDE_URL"]}
+    assert run("check_consistency")["unknown"] == [{"variable": "TIDE_URL", "suggestion": "TIDE_URI"}]
+    assert run("stats", "--since", "24h")["cumulative"]["total_queries"] == 2
+
+
+def test_reindex_every(spark, tmp_path):
+    e = Engine(spark, str(tmp_path / "store"), str(tmp_path), project="p")
+    seen = []
+    e.index = lambda: seen.append(1)
+    assert e.reindex_every(0) is None
+    stop = e.reindex_every(0.05)
+    time.sleep(0.4)
+    stop.set()
+    assert seen
+
+
 def test_stream(spark, tmp_path):
     at = datetime(2024, 1, 1)
     rows = [("p", 10, 0, 150, at + timedelta(hours=h)) for h in (0, 5, 30)]
