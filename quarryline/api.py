@@ -166,7 +166,7 @@ class Engine:
 
     def invalidate_fact(self, fact_id: str, superseded_by: str | None = None) -> None:
         ended = self.spark.createDataFrame([(fact_id, self.project, superseded_by)], "id string, project_id string, superseded_by string")
-        self.store.write({"temporal_facts": temporal.invalidate(self.store.read("temporal_facts"), ended)})
+        self.store.change("temporal_facts", lambda facts: temporal.invalidate(facts, ended))
 
     def facts(self, fact_type: str | None = None) -> DataFrame:
         return temporal.active_facts(self.store.read("temporal_facts"), self.project, fact_type)

@@ -271,3 +271,18 @@ def test_unchanged_chunks_keep_their_index(spark, tmp_path):
     assert e.store.read("fts").count() == 3 and e.store.read("edges").count() == 2
     terms = {r["term"] for r in e.store.read("fts_postings").collect()}
     assert "waning" in terms and "full" not in terms and e.store.read("fts_sizes").count() == 3
+
+
+def test_store_merges_appended_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(store_module, "MERGED", 3)
+    store = Store(spark, str(tmp_path))
+    for i in range(5):
+        store.append("accounting", [(str(i), "p", "s", "q", 1, 0, 15, dt.datetime(2024, 1, 1))])
+    assert len(store.current()["accounting"]) < 3 and store.read("accounting").count() == 5
+
+    def change(old):
+        store.append("accounting", [("late", "p", "s", "q", 1, 0, 15, dt.datetime(2024, 1, 1))])
+        return old.where("id <> '0'")
+
+    store.change("accounting", change)
+    assert {r["id"] for r in store.read("accounting").collect()} == {"1", "2", "3", "4", "late"}
