@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.operators import accounting, envscan, graph, ingest, search, temporal
-from quarryline.plans import schema as S
 from quarryline.sources.store import Store
 
 
