@@ -30,6 +30,7 @@ result.  Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -135,13 +136,18 @@ def locate(stretches: list[bytes], low: np.ndarray, high: np.ndarray, window: in
     confirmed = np.flatnonzero(least < most)
     if not len(confirmed):
         return none
-    text = (codes + np.uint32(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
     automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+    text = (codes + np.uint32(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
     for i, at in zip(confirmed.tolist(), whole[order[first[confirmed]]].tolist(), strict=True):
         automaton.add_word(text[at : at + window], i)
     automaton.make_automaton()
-    found = np.fromiter((v for hit in automaton.iter(text) for v in hit), np.int64).reshape(-1, 2)
-    start = found[:, 0] - window + 1
+    # Stretches without a confirmed window, which hold no occurrence, are not streamed.
+    recurs = np.zeros(len(split), bool)
+    recurs[owner[whole[order[np.repeat(least < most, np.diff(np.append(first, len(order))))]]]] = True
+    streamed = np.flatnonzero(recurs[owner])
+    text = (codes[streamed] + np.uint32(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
+    found = np.fromiter(itertools.chain.from_iterable(automaton.iter(text)), np.int64).reshape(-1, 2)
+    start = streamed[found[:, 0] - window + 1]
     kept = least[found[:, 1]] < high[owner[start]]
     start, ids = start[kept], least[found[kept, 1]]
     return owner[start], place[start], ids
@@ -171,9 +177,8 @@ def _located(dealt: DataFrame, window: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in shards(batches):
             key, s, low, high = (shard.column(c).to_numpy() for c in ("key", "s", "low", "high"))
-            _, group = np.unique(np.stack([key, s]), axis=1, return_inverse=True)  # equal stretches of a key are one
-            order = np.argsort(group.reshape(-1), kind="stable")
-            first = np.flatnonzero(np.concatenate(([True], np.diff(group.reshape(-1)[order]) != 0)))
+            order = np.lexsort((s, key))  # equal stretches of a key are one
+            first = np.flatnonzero(np.concatenate(([True], (np.diff(key[order]) != 0) | (np.diff(s[order]) != 0))))
             rows = order[first]
             text = shard.column("stretch").take(pa.array(rows)).to_pylist()
             which, place, ids = locate(text, np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first), window)
@@ -191,7 +196,8 @@ def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     samples = common.stash(_samples(keyed, window, gram), "samples")
     # Counted with map-side sums, so that a sample of a third of all documents is one row a task; the join back is split by Spark where it is uneven.
     often = samples.groupBy("sample").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("many")).where("low < high").select("sample", "many")
-    recurring = samples.join(common.stash(often, "recurring"), "sample")
+    # Each sample is once in the hashed side, so that no task's table depends on how often a sample recurs.
+    recurring = samples.join(common.stash(often, "recurring").hint("shuffle_hash"), "sample")
     cuts = recurring.groupBy("d", "h").agg(F.collect_set(F.struct("sample", "at", "n", (F.col("many") > HOT).alias("hot"))).alias("cuts")).withColumnsRenamed({"d": "cd", "h": "ch"})
     cuts = common.stash(cuts, "recurring-samples")
     common.unstash(samples)
