@@ -28,6 +28,7 @@ import zlib
 from array import array
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -39,6 +40,8 @@ OPEN, PIECES = 512, 100_000
 END_ID = 1
 #: Words whose ids a worker remembers at most; beyond that it starts anew.
 REMEMBERED = 1_200_000
+#: New words that are encoded as one text.
+TOGETHER = 512
 
 _FIELDS = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -47,7 +50,8 @@ class _Encoder:
     """Token ids of whole texts as little-endian unsigned 32-bit bytes.
 
     This tokenizer parts words at white space before anything else, so a text's ids are its blank-parted words' ids in
-    a row, and a word need be encoded once only.  Special tokens' strings hold no white space, so they stay whole.
+    a row, and a word need be encoded once only.  Special tokens' strings hold no white space, so they stay whole.  New
+    words are encoded together, as one text, and the ids given to them by the places in it that they come from.
     """
 
     def __init__(self, tokenizer_path: str, special_as_text: bool = False):
@@ -63,12 +67,31 @@ class _Encoder:
             known.clear()
             known[""] = b""
         split = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list(dict.fromkeys(w for words in split for w in words if w not in known))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = array("I", e.ids).tobytes()
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+        found = [list(map(known.get, words)) for words in split]  # one look for each word
+        holes = []
+        for words, ids in zip(split, found, strict=True):
+            at = -1
+            for _ in range(ids.count(None)):
+                at = ids.index(None, at + 1)
+                holes.append((ids, at, words[at]))
+        new = list(dict.fromkeys(w for _, _, w in holes))
+        for at in range(0, len(new), TOGETHER):
+            part = new[at : at + TOGETHER]
+            known.update(zip(part, self._ids(part), strict=True))
+        for ids, at, w in holes:
+            ids[at] = known[w]
+        return [b"".join(ids) for ids in found]
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The ids of each word as bytes."""
+        encoded = self.tokenizer.encode(" ".join(words), add_special_tokens=False)
+        ids = np.array(encoded.ids, "<u4").tobytes()
+        places = np.fromiter((a for a, _ in encoded.offsets), np.int64, len(ids) // 4)
+        if (np.diff(places) < 0).any():  # never seen; then each word by itself
+            return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        ends = np.cumsum([len(w) + 1 for w in words])
+        cuts = [0, *(4 * np.searchsorted(places, ends)).tolist()]
+        return [ids[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
 
 
 def tokenise(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID, ids: bool = False, special_as_text: bool = False) -> DataFrame:
