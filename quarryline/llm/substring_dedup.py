@@ -30,6 +30,7 @@ result.  Columns other than the id and the text are ignored.
 
 from __future__ import annotations
 
+import collections
 import itertools
 from collections.abc import Iterator
 
@@ -118,12 +119,11 @@ def locate(stretches: list[bytes], low: np.ndarray, high: np.ndarray, window: in
     import ahocorasick
 
     none = (np.empty(0, np.int64),) * 3
-    split = [s.split(b" ") for s in stretches]
-    flat = [w for words in split for w in (*words, b" ")]
-    numbers = {w: i for i, w in enumerate(dict.fromkeys(flat))}
+    flat = (b" \n ".join(stretches) + b" \n").split(b" ")  # a newline is no word and ends a stretch
+    numbers: dict[bytes, int] = collections.defaultdict(itertools.count().__next__)
     codes = np.fromiter(map(numbers.__getitem__, flat), np.uint32, len(flat))
-    size = np.fromiter(map(len, split), np.int64, len(split)) + 1
-    owner = np.repeat(np.arange(len(split)), size)
+    size = np.diff(np.flatnonzero(codes == numbers[b"\n"]), prepend=-1)
+    owner = np.repeat(np.arange(len(size)), size)
     begin = np.cumsum(size) - size
     place = np.arange(len(codes)) - begin[owner]
     whole = np.flatnonzero(place <= size[owner] - 1 - window)
@@ -142,7 +142,7 @@ def locate(stretches: list[bytes], low: np.ndarray, high: np.ndarray, window: in
         automaton.add_word(text[at : at + window], i)
     automaton.make_automaton()
     # Stretches without a confirmed window, which hold no occurrence, are not streamed.
-    recurs = np.zeros(len(split), bool)
+    recurs = np.zeros(len(size), bool)
     recurs[owner[whole[order[np.repeat(least < most, np.diff(np.append(first, len(order))))]]]] = True
     streamed = np.flatnonzero(recurs[owner])
     text = (codes[streamed] + np.uint32(0x10000)).astype("<u4").tobytes().decode("utf-32-le")
