@@ -357,3 +357,17 @@ def test_closing_bins_on_many_pieces():
         assert offset == held.get(number, 0)
         held[number] = offset + length
     assert max(held.values()) <= 4096 and len(held) <= 1.02 * sum(lengths) / 4096
+
+
+def test_words_encoded_together():
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    words = ["a", "it's", "x<|endoftext|>y", "<|startoftext|>", "é", "e\u0301", "\u0301x", "İstanbul", "ﬁne", "\u200b", "\u3000a", "a\u00a0b", "\t", "½²", "日本語", "🙂🙂x", "\x00a", "\x1cb", "가", "\u1112\u1161", "ẞ", "don't'll", "x" * 5000, ""]
+    rng = np.random.default_rng(1)
+    words += ["".join(chr(int(c)) for c in rng.choice([*range(33, 0x250), *range(0x300, 0x370), *range(0x1E00, 0x1E20), 0x200D, 0x1F600, 0x0F71], int(rng.integers(1, 9)))) for _ in range(3000)]
+    words = [w for w in words if " " not in w and "\n" not in w]
+    got = packing._Encoder(packing.default_tokenizer())([w for w in words])
+    assert got == [np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
+    texts = [" ".join(rng.choice(words, 40)) for _ in range(50)]
+    assert packing._Encoder(packing.default_tokenizer())(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
