@@ -43,8 +43,8 @@ def collecting(spark: SparkSession) -> Iterator[list[Callable[[], None]]]:
         _collections(spark).pop()
 
 
-def stash(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it back.
+def stash(df: DataFrame, name: str = "step", compression: str = "zstd") -> DataFrame:
+    """Write df as a table in the shared folder and read it back.  Columns of hashes gain nothing from compression.
 
     The write's own shuffle files are removed once it is done.  The table is deleted by `unstash`, or when the driver's process ends.
     """
@@ -53,7 +53,7 @@ def stash(df: DataFrame, name: str = "step") -> DataFrame:
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
