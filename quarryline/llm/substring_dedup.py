@@ -193,7 +193,7 @@ def _located(dealt: DataFrame, window: int) -> DataFrame:
 def removed_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """d, h (hash of the text) and starts, the first words of the windows to remove, for documents that have any."""
     keyed = common.id_and_text(docs, id_col, text_col).where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), "text")
-    samples = common.stash(_samples(keyed, window, gram), "samples")
+    samples = common.stash(_samples(keyed, window, gram), "samples", "none")
     # Counted with map-side sums, so that a sample of a third of all documents is one row a task; the join back is split by Spark where it is uneven.
     often = samples.groupBy("sample").agg(F.min("d").alias("low"), F.max("d").alias("high"), F.count("*").alias("many")).where("low < high").select("sample", "many")
     # Each sample is once in the hashed side, so that no task's table depends on how often a sample recurs.
