@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, jaccard_join, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, substring_dedup, url_filter
+from . import decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, substring_dedup, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_crf.op1,
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_jaccard_join": jaccard_join.op8,
     "op9_decontamination": decontaminate.op9,
     "op10_line_dedup": line_dedup.op10,
+    "op11_filter_audit": filter_audit.op11,
 }
 
 SQL: dict[str, str] = {
@@ -25,4 +26,5 @@ SQL: dict[str, str] = {
     "op8_jaccard_join": jaccard_join.SQL,
     "op9_decontamination": decontaminate.SQL,
     "op10_line_dedup": line_dedup.SQL,
+    "op11_filter_audit": filter_audit.SQL,
 }
