@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, substring_dedup, url_filter
+from . import decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, source_mixing, substring_dedup, url_filter
 
 QUERIES = {
     "op1_quality_classifier": quality_crf.op1,
@@ -17,6 +17,7 @@ QUERIES = {
     "op9_decontamination": decontaminate.op9,
     "op10_line_dedup": line_dedup.op10,
     "op11_filter_audit": filter_audit.op11,
+    "op12_source_mixing": source_mixing.op12,
 }
 
 SQL: dict[str, str] = {
