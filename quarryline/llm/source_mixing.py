@@ -8,7 +8,7 @@ the end, LANDING documents of a source at most, is a small problem whose outcome
 words, then in documents, is taken.
 
 It is done in levels.  A source's documents are dealt over buckets of about BUCKET by a hash of the id, as many as its rows ask for,
-so a hot source is many buckets.  A bucket is streamed through and leaves two undecided documents at most; those of FAN
+so a hot source is many buckets.  A bucket is streamed through and leaves its LANDING largest undecided documents at most; those of FAN
 buckets are one bucket of the next level, until a source has one.  Buckets, order and draws depend on the rows only, so a rerun
 gives the same result on any cluster.
 
@@ -35,7 +35,7 @@ from .common import binary, map_arrow, quoted, stash
 #: Weights by the place of a source; the words to take in all, and from a source at most, as multiples of its words.
 WEIGHTS, SHARE, MOST = (3, 1, 2), Fraction(3, 2), 2
 #: Documents of a bucket, buckets that meet in one at the next level, and undecided documents that are settled by trying all outcomes.
-BUCKET, FAN, LANDING = 1000, 250, 12
+BUCKET, FAN, LANDING = 1000, 100, 14
 
 _SIZES = "doc_id long, source string, size long"
 #: Words and documents are two constraints, so three documents have a direction to move in.
@@ -107,6 +107,11 @@ def step(units: list[list]) -> None:
         u[0] = float(move * w > 0) if k == first else 0.0 if p < 1e-12 else 1.0 if p > 1 - 1e-12 else p
 
 
+def smallest(pool: list[list]) -> list[list]:
+    """The three smallest units: the large ones, which no step can weigh out, remain for landing."""
+    return sorted(pool, key=lambda u: u[1])[:_FREE]
+
+
 def land(units: list[list]) -> None:
     """Decide the last units together: of all outcomes the nearest in words, then in documents."""
     if not units:
@@ -124,7 +129,7 @@ _UNIT = "doc_id long, source string, size long, base long, source_size long, tar
 
 
 def _flight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of _UNIT sorted by source and bucket: the same rows, decided but for two a bucket where the source has several."""
+    """Rows of _UNIT sorted by source and bucket: the same rows, decided but for LANDING a bucket where the source has several."""
     key, pool, last = None, [], False
 
     def finish() -> list[list]:
@@ -139,8 +144,8 @@ def _flight(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 done += finish()
                 key, pool, last = (row[1], row[7]), [], row[6] == 1
             pool.append([row[9], row[2], row[8], row])  # probability, size, draw
-            while len(pool) > (LANDING if last else _FREE - 1):
-                step(pool[:_FREE])
+            while len(pool) > LANDING:
+                step(smallest(pool))
                 done += [u for u in pool if u[0] in (0.0, 1.0)]
                 pool = [u for u in pool if u[0] not in (0.0, 1.0)]
         yield _rows(done, batch.schema)
