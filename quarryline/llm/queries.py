@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, source_mixing, substring_dedup, url_filter
+from . import decontaminate, filter_audit, jaccard_join, language_id, license_scan, line_dedup, packing, quality_crf, quality_rules, source_mixing, substring_dedup, url_filter, vector_codes
 
 QUERIES = {
     "op1_quality_classifier": quality_crf.op1,
@@ -18,6 +18,7 @@ QUERIES = {
     "op10_line_dedup": line_dedup.op10,
     "op11_filter_audit": filter_audit.op11,
     "op12_source_mixing": source_mixing.op12,
+    "op13_vector_codes": vector_codes.op13,
 }
 
 SQL: dict[str, str] = {
@@ -28,4 +29,5 @@ SQL: dict[str, str] = {
     "op9_decontamination": decontaminate.SQL,
     "op10_line_dedup": line_dedup.SQL,
     "op11_filter_audit": filter_audit.SQL,
+    "op13_vector_codes": vector_codes.SQL,
 }
