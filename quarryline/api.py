@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.operators import accounting, envscan, graph, ingest, search, temporal
-from quarryline.sources.store import Store
+from quarryline.sources.store import Snapshot, Store
 
 
 class TimedCache:
@@ -55,8 +55,9 @@ class Engine:
 
     # Searching
 
-    def _full_text(self, query: str) -> DataFrame:
-        return search.fts_search_stored(self.store.read("fts_postings"), self.store.read("fts_sizes"), self.store.read("nodes"), query, self.project)[1]
+    def _full_text(self, query: str, now: Snapshot | None = None) -> DataFrame:
+        now = now or self.store.snapshot()
+        return search.fts_search_stored(now.read("fts_postings"), now.read("fts_docs"), now.read("fts_terms"), query, self.project)[1]
 
     def _forget(self) -> None:
         self.searches.clear()
@@ -68,8 +69,10 @@ class Engine:
         key = (query.strip().lower(), top_k)
         answer = self.searches.get(key)
         if answer is None:
-            nodes = self.store.read("nodes")
-            found = search.pointers(search.cascade(nodes, lambda: self._full_text(query), self.store.read("vectors"), query, top_k, self.project), nodes)
+            now = self.store.snapshot()
+            nodes = now.read("nodes", self.project)
+            near = lambda: search.vector_search_stored(now.read("vector_lists", self.project), now.read("vector_docs", self.project), query, self.project)
+            found = search.pointers(search.cascade(nodes, lambda: self._full_text(query, now), near, query, top_k, self.project), nodes)
             rows = [r.asDict() for r in found.orderBy(F.desc(F.round("relevance", 9)), "id").collect()]  # top_k rows
             tokens = sum(r.pop("tokens") for r in rows)
             answer = {"pointers": rows, "accounting": report(tokens, 0)}
@@ -82,7 +85,7 @@ class Engine:
             raise ValueError("node_id must not be empty")
         answer = self.fetches.get(node_id)
         if answer is None:
-            node = graph.get_node(self.store.read("nodes"), node_id, self.project).first()
+            node = graph.get_node(self.store.read("nodes", self.project), node_id, self.project).first()
             if node is None:
                 raise LookupError(f"node not found: {node_id}")
             content = self._content(node["file_path"], node["start_line"], node["end_line"])
@@ -112,6 +115,7 @@ class Engine:
     def index(self) -> dict:
         done = ingest.ingest(self.store, self.root, self.project)
         self._forget()
+        self.store.vacuum()
         return asdict(done)
 
     def reindex_every(self, seconds: float = 300.0) -> threading.Event | None:
@@ -131,10 +135,10 @@ class Engine:
 
     def _record(self, query: str, pointer: int, fetched: int, traditional: int) -> None:
         now = dt.datetime.now(dt.timezone.utc)
-        self.store.append("accounting", [(time.time_ns(), self.project, self.session, query, pointer, fetched, traditional, now)])
+        self.store.append("accounting", [(time.time_ns(), self.project, self.session, query, pointer, fetched, traditional, now)], self.project)
 
     def stats(self, since: str | None = None) -> dict:
-        log = self.store.read("accounting")
+        log = self.store.read("accounting", self.project)
         seconds = X.parse_since(since) if since else None
         now = F.current_timestamp()
         zone = self.spark.conf.get("spark.sql.session.timeZone")
@@ -160,23 +164,23 @@ class Engine:
             raise ValueError("fact_type and content must not be empty")
         one = self.spark.createDataFrame([(fact_type, content, node_id, source)], "fact_type string, content string, node_id string, source_reference string")
         rows = temporal.fact_rows(one, self.project, F.lit(dt.datetime.now(dt.timezone.utc)))
-        self.store.append("temporal_facts", rows)
+        self.store.append("temporal_facts", rows, self.project)
         return {"id": rows.first()["id"], "status": "recorded"}
 
     def invalidate_fact(self, fact_id: str, superseded_by: str | None = None) -> None:
         ended = self.spark.createDataFrame([(fact_id, self.project, superseded_by)], "id string, project_id string, superseded_by string")
-        self.store.change("temporal_facts", lambda facts: temporal.invalidate(facts, ended))
+        self.store.update(lambda now: temporal.invalidation(now, self.project, ended))
 
     def facts(self, fact_type: str | None = None) -> DataFrame:
-        return temporal.active_facts(self.store.read("temporal_facts"), self.project, fact_type)
+        return temporal.active_facts(self.store.read("temporal_facts", self.project), self.project, fact_type)
 
     def fact_history(self, node_id: str) -> DataFrame:
-        return temporal.fact_history(self.store.read("temporal_facts"), node_id, self.project)
+        return temporal.fact_history(self.store.read("temporal_facts", self.project), node_id, self.project)
 
     # Environment variables
 
     def _registry(self) -> DataFrame:
-        return self.store.read("config_registry").where(F.col("project_id") == self.project)
+        return self.store.read("config_registry", self.project).where(F.col("project_id") == self.project)
 
     def validate_env(self, env_var: str) -> dict:
         if not env_var.strip():
@@ -194,7 +198,8 @@ class Engine:
     # Graph
 
     def neighbors(self, node_id: str) -> DataFrame:
-        return graph.neighbors(self.store.read("nodes"), self.store.read("edges"), node_id, self.project)
+        now = self.store.snapshot()
+        return graph.neighbors(now.read("nodes"), now.read("edges", self.project), node_id, self.project)
 
 
 def report(pointer: int, fetched: int) -> dict:

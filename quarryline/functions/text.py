@@ -47,6 +47,12 @@ def query_words(query: str) -> list[str]:
     return words[:QUERY_WORDS]
 
 
+def query_words_of(column: Column) -> Column:
+    """The column form of query_words."""
+    words = F.regexp_extract_all(column, F.lit(rf"[{_CJK}]|[\p{{L}}\p{{N}}_&&[^{_CJK}]]+"), F.lit(0))
+    return F.slice(F.filter(words, lambda w: ~F.upper(w).isin(*sorted(OPERATORS))), 1, QUERY_WORDS)
+
+
 @cache
 def _accents() -> tuple[str, str]:
     """Lower-case Latin letters with marks, and their base letters."""

@@ -66,9 +66,12 @@ EDGE_KEY = ["source_id", "target_id", "edge_type"]
 
 def insert_edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """The next snapshot: of edges between the same nodes with the same type the first stays (old ones, then by time and id)."""
+    return old.unionByName(first_edges(new).join(old.select(*EDGE_KEY), EDGE_KEY, "left_anti"))
+
+
+def first_edges(new: DataFrame) -> DataFrame:
     first = Window.partitionBy(*EDGE_KEY).orderBy("created_at", "id")
-    fresh = new.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
-    return old.unionByName(fresh.join(old.select(*EDGE_KEY), EDGE_KEY, "left_anti"))
+    return new.withColumn("__r", F.row_number().over(first)).where("__r = 1").drop("__r")
 
 
 def nodes_of_files(nodes: DataFrame, files: DataFrame, project: str) -> DataFrame:

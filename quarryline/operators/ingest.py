@@ -1,8 +1,8 @@
-"""Incremental ingestion: what changed, what vanished, and the next snapshots.
+"""Incremental ingestion: what changed, what vanished, and the change that follows.
 
 A changed file's nodes, edges and hashes are all replaced, but of its chunks only
 those whose content changed are indexed again: ids depend on what a chunk is, so the
-index rows of the others still fit.  A vanished file's rows go, its hashes included, so
+index rows of the others still fit.  What is written follows what changed.  A vanished file's rows go, its hashes included, so
 that it is indexed again if it comes back.  Hashes are taken of the text as it was
 decoded.
 """
@@ -17,9 +17,13 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import chunking, envscan, graph, search
 from quarryline.plans import schema as S
-from quarryline.sources.store import Store
+from quarryline.sources.scratch import stash
+from quarryline.sources.store import Change, Snapshot, Store
 from quarryline.sources.workspace import EXTENSIONS, read_workspace
 
+#: Ids up to which they are named in a filter.
+FEW = 1000
+
 
 @dataclass(frozen=True)
 class Report:
@@ -67,65 +71,89 @@ def chunk_nodes(chunks: DataFrame, project: str) -> DataFrame:
     return graph.node_rows(rows, project)
 
 
-def _indexes(store: Store, stale: DataFrame, texts: DataFrame, doomed: DataFrame, made: DataFrame) -> dict[str, DataFrame]:
-    """The next snapshots of the search indexes: text entries of stale nodes and vectors of doomed ones go, those of texts and new nodes are added."""
+def rows_of(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows with these ids (column id): of a few by a filter, by which a scan of sorted segments skips what cannot hold them."""
+    few = [r["id"] for r in ids.select("id").distinct().limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        return df.where(F.col(column).isin(*few)) if few else df.limit(0)
+    return df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+
 
-    def kept(table: str, key: str, gone: DataFrame) -> DataFrame:
-        return store.read(table).join(gone.select(F.col("id").alias("gone")).distinct(), F.col(key) == F.col("gone"), "left_anti")
+def text_changes(now: Snapshot, project: str, texts: DataFrame, stale: DataFrame) -> list[Change]:
+    """What adding full-text rows, and taking away those of stale nodes (column id), changes in the text index.
 
-    index = search.fts_index(texts)
-    postings = kept("fts_postings", "node_id", stale).unionByName(search.fts_postings(index))
-    return {
-        "fts_postings": postings.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id"),
-        "fts_sizes": kept("fts_sizes", "node_id", stale).unionByName(search.fts_sizes(index)),
-        "vectors": kept("vectors", "id", doomed).unionByName(search.vector_index(made)),
-    }
+    Both are read and written in proportion to themselves: old rows stay where they are, hidden by tombstones, and the statistics get
+    counts of what comes and, negative, of what goes.
+    """
+    texts = stash(texts.repartitionByRange("node_id").sortWithinPartitions("node_id"), "texts")
+    gone = rows_of(now.read("fts", project), "node_id", stale)
+    counts = search.added_counts(search.term_counts(texts).unionByName(search.term_counts(gone, -1))).where("df <> 0 OR total <> 0")
+    index = search.text_index(texts)
+    return [
+        Change("fts", project, add=texts, remove=stale.select(F.col("id").alias("key"))),
+        Change("fts_terms", project, add=counts.repartitionByRange("term").sortWithinPartitions("term")),
+        *(Change(table, project, add=df) for table, df in index.items()),
+    ]
 
 
 def ingest(store: Store, root: str, project: str) -> Report:
-    """Bring the store up to what the folder holds now."""
-    spark = store.spark
-    everything = read_workspace(spark, root, env_files=True).persist()
+    """Bring the store up to what the folder holds now, in one change."""
+    everything = read_workspace(store.spark, root, env_files=True).persist()
+    found: list[Report] = []
     try:
-        base = F.substring_index("path", "/", -1)
-        indexable = F.regexp_extract(base, r"^.+\.([^.]+)$", 1).isin(*sorted(EXTENSIONS))
-        readable = everything.where(F.col("content").isNotNull())
-        store.write({"config_registry": store.read("config_registry").where(F.col("project_id") != project).unionByName(envscan.registry(envscan.scan(readable), project))})
-
-        files = everything.where(indexable)
-        hashes, nodes, edges, fts = (store.read(t) for t in ("file_hashes", "nodes", "edges", "fts"))
-        judged = classify_files(files.where(F.col("content").isNotNull()), hashes, project).persist()
-        changed = judged.where("changed").select("path", "content", "hash")
-        paths = changed.select(F.col("path").alias("file_path"))
-        gone = stale_paths(graph.file_paths(nodes, project), files)
-        doomed = graph.nodes_of_files(nodes, paths.unionByName(gone), project)
-        chunks = chunking.chunk_files(changed)
-        fresh = changed_chunks(chunks, hashes, project)
-        own, parts = file_nodes(changed, project), chunk_nodes(chunks, project)
+        store.update(lambda now: _changes(now, everything, project, found))
+        return found[-1]
+    finally:
+        everything.unpersist()
+
+
+def _changes(now: Snapshot, everything: DataFrame, project: str, found: list[Report]) -> list[Change]:
+    """What makes a state of the store agree with the files; its report is added to `found`."""
+    base = F.substring_index("path", "/", -1)
+    indexable = F.regexp_extract(base, r"^.+\.([^.]+)$", 1).isin(*sorted(EXTENSIONS))
+    readable = everything.where(F.col("content").isNotNull())
+    out = []
+    registry, known = stash(envscan.registry(envscan.scan(readable), project), "registry"), now.read("config_registry", project)
+    a, b = (df.select("project_id", "key", "is_defined", "is_used") for df in (registry, known))
+    if a.exceptAll(b).unionByName(b.exceptAll(a)).head() is not None:
+        out.append(Change("config_registry", project, add=registry, replace=True))
+
+    files = everything.where(indexable)
+    hashes, nodes = now.read("file_hashes", project), now.read("nodes", project)
+    judged = stash(classify_files(files.where(F.col("content").isNotNull()), hashes, project), "judged")
+    changed = judged.where("changed").select("path", "content", "hash")
+    paths = changed.select(F.col("path").alias("file_path"))
+    gone = stale_paths(graph.file_paths(nodes, project), files)
+    touched = paths.unionByName(gone)
+    counts, total = judged.agg(F.count("*").alias("n"), F.count_if("changed").alias("c")).first(), files.count()
+    if counts["c"] or not gone.isEmpty():
+        doomed = stash(graph.nodes_of_files(nodes, touched, project), "doomed")
+        chunks = stash(chunking.chunk_files(changed), "chunks")
+        fresh = stash(changed_chunks(chunks, hashes, project), "fresh")
+        made = file_nodes(changed, project).unionByName(chunk_nodes(chunks, project))
         key = lambda kind, name, ordinal: S.stable_id(F.lit(project), F.col("path"), kind, name, ordinal)
         file_id, part_id = key(F.lit("file"), F.col("path"), F.lit(-1)), key(F.col("node_type"), F.col("name"), F.col("ordinal"))
-        # What is doomed and not among the unchanged chunks goes from the indexes.
+        # What is doomed and not among the unchanged chunks goes from the text index.
         same = chunks.select(part_id.alias("id")).join(fresh.select(part_id.alias("id")), "id", "left_anti")
-        stale = doomed.join(same, "id", "left_anti")
-        old_nodes, old_edges, _ = graph.cascade_delete(nodes, edges, fts, doomed)
-        old_fts = graph.cascade_delete(nodes, edges, fts, stale)[2]
         links = graph.edge_rows(chunks.select(file_id.alias("source_id"), part_id.alias("target_id"), F.lit("contains").alias("edge_type"), F.lit(1.0).alias("weight")), project)
         texts = changed.select(file_id.alias("node_id"), F.lit(project).alias("project_id"), F.col("path").alias("name"), "content", F.col("path").alias("file_path")).unionByName(
             fresh.select(part_id.alias("node_id"), F.lit(project).alias("project_id"), "name", "content", F.col("path").alias("file_path"))
         )
-        now = F.current_timestamp()
-        new_hashes = changed.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path"), F.col("hash").alias("content_hash"), now.alias("indexed_at")).unionByName(
-            chunks.select(F.lit(project).alias("project_id"), chunk_key().alias("file_path"), content_hash(F.col("content")).alias("content_hash"), now.alias("indexed_at"))
+        time = F.current_timestamp()
+        new_hashes = changed.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path"), F.col("hash").alias("content_hash"), time.alias("indexed_at")).unionByName(
+            chunks.select(F.lit(project).alias("project_id"), chunk_key().alias("file_path"), content_hash(F.col("content")).alias("content_hash"), time.alias("indexed_at"))
         )
-        owner = F.substring_index("file_path", "::", 1)
-        touched = paths.unionByName(gone).select(F.col("file_path").alias("__f"))
-        old_hashes = hashes.join(touched, (owner == F.col("__f")) & (F.col("project_id") == project), "left_anti")
-        counts = judged.agg(F.count("*").alias("n"), F.count_if("changed").alias("c")).first()
-        made = own.unionByName(parts)
-        created = counts["c"] + fresh.count() if counts["c"] else 0
-        if counts["c"] or not gone.isEmpty():
-            store.write({"nodes": old_nodes.unionByName(made), "edges": graph.insert_edges(old_edges, links), "fts": old_fts.unionByName(texts), "file_hashes": old_hashes.unionByName(new_hashes)} | _indexes(store, stale, texts, doomed, made))
-        total = files.count()
-        return Report(total, counts["c"], counts["n"] - counts["c"], total - counts["n"], created)
-    finally:
-        everything.unpersist()
+        ids, vectors = doomed.select(F.col("id").alias("key")), stash(search.vector_index(made), "vectors")
+        out += [
+            Change("nodes", project, add=made, remove=ids),
+            Change("edges", project, add=graph.first_edges(links), remove=ids),
+            Change("vectors", project, add=vectors, remove=ids),
+            *(Change(table, project, add=df) for table, df in search.vector_lists(vectors).items()),
+            Change("file_hashes", project, add=new_hashes, remove=touched.select(F.col("file_path").alias("key"))),
+            *text_changes(now, project, texts, doomed.join(same, "id", "left_anti")),
+        ]
+        created = counts["c"] + fresh.count()
+    else:
+        created = 0
+    found.append(Report(total, counts["c"], counts["n"] - counts["c"], total - counts["n"], created))
+    return out

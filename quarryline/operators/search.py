@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.sources.scratch import stash
+from quarryline.sources.store import COMBINED, DERIVED
 
 #: Candidates of each tier, results of a front end, and the least cosine.
 TIER_LIMIT, TOP_K, MIN_COSINE = 20, 10, 0.20
@@ -20,6 +23,8 @@ LITERAL, FULL_TEXT, VECTOR = "L0Literal", "L1Fts", "L2Vector"
 #: What a tier adds to a score when a node was found by several.
 BONUS = {LITERAL: 0.3, FULL_TEXT: 0.1, VECTOR: 0.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
+#: Rows of a span of the text index; spans a top-k search begins with, and spans up to which it names those it goes on with in a filter.
+SPAN, FIRST_SPANS, MOST_SPANS = 128, 8, 500
 #: Stands between the columns of an index row, so that no phrase runs across.
 _EDGE = "\u0001"
 
@@ -46,16 +51,47 @@ def fts_index(rows: DataFrame) -> DataFrame:
     return rows.select("node_id", "project_id", F.explode(F.array(toks)).alias("toks")).withColumn("size", F.size("toks") - 2)
 
 
-def fts_postings(index: DataFrame) -> DataFrame:
-    """The inverted index: term, node_id, project_id, size and the term's positions, sorted by term, so that a query reads only what may hold its terms."""
-    each = index.select("node_id", "project_id", "size", F.posexplode("toks").alias("at", "term")).where(F.col("term") != _EDGE)
-    held = each.groupBy("term", "node_id", "project_id", "size").agg(F.sort_array(F.collect_list("at")).alias("positions"))
-    return held.repartitionByRange("term", "node_id").sortWithinPartitions("term", "node_id").select("term", "node_id", "project_id", "size", "positions")
+def text_index(rows: DataFrame) -> dict[str, DataFrame]:
+    """The inverted index of full-text rows, as the tables fts_docs and fts_postings.
+
+    Rows are numbered by size and parted into spans of SPAN, so that a hot term is as many rows as it has spans.  A row of fts_postings is a term's
+    block in a span: the rows that hold it by their places there, how often, and at which positions.  `top` bounds what the term gives any of
+    them: its largest BM25 share with the average size `avg` that the index was built with.
+    """
+    seg, place = uuid.uuid4().hex, ("span", "at")
+    ordered = fts_index(rows).repartitionByRange("size", "node_id").sortWithinPartitions("size", "node_id").withColumn("no", F.monotonically_increasing_id())
+    index = stash(ordered.select(F.floor(F.col("no") / SPAN).alias("span"), (F.col("no") % SPAN).cast("int").alias("at"), "node_id", "project_id", "size", "toks"), "text-index")
+    avg = F.lit(max(index.agg(F.avg("size")).first()[0] or 0.0, 1e-9))
+    each = index.select(*place, "size", F.posexplode("toks").alias("pos", "term")).where(F.col("term") != _EDGE).repartition("term", "span")
+    held = each.groupBy("term", *place, "size").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
+    row = F.struct("at", "tf", "positions")
+    blocks = held.groupBy("term", "span").agg(F.max(bm25_share(F.col("tf"), F.col("size"), avg)).alias("top"), F.sort_array(F.collect_list(row)).alias("r"))
+    lists = blocks.select("term", F.lit(seg).alias("seg"), "span", avg.alias("avg"), "top", F.col("r.at").alias("at"), F.col("r.tf").alias("tf"), F.col("r.positions").alias("positions"))
+    return {"fts_docs": index.select(F.lit(seg).alias("seg"), *place, "node_id", "project_id", "size"), "fts_postings": lists.repartitionByRange("term", "span").sortWithinPartitions("term", "span")}
+
+
+def term_counts(rows: DataFrame, sign: int = 1) -> DataFrame:
+    """term, df (rows that hold it) and total; the empty term counts the rows and their sizes.  With sign -1, what goes with the rows.
+
+    Counts of any pieces add up, so a change keeps the statistics with a few rows of its own.
+    """
+    one, zero = F.lit(sign).cast("long"), F.lit(0).cast("long")
+    held = F.transform(F.array_remove(F.array_distinct("toks"), _EDGE), lambda t: F.struct(t.alias("term"), zero.alias("size")))
+    every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.col("size").cast("long").alias("size"))), held)
+    return added_counts(fts_index(rows).select(F.inline(every)).select("term", one.alias("df"), (one * F.col("size")).alias("total")))
+
+
+def added_counts(counts: DataFrame) -> DataFrame:
+    return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
+
+
+DERIVED["fts"] = (("fts_docs", "fts_postings"), text_index)
+COMBINED["fts_terms"] = added_counts
 
 
-def fts_sizes(index: DataFrame) -> DataFrame:
-    """node_id, project_id, size of every row, for what BM25 needs of rows that a query does not hit."""
-    return index.select("node_id", "project_id", "size")
+def bm25_share(tf: Column, size: Column, average: Column) -> Column:
+    """What a term with inverse document frequency 1 gives a row."""
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / average))
 
 
 def phrase_count(toks: Column, phrase: list[str], prefix: bool = False) -> Column:
@@ -102,21 +138,106 @@ def fts_search(index: DataFrame, nodes: DataFrame, query: str, project: str | No
     return _ranked(rows, total, plans, nodes, project, limit)
 
 
-def fts_search_stored(postings: DataFrame, sizes: DataFrame, nodes: DataFrame, query: str, project: str | None = None, limit: int = TIER_LIMIT) -> tuple[str | None, DataFrame]:
-    """fts_search from the inverted index: reads only the query's terms, whose range the scan prunes by."""
-    plans = strategies(query)
-    if not plans:
-        return None, _nothing(postings)
-    wanted = sorted({(t, prefix and i == len(p) - 1) for _, p, prefix in _phrases(plans) for i, t in enumerate(p)})
-    if not wanted:
-        return None, _nothing(postings)
-    is_slot = [F.col("term").startswith(t) if prefix else F.col("term") == t for t, prefix in wanted]
-    slots = [F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(f"s{k}") for k, c in enumerate(is_slot)]
-    hit = is_slot[0]
-    for c in is_slot[1:]:
-        hit = hit | c
-    held = postings.where(hit).groupBy("node_id", "project_id", "size").agg(*slots)
+def fts_search_stored(postings: DataFrame, docs: DataFrame, terms: DataFrame, query: str, project: str | None = None, limit: int = TIER_LIMIT) -> tuple[str | None, DataFrame]:
+    """fts_search from the stored index, where every row has a node.
+
+    Sizes and document frequencies come from the kept counts.  A strategy whose phrases are single words reads the blocks that can hold one of the
+    best rows only (`_best_rows`); other phrases and prefixes are counted in all spans that can hold them.  The driver holds hits of a search, at most
+    `limit`, and counts of the query's words.
+    """
+    plans, none = strategies(query), _nothing(postings)
+    tokens = sorted({t for _, p, _ in _phrases(plans) for t in p})
+    if not tokens:
+        return None, none
+    known = {r["term"]: r for r in added_counts(terms.where(F.col("term").isin("", *tokens))).collect()}
+    n, size = (known[""]["df"], known[""]["total"]) if "" in known else (0, 0)
+    if n <= 0:
+        return None, none
+    average = max(size / n, 1e-9)
+    for s, (name, phrases, every) in enumerate(plans):
+        if all(len(p) == 1 and not prefix for p, prefix in phrases):
+            weights: dict[str, float] = {}
+            for (t,), _ in phrases:
+                df = known[t]["df"] if t in known else 0
+                weights[t] = weights.get(t, 0.0) + _idf(n, df)
+            hits = _best_rows(postings, docs, weights, average, project, limit)[0]
+        else:
+            hits = _best_phrases(postings, docs, plans[s], n, average, project, limit)
+        if len(hits) >= STRATEGY_MIN or s == len(plans) - 1:
+            break
+    found = postings.sparkSession.createDataFrame(hits, "id string, raw double")
+    return name, found.select("id", "raw", X.bm25_normal(F.col("raw")).alias("score"))
+
+
+def _first(rows: DataFrame, limit: int) -> list[tuple[str, float]]:
+    """The best of (id, raw)."""
+    return [(r["id"], r["raw"]) for r in rows.orderBy(F.desc(F.round("raw", 9)), "id").limit(limit).select("id", "raw").collect()]
+
+
+def _best_rows(postings: DataFrame, docs: DataFrame, weights: dict[str, float], average: float, project: str | None, limit: int) -> tuple[list[tuple[str, float]], int]:
+    """The best rows by the weighted BM25 shares of words, and from how many blocks.
+
+    A block's bound holds for another average size than it was built with, too, if it is raised by the ratio of the averages.
+    """
+    held = postings.where(F.col("term").isin(*weights))
+    weight = F.element_at(F.create_map(*(F.lit(v) for pair in weights.items() for v in pair)), F.col("term"))
+    bound = weight * F.col("top") * F.greatest(F.lit(1.0), F.lit(average) / F.col("avg"))
+    share = weight * bm25_share(F.col("tf"), F.col("size"), F.lit(average))
+    return _best_of_spans(held, _of(docs, project).withColumnRenamed("node_id", "id"), bound, "tf", share, limit)
+
+
+def _best_of_spans(blocks: DataFrame, docs: DataFrame, bound: Column, value: str, share: Column, limit: int, least: float = 0.0) -> tuple[list[tuple[str, float]], int]:
+    """The `limit` best rows, of at least `least`, by the sum of their shares over blocks, and the number of blocks read.
+
+    The blocks' bounds, without their rows, bound every span.  The spans with the highest bounds are read first; their k-th best row is a
+    threshold, and of the others only spans whose bound reaches it are read.
+    """
+    spans = stash(blocks.select("seg", "span", bound.alias("bound")).groupBy("seg", "span").agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks")).where(F.col("bound") * (1 + 1e-9) >= least), "spans")
+    first = spans.orderBy(F.desc("bound"), "seg", "span").limit(FIRST_SPANS).collect()
+
+    def score(chosen) -> DataFrame:
+        rows = chosen(blocks).select("seg", "span", "term", F.inline(F.arrays_zip("at", value)))
+        return rows.join(chosen(docs), ["seg", "span", "at"]).groupBy("id").agg(F.sum(share).alias("raw"))
+
+    def among(some: list) -> Callable[[DataFrame], DataFrame]:
+        names: dict[str, list[int]] = {}
+        for r in some:
+            names.setdefault(r["seg"], []).append(r["span"])
+        is_one = F.lit(False)
+        for seg, numbers in names.items():
+            is_one = is_one | (F.col("seg") == seg) & F.col("span").isin(*numbers)
+        return lambda df: df.where(is_one)
+
+    best, read = _first(score(among(first)), limit), sum(r["blocks"] for r in first)
+    if len(first) == FIRST_SPANS:
+        reached = max(least, best[-1][1] - 2e-9 if len(best) == limit else 0.0)
+        taken = spans.sparkSession.createDataFrame([(r["seg"], r["span"]) for r in first], "seg string, span long")
+        rest = spans.where(F.col("bound") * (1 + 1e-9) >= reached).join(F.broadcast(taken), ["seg", "span"], "left_anti")
+        few = rest.limit(MOST_SPANS + 1).collect()
+        more: list[tuple[str, float]] = []
+        if 0 < len(few) <= MOST_SPANS:  # as a filter, by which the scans skip row groups
+            more, read = _first(score(among(few)), limit), read + sum(r["blocks"] for r in few)
+        elif few:
+            rest = stash(rest, "spans")
+            more = _first(score(lambda df: df.join(rest, ["seg", "span"], "left_semi")), limit)
+            read += rest.agg(F.sum("blocks")).first()[0]
+        best = sorted(best + more, key=lambda h: (-round(h[1], 9), h[0]))[:limit]
+    return [h for h in best if h[1] >= least], read
+
+
+def _best_phrases(postings: DataFrame, docs: DataFrame, plan: tuple, n: int, average: float, project: str | None, limit: int) -> list[tuple[str, float]]:
+    """The best rows of a strategy of phrases or prefixes; their frequencies are counted over all projects."""
+    _, phrases, every = plan
+    wanted = sorted({(t, prefix and i == len(p) - 1) for p, prefix in phrases for i, t in enumerate(p)})
     place = {w: f"s{k}" for k, w in enumerate(wanted)}
+    is_slot = {w: F.col("term").startswith(w[0]) if w[1] else F.col("term") == w[0] for w in wanted}
+    hit = functools.reduce(lambda a, b: a | b, is_slot.values())
+    blocks = postings.where(hit)
+    if len(phrases) == 1:  # it is only where all its words are
+        both = blocks.groupBy("seg", "span").agg(*(F.max(c).alias(place[w]) for w, c in is_slot.items())).where(" AND ".join(place.values()))
+        blocks = blocks.join(both.select("seg", "span"), ["seg", "span"], "left_semi")
+    each = blocks.select("term", "seg", "span", F.inline(F.arrays_zip("at", "positions")))
+    held = each.groupBy("seg", "span", "at").agg(*(F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(place[w]) for w, c in is_slot.items()))
 
     def moved(slot: str, by: int) -> Column:
         return F.transform(slot, lambda p: p - by)
@@ -129,9 +250,13 @@ def fts_search_stored(postings: DataFrame, sizes: DataFrame, nodes: DataFrame, q
             at = F.array_intersect(at, moved(place[phrase[k], prefix and k == len(phrase) - 1], k))
         return F.size(at)
 
-    rows = stash(held.select("node_id", "project_id", "size", *(count(p, prefix).alias(n) for n, p, prefix in _phrases(plans))), "phrase-counts")
-    total = sizes.agg(F.count("*").alias("n"), F.sum("size").alias("total")).first()
-    return _ranked(rows, total, plans, nodes, project, limit)
+    names = [f"f{i}" for i in range(len(phrases))]
+    counts = held.select("seg", "span", "at", *(count(p, prefix).alias(c) for c, (p, prefix) in zip(names, phrases, strict=True))).where(" OR ".join(f"{c} > 0" for c in names))
+    rows = stash(counts.join(docs, ["seg", "span", "at"]), "phrase-counts")
+    df = rows.agg(*(F.count_if(F.col(c) > 0).alias(c) for c in names)).first()
+    raw = functools.reduce(lambda a, b: a + b, (F.lit(_idf(n, df[c])) * bm25_share(F.col(c), F.col("size"), F.lit(average)) for c in names))
+    mine = _of(rows, project).where((" AND " if every else " OR ").join(f"{c} > 0" for c in names))
+    return _first(mine.select(F.col("node_id").alias("id"), raw.alias("raw")), limit)
 
 
 def _nothing(df: DataFrame) -> DataFrame:
@@ -167,7 +292,7 @@ def _ranked(rows: DataFrame, total, plans: list[tuple], nodes: DataFrame, projec
     raw = F.lit(0.0)
     for i in range(len(plans[chosen][1])):
         f = F.col(f"f{chosen}_{i}")
-        raw = raw + F.lit(_idf(total["n"], df[f"f{chosen}_{i}"])) * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("size") / average))
+        raw = raw + F.lit(_idf(total["n"], df[f"f{chosen}_{i}"])) * bm25_share(f, F.col("size"), F.lit(average))
     scored = mine.where(matches(chosen)).select(F.col("node_id").alias("id"), raw.alias("raw"))
     return plans[chosen][0], scored.orderBy(F.desc(F.round("raw", 9)), "id").limit(limit).select("id", "raw", X.bm25_normal(F.col("raw")).alias("score"))
 
@@ -194,6 +319,39 @@ def vector_search(index: DataFrame, query: str, project: str | None = None, limi
     return _of(index, project).select("id", X.cosine_with(F.col("vector"), q).alias("score")).orderBy(F.desc(F.round("score", 9)), "id").limit(limit).where(F.col("score") >= least)
 
 
+def vector_lists(index: DataFrame) -> dict[str, DataFrame]:
+    """Inverted lists of vectors, as the tables vector_docs and vector_lists.
+
+    Vectors are numbered so that those with the same largest bucket stand together, and parted into spans as the text index is.  A row of
+    vector_lists is a bucket's block in a span: who has it, how much, and the most that any has.
+    """
+    seg = uuid.uuid4().hex
+    largest = F.array_max(F.transform("vector", lambda c: F.struct(c["v"].alias("v"), c["b"].alias("b"))))
+    ordered = index.where(F.col("vector").isNotNull()).withColumn("main", largest["b"]).repartitionByRange("main", "id").sortWithinPartitions("main", "id").withColumn("no", F.monotonically_increasing_id())
+    held = stash(ordered.select(F.lit(seg).alias("seg"), F.floor(F.col("no") / SPAN).alias("span"), (F.col("no") % SPAN).cast("int").alias("at"), "id", "project_id", "vector"), "vector-index")
+    each = held.select("seg", "span", "at", F.inline("vector").alias("b", "v"))
+    blocks = each.groupBy(F.col("b").cast("string").alias("term"), "seg", "span").agg(F.max("v").alias("top"), F.sort_array(F.collect_list(F.struct("at", "v"))).alias("r"))
+    lists = blocks.select("term", "seg", "span", "top", F.col("r.at").alias("at"), F.col("r.v").alias("v"))
+    return {"vector_docs": held.drop("vector"), "vector_lists": lists.repartitionByRange("term", "span").sortWithinPartitions("term", "span")}
+
+
+DERIVED["vectors"] = (("vector_docs", "vector_lists"), vector_lists)
+
+
+def vector_search_stored(lists: DataFrame, docs: DataFrame, query: str, project: str | None = None, limit: int = TIER_LIMIT, least: float = MIN_COSINE) -> DataFrame:
+    """vector_search from the inverted lists: reads the query's buckets only, and of these the blocks that can hold one of the nearest."""
+    return lists.sparkSession.createDataFrame(_nearest(lists, docs, query, project, limit, least)[0], "id string, score double")
+
+
+def _nearest(lists: DataFrame, docs: DataFrame, query: str, project: str | None, limit: int, least: float) -> tuple[list[tuple[str, float]], int]:
+    weights = {str(b): v for b, v in enumerate(X.query_vector(query) or []) if v}
+    if not weights:
+        return [], 0
+    weight = F.element_at(F.create_map(*(F.lit(v) for pair in weights.items() for v in pair)), F.col("term"))
+    blocks = lists.where(F.col("term").isin(*weights))
+    return _best_of_spans(blocks, _of(docs, project), weight * F.col("top").cast("double"), "v", weight * F.col("v").cast("double"), limit, least)
+
+
 def dedup_rank(results: DataFrame, k: int) -> DataFrame:
     """Of rows (id, score, tier) each id's best by score and tier bonus; then the k best by score alone."""
     bonus = F.element_at(F.create_map(*(F.lit(v) for pair in BONUS.items() for v in pair)), F.col("tier"))
@@ -201,8 +359,8 @@ def dedup_rank(results: DataFrame, k: int) -> DataFrame:
     return results.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r").orderBy(F.desc(F.round("score", 9)), "tier", "id").limit(k)
 
 
-def cascade(nodes: DataFrame, full_text: Callable[[], DataFrame], vectors: DataFrame, query: str, k: int = TOP_K, project: str | None = None) -> DataFrame:
-    """id, score, tier of the hybrid search.  full_text makes the second tier's hits, if they are needed.
+def cascade(nodes: DataFrame, full_text: Callable[[], DataFrame], nearest: Callable[[], DataFrame], query: str, k: int = TOP_K, project: str | None = None) -> DataFrame:
+    """id, score, tier of the hybrid search.  full_text and nearest make the other tiers' hits, if they are needed.
 
     The driver looks at the literal tier's at most 20 scores and adds the other tiers only if these do not suffice.
     """
@@ -213,7 +371,7 @@ def cascade(nodes: DataFrame, full_text: Callable[[], DataFrame], vectors: DataF
     if least < SKIP_ALL:
         found = found.unionByName(full_text().select("id", "score", F.lit(FULL_TEXT).alias("tier")))
         if least < SKIP_VECTOR:
-            found = found.unionByName(vector_search(vectors, query, project).withColumn("tier", F.lit(VECTOR)))
+            found = found.unionByName(nearest().withColumn("tier", F.lit(VECTOR)))
     return dedup_rank(found, k)
 
 

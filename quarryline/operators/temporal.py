@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarryline.plans import schema as S
 from quarryline.sources.scratch import stash
+from quarryline.sources.store import Change, Snapshot
 
 
 def fact_rows(df: DataFrame, project: str, now: Column | None = None) -> DataFrame:
@@ -27,6 +28,13 @@ def invalidate(facts: DataFrame, ended: DataFrame, now: Column | None = None) ->
     return joined.withColumns({"valid_to": F.when(hit, at).otherwise(F.col("valid_to")), "superseded_by": F.when(hit, F.col("__s")).otherwise(F.col("superseded_by"))}).select(*facts.columns)
 
 
+def invalidation(now: Snapshot, project: str, ended: DataFrame, at: Column | None = None) -> list[Change]:
+    """The change that closes the project's facts in `ended`: only these are written anew."""
+    facts = now.read("temporal_facts", project).where(F.col("project_id") == project)
+    closed = invalidate(facts.join(ended.select("id").distinct(), "id", "left_semi"), ended, at)
+    return [Change("temporal_facts", project, add=closed, remove=ended.select(F.col("id").alias("key")))]
+
+
 def active_facts(facts: DataFrame, project: str | None = None, fact_type: str | None = None) -> DataFrame:
     """Facts without an end, newest first; an unknown type asks for decisions."""
     out = facts.where(F.col("valid_to").isNull())

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def query(name: str, sql: str | None = None):
     """Register a function of (tables, spark) under a name."""
 
     def put(fn):
-        QUERIES[name] = lambda spark, sf_dir: fn(lambda t, *c: _table(spark, sf_dir, t, c), spark)
+        QUERIES[name] = lambda spark, sf_dir: fn(Tables(spark, sf_dir), spark)
         if sql:
             SQL[name] = sql
         return fn
@@ -30,9 +31,22 @@ def query(name: str, sql: str | None = None):
     return put
 
 
-def _table(spark: SparkSession, sf_dir: str, name: str, columns: tuple) -> DataFrame:
-    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return df.select(*columns) if columns else df
+class Tables:
+    """The tables of a folder: called with a name, and with columns if not all are wanted."""
+
+    def __init__(self, spark: SparkSession, at: str):
+        self.spark, self.at = spark, at
+
+    def __call__(self, name: str, *columns: str) -> DataFrame:
+        df = self.spark.read.parquet(f"{self.at}/{name}.parquet")
+        return df.select(*columns) if columns else df
+
+    def kept(self, name: str, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+        """Tables made from these once a session and written, as a store keeps its indexes, so that a query only asks."""
+        held = self.spark.__dict__.setdefault("_quarryline_kept", {})
+        if (self.at, name) not in held:
+            held[self.at, name] = {t: stash(df, t) for t, df in make().items()}
+        return held[self.at, name]
 
 
 def _r(column, alias: str):
@@ -142,15 +156,46 @@ for _name, _q in {"fts_single": "thnd", "fts_phrase": "of the", "fts_prefix_and"
 
 
 
-def _fts_stored(t, q: str) -> DataFrame:
-    index = search.fts_index(doc_fts(t))
-    strategy, hits = search.fts_search_stored(stash(search.fts_postings(index), "postings"), stash(search.fts_sizes(index), "sizes"), doc_nodes(t), q, P)
+def _text_tables(rows: DataFrame) -> dict[str, DataFrame]:
+    return search.text_index(rows) | {"fts_terms": search.term_counts(rows).repartitionByRange("term").sortWithinPartitions("term")}
+
+
+def _stored_hits(read: Callable[[str], DataFrame], q: str) -> DataFrame:
+    strategy, hits = search.fts_search_stored(read("fts_postings"), read("fts_docs"), read("fts_terms"), q, P)
     return hits.select("id", F.lit(strategy).alias("strategy"), _r("raw", "raw"), _r("score", "score"))
 
 
-for _name, _q in {"fts_stored_single": "thnd", "fts_stored_phrase": "of the", "fts_stored_prefix_and": "thand onesen", "fts_stored_or": "erblest eranenes whou"}.items():
+def _fts_stored(t, q: str) -> DataFrame:
+    """The index of all documents is built by the first of these queries, and asked by all."""
+    return _stored_hits(t.kept("text", lambda: _text_tables(doc_fts(t))).__getitem__, q)
+
+
+for _name, _q in {"fts_stored_single": "thnd", "fts_stored_phrase": "of the", "fts_stored_prefix_and": "thand onesen", "fts_stored_or": "erblest eranenes whou", "fts_stored_common": "the", "fts_stored_path": "src3/en"}.items():
     query(_name, f"SELECT id, strategy, round(raw, 6) AS raw, round(score, 6) AS score FROM ({fts_sql(_DOC_FTS, _q)})")(lambda t, s, q=_q: _fts_stored(t, q))
 
+query("fts_term_counts", f"""WITH f AS (SELECT list_filter(toks, lambda v: v <> chr(1)) AS ws FROM ({_DOC_FTS}))
+  SELECT w AS term, count(*) AS df, CAST(0 AS BIGINT) AS total FROM (SELECT unnest(list_distinct(ws)) AS w FROM f) GROUP BY w UNION ALL SELECT '', count(*), CAST(sum(len(ws)) AS BIGINT) FROM f""")(lambda t, s: search.term_counts(doc_fts(t)))
+
+
+_EDITED = f"""SELECT id, toks FROM ({_DOC_FTS.replace('text', "text || CASE WHEN doc_id % 3 = 0 THEN ' later thnd' ELSE '' END")}) WHERE CAST(id AS BIGINT) % 5 <> 0"""
+
+
+@query("fts_after_edits", f"SELECT id, strategy, round(raw, 6) AS raw, round(score, 6) AS score FROM ({fts_sql(_EDITED, 'erblest thnd whou')})")
+def _(t, s):
+    """A store after three rounds of edits: rows come, others change, and some go; it answers as an index of what is left."""
+    store, fts, at = _new_store(s), doc_fts(t), F.col("node_id").cast("long")
+    none = fts.limit(0).select(F.col("node_id").alias("id"))
+    longer = fts.withColumn("content", F.concat("content", F.lit(" later thnd")))
+    ids = lambda df: df.select(F.col("node_id").alias("id"))
+    for texts, gone in (
+        (fts.where(at % 4 != 0), none),
+        (longer.where(at % 3 == 0).unionByName(fts.where((at % 4 == 0) & (at % 3 != 0))), ids(fts.where((at % 3 == 0) & (at % 4 != 0)))),
+        (fts.limit(0), ids(fts.where(at % 5 == 0))),
+    ):
+        store.update(lambda now, texts=texts, gone=gone: ingest.text_changes(now, P, texts, gone))
+    return _stored_hits(store.snapshot().read, "erblest thnd whou")
+
+
 query("bm25_normalise", "SELECT event_id, CAST(round(CASE WHEN abs(value - 6.55) < 0.001 THEN 0.5 ELSE least(1 - 1 / (1 + abs(value - 6.55)), 1) END, 6) AS DOUBLE) AS score FROM events")(
     lambda t, s: t("events", "event_id", "value").select("event_id", _r(X.bm25_normal(F.col("value") - 6.55), "score"))
 )
@@ -167,10 +212,29 @@ def _hashvec_sql(source: str, text: str, q: str, limit: int = search.TIER_LIMIT)
       SELECT id, sum(vec.v * q.v) AS score FROM vec JOIN q USING (b) GROUP BY id HAVING sum(vec.v * q.v) >= 0.2 ORDER BY round(sum(vec.v * q.v), 9) DESC, id LIMIT {limit}"""
 
 
-@query("hashvec_topk", f"SELECT id, round(score, 6) AS score FROM ({_hashvec_sql('SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents', 'text', 'thnd whou erblest of the')})")
-def _(t, s):
+def _text_vectors(t) -> DataFrame:
     rows = t("documents", "doc_id", "text").select(F.col("doc_id").cast("string").alias("id"), F.lit(P).alias("project_id"), F.lit("").alias("name"), F.col("text").alias("summary"), F.lit(None).cast("string").alias("file_path"))
-    return search.vector_search(search.vector_index(rows), "thnd whou erblest of the", P).select("id", _r("score", "score"))
+    return search.vector_index(rows)
+
+
+def _name_vectors(t) -> DataFrame:
+    return search.vector_index(part_nodes(t))
+
+
+query("hashvec_topk", f"SELECT id, round(score, 6) AS score FROM ({_hashvec_sql('SELECT CAST(doc_id AS VARCHAR) AS id, text FROM documents', 'text', 'thnd whou erblest of the')})")(
+    lambda t, s: search.vector_search(_text_vectors(t), "thnd whou erblest of the", P).select("id", _r("score", "score"))
+)
+
+
+def _stored_nearest(t, kind: str, rows: Callable, q: str) -> DataFrame:
+    """The inverted lists are built by the first of these queries, and asked by all."""
+    kept = t.kept(kind, lambda: search.vector_lists(rows(t)))
+    return search.vector_search_stored(kept["vector_lists"], kept["vector_docs"], q, P).select("id", _r("score", "score"))
+
+
+query("hashvec_stored_topk", SQL["hashvec_topk"])(lambda t, s: _stored_nearest(t, "text-vectors", _text_vectors, "thnd whou erblest of the"))
+for _name, _q in {"hashvec_stored_names": "promo widget", "hashvec_stored_rare": "zinc economy brass"}.items():
+    query(_name, f"""SELECT id, round(score, 6) AS score FROM ({_hashvec_sql(_PART, "concat_ws(' ', name, summary, file_path)", _q)})""")(lambda t, s, q=_q: _stored_nearest(t, "name-vectors", _name_vectors, q))
 
 
 @query("vector_topk", """WITH q AS (SELECT embedding AS e FROM embeddings WHERE vec_id = 0) SELECT vec_id, round(list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(e AS DOUBLE[])), 6) AS score
@@ -193,7 +257,7 @@ def _part_fts(t) -> DataFrame:
 
 def _cascade(t, q: str) -> DataFrame:
     nodes = part_nodes(t)
-    return search.cascade(nodes, lambda: search.fts_search(search.fts_index(_part_fts(t)), nodes, q, P)[1], search.vector_index(nodes), q, search.TOP_K, P).select("id", _r("score", "score"), "tier")
+    return search.cascade(nodes, lambda: search.fts_search(search.fts_index(_part_fts(t)), nodes, q, P)[1], lambda: search.vector_search(search.vector_index(nodes), q, P), q, search.TOP_K, P).select("id", _r("score", "score"), "tier")
 
 
 def cascade_sql(q: str) -> str:
@@ -222,13 +286,11 @@ def _(t, s):
 
 
 @query("query_words", r"""SELECT id, u.w AS word, CAST(u.i AS INTEGER) AS place FROM (SELECT id, unnest(list_zip(ws[1:10], range(len(ws[1:10])))) AS z FROM (
-    SELECT CAST(n_nationkey AS VARCHAR) AS id, list_filter(regexp_extract_all('GET /' || n_name || '/or_ders AND ' || r_name || ' not ' || repeat(n_name || ' ', 9), '\w+'), lambda w: upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR')) AS ws
-    FROM nation JOIN region ON r_regionkey = n_regionkey)), LATERAL (SELECT z[1] AS w, z[2] AS i) u""")
+    SELECT CAST(c_custkey AS VARCHAR) AS id, list_filter(regexp_extract_all('GET /' || c_name || '/or_ders AND ' || c_mktsegment || ' not ' || repeat(c_name || ' ', 9), '\w+'), lambda w: upper(w) NOT IN ('AND', 'OR', 'NOT', 'NEAR')) AS ws
+    FROM customer)), LATERAL (SELECT z[1] AS w, z[2] AS i) u""")
 def _(t, s):
-    joined = t("nation", "n_nationkey", "n_name", "n_regionkey").join(t("region", "r_regionkey", "r_name"), F.expr("r_regionkey = n_regionkey"))
-    # A query string is a driver's value, so this is one for each of the few nations.
-    asked = [(str(r["n_nationkey"]), f"GET /{r['n_name']}/or_ders AND {r['r_name']} not " + (r["n_name"] + " ") * 9) for r in joined.collect()]
-    return s.createDataFrame([(i, w, k) for i, q in asked for k, w in enumerate(X.query_words(q))], "id string, word string, place int")
+    asked = F.concat(F.lit("GET /"), "c_name", F.lit("/or_ders AND "), "c_mktsegment", F.lit(" not "), F.repeat(F.concat("c_name", F.lit(" ")), 9))
+    return t("customer", "c_custkey", "c_name", "c_mktsegment").select(F.col("c_custkey").cast("string").alias("id"), F.posexplode(X.query_words_of(asked)).alias("place", "word"))
 
 
 # Graph and store.
@@ -282,11 +344,12 @@ _ID = "sha256(concat_ws(chr(31), 'p', {path}, '{kind}', {name}, '{ordinal}'))"
 _FILE_ID, _PART_ID = _ID.format(path="p_brand", kind="file", name="p_name", ordinal=0), _ID.format(path="p_brand", kind="concept", name="p_name", ordinal=1)
 
 
-@query("graph_builders", f"""SELECT {_ID.format(path="r_name", kind="module", name="n_name", ordinal=0)} AS id, n_name AS name, 'module' AS node_type, CAST(n_nationkey AS BIGINT) AS start_line FROM nation JOIN region ON r_regionkey = n_regionkey""")
+@query("graph_builders", f"""SELECT {_ID.format(path="p_brand", kind="module", name="p_name", ordinal="' || p_size || '")} AS id, p_name AS name, 'module' AS node_type, CAST(p_partkey AS BIGINT) AS start_line FROM part""")
 def _(t, s):
-    rows = t("nation", "n_nationkey", "n_name", "n_regionkey").join(t("region", "r_regionkey", "r_name"), F.expr("r_regionkey = n_regionkey")).collect()  # 25 rows
-    specs = [graph.NodeSpec(r["n_name"], "module", r["r_name"], r["n_nationkey"]) for r in rows]
-    return graph.build_nodes(s, P, specs).select("id", "name", "node_type", "start_line")
+    p = t("part", "p_partkey", "p_name", "p_brand", "p_size")
+    none = F.lit(None).cast("string")
+    rows = p.select(F.col("p_name").alias("name"), F.lit("module").alias("node_type"), F.col("p_brand").alias("file_path"), F.col("p_partkey").alias("start_line"), F.lit(None).cast("long").alias("end_line"), none.alias("summary"), none.alias("content_hash"), F.col("p_size").alias("ordinal"))
+    return graph.node_rows(rows, P).select("id", "name", "node_type", "start_line")
 
 
 @query("contains_edges", f"""SELECT sha256(concat_ws(chr(31), 'p', a, b, 'contains')) AS id, a AS source_id, b AS target_id, 'contains' AS edge_type, CAST(1.0 AS DOUBLE) AS weight FROM (SELECT {_FILE_ID} AS a, {_PART_ID} AS b FROM part GROUP BY p_brand, p_name)""")
@@ -555,3 +618,24 @@ def _(t, s):
     store = _new_store(s)
     store.append("temporal_facts", temporal.fact_rows(c, P, F.lit("2024-01-01").cast("timestamp")))
     return store.read("temporal_facts").select("id", "node_id", "fact_type", "content", F.col("valid_to").isNull().alias("active"))
+
+
+@query("facts_interleaved", f"""SELECT id, CASE role WHEN 'user' THEN 'by one' WHEN 'assistant' THEN 'by two' END AS superseded_by, role NOT IN ('user', 'assistant') AS active
+  FROM (SELECT conv_id || '-' || turn AS id, role FROM conversations)""")
+def _(t, s):
+    """Two writers close different facts of a project, and the second commits between the first one's read and its commit: both hold."""
+    one = _new_store(s)
+    two = Store(s, one.root)
+    facts = fact_table(t).withColumns({"valid_to": F.lit(None).cast("timestamp"), "superseded_by": F.lit(None).cast("string")})
+    one.append("temporal_facts", facts, P)
+    ended = lambda now, kind, by: now.read("temporal_facts", P).where(F.col("fact_type") == kind).select("id", "project_id", F.lit(by).alias("superseded_by"))
+    late = []
+
+    def first(now):
+        changes = temporal.invalidation(now, P, ended(now, "decision", "by one"))
+        if not late:
+            late.append(two.update(lambda then: temporal.invalidation(then, P, ended(then, "learning", "by two"))))
+        return changes
+
+    one.update(first)
+    return one.read("temporal_facts").select("id", "superseded_by", F.col("valid_to").isNull().alias("active"))

@@ -20,14 +20,25 @@ FILE_HASHES = _table(("project_id", _S, 0), ("file_path", _S, 0), ("content_hash
 ACCOUNTING = _table(("id", _S, 0), ("project_id", _S, 0), ("session_id", _S, 0), ("query_text", _S, 0), ("pointer_tokens", _L, 0), ("fetched_tokens", _L, 0), ("traditional_est", _L, 0), ("created_at", _TS, 0))
 REGISTRY = _table(("project_id", _S, 0), ("key", _S, 0), ("is_defined", _B, 0), ("is_used", _B, 0), ("created_at", _TS, 0))
 FTS = _table(("node_id", _S, 0), ("project_id", _S, 0), ("name", _S), ("content", _S), ("file_path", _S))
-POSTINGS = _table(("term", _S, 0), ("node_id", _S, 0), ("project_id", _S, 0), ("size", T.IntegerType(), 0), ("positions", T.ArrayType(T.IntegerType()), 0))
-SIZES = _table(("node_id", _S, 0), ("project_id", _S, 0), ("size", T.IntegerType(), 0))
+_INTS = T.ArrayType(T.IntegerType())
+POSTINGS = _table(("term", _S, 0), ("seg", _S, 0), ("span", _L, 0), ("avg", _D, 0), ("top", _D, 0), ("at", _INTS, 0), ("tf", _INTS, 0), ("positions", T.ArrayType(_INTS), 0))
+DOCS = _table(("seg", _S, 0), ("span", _L, 0), ("at", T.IntegerType(), 0), ("node_id", _S, 0), ("project_id", _S, 0), ("size", T.IntegerType(), 0))
+TERMS = _table(("term", _S, 0), ("df", _L, 0), ("total", _L, 0))
 VECTORS = _table(("id", _S, 0), ("project_id", _S, 0), ("vector", T.ArrayType(_table(("b", T.IntegerType()), ("v", T.FloatType())))))
+VECTOR_DOCS = _table(("seg", _S, 0), ("span", _L, 0), ("at", T.IntegerType(), 0), ("id", _S, 0), ("project_id", _S, 0))
+VECTOR_LISTS = _table(("term", _S, 0), ("seg", _S, 0), ("span", _L, 0), ("top", T.FloatType(), 0), ("at", _INTS, 0), ("v", T.ArrayType(T.FloatType()), 0))
 FILES = _table(("path", _S, 0), ("ext", _S), ("content", _S, 0))
 
 TABLES: dict[str, T.StructType] = {
     "nodes": NODES, "edges": EDGES, "temporal_facts": FACTS, "file_hashes": FILE_HASHES,
-    "accounting": ACCOUNTING, "config_registry": REGISTRY, "fts": FTS, "fts_postings": POSTINGS, "fts_sizes": SIZES, "vectors": VECTORS,
+    "accounting": ACCOUNTING, "config_registry": REGISTRY, "fts": FTS, "fts_postings": POSTINGS, "fts_docs": DOCS, "fts_terms": TERMS, "vectors": VECTORS,
+    "vector_docs": VECTOR_DOCS, "vector_lists": VECTOR_LISTS,
+}
+
+#: What tombstones name rows by; an edge goes with either end, and a hash with the file it is of.
+KEYS: dict[str, tuple[str, ...]] = {
+    "nodes": ("id",), "edges": ("source_id", "target_id"), "temporal_facts": ("id",), "file_hashes": ("substring_index(file_path, '::', 1)",),
+    "fts": ("node_id",), "fts_docs": ("node_id",), "vectors": ("id",), "vector_docs": ("id",),
 }
 
 #: The closed sets and what an unknown value becomes.
