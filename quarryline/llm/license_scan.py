@@ -19,8 +19,8 @@ words to reach the coverage is not aligned, which loses nothing.  As in any pati
 alignment, words that stand more than once between two anchors align only at the ends
 of the stretch between them.
 
-Long licenses are known by their notices and headers; `read_templates` reads whole
-texts from a folder, and `scan` takes any templates.  In a template, braces enclose a
+Long licenses are known by their notices, headers, names and SPDX tags (WORDINGS); whole
+texts are read from a folder by `read_templates`, and `scan` takes any templates.  In a template, braces enclose a
 phrase.
 
 Words are runs of letters and digits, lower-cased.  Defined results: a null or
@@ -79,6 +79,29 @@ TEMPLATES: dict[str, str] = {
     "Unlicense": "This is free and unencumbered software {released into the public domain}. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
+#: Other wordings of the same licenses: their names where they are long enough to stand for themselves, short notices, and SPDX tags.
+WORDINGS: dict[str, tuple[str, ...]] = {
+    "AGPL-3.0": ("{GNU Affero General Public License, version 3}", "{GNU Affero General Public License v3}", "{SPDX-License-Identifier: AGPL-3.0}"),
+    "Apache-2.0": ("{Apache License, Version 2.0}", "{Apache License 2.0}", "{Apache 2.0 License}", "{SPDX-License-Identifier: Apache-2.0}"),
+    "BSD-2-Clause": ("{BSD 2-Clause License}", "{2-Clause BSD License}", "{SPDX-License-Identifier: BSD-2-Clause}"),
+    "BSD-3-Clause": ("{BSD 3-Clause License}", "{3-Clause BSD License}", "{SPDX-License-Identifier: BSD-3-Clause}"),
+    "BSL-1.0": ("{Boost Software License, Version 1.0}", "{Boost Software License 1.0}", "{SPDX-License-Identifier: BSL-1.0}"),
+    "CC-BY-4.0": ("{Creative Commons Attribution 4.0}", "{SPDX-License-Identifier: CC-BY-4.0}"),
+    "CC-BY-NC-4.0": ("{Creative Commons Attribution-NonCommercial 4.0}", "{SPDX-License-Identifier: CC-BY-NC-4.0}"),
+    "CC-BY-NC-ND-4.0": ("{Creative Commons Attribution-NonCommercial-NoDerivatives 4.0}", "{SPDX-License-Identifier: CC-BY-NC-ND-4.0}"),
+    "CC-BY-NC-SA-4.0": ("{Creative Commons Attribution-NonCommercial-ShareAlike 4.0}", "{SPDX-License-Identifier: CC-BY-NC-SA-4.0}"),
+    "CC-BY-ND-4.0": ("{Creative Commons Attribution-NoDerivatives 4.0}", "{SPDX-License-Identifier: CC-BY-ND-4.0}"),
+    "CC-BY-SA-4.0": ("{Creative Commons Attribution-ShareAlike 4.0}", "{SPDX-License-Identifier: CC-BY-SA-4.0}"),
+    "GPL-2.0": ("{GNU General Public License, version 2}", "{GNU General Public License v2}", "{SPDX-License-Identifier: GPL-2.0}"),
+    "GPL-3.0": ("{GNU General Public License, version 3}", "{GNU General Public License v3}", "{SPDX-License-Identifier: GPL-3.0}"),
+    "ISC": ("{SPDX-License-Identifier: ISC}", "Licensed under the {ISC License}"),
+    "LGPL-2.1": ("{GNU Lesser General Public License, version 2.1}", "{GNU Lesser General Public License v2.1}", "{SPDX-License-Identifier: LGPL-2.1}"),
+    "LGPL-3.0": ("{GNU Lesser General Public License, version 3}", "{GNU Lesser General Public License v3}", "{SPDX-License-Identifier: LGPL-3.0}"),
+    "MIT": ("{SPDX-License-Identifier: MIT}", "Licensed under the {MIT License}", "or the {MIT License}", "and the {MIT License}", "terms of the {MIT License}"),
+    "MPL-2.0": ("{Mozilla Public License, version 2.0}", "{Mozilla Public License 2.0}", "{SPDX-License-Identifier: MPL-2.0}"),
+    "Unlicense": ("{SPDX-License-Identifier: Unlicense}", "released under the {Unlicense}"),
+}
+
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -185,7 +208,7 @@ class Template:
     def find(self, words: list[str], places: dict[str, list[int]]) -> list[tuple[float, int, int]]:
         """(coverage, first word, end) of findings that do not overlap, best first."""
         size = len(self.words)
-        if sum(min(n, len(places.get(w, ()))) for w, n in self.bag.items()) < self.need:
+        if not any(w in places for w in self.cues) or sum(min(n, len(places.get(w, ()))) for w, n in self.bag.items()) < self.need:
             return []
         slack = max(2, size // 5)
         starts = sorted({p - i for w, at in self.cues.items() for p in places.get(w, ()) for i in at})
@@ -215,11 +238,13 @@ def scan_text(text: str | None, templates: list[Template]) -> list[tuple[str, fl
     places: dict[str, list[int]] = {}
     for i in [i for i, w in enumerate(words) if w in vocabulary]:
         places.setdefault(words[i], []).append(i)
-    out = []
+    out: dict[str, tuple] = {}
     for t in templates:
-        if found := t.find(words, places):
-            out.append((len(t.words), (t.name, *found[0], len(found))))
-    return [f for _, f in sorted(out, key=lambda f: (-f[1][1], -f[0], f[1][0]))]
+        if found := t.find(words, places):  # of a license's wordings the best one counts, and the one found most often
+            hit = (-found[0][0], -len(t.words), t.name, found[0], len(found))
+            held = out.get(t.name, hit)
+            out[t.name] = (*min(hit, held)[:4], max(hit[4], held[4]))
+    return [(name, *best, n) for _, _, name, best, n in sorted(out.values())]
 
 
 def read_templates(spark, folder: str) -> dict[str, str]:
@@ -238,10 +263,11 @@ def _vocabulary(templates: list[Template], kept: dict = {}) -> frozenset[str]:
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, coverage, start_word, end_word, n_found and all licenses for every document."""
-    texts = {name: text for name, text in (TEMPLATES if templates is None else templates).items() if words_of(text)}
+    known = [*TEMPLATES.items(), *((name, text) for name, more in WORDINGS.items() for text in more)] if templates is None else templates.items()
+    texts = sorted((name, text) for name, text in known if words_of(text))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = [Template(n, t, coverage) for n, t in sorted(texts.items())]
+        own = [Template(n, t, coverage) for n, t in texts]
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():

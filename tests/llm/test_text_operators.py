@@ -371,3 +371,26 @@ def test_words_encoded_together():
     assert got == [np.array(t.encode(w, add_special_tokens=False).ids, "<u4").tobytes() for w in words]
     texts = [" ".join(rng.choice(words, 40)) for _ in range(50)]
     assert packing._Encoder(packing.default_tokenizer())(texts) == [np.array(t.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in texts]
+
+
+def test_license_wordings(spark, tmp_path):
+    cases = {
+        "Licensed under the GNU Lesser General Public License, version 3.": ["LGPL-3.0"],
+        "Licensed under the GNU General Public License, version 3, or the MIT License.": ["GPL-3.0", "MIT"],
+        "// SPDX-License-Identifier: MIT": ["MIT"], "# SPDX-License-Identifier: LGPL-2.1-or-later": ["LGPL-2.1"], "see the Apache License 2.0 for more": ["Apache-2.0"],
+        "This page is Creative Commons Attribution-ShareAlike 4.0 International": ["CC-BY-SA-4.0"], "Creative Commons Attribution 4.0 International": ["CC-BY-4.0"],
+        "the apache in the license of 2 or 0 words": [], "a general public of version 3": [],
+    }
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {r["doc_id"]: sorted(r["licenses"]) for r in license_scan.scan(df).collect()}
+    assert [got[i] for i in range(len(cases))] == list(cases.values())
+    for name, more in license_scan.WORDINGS.items():
+        assert name in license_scan.TEMPLATES
+        for text in more:
+            own = [license_scan.Template(n, t) for n, t in (*license_scan.TEMPLATES.items(), *((k, v) for k, vs in license_scan.WORDINGS.items() for v in vs))]
+            assert license_scan.scan_text("foreword " + text + " afterword", own)[0][0] == name
+    (tmp_path / "Foo-1.0").write_text("Anyone {may} keep this tide table\nand give it away.")
+    own = license_scan.read_templates(spark, str(tmp_path))
+    assert own == {"Foo-1.0": "Anyone  may  keep this tide table\nand give it away."}
+    found = license_scan.scan(spark.createDataFrame([(1, "Anyone may keep this old tide table and give it away")], "doc_id long, text string"), own).first()
+    assert (found["license"], found["coverage"], found["start_word"], found["end_word"]) == ("Foo-1.0", 1.0, 0, 11)
