@@ -296,3 +296,16 @@ def test_line_dedup_by_prefix_alone(spark):
         rows.append((i, " ".join(words) + "\n" + " ".join(words[:-2] + [f"r{i}", f"s{i}"])))
     got = collections.Counter((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
     assert got == brute_lines(rows)
+
+
+def test_pipeline_twice_in_one_process(spark, tmp_path):
+    """Neither a second run nor a stage that is called before an earlier result is written takes away what that still reads."""
+    rows = [(i, f"a line of words number {i} here\nand {i} more of them in the text") for i in range(30)]
+    docs = pipeline_docs(spark, rows)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(1, "no such words are in any of these texts at all today")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    first, second = (corpus_pipeline.run(spark, str(tmp_path)) for _ in range(2))
+    cut = corpus_pipeline.dedup_lines(spark, docs, str(tmp_path))
+    groups = corpus_pipeline.dedup_documents(spark, docs, str(tmp_path))
+    assert sorted(map(str, first.collect())) == sorted(map(str, second.collect())) and first.count() >= 30
+    assert cut.count() == 30 and groups.count() == 30
