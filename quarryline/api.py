@@ -138,14 +138,14 @@ class Engine:
         self.store.append("accounting", [(time.time_ns(), self.project, self.session, query, pointer, fetched, traditional, now)], self.project)
 
     def stats(self, since: str | None = None) -> dict:
-        log = self.store.read("accounting", self.project)
+        log = self.store.snapshot()
         seconds = X.parse_since(since) if since else None
         now = F.current_timestamp()
         zone = self.spark.conf.get("spark.sql.session.timeZone")
         reports = {
-            "session": accounting.stats(log, self.project, session=self.session),
-            "today": accounting.stats(log, self.project, day=F.to_date(F.from_utc_timestamp(now, zone)), zone=zone),
-            "cumulative": accounting.stats(log, self.project, since=accounting.seconds_ago(now, seconds) if seconds else None),
+            "session": accounting.stored_stats(log, self.project, session=self.session),
+            "today": accounting.stored_stats(log, self.project, day=F.to_date(F.from_utc_timestamp(now, zone)), zone=zone),
+            "cumulative": accounting.stored_stats(log, self.project, since=accounting.seconds_ago(now, seconds) if seconds else None),
         }
         out: dict = {"project_id": self.project, "since_filter": since}
         for name, df in reports.items():

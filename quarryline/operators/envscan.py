@@ -87,17 +87,42 @@ def keys_of(reg: DataFrame, kind: str) -> DataFrame:
     return classify(reg).where(F.col("class") == kind).select("key").orderBy("key")
 
 
-def nearest_defined(reg: DataFrame, near: int = NEAR) -> DataFrame:
-    """variable, suggestion: every unknown key, and the defined key within `near` edits that is nearest, then first; or null.
+def _cuts(length: Column, pieces: int) -> Column:
+    """(piece, start, size) of the parts of a name of this length, which differ in size by one at most; starts count from one."""
+    size, longer = F.floor(length / pieces), length % pieces
+
+    def cut(i: Column) -> Column:
+        more = F.greatest(i - (F.lit(pieces) - longer), F.lit(0))  # the last ones are longer
+        return F.struct(i.alias("piece"), (i * size + more + 1).cast("int").alias("start"), (size + F.when(i >= F.lit(pieces) - longer, 1).otherwise(0)).cast("int").alias("size"))
+
+    return F.transform(F.sequence(F.lit(0), F.lit(pieces - 1)), cut)
+
 
-    Names that far apart differ in length by no more than that, so lengths are joined and only such pairs compared.
+def near_pairs(names: DataFrame, known: DataFrame, near: int = NEAR) -> DataFrame:
+    """variable, key, dist of every pair within `near` edits.
+
+    A known key is cut into near + 1 parts.  So many edits cannot touch all of them, so one stands whole in the variable, at most `near` places
+    off.  Parts are joined with the variable's pieces of their size and place: an equi-join on length, part and content, whose candidates
+    are verified.  No length or other hot key meets as a whole, but for keys of `near` characters at most, of which some parts are empty.
     """
+    pieces = near + 1
+    held = known.select("key", F.length("key").alias("length")).select("key", "length", F.inline(_cuts(F.col("length"), pieces)))
+    held = held.select("key", "length", "piece", F.substr("key", "start", "size").alias("part"))
+    lengths = F.sequence(F.greatest(F.length("variable") - near, F.lit(0)), F.length("variable") + near)
+    asked = names.select("variable", F.explode(lengths).alias("length")).select("variable", "length", F.inline(_cuts(F.col("length"), pieces)))
+    last = F.length("variable") - F.col("size") + 1
+    starts = F.sequence(F.greatest(F.col("start") - near, F.lit(1)), F.least(F.col("start") + near, last))
+    asked = asked.where((last >= 1) & (F.greatest(F.col("start") - near, F.lit(1)) <= F.least(F.col("start") + near, last)))
+    asked = asked.select("variable", "length", "piece", "size", F.explode(starts).alias("at")).select("variable", "length", "piece", F.substr("variable", "at", "size").alias("part")).distinct()
+    found = asked.join(held, ["length", "piece", "part"]).select("variable", "key").distinct()
+    return found.withColumn("dist", F.levenshtein(F.col("variable"), F.col("key"), near)).where("dist >= 0")
+
+
+def nearest_defined(reg: DataFrame, near: int = NEAR) -> DataFrame:
+    """variable, suggestion: every unknown key, and the defined key within `near` edits that is nearest, then first; or null."""
     kinds = classify(reg)
     unknown = kinds.where(F.col("class") == "unknown").select(F.col("key").alias("variable"))
-    lengths = F.sequence(F.length("variable") - near, F.length("variable") + near)
-    defined = kinds.where("is_defined").select("key", F.length("key").alias("len"))
-    dist = F.levenshtein(F.col("variable"), F.col("key"), near)
-    best = unknown.select("variable", F.explode(lengths).alias("len")).join(defined, "len").withColumn("dist", dist).where("dist >= 0").groupBy("variable").agg(F.min(F.struct("dist", "key")).alias("m"))
+    best = near_pairs(unknown, kinds.where("is_defined").select("key"), near).groupBy("variable").agg(F.min(F.struct("dist", "key")).alias("m"))
     return unknown.join(best, "variable", "left").select("variable", F.col("m.key").alias("suggestion"))
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import accounting, chunking, envscan, graph, ingest, search, temporal
 from quarryline.sources.scratch import shared_dir, stash
-from quarryline.sources.store import Store
+from quarryline.sources.store import Snapshot, Store
 
 P = "p"
 QUERIES: dict = {}
@@ -498,6 +498,18 @@ query("stats_cumulative", _stats_sql())(lambda t, s: _pct(accounting.stats(log_t
 query("stats_since", _stats_sql("WHERE ts >= TIMESTAMP '2024-01-19 12:00:00'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, since=accounting.seconds_ago(_now(), X.parse_since("24h")))))
 query("stats_session", _stats_sql("WHERE session_id = '2024-01-15'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, session="2024-01-15")))
 query("stats_today", _stats_sql("WHERE CAST(ts + INTERVAL 2 HOUR AS DATE) = DATE '2024-01-20'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, day=F.to_date(F.lit("2024-01-20")), zone="+02:00")))
+
+
+def _kept_log(t, s) -> Snapshot:
+    """The log appended to a store in ten parts, of which it merges eight and makes rollups."""
+    store, log = _new_store(s), log_table(t)
+    for k in range(10):
+        store.append("accounting", log.where(F.col("id") % 10 == k), P)
+    return store.snapshot()
+
+
+query("stats_stored_since", _stats_sql("WHERE ts >= TIMESTAMP '2024-01-19 12:07:30'"))(lambda t, s: _pct(accounting.stored_stats(_kept_log(t, s), P, since=F.lit("2024-01-19 12:07:30").cast("timestamp"))))
+query("stats_stored_today", _stats_sql("WHERE CAST(ts + INTERVAL 345 MINUTE AS DATE) = DATE '2024-01-20'"))(lambda t, s: _pct(accounting.stored_stats(_kept_log(t, s), P, day=F.to_date(F.lit("2024-01-20")), zone="+05:45")))
 query("stats_empty", _stats_sql("WHERE session_id = 'none'"))(lambda t, s: _pct(accounting.stats(log_table(t), P, session="none")))
 query("stats_by_session", _stats_sql(key="session_id"))(lambda t, s: _pct(accounting.stats_by(log_table(t), "session_id")))
 query("percent_format", f"SELECT session_id, printf('%.1f%%', cumulative_savings_pct) AS pct FROM ({_stats_sql(key='session_id')})")(lambda t, s: accounting.stats_by(log_table(t), "session_id").select("session_id", X.percent(F.col("cumulative_savings_pct")).alias("pct")))

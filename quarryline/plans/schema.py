@@ -18,6 +18,7 @@ EDGES = _table(("id", _S, 0), ("project_id", _S, 0), ("source_id", _S, 0), ("tar
 FACTS = _table(("id", _S, 0), ("project_id", _S, 0), ("node_id", _S), ("fact_type", _S, 0), ("content", _S, 0), ("valid_from", _TS, 0), ("valid_to", _TS), ("superseded_by", _S), ("source_reference", _S), ("created_at", _TS, 0))
 FILE_HASHES = _table(("project_id", _S, 0), ("file_path", _S, 0), ("content_hash", _S, 0), ("indexed_at", _TS, 0))
 ACCOUNTING = _table(("id", _S, 0), ("project_id", _S, 0), ("session_id", _S, 0), ("query_text", _S, 0), ("pointer_tokens", _L, 0), ("fetched_tokens", _L, 0), ("traditional_est", _L, 0), ("created_at", _TS, 0))
+ACCOUNTING_SUMS = _table(("project_id", _S, 0), ("session_id", _S, 0), ("slot", _L, 0), ("n", _L, 0), ("pointer_tokens", _L, 0), ("fetched_tokens", _L, 0), ("traditional_est", _L, 0))
 REGISTRY = _table(("project_id", _S, 0), ("key", _S, 0), ("is_defined", _B, 0), ("is_used", _B, 0), ("created_at", _TS, 0))
 FTS = _table(("node_id", _S, 0), ("project_id", _S, 0), ("name", _S), ("content", _S), ("file_path", _S))
 _INTS = T.ArrayType(T.IntegerType())
@@ -31,7 +32,7 @@ FILES = _table(("path", _S, 0), ("ext", _S), ("content", _S, 0))
 
 TABLES: dict[str, T.StructType] = {
     "nodes": NODES, "edges": EDGES, "temporal_facts": FACTS, "file_hashes": FILE_HASHES,
-    "accounting": ACCOUNTING, "config_registry": REGISTRY, "fts": FTS, "fts_postings": POSTINGS, "fts_docs": DOCS, "fts_terms": TERMS, "vectors": VECTORS,
+    "accounting": ACCOUNTING, "accounting_sums": ACCOUNTING_SUMS, "config_registry": REGISTRY, "fts": FTS, "fts_postings": POSTINGS, "fts_docs": DOCS, "fts_terms": TERMS, "vectors": VECTORS,
     "vector_docs": VECTOR_DOCS, "vector_lists": VECTOR_LISTS,
 }
 

@@ -251,3 +251,21 @@ def test_unchanged_chunks_keep_their_index(spark, tmp_path):
     assert e.store.read("fts").count() == 3 and e.store.read("edges").count() == 2
     terms = {r["term"]: r["df"] for r in search.added_counts(e.store.read("fts_terms")).collect()}
     assert terms["waning"] == 2 and terms["full"] == 0 and terms[""] == e.store.read("fts_docs").count() == 3
+
+
+def test_near_pairs_are_all_pairs(spark):
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = random.Random(7)
+    names = {"".join(rng.choices("AB_", k=rng.randint(0, 9))) for _ in range(60)} | {"TIDE_URL", "TIDE_URI", "TIDES_UL", "EDIT_URL", "", "A"}
+    known = {"".join(rng.choices("AB_", k=rng.randint(0, 12))) for _ in range(60)} | {"TIDE_URL", "TIE_URL", "XTIDE_URLYZ", "", "AB"}
+    df = lambda xs, c: spark.createDataFrame([(x,) for x in sorted(xs)], f"{c} string")
+    for near in (1, 3):
+        got = {tuple(r) for r in envscan.near_pairs(df(names, "variable"), df(known, "key"), near).collect()}
+        assert got == {(a, b, d) for a in names for b in known if (d := edits(a, b)) <= near}
