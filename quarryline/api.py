@@ -70,10 +70,11 @@ class Engine:
         answer = self.searches.get(key)
         if answer is None:
             now = self.store.snapshot()
-            nodes = now.read("nodes", self.project)
+            literal = search.literal_search_stored(now.read("names", self.project), now.read("name_grams", self.project), query, self.project)
             near = lambda: search.vector_search_stored(now.read("vector_lists", self.project), now.read("vector_docs", self.project), query, self.project)
-            found = search.pointers(search.cascade(nodes, lambda: self._full_text(query, now), near, query, top_k, self.project), nodes)
-            rows = [r.asDict() for r in found.orderBy(F.desc(F.round("relevance", 9)), "id").collect()]  # top_k rows
+            best = self.spark.createDataFrame(search.cascade(literal, lambda: self._full_text(query, now), near, top_k).collect(), "id string, score double, tier string")  # top_k rows
+            found = search.pointers(best, graph.rows_of(now.read("nodes", self.project), "id", best))
+            rows = [r.asDict() for r in found.orderBy(F.desc(F.round("relevance", 9)), "id").collect()]
             tokens = sum(r.pop("tokens") for r in rows)
             answer = {"pointers": rows, "accounting": report(tokens, 0)}
             self.searches.put(key, answer)
@@ -199,7 +200,7 @@ class Engine:
 
     def neighbors(self, node_id: str) -> DataFrame:
         now = self.store.snapshot()
-        return graph.neighbors(now.read("nodes"), now.read("edges", self.project), node_id, self.project)
+        return graph.neighbors_stored(now.read("edges", self.project), now.read("edges_in", self.project), now.read("nodes"), node_id, self.project)
 
 
 def report(pointer: int, fetched: int) -> dict:

@@ -7,7 +7,7 @@ import functools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarryline.sources.store import DERIVED, Snapshot
+from quarryline.sources.store import DERIVED, Derived, Snapshot
 
 #: Seconds of a rollup's slot.  The offsets of time zones are whole slots, so a slot lies within one day anywhere.
 SLOT = 900
@@ -53,7 +53,7 @@ def rollup(log: DataFrame) -> dict[str, DataFrame]:
     return {"accounting_sums": log.groupBy(*keys).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in SUMS.values()))}
 
 
-DERIVED["accounting"] = (("accounting_sums",), rollup)
+DERIVED["accounting"] = Derived(("accounting_sums",), rollup, at_once=False)
 
 
 def stored_stats(now: Snapshot, project: str, session: str | None = None, since: Column | None = None, day: Column | None = None, zone: str = "UTC") -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.plans import schema as S
+from quarryline.sources.store import DERIVED, Derived
 
 
 @dataclass(frozen=True)
@@ -108,6 +109,37 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, project: str | N
     return ends.join(nodes, F.col("other_id") == F.col("id")).drop("other_id")
 
 
+def incoming(edges: DataFrame) -> dict[str, DataFrame]:
+    """The same edges as the table edges_in, which is laid out by target."""
+    return {"edges_in": edges}
+
+
+DERIVED["edges"] = Derived(("edges_in",), incoming)
+
+
+def neighbors_stored(edges: DataFrame, edges_in: DataFrame, nodes: DataFrame, node_id: str, project: str | None = None) -> DataFrame:
+    """neighbors from a store: its edges by source and by target, each scanned for one value, then the nodes at the other ends."""
+    ends = ("id", "edge_type", "weight")
+    if project is not None:
+        edges, edges_in = (df.where(F.col("project_id") == project) for df in (edges, edges_in))
+    out = edges.where(F.col("source_id") == node_id).select(*ends, F.col("target_id").alias("other_id"))
+    back = edges_in.where((F.col("target_id") == node_id) & (F.col("source_id") != node_id)).select(*ends, F.col("source_id").alias("other_id"))
+    touching = out.unionByName(back).withColumnRenamed("id", "edge_id")
+    return touching.join(rows_of(nodes, "id", touching.select(F.col("other_id").alias("id"))), F.col("other_id") == F.col("id")).drop("other_id")
+
+
+#: Ids up to which they are named in a filter.
+FEW = 1000
+
+
+def rows_of(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
+    """The rows with these ids (column id): of a few by a filter, by which a scan of sorted segments skips what cannot hold them."""
+    few = [r["id"] for r in ids.select("id").distinct().limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        return df.where(F.col(column).isin(*few)) if few else df.limit(0)
+    return df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
+
+
 def neighbor_pairs(edges: DataFrame) -> DataFrame:
     """node_id, other_id of every edge seen from both ends; a loop is seen once."""
     ends = F.array(F.struct(F.col("source_id").alias("node_id"), F.col("target_id").alias("other_id")), F.struct(F.col("target_id").alias("node_id"), F.col("source_id").alias("other_id")))

@@ -21,10 +21,6 @@ from quarryline.sources.scratch import stash
 from quarryline.sources.store import Change, Snapshot, Store
 from quarryline.sources.workspace import EXTENSIONS, read_workspace
 
-#: Ids up to which they are named in a filter.
-FEW = 1000
-
-
 @dataclass(frozen=True)
 class Report:
     total_files: int
@@ -71,28 +67,18 @@ def chunk_nodes(chunks: DataFrame, project: str) -> DataFrame:
     return graph.node_rows(rows, project)
 
 
-def rows_of(df: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows with these ids (column id): of a few by a filter, by which a scan of sorted segments skips what cannot hold them."""
-    few = [r["id"] for r in ids.select("id").distinct().limit(FEW + 1).collect()]
-    if len(few) <= FEW:
-        return df.where(F.col(column).isin(*few)) if few else df.limit(0)
-    return df.join(ids.select(F.col("id").alias(column)), column, "left_semi")
-
-
 def text_changes(now: Snapshot, project: str, texts: DataFrame, stale: DataFrame) -> list[Change]:
     """What adding full-text rows, and taking away those of stale nodes (column id), changes in the text index.
 
     Both are read and written in proportion to themselves: old rows stay where they are, hidden by tombstones, and the statistics get
     counts of what comes and, negative, of what goes.
     """
-    texts = stash(texts.repartitionByRange("node_id").sortWithinPartitions("node_id"), "texts")
-    gone = rows_of(now.read("fts", project), "node_id", stale)
+    texts = stash(texts, "texts")
+    gone = graph.rows_of(now.read("fts", project), "node_id", stale)
     counts = search.added_counts(search.term_counts(texts).unionByName(search.term_counts(gone, -1))).where("df <> 0 OR total <> 0")
-    index = search.text_index(texts)
     return [
         Change("fts", project, add=texts, remove=stale.select(F.col("id").alias("key"))),
-        Change("fts_terms", project, add=counts.repartitionByRange("term").sortWithinPartitions("term")),
-        *(Change(table, project, add=df) for table, df in index.items()),
+        Change("fts_terms", project, add=counts),
     ]
 
 
@@ -143,12 +129,11 @@ def _changes(now: Snapshot, everything: DataFrame, project: str, found: list[Rep
         new_hashes = changed.select(F.lit(project).alias("project_id"), F.col("path").alias("file_path"), F.col("hash").alias("content_hash"), time.alias("indexed_at")).unionByName(
             chunks.select(F.lit(project).alias("project_id"), chunk_key().alias("file_path"), content_hash(F.col("content")).alias("content_hash"), time.alias("indexed_at"))
         )
-        ids, vectors = doomed.select(F.col("id").alias("key")), stash(search.vector_index(made), "vectors")
+        ids, made = doomed.select(F.col("id").alias("key")), stash(made, "made")
         out += [
             Change("nodes", project, add=made, remove=ids),
             Change("edges", project, add=graph.first_edges(links), remove=ids),
-            Change("vectors", project, add=vectors, remove=ids),
-            *(Change(table, project, add=df) for table, df in search.vector_lists(vectors).items()),
+            Change("vectors", project, add=search.vector_index(made), remove=ids),
             Change("file_hashes", project, add=new_hashes, remove=touched.select(F.col("file_path").alias("key"))),
             *text_changes(now, project, texts, doomed.join(same, "id", "left_anti")),
         ]

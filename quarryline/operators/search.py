@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
 from quarryline.sources.scratch import stash
-from quarryline.sources.store import COMBINED, DERIVED
+from quarryline.sources.store import COMBINED, DERIVED, Derived
 
 #: Candidates of each tier, results of a front end, and the least cosine.
 TIER_LIMIT, TOP_K, MIN_COSINE = 20, 10, 0.20
@@ -44,6 +44,44 @@ def literal_search(nodes: DataFrame, query: str, project: str | None = None, lim
     return best.withColumn("any", F.max("p").over(Window.partitionBy(F.lit(1)))).where("p = any").select("id", "score")
 
 
+#: Characters of a gram of the name index.
+GRAM = 3
+
+
+def name_index(nodes: DataFrame) -> dict[str, DataFrame]:
+    """The index of names, as the tables names, lower-cased and sorted, and name_grams: who has which three characters, by spans of names."""
+    seg = uuid.uuid4().hex
+    ordered = nodes.select("id", "project_id", F.lower("name").alias("low")).repartitionByRange("low", "id").sortWithinPartitions("low", "id").withColumn("no", F.monotonically_increasing_id())
+    held = stash(ordered.select(F.lit(seg).alias("seg"), F.floor(F.col("no") / SPAN).alias("span"), (F.col("no") % SPAN).cast("int").alias("at"), "low", "id", "project_id"), "name-index")
+    grams = F.when(F.length("low") >= GRAM, F.transform(F.sequence(F.lit(1), F.length("low") - (GRAM - 1)), lambda i: F.substring("low", i, GRAM)))
+    each = held.select("seg", "span", "at", F.explode(F.array_distinct(grams)).alias("term"))
+    return {"names": held, "name_grams": each.groupBy("term", "seg", "span").agg(F.sort_array(F.collect_list("at")).alias("at"))}
+
+
+DERIVED["nodes"] = Derived(("names", "name_grams"), name_index)
+
+
+def literal_search_stored(names: DataFrame, grams: DataFrame, query: str, project: str | None = None, limit: int = TIER_LIMIT) -> DataFrame:
+    """literal_search from the name index: names that start so are a range of the sorted ones; those that contain it have all its grams."""
+    q, low = F.lit(query.lower()), F.col("low")
+    scored = lambda df: _first(df.select("id", X.literal_score(q, low).alias("raw")), limit)
+    mine = _of(names, project)
+    hits = scored(mine.where(low.startswith(query.lower())))
+    if not hits:
+        hits = scored(_with_grams(mine, grams, query.lower()).where(F.contains(low, q)))
+    return names.sparkSession.createDataFrame(hits, "id string, score double")
+
+
+def _with_grams(names: DataFrame, grams: DataFrame, low: str) -> DataFrame:
+    """The names that have every gram of the text; all, if it is too short to have one."""
+    wanted = sorted({low[i : i + GRAM] for i in range(len(low) - GRAM + 1)})
+    if not wanted:
+        return names
+    spans = grams.where(F.col("term").isin(*wanted)).groupBy("seg", "span").agg(F.collect_list("at").alias("lists")).where(F.size("lists") == len(wanted))
+    both = F.aggregate(F.slice("lists", 2, len(wanted)), F.get("lists", F.lit(0)), F.array_intersect)
+    return names.join(spans.select("seg", "span", F.explode(both).alias("at")), ["seg", "span", "at"], "left_semi")
+
+
 def fts_index(rows: DataFrame) -> DataFrame:
     """node_id, project_id, toks, size from rows of the full-text table.  The tokens are a generated column, made once however often they are used."""
     parts = [X.fts_tokens(F.col(c)) for c in ("name", "content", "file_path")]
@@ -67,7 +105,7 @@ def text_index(rows: DataFrame) -> dict[str, DataFrame]:
     row = F.struct("at", "tf", "positions")
     blocks = held.groupBy("term", "span").agg(F.max(bm25_share(F.col("tf"), F.col("size"), avg)).alias("top"), F.sort_array(F.collect_list(row)).alias("r"))
     lists = blocks.select("term", F.lit(seg).alias("seg"), "span", avg.alias("avg"), "top", F.col("r.at").alias("at"), F.col("r.tf").alias("tf"), F.col("r.positions").alias("positions"))
-    return {"fts_docs": index.select(F.lit(seg).alias("seg"), *place, "node_id", "project_id", "size"), "fts_postings": lists.repartitionByRange("term", "span").sortWithinPartitions("term", "span")}
+    return {"fts_docs": index.select(F.lit(seg).alias("seg"), *place, "node_id", "project_id", "size"), "fts_postings": lists}
 
 
 def term_counts(rows: DataFrame, sign: int = 1) -> DataFrame:
@@ -85,7 +123,7 @@ def added_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
 
-DERIVED["fts"] = (("fts_docs", "fts_postings"), text_index)
+DERIVED["fts"] = Derived(("fts_docs", "fts_postings"), text_index)
 COMBINED["fts_terms"] = added_counts
 
 
@@ -332,10 +370,10 @@ def vector_lists(index: DataFrame) -> dict[str, DataFrame]:
     each = held.select("seg", "span", "at", F.inline("vector").alias("b", "v"))
     blocks = each.groupBy(F.col("b").cast("string").alias("term"), "seg", "span").agg(F.max("v").alias("top"), F.sort_array(F.collect_list(F.struct("at", "v"))).alias("r"))
     lists = blocks.select("term", "seg", "span", "top", F.col("r.at").alias("at"), F.col("r.v").alias("v"))
-    return {"vector_docs": held.drop("vector"), "vector_lists": lists.repartitionByRange("term", "span").sortWithinPartitions("term", "span")}
+    return {"vector_docs": held.drop("vector"), "vector_lists": lists}
 
 
-DERIVED["vectors"] = (("vector_docs", "vector_lists"), vector_lists)
+DERIVED["vectors"] = Derived(("vector_docs", "vector_lists"), vector_lists)
 
 
 def vector_search_stored(lists: DataFrame, docs: DataFrame, query: str, project: str | None = None, limit: int = TIER_LIMIT, least: float = MIN_COSINE) -> DataFrame:
@@ -359,15 +397,14 @@ def dedup_rank(results: DataFrame, k: int) -> DataFrame:
     return results.withColumn("r", F.row_number().over(best)).where("r = 1").drop("r").orderBy(F.desc(F.round("score", 9)), "tier", "id").limit(k)
 
 
-def cascade(nodes: DataFrame, full_text: Callable[[], DataFrame], nearest: Callable[[], DataFrame], query: str, k: int = TOP_K, project: str | None = None) -> DataFrame:
-    """id, score, tier of the hybrid search.  full_text and nearest make the other tiers' hits, if they are needed.
+def cascade(literal: DataFrame, full_text: Callable[[], DataFrame], nearest: Callable[[], DataFrame], k: int = TOP_K) -> DataFrame:
+    """id, score, tier of the hybrid search from the literal tier's hits.  full_text and nearest make the other tiers' hits, if they are needed.
 
     The driver looks at the literal tier's at most 20 scores and adds the other tiers only if these do not suffice.
     """
-    literal = literal_search(nodes, query, project).withColumn("tier", F.lit(LITERAL))
+    found = literal.withColumn("tier", F.lit(LITERAL))
     top = sorted((r["score"] for r in literal.collect()), reverse=True)
     least = min(top[:k]) if len(top) >= k else 0.0
-    found = literal
     if least < SKIP_ALL:
         found = found.unionByName(full_text().select("id", "score", F.lit(FULL_TEXT).alias("tier")))
         if least < SKIP_VECTOR:

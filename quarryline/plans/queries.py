@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quarryline.functions import text as X
+from quarryline.plans import schema as S
 from quarryline.operators import accounting, chunking, envscan, graph, ingest, search, temporal
 from quarryline.sources.scratch import shared_dir, stash
 from quarryline.sources.store import Snapshot, Store
@@ -45,7 +46,8 @@ class Tables:
         """Tables made from these once a session and written, as a store keeps its indexes, so that a query only asks."""
         held = self.spark.__dict__.setdefault("_quarryline_kept", {})
         if (self.at, name) not in held:
-            held[self.at, name] = {t: stash(df, t) for t, df in make().items()}
+            made = {t: (df, S.LAYOUT.get(t)) for t, df in make().items()}
+            held[self.at, name] = {t: stash(df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df, t) for t, (df, keys) in made.items()}
         return held[self.at, name]
 
 
@@ -74,6 +76,18 @@ def literal_sql(q: str, limit: int = search.TIER_LIMIT) -> str:
 for _name, _q in {"literal_prefix": "old", "literal_suffix": "widget", "literal_contains": "ot plat", "literal_exact": "blue ring", "literal_none": "zzz"}.items():
     query(_name, f"SELECT id, round(CAST(score AS DOUBLE), 6) AS score FROM ({literal_sql(_q)})")(lambda t, s, q=_q: search.literal_search(part_nodes(t), q, P).select("id", _r("score", "score")))
 
+
+
+def _literal_stored(t, q: str) -> DataFrame:
+    """The name index is built by the first of these queries, and asked by all."""
+    kept = t.kept("names", lambda: search.name_index(part_nodes(t)))
+    return search.literal_search_stored(kept["names"], kept["name_grams"], q, P).select("id", _r("score", "score"))
+
+
+for _name, _q in {"literal_stored_prefix": "old", "literal_stored_contains": "ot plat", "literal_stored_short": "ol", "literal_stored_none": "zzz"}.items():
+    query(_name, f"SELECT id, round(CAST(score AS DOUBLE), 6) AS score FROM ({literal_sql(_q)})")(lambda t, s, q=_q: _literal_stored(t, q))
+
+
 _POINTERS = f"""SELECT n.id, coalesce(file_path, '') AS source, name AS chunk, '1-' || end_line AS lines, round(CAST(score AS DOUBLE), 6) AS relevance, coalesce(summary, '') AS summary, 'concept' AS node_type,
   CAST(NULL AS VARCHAR) AS last_modified,
   CAST((4 * len(list_filter(regexp_split_to_array(file_path || ' ' || name || ' 1-' || end_line || ' ' || summary, '\\s+'), lambda w: w <> '')) + 2) // 3 + 2 AS BIGINT) AS tokens
@@ -157,7 +171,7 @@ for _name, _q in {"fts_single": "thnd", "fts_phrase": "of the", "fts_prefix_and"
 
 
 def _text_tables(rows: DataFrame) -> dict[str, DataFrame]:
-    return search.text_index(rows) | {"fts_terms": search.term_counts(rows).repartitionByRange("term").sortWithinPartitions("term")}
+    return search.text_index(rows) | {"fts_terms": search.term_counts(rows)}
 
 
 def _stored_hits(read: Callable[[str], DataFrame], q: str) -> DataFrame:
@@ -257,7 +271,7 @@ def _part_fts(t) -> DataFrame:
 
 def _cascade(t, q: str) -> DataFrame:
     nodes = part_nodes(t)
-    return search.cascade(nodes, lambda: search.fts_search(search.fts_index(_part_fts(t)), nodes, q, P)[1], lambda: search.vector_search(search.vector_index(nodes), q, P), q, search.TOP_K, P).select("id", _r("score", "score"), "tier")
+    return search.cascade(search.literal_search(nodes, q, P), lambda: search.fts_search(search.fts_index(_part_fts(t)), nodes, q, P)[1], lambda: search.vector_search(search.vector_index(nodes), q, P)).select("id", _r("score", "score"), "tier")
 
 
 def cascade_sql(q: str) -> str:
@@ -311,6 +325,21 @@ _GN = "SELECT 'c' || c_custkey AS id, c_name AS name FROM customer UNION ALL SEL
 query("neighbors", f"""SELECT CAST(o_orderkey AS VARCHAR) AS edge_id, n.id, n.name FROM orders JOIN ({_GN}) n ON n.id = 'o' || o_orderkey WHERE o_custkey = 7""")(
     lambda t, s: graph.neighbors(graph_nodes(t).drop("project_id"), graph_edges(t), "c7", P).select("edge_id", "id", "name")
 )
+
+
+def _kept_graph(t) -> dict[str, DataFrame]:
+    return {"edges": graph_edges(t)} | graph.incoming(graph_edges(t)) | {"nodes": graph_nodes(t).drop("project_id")}
+
+
+@query("neighbors_stored", f"""SELECT CAST(o_orderkey AS VARCHAR) AS edge_id, n.id, n.name FROM orders JOIN ({_GN}) n ON n.id = 'c' || o_custkey WHERE o_orderkey = 7
+  UNION ALL SELECT CAST(o_orderkey AS VARCHAR), n.id, n.name FROM orders JOIN ({_GN}) n ON n.id = 'o' || o_orderkey WHERE o_custkey = 7""")
+def _(t, s):
+    """From the kept layouts: an order's edge comes in, a customer's go out."""
+    kept = t.kept("graph", lambda: _kept_graph(t))
+    found = [graph.neighbors_stored(kept["edges"], kept["edges_in"], kept["nodes"], i).select("edge_id", "id", "name") for i in ("o7", "c7")]
+    return found[0].unionByName(found[1])
+
+
 query("neighbor_counts", "SELECT node_id, count(*) AS n FROM (SELECT 'c' || o_custkey AS node_id FROM orders UNION ALL SELECT 'o' || o_orderkey FROM orders) GROUP BY 1")(
     lambda t, s: graph.neighbor_pairs(graph_edges(t)).groupBy("node_id").agg(F.count("*").alias("n"))
 )

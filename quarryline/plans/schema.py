@@ -28,20 +28,29 @@ TERMS = _table(("term", _S, 0), ("df", _L, 0), ("total", _L, 0))
 VECTORS = _table(("id", _S, 0), ("project_id", _S, 0), ("vector", T.ArrayType(_table(("b", T.IntegerType()), ("v", T.FloatType())))))
 VECTOR_DOCS = _table(("seg", _S, 0), ("span", _L, 0), ("at", T.IntegerType(), 0), ("id", _S, 0), ("project_id", _S, 0))
 VECTOR_LISTS = _table(("term", _S, 0), ("seg", _S, 0), ("span", _L, 0), ("top", T.FloatType(), 0), ("at", _INTS, 0), ("v", T.ArrayType(T.FloatType()), 0))
+NAMES = _table(("seg", _S, 0), ("span", _L, 0), ("at", T.IntegerType(), 0), ("low", _S, 0), ("id", _S, 0), ("project_id", _S, 0))
+NAME_GRAMS = _table(("term", _S, 0), ("seg", _S, 0), ("span", _L, 0), ("at", _INTS, 0))
 FILES = _table(("path", _S, 0), ("ext", _S), ("content", _S, 0))
 
 TABLES: dict[str, T.StructType] = {
-    "nodes": NODES, "edges": EDGES, "temporal_facts": FACTS, "file_hashes": FILE_HASHES,
+    "nodes": NODES, "names": NAMES, "name_grams": NAME_GRAMS, "edges": EDGES, "edges_in": EDGES, "temporal_facts": FACTS, "file_hashes": FILE_HASHES,
     "accounting": ACCOUNTING, "accounting_sums": ACCOUNTING_SUMS, "config_registry": REGISTRY, "fts": FTS, "fts_postings": POSTINGS, "fts_docs": DOCS, "fts_terms": TERMS, "vectors": VECTORS,
     "vector_docs": VECTOR_DOCS, "vector_lists": VECTOR_LISTS,
 }
 
 #: What tombstones name rows by; an edge goes with either end, and a hash with the file it is of.
 KEYS: dict[str, tuple[str, ...]] = {
-    "nodes": ("id",), "edges": ("source_id", "target_id"), "temporal_facts": ("id",), "file_hashes": ("substring_index(file_path, '::', 1)",),
+    "nodes": ("id",), "names": ("id",), "edges": ("source_id", "target_id"), "edges_in": ("source_id", "target_id"), "temporal_facts": ("id",), "file_hashes": ("substring_index(file_path, '::', 1)",),
     "fts": ("node_id",), "fts_docs": ("node_id",), "vectors": ("id",), "vector_docs": ("id",),
 }
 
+#: What the rows of a segment are sorted by, so that a scan for a few values skips row groups and pages.
+LAYOUT: dict[str, tuple[str, ...]] = {
+    "nodes": ("id",), "names": ("low", "id"), "name_grams": ("term", "span"), "edges": ("source_id", "id"), "edges_in": ("target_id", "id"), "temporal_facts": ("id",),
+    "file_hashes": ("file_path",), "fts": ("node_id",), "fts_docs": ("span", "at"), "fts_postings": ("term", "span"), "fts_terms": ("term",),
+    "vector_docs": ("span", "at"), "vector_lists": ("term", "span"), "accounting": ("created_at", "id"),
+}
+
 #: The closed sets and what an unknown value becomes.
 NODE_TYPES, NODE_DEFAULT = ("file", "module", "function", "struct", "impl", "trait", "enum", "concept", "document"), "concept"
 EDGE_TYPES, EDGE_DEFAULT = ("calls", "imports", "implements", "depends_on", "contains", "documents"), "depends_on"

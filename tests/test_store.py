@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarryline.api import Engine
-from quarryline.operators import accounting, ingest, search, temporal
+from quarryline.operators import accounting, graph, ingest, search, temporal
 from quarryline.plans import schema as S
 from quarryline.sources import store as store_module
 from quarryline.sources.store import Change, Conflict, Store
@@ -24,7 +24,7 @@ def ids(store, table="accounting"):
 
 def node(spark, *names, project="p"):
     rows = spark.createDataFrame([(n, "concept", n, 1, 1, None, None, 0) for n in names], "name string, node_type string, file_path string, start_line long, end_line long, summary string, content_hash string, ordinal long")
-    return ingest.graph.node_rows(rows, project).withColumn("id", F.col("name"))
+    return graph.node_rows(rows, project).withColumn("id", F.col("name"))
 
 
 def keys(spark, *names):
@@ -237,8 +237,7 @@ def test_writes_follow_what_changed(spark, tmp_path, monkeypatch):
         (root / f"f{i}.md").write_text("\n".join(f"# Part {k}\n" + " ".join(rng.choices(words, k=120)) for k in range(4)))
     e = Engine(spark, str(tmp_path / "store"), str(root), "p")
     e.index()
-    tables = ("nodes", "edges", "fts", "fts_docs", "fts_postings", "fts_terms", "vectors", "file_hashes")
-    size = lambda: sum(f.stat().st_size for t in tables for f in (tmp_path / "store" / t).rglob("part-*"))
+    size = lambda: sum(f.stat().st_size for f in (tmp_path / "store").rglob("part-*"))
     whole = size()
     (root / "f7.md").write_text("# Part 0\ntide1 tide2 harbour3\n")
     (root / "f8.md").unlink()
@@ -333,3 +332,39 @@ def test_rollups_give_the_same_reports(spark, tmp_path, monkeypatch):
     cases = [{}, {"session": "a"}, {"session": "none"}, *({"since": F.lit(m)} for m in moments), *({"day": F.to_date(F.lit("2024-03-10")), "zone": z} for z in ("UTC", "+05:45", "America/St_Johns"))]
     for case in cases:
         assert tuple(accounting.stored_stats(now, "p", **case).first()) == tuple(accounting.stats(log, "p", **case).first())
+
+
+def scanned(df):
+    """Rows that the scans of a plan without shuffles give."""
+    df.collect()
+    rows, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        plan = todo.pop()
+        if "Scan parquet" in plan.nodeName():
+            rows += plan.metrics().apply("numOutputRows").value()
+        todo += [plan.children().apply(i) for i in range(plan.children().size())]
+    return rows
+
+
+def test_names_and_neighbours_read_little(spark, tmp_path):
+    """A store of 90,000 nodes and edges: a scan for one node, a prefix or a word's grams gives a small part of the rows, and the answer is whole."""
+    n, store = 90_000, Store(spark, str(tmp_path))
+    some = spark.range(n).withColumn("name", F.concat(F.hex(F.xxhash64("id")), F.lit("_x"))).withColumn("id", F.sha2(F.col("id").cast("string"), 256))
+    none = F.lit(None).cast("string")
+    nodes = some.select("id", F.lit("p").alias("project_id"), "name", F.lit("concept").alias("node_type"), none.alias("file_path"), F.lit(1).alias("start_line"), F.lit(1).alias("end_line"), none.alias("summary"), none.alias("content_hash"), F.current_timestamp().alias("created_at"), F.current_timestamp().alias("updated_at"))
+    store.append("nodes", nodes.coalesce(4), "p")
+    edges = spark.range(n).select(F.col("id").cast("string").alias("id"), F.lit("p").alias("project_id"), F.sha2(F.col("id").cast("string"), 256).alias("source_id"), F.sha2(((F.col("id") * 7 + 1) % n).cast("string"), 256).alias("target_id"), F.lit("calls").alias("edge_type"), F.lit(1.0).alias("weight"), F.current_timestamp().alias("created_at"))
+    store.append("edges", edges.coalesce(4), "p")
+    now = store.snapshot()
+    first = nodes.first()
+    assert len(now.entries("names")) == len(now.entries("edges_in")) == 1
+    found = graph.neighbors_stored(now.read("edges", "p"), now.read("edges_in", "p"), now.read("nodes"), first["id"], "p")
+    assert sorted(r["edge_id"] for r in found.collect()) == sorted(r["edge_id"] for r in graph.neighbors(nodes, edges, first["id"], "p").collect()) != []
+    assert scanned(now.read("edges").where(F.col("source_id") == first["id"])) < n / 3 and scanned(now.read("edges_in").where(F.col("target_id") == first["id"])) < n / 3
+    assert scanned(now.read("nodes").where(F.col("id") == first["id"])) < n / 3
+    names, grams, low = now.read("names"), now.read("name_grams"), first["name"].lower()
+    for q in (low[:5], low[4:11], low[9:], low, "_X", "g", "zzzz", low[3:6]):
+        got, want = search.literal_search_stored(names, grams, q, "p"), search.literal_search(nodes, q, "p")
+        assert [tuple(r) for r in got.collect()] == [tuple(r) for r in want.collect()]
+    assert scanned(names.where(F.col("low").startswith(low[:5]))) < n / 3
+    assert search._with_grams(names, grams, low[4:11]).count() < 20
