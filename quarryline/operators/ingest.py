@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import chunking, envscan, graph, search
 from quarryline.plans import schema as S
-from quarryline.sources.scratch import stash
+from quarryline.sources.scratch import collecting, stash
 from quarryline.sources.store import Change, Snapshot, Store
 from quarryline.sources.workspace import EXTENSIONS, read_workspace
 
@@ -84,13 +84,16 @@ def text_changes(now: Snapshot, project: str, texts: DataFrame, stale: DataFrame
 
 def ingest(store: Store, root: str, project: str) -> Report:
     """Bring the store up to what the folder holds now, in one change."""
-    everything = read_workspace(store.spark, root, env_files=True).persist()
     found: list[Report] = []
-    try:
-        store.update(lambda now: _changes(now, everything, project, found))
-        return found[-1]
-    finally:
-        everything.unpersist()
+    with collecting(store.spark) as steps:
+        everything = read_workspace(store.spark, root, env_files=True).persist()
+        try:
+            store.update(lambda now: _changes(now, everything, project, found))
+        finally:
+            everything.unpersist()
+            for remove in steps:
+                remove()
+    return found[-1]
 
 
 def _changes(now: Snapshot, everything: DataFrame, project: str, found: list[Report]) -> list[Change]:
@@ -106,7 +109,8 @@ def _changes(now: Snapshot, everything: DataFrame, project: str, found: list[Rep
 
     files = everything.where(indexable)
     hashes, nodes = now.read("file_hashes", project), now.read("nodes", project)
-    judged = stash(classify_files(files.where(F.col("content").isNotNull()), hashes, project), "judged")
+    judged = classify_files(files.where(F.col("content").isNotNull()), hashes, project)
+    judged = stash(judged.select("path", "hash", "changed", F.when(F.col("changed"), F.col("content")).alias("content")), "judged")
     changed = judged.where("changed").select("path", "content", "hash")
     paths = changed.select(F.col("path").alias("file_path"))
     gone = stale_paths(graph.file_paths(nodes, project), files)

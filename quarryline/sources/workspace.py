@@ -1,24 +1,31 @@
-"""A Spark data source for a workspace of text files.
+"""A workspace of text files as a table.
 
-Spark's own file sources leave out names that start with a dot or an underscore,
-so the tree is walked here.  The driver lists paths only; files are read by the
-executors, a group of them in each partition, so the folder must be one they
-share.
+Spark's own file sources leave out names that start with a dot or an underscore, so the tree is walked here: by the executors, each
+task from some folders down until it has listed BUDGET entries.  Folders it has not entered by then are dealt out again, so a large
+folder never holds up one task and the driver holds no paths.  The folder must be one that the executors share.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 from collections.abc import Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+
+from quarryline.sources.scratch import stash
 
 #: Extensions that are read and folders that are not entered.
 EXTENSIONS = frozenset("rs tsx ts jsx js md toml json css py yml yaml sh ps1 tf".split())
 PRUNED = frozenset("target node_modules .git .venv .mypy_cache .pytest_cache .ruff_cache dist .next .vite".split())
-FILES_PER_PARTITION = 256
+#: Entries that a task lists; rows and bytes of a batch.
+BUDGET, ROWS, BATCH_BYTES = 50_000, 1000, 8 << 20
+
+_ENTRY = "kind string, path string, real string"
+_FILE = "path string, ext string, content string, error string"
 
 
 def wanted(name: str, env_files: bool = False) -> bool:
@@ -26,67 +33,85 @@ def wanted(name: str, env_files: bool = False) -> bool:
     return bool(dot and stem and ext in EXTENSIONS) or (env_files and name.startswith(".env"))
 
 
-def crawl(root: str, env_files: bool = False) -> list[str]:
-    """Sorted paths of the files to read.  A folder reached twice, as by a link to a parent, is entered once."""
-    if not os.path.isdir(root) or os.path.basename(os.path.normpath(root)) in PRUNED:
-        return []
-    found, seen, stack = [], set(), [root]
-    while stack:
-        folder = stack.pop()
-        real = os.path.realpath(folder)
-        if real in seen:
-            continue
-        seen.add(real)
-        try:
-            entries = list(os.scandir(folder))
-        except OSError:
-            continue
-        for e in entries:
-            if e.is_dir():
-                if e.name not in PRUNED:
-                    stack.append(e.path)
-            elif wanted(e.name, env_files):
-                found.append(e.path)
-    return sorted(found)
-
-
-class _Group(InputPartition):
-    def __init__(self, paths: list[str]):
-        self.paths = paths
-
-
-class _Reader(DataSourceReader):
-    def __init__(self, options: dict):
-        self.root, self.env = options["path"], options.get("env", "false") == "true"
-
-    def partitions(self) -> list[InputPartition]:
-        paths = crawl(self.root, self.env)
-        return [_Group(paths[i : i + FILES_PER_PARTITION]) for i in range(0, len(paths), FILES_PER_PARTITION)] or [_Group([])]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for p in partition.paths:
+def _entries(tops: Iterator[str], env_files: bool, budget: int) -> Iterator[tuple[str, str, str]]:
+    """Files below the folders, links to folders, and folders that the budget did not reach: (kind, path, real path)."""
+    for top in tops:
+        stack = [top]
+        while stack:
+            folder = stack.pop()
+            if budget <= 0:
+                yield "folder", folder, folder
+                continue
             try:
-                raw = Path(p).read_bytes()
-            except OSError as e:
-                yield p, Path(p).suffix[1:], None, str(e)
-            else:
-                yield p, Path(p).suffix[1:], raw.decode("utf-8", "replace"), None
-
-
-class WorkspaceSource(DataSource):
-    """spark.read.format("workspace").option("env", "true").load(folder)"""
-
-    @classmethod
-    def name(cls) -> str:
-        return "workspace"
-
-    def schema(self) -> str:
-        return "path string, ext string, content string, error string"
-
-    def reader(self, schema) -> DataSourceReader:
-        return _Reader(self.options)
+                found, real = sorted(os.scandir(folder), key=lambda e: e.name), os.path.realpath(folder)
+            except OSError:
+                continue
+            budget -= len(found)
+            for e in found:
+                if not e.is_dir():
+                    if wanted(e.name, env_files):
+                        yield "file", e.path, f"{real}/{e.name}"
+                elif e.name not in PRUNED:
+                    if e.is_symlink():
+                        yield "link", e.path, os.path.realpath(e.path)
+                    else:
+                        stack.append(e.path)
+
+
+def _batches(rows: Iterator[tuple], names: list[str], size=lambda row: BATCH_BYTES // ROWS) -> Iterator[pa.RecordBatch]:
+    held, total = [], 0
+    for row in rows:
+        held.append(row)
+        total += size(row)
+        if total >= BATCH_BYTES:
+            yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.string()) for n, c in zip(names, zip(*held), strict=True)})
+            held, total = [], 0
+    if held:
+        yield pa.RecordBatch.from_pydict({n: pa.array(c, pa.string()) for n, c in zip(names, zip(*held), strict=True)})
+
+
+def list_files(spark: SparkSession, root: str, env_files: bool = False) -> DataFrame:
+    """path of every file to read.
+
+    A link to a folder is followed, unless that lies in the tree and is walked there; a folder that several links lead to is entered once.
+    """
+    if not os.path.isdir(root) or os.path.basename(os.path.normpath(root)) in PRUNED:
+        return spark.createDataFrame([], "path string")
+
+    budget = BUDGET
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tops = (p for b in batches for p in b.column(0).to_pylist())
+        return _batches(_entries(tops, env_files, budget), ["kind", "path", "real"])
+
+    own = os.path.realpath(root).rstrip("/")
+    inside = (F.col("real") == own) | F.col("real").startswith(own + "/") & ~F.arrays_overlap(F.split(F.substring("real", len(own) + 2, 1 << 30), "/"), F.array(*map(F.lit, sorted(PRUNED))))
+    todo, rounds = spark.createDataFrame([(root,)], "path string"), []
+    while True:
+        rounds.append(stash(todo.mapInArrow(walk, _ENTRY), "listed"))
+        every = functools.reduce(DataFrame.unionByName, rounds)
+        links = rounds[-1].where((F.col("kind") == "link") & ~inside)
+        if len(rounds) > 1:
+            links = links.join(functools.reduce(DataFrame.unionByName, rounds[:-1]).where("kind = 'link'").select("real"), "real", "left_anti")
+        todo = rounds[-1].where("kind = 'folder'").select("path").unionByName(links.groupBy("real").agg(F.min("path").alias("path")).select("path")).repartition("path")
+        if todo.isEmpty():
+            return every.where("kind = 'file'").groupBy("real").agg(F.min("path").alias("path")).select("path")
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files() -> Iterator[tuple]:
+        for b in batches:
+            for p in b.column(0).to_pylist():
+                try:
+                    raw = Path(p).read_bytes()
+                except OSError as e:
+                    yield p, Path(p).suffix[1:], None, str(e)
+                else:
+                    yield p, Path(p).suffix[1:], raw.decode("utf-8", "replace"), None
+
+    return _batches(files(), ["path", "ext", "content", "error"], lambda row: 100 + len(row[2] or ""))
 
 
 def read_workspace(spark: SparkSession, root: str, env_files: bool = False) -> DataFrame:
-    spark.dataSource.register(WorkspaceSource)
-    return spark.read.format("workspace").option("env", str(env_files).lower()).load(root)
+    """path, ext, content and error of every file; bytes that are no UTF-8 are replaced."""
+    return list_files(spark, root, env_files).mapInArrow(_contents, _FILE)

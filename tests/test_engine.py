@@ -10,7 +10,8 @@ from quarryline.operators import accounting, chunking, envscan, graph, search, t
 from quarryline.plans import schema as S
 from quarryline.sources import store as store_module
 from quarryline.sources.store import Store
-from quarryline.sources.workspace import crawl, read_workspace
+from quarryline.sources import workspace
+from quarryline.sources.workspace import read_workspace
 
 
 def nodes(spark, *names):
@@ -135,15 +136,25 @@ def test_chunks(spark):
     assert chunking.code_chunks("rs", long)[0][5] == "function: name"
 
 
-def test_crawl(spark, tmp_path):
-    for p in ("main.rs", "readme.txt", "node_modules/lib.js", "src/app.ts", "_x/__init__.py", ".hidden/y.md", ".env"):
-        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
-        (tmp_path / p).write_bytes(b"caf\xe9")
-    (tmp_path / "src/loop").symlink_to(tmp_path, target_is_directory=True)
-    rel = [p[len(str(tmp_path)) + 1 :] for p in crawl(str(tmp_path))]
-    assert rel == [".hidden/y.md", "_x/__init__.py", "main.rs", "src/app.ts"]
-    assert crawl(str(tmp_path / "none")) == []
-    assert {r["content"] for r in read_workspace(spark, str(tmp_path), env_files=True).collect()} == {"caf�"}
+@pytest.mark.parametrize("budget", [50_000, 2])
+def test_crawl(spark, tmp_path, monkeypatch, budget):
+    """Also where a task's budget is one folder, so that the tree is dealt out again and again."""
+    monkeypatch.setattr(workspace, "BUDGET", budget)
+    root, other = tmp_path / "root", tmp_path / "other"
+    for p in ("main.rs", "readme.txt", "node_modules/lib.js", "src/app.ts", "src/deep/er/x.py", "_x/__init__.py", ".hidden/y.md", ".env"):
+        (root / p).parent.mkdir(parents=True, exist_ok=True)
+        (root / p).write_bytes(b"caf\xe9")
+    (other / "dist").mkdir(parents=True)
+    (other / "far.md").write_text("far")
+    (other / "dist" / "no.md").write_text("no")
+    for link, to in (("src/loop", root), ("src/again", root / "_x"), ("a", other), ("b", other), ("pruned", root / "node_modules")):
+        (root / link).symlink_to(to, target_is_directory=True)
+    (other / "back").symlink_to(other, target_is_directory=True)
+    listed = lambda r: sorted(x["path"][len(str(root)) + 1 :] for x in workspace.list_files(spark, str(r)).collect())
+    assert listed(root) == [".hidden/y.md", "_x/__init__.py", "a/far.md", "main.rs", "pruned/lib.js", "src/app.ts", "src/deep/er/x.py"]
+    assert listed(root / "none") == listed(root / "node_modules") == []
+    rows = read_workspace(spark, str(root), env_files=True).collect()
+    assert len(rows) == 8 and {r["content"] for r in rows} == {"caf\ufffd", "far"} and all(r["error"] is None for r in rows)
 
 
 def test_engine(spark, tmp_path):
