@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from quarryline.functions import text as X
 from quarryline.operators import accounting, envscan, graph, ingest, search, temporal
 from quarryline.sources.store import Snapshot, Store
+from quarryline.sources.workspace import read_files
 
 
 class TimedCache:
@@ -89,28 +90,13 @@ class Engine:
             node = graph.get_node(self.store.read("nodes", self.project), node_id, self.project).first()
             if node is None:
                 raise LookupError(f"node not found: {node_id}")
-            content = self._content(node["file_path"], node["start_line"], node["end_line"])
-            answer = {"pointer_id": node_id, "content": content, "file_path": node["file_path"] or "", "start_line": node["start_line"] or 0, "end_line": node["end_line"] or 0, "token_count": (4 * len(content.split()) + 2) // 3}
+            one = self.spark.createDataFrame([(node_id, node["file_path"], node["start_line"], node["end_line"])], "id string, file_path string, start_line long, end_line long")
+            part = search.fetched(one, read_files(one.where("file_path <> ''").select(F.col("file_path").alias("path")))).first()  # a task reads the file, the driver gets the lines
+            answer = {"pointer_id": node_id, "content": part["content"], "file_path": node["file_path"] or "", "start_line": node["start_line"] or 0, "end_line": node["end_line"] or 0, "token_count": part["token_count"]}
             self.fetches.put(node_id, answer)
         self._record(node_id, 0, answer["token_count"], answer["token_count"] * X.TRADITIONAL_FACTOR)
         return answer
 
-    def _content(self, path: str | None, start: int | None, end: int | None) -> str:
-        if not path:
-            return ""
-        fs = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        try:
-            stream = fs.getFileSystem(self.spark._jsc.hadoopConfiguration()).open(fs)
-            text = bytes(stream.readAllBytes()).decode("utf-8", "replace")
-            stream.close()
-        except Exception:
-            return f"[File not found: {path}]"
-        from quarryline.operators.chunking import lines_of
-
-        lines = lines_of(text)
-        first = min(max(start or 1, 1), len(lines) + 1)
-        return "\n".join(lines[first - 1 : min(end, len(lines)) if end else len(lines)])
-
     # Indexing
 
     def index(self) -> dict:
@@ -119,6 +105,9 @@ class Engine:
         self.store.vacuum()
         return asdict(done)
 
+    def vacuum(self) -> dict:
+        return {"folders_removed": self.store.vacuum()}
+
     def reindex_every(self, seconds: float = 300.0) -> threading.Event | None:
         """Index again and again in the background until the returned event is set; 0 means never."""
         if seconds <= 0:

@@ -1,6 +1,6 @@
 """Command line, and JSON-RPC over standard input and output.
 
-    python -m quarryline.cli --store DIR --root DIR index | search QUERY | fetch ID | fact TYPE TEXT | facts [TYPE] | stats [--since 24h] | serve
+    python -m quarryline.cli --store DIR --root DIR index | search QUERY | fetch ID | fact TYPE TEXT | facts [TYPE] | stats [--since 24h] | vacuum | serve
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def call(engine: Engine, name: str, args: dict):
     tools = {
         "search": lambda: engine.search(get("query")), "fetch": lambda: engine.fetch(get("node_id")), "index": engine.index, "stats": lambda: engine.stats(args.get("since")),
         "fact": lambda: engine.add_fact(get("fact_type"), get("content")), "facts": lambda: [r.asDict() for r in engine.facts(args.get("fact_type")).collect()],
-        "validate_env": lambda: engine.validate_env(get("env_var")), "check_consistency": engine.check_consistency,
+        "validate_env": lambda: engine.validate_env(get("env_var")), "check_consistency": engine.check_consistency, "vacuum": engine.vacuum,
     }
     if name not in tools:
         raise LookupError(f"unknown tool: {name}")
@@ -89,7 +89,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--store", required=True)
     p.add_argument("--root", default=".")
     sub = p.add_subparsers(dest="command", required=True)
-    for name, *args in (("index",), ("search", "query"), ("fetch", "node_id"), ("fact", "fact_type", "content"), ("validate_env", "env_var"), ("check_consistency",)):
+    for name, *args in (("index",), ("search", "query"), ("fetch", "node_id"), ("fact", "fact_type", "content"), ("validate_env", "env_var"), ("check_consistency",), ("vacuum",)):
         one = sub.add_parser(name)
         for a in args:
             one.add_argument(a)

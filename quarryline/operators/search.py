@@ -430,3 +430,15 @@ def response_report(found: DataFrame, fetched: int = 0) -> DataFrame:
     one = one.withColumns({"total_tokens": F.col("pointer_tokens") + F.col("fetched_tokens"), "traditional_rag_estimate": F.col("pointer_tokens") * X.TRADITIONAL_FACTOR})
     share = (1 - F.col("total_tokens") / F.col("traditional_rag_estimate")) * 100
     return one.withColumn("savings_pct", F.when(F.col("traditional_rag_estimate") > 0, F.greatest(share, F.lit(0.0))).otherwise(0.0))
+
+
+def fetched(nodes: DataFrame, files: DataFrame) -> DataFrame:
+    """id, content and token_count of nodes (id, file_path, start_line, end_line): their lines of the files (path, content) they are in.
+
+    A node without a file has no content, and of a file that is not there it is said so.
+    """
+    held = nodes.select("id", "file_path", "start_line", "end_line").join(files.select(F.col("path").alias("file_path"), "content"), "file_path", "left")
+    lost = F.concat(F.lit("[File not found: "), "file_path", F.lit("]"))
+    lines = X.line_slice(F.col("content"), F.col("start_line"), F.col("end_line"))
+    out = held.withColumn("content", F.when(F.coalesce("file_path", F.lit("")) == "", "").when(F.col("content").isNull(), lost).otherwise(lines))
+    return out.select("id", "content", X.token_estimate(F.col("content")).alias("token_count"))

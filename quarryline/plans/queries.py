@@ -438,6 +438,16 @@ def _(t, s):
     return graph.upsert(_stored(t), new, ["project_id", "file_path"]).select("file_path", "content_hash")
 
 
+@query("chunk_hash_upsert", """SELECT CAST(doc_id AS VARCHAR) || '::' || coalesce(lang, '') || '::' || doc_id % 4 AS file_path, CASE WHEN doc_id % 2 = 0 THEN sha256(coalesce(text, '')) ELSE sha256('old ' || doc_id) END AS content_hash FROM documents""")
+def _(t, s):
+    """Hashes of chunks, kept under path, name and ordinal: those of changed chunks replace the old ones."""
+    chunks = _doc_chunks(t)
+    row = lambda h: (F.lit(P).alias("project_id"), ingest.chunk_key().alias("file_path"), h.alias("content_hash"))
+    old = chunks.select(*row(ingest.content_hash(F.concat(F.lit("old "), "path"))))
+    new = chunks.where("CAST(path AS BIGINT) % 2 = 0").select(*row(ingest.content_hash(F.col("content"))))
+    return graph.upsert(old, new, ["project_id", "file_path"]).select("file_path", "content_hash")
+
+
 @query("fts_replace", "SELECT CAST(doc_id AS VARCHAR) AS node_id, CASE WHEN doc_id % 4 = 0 THEN 'new ' || doc_id ELSE md5(coalesce(text, '')) END AS content FROM documents WHERE doc_id % 4 <> 1")
 def _(t, s):
     """Full-text rows of changed documents are replaced, those of vanished ones go."""
@@ -456,6 +466,16 @@ _LINES = "CASE WHEN text = '' THEN [] WHEN text LIKE '%' || chr(10) THEN string_
 query("line_count", f"SELECT doc_id, CAST(len({_LINES}) AS BIGINT) AS n FROM documents")(lambda t, s: t("documents", "doc_id", "text").select("doc_id", X.count_lines(F.col("text")).alias("n")))
 query("line_slice", f"SELECT doc_id, coalesce(array_to_string(({_LINES})[2:4], chr(10)), '') AS part FROM documents")(lambda t, s: t("documents", "doc_id", "text").select("doc_id", X.line_slice(F.col("text"), F.lit(2), F.lit(4)).alias("part")))
 
+@query("fetch_content", f"""SELECT id, content, CAST((4 * len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) + 2) // 3 AS BIGINT) AS token_count FROM (
+    SELECT CAST(doc_id AS VARCHAR) AS id, CASE doc_id % 7 WHEN 0 THEN '' WHEN 1 THEN '[File not found: /gone/' || doc_id || ']' ELSE coalesce(array_to_string(({_LINES})[CASE WHEN doc_id % 3 = 0 THEN 1 ELSE doc_id % 3 END:CASE WHEN doc_id % 4 = 0 THEN len({_LINES}) ELSE doc_id % 4 + 1 END], chr(10)), '') END AS content FROM documents)""")
+def _(t, s):
+    """What fetching a node gives, for nodes of every kind: of some lines, to the end, without a file, and of a file that is gone."""
+    d, key = t("documents", "doc_id", "text"), F.col("doc_id")
+    path = F.when(key % 7 == 1, F.concat(F.lit("/gone/"), key.cast("string"))).when(key % 7 != 0, F.concat(F.lit("/w/"), key.cast("string")))
+    nodes = d.select(key.cast("string").alias("id"), path.alias("file_path"), (key % 3).alias("start_line"), F.when(key % 4 != 0, key % 4 + 1).alias("end_line"))
+    return search.fetched(nodes, d.select(F.concat(F.lit("/w/"), key.cast("string")).alias("path"), F.coalesce("text", F.lit("")).alias("content")))
+
+
 # Facts: a conversation is a node, a turn a moment; the next turn of the same role supersedes.
 
 

@@ -114,4 +114,9 @@ def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def read_workspace(spark: SparkSession, root: str, env_files: bool = False) -> DataFrame:
     """path, ext, content and error of every file; bytes that are no UTF-8 are replaced."""
-    return list_files(spark, root, env_files).mapInArrow(_contents, _FILE)
+    return read_files(list_files(spark, root, env_files))
+
+
+def read_files(paths: DataFrame) -> DataFrame:
+    """The same of some paths (column path)."""
+    return paths.select("path").mapInArrow(_contents, _FILE)
