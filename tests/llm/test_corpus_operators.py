@@ -210,10 +210,25 @@ def planted_pairs(n, seed=12):
     return rows
 
 
-def test_recall_of_planted_pairs(spark):
-    rows = planted_pairs(1000)
-    found = jaccard_join.join(spark.createDataFrame(rows, DOCS)).where("n_links > 0").count()
-    assert found >= 0.99 * len(rows)
+@pytest.mark.parametrize(("passage", "small"), [("", jaccard_join.SMALL), (" ".join(f"shared{i}" for i in range(30)) + " ", 256)])
+def test_recall_of_planted_pairs(spark, monkeypatch, passage, small):
+    """Also where all share a passage, so that their common buckets are split by further steps."""
+    steps, again = [], jaccard_join._next_step
+    monkeypatch.setattr(jaccard_join, "_next_step", lambda *a: steps.append(1) or again(*a))
+    rows = [(i, passage + t) for i, t in planted_pairs(1000)]
+    found = jaccard_join.join(spark.createDataFrame(rows, DOCS), small=small).where("n_links > 0").count()
+    assert found >= 0.99 * len(rows) and bool(steps) == bool(passage)
+
+
+def test_places_are_shuffled_beyond_sent(spark, docs, monkeypatch):
+    """The plans for more places than are broadcast give the same rows."""
+    monkeypatch.setattr(jaccard_join, "SENT", -1)
+    monkeypatch.setattr(line_dedup, "SENT", -1)
+    got = [(str(r["doc_id"]), str(r["class_id"]), r["n_links"]) for r in jaccard_join.join(docs, small=64, block=64, recall=0.9999999).collect()]
+    assert sorted(got) == brute_groups(corpus())
+    rows = [r for r in corpus() if r[1] is None or "same id" not in r[1]]
+    found = line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect()
+    assert collections.Counter((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in found) == brute_lines(rows)
 
 
 def pipeline_docs(spark, rows):
