@@ -2,10 +2,14 @@
 
 Every language gets a codeword of bits.  One binary classifier per bit, a
 logistic regression over hashed byte n-grams, says how strongly a text leans to
-that bit.  Decoding weighs each bit's logistic loss by how reliable the bit was
-in training and picks the language whose codeword costs least.  A text whose two
+that bit.  Decoding weighs each bit's logistic loss by how reliable the bit is
+and picks the language whose codeword costs least.  A text whose two
 cheapest codewords cost nearly the same is flagged as ambiguous.
 
+A fifth of the fitted texts is kept aside at first.  How often a bit is right there is
+its weight, and the cost gap that all but PLAIN of these texts exceed, which are of one language
+each, is the limit under which a text is ambiguous.  Then the classifiers learn from all.
+
 Defined results: a null text, an empty one and one without any letter give
 ``und`` with score 0.  A text of any length is read whole.  Of codewords that cost
 the same the first language by name is given, and the text is ambiguous.  Repeated
@@ -16,6 +20,7 @@ rows are scored alike, each on its own.  An empty table gives an empty result; a
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,8 +38,10 @@ WIDTH = 4096
 FIT_ROWS, LEAST = 2000, 20
 #: Of each fitted row, so many short snippets are fitted as well, so that short texts are known too.
 SNIPPETS = 3
-#: The two cheapest codewords closer than this (in nats a bit) make a text ambiguous.
-AMBIGUOUS = 0.02
+#: Texts kept aside that may be flagged as ambiguous, as a share; the limit (in nats a bit) where fewer than LEAST are kept aside.
+PLAIN, AMBIGUOUS = 0.005, 0.02
+#: Steps of the fit without, and then with, what is kept aside.
+STEPS, MORE_STEPS = 120, 40
 
 _LATIN = re.compile("[A-Za-z]")
 _BLANK = re.compile(rb"[\x00-\x40\x5B-\x60\x7B-\x7F]+")
@@ -85,15 +92,25 @@ class Model:
     weights: np.ndarray
     bias: np.ndarray
     trust: np.ndarray
+    limit: float = AMBIGUOUS
+
+    def costs(self, x: np.ndarray) -> np.ndarray:
+        """The weighted loss of every language's codeword, for one vector or a row for each of several."""
+        lean = x @ self.weights + self.bias
+        return np.logaddexp(0, -self.code * lean[..., None, :]) @ self.trust
+
+    def gaps(self, x: np.ndarray) -> np.ndarray:
+        """How much more the second cheapest codeword costs, for each row."""
+        two = np.partition(self.costs(x), 1, axis=1)
+        return two[:, 1] - two[:, 0]
 
     def score(self, x: np.ndarray) -> tuple[str, float, bool]:
         """The language, how probable it is against the others, and whether it is ambiguous."""
-        lean = x @ self.weights + self.bias
-        cost = np.logaddexp(0, -self.code * lean) @ self.trust
+        cost = self.costs(x)
         order = np.argsort(cost, kind="stable")
         share = np.exp(-(cost - cost[order[0]]) * len(self.trust))
         gap = cost[order[1]] - cost[order[0]] if len(order) > 1 else np.inf
-        return self.languages[order[0]], float(1 / share.sum()), bool(gap < AMBIGUOUS)
+        return self.languages[order[0]], float(1 / share.sum()), bool(gap < self.limit)
 
 
 def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = FIT_ROWS) -> Model | None:
@@ -104,7 +121,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, xs = [], []
+            langs, xs, whole, aside = [], [], [], []
             for key, text, lang in zip(batch.column(0).to_pylist(), common.binary(batch.column(1)), batch.column(2).to_pylist(), strict=True):
                 words = text.split()
                 rng = np.random.default_rng((key or 0) & 0xFFFF_FFFF)
@@ -112,15 +129,18 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 for size in (2, 5, 12)[: SNIPPETS if words else 0]:
                     at = int(rng.integers(0, max(1, len(words) - size + 1)))
                     parts.append(b" ".join(words[at : at + size]))
-                for part in parts:
+                apart = zlib.crc32(text) % 5 == 0
+                for k, part in enumerate(parts):
                     langs.append(lang)
                     xs.append(features(part).astype(np.float16).tobytes())
-            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(xs, pa.binary())], ["lang", "x"])
+                    whole.append(k == 0)
+                    aside.append(apart)
+            yield pa.record_batch([pa.array(langs, pa.string()), pa.array(xs, pa.binary()), pa.array(whole, pa.bool_()), pa.array(aside, pa.bool_())], ["lang", "x", "whole", "aside"])
 
-    got = common.map_arrow(usable.select("k", "t", "l"), vectors, "lang string, x binary").toArrow()
+    got = common.map_arrow(usable.select("k", "t", "l"), vectors, "lang string, x binary, whole boolean, aside boolean").toArrow()
     if not got.num_rows:
         return None
-    labels = got.column("lang").to_pylist()
+    labels, whole, aside = got.column("lang").to_pylist(), *(np.array(got.column(c).to_pylist()) for c in ("whole", "aside"))
     x = np.empty((got.num_rows, WIDTH), np.float32)  # filled part by part, so that the driver holds the vectors once
     at = 0
     for batch in got.to_batches():
@@ -131,17 +151,28 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     languages = sorted(set(labels))
     code = codewords(len(languages))
     y = code[[languages.index(v) for v in labels]].astype(np.float32)
-    weights, bias = np.zeros((WIDTH, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
-    past_w, past_b = weights.copy(), bias.copy()
-    for step in range(120):  # accelerated gradient descent on the logistic loss
-        mix = step / (step + 3)
+    weights, bias = _descend(x, y, ~aside if (~aside).any() else aside, np.zeros((WIDTH, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), STEPS)
+    judged = aside if aside.any() else ~aside
+    right = ((np.sign(x[judged] @ weights + bias) == y[judged]).sum(0) + 1) / (judged.sum() + 2)
+    trust = np.log(right / (1 - right)).clip(1e-3)
+    model = Model(languages, code, weights, bias, trust / trust.sum())
+    plain = x[aside & whole]
+    limit = float(np.quantile(model.gaps(plain), PLAIN)) if len(plain) >= LEAST and len(languages) > 1 else AMBIGUOUS
+    weights, bias = _descend(x, y, np.ones(len(y), bool), weights, bias, MORE_STEPS)
+    return Model(languages, code, weights.astype(float), bias.astype(float), model.trust, limit)
+
+
+def _descend(x: np.ndarray, y: np.ndarray, rows: np.ndarray, weights: np.ndarray, bias: np.ndarray, steps: int) -> tuple[np.ndarray, np.ndarray]:
+    """Accelerated gradient descent on the logistic loss of the chosen rows."""
+    share = (rows / rows.sum()).astype(np.float32)[:, None]  # the others weigh nothing, so that x is not copied
+    past_w, past_b = weights, bias
+    for step in range(steps):
+        mix = np.float32(step / (step + 3))
         at_w, at_b = weights + mix * (weights - past_w), bias + mix * (bias - past_b)
-        slope = -y / (1 + np.exp(np.clip(y * (x @ at_w + at_b), -30, 30))) / len(y)
+        slope = -y * share / (1 + np.exp(np.clip(y * (x @ at_w + at_b), -30, 30)))
         past_w, past_b = weights, bias
-        weights, bias = at_w - 8.0 * (x.T @ slope + 1e-6 * at_w), at_b - 8.0 * slope.sum(0)
-    right = (np.sign(x @ weights + bias) == y).mean(0).clip(0.5, 0.999)
-    trust = np.log(right / (1 - right)) + 1e-6
-    return Model(languages, code, weights.astype(float), bias.astype(float), trust / trust.sum())
+        weights, bias = at_w - np.float32(8.0) * (x.T @ slope + np.float32(1e-6) * at_w), at_b - np.float32(8.0) * slope.sum(0)
+    return weights, bias
 
 
 def predict(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", keep: list[str] | None = None, out: tuple[str, str, str] = ("lang_pred", "score", "ambiguous")) -> DataFrame:

@@ -95,6 +95,21 @@ def test_language(spark, odd):
     assert (code @ code.T - 1000 * np.eye(30)).max() < code.shape[1]
 
 
+def test_woven_texts_are_ambiguous(spark):
+    """Half of one language, half of another, word by word: flagged; texts of one language, kept from the fit: not."""
+    rng = np.random.default_rng(12)
+    words = {lang: ["".join(rng.choice(list(letters), int(rng.integers(3, 8)))) for _ in range(80)] for lang, letters in {"aa": "aeikltnr", "bb": "aeostrdg", "cc": "aeioumnp"}.items()}
+    draw = lambda lang, n: [str(w) for w in rng.choice(words[lang], n)]
+    rows = [(i, " ".join(draw(lang, 40)), lang) for i, lang in enumerate(["aa", "bb", "cc"] * 150)]
+    model = language_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    plain = [(1000 + i, " ".join(draw(lang, 40))) for i, lang in enumerate(["aa", "bb", "cc"] * 50)]
+    woven = [(2000 + i, " ".join(w for pair in zip(draw(a, 20), draw(b, 20)) for w in pair)) for i, (a, b) in enumerate([("aa", "bb"), ("bb", "cc"), ("cc", "aa")] * 50)]
+    got = language_id.predict(spark.createDataFrame(plain + woven, "doc_id long, text string"), model, keep=["doc_id"]).collect()
+    flagged = lambda least: sum(r["ambiguous"] for r in got if least <= r["doc_id"] < least + 1000) / 150
+    assert flagged(1000) < 0.05 and flagged(2000) > 0.5
+    assert len(set(np.round(model.trust, 6))) > 1 or (model.trust == model.trust[0]).all()
+
+
 def test_rare_language_is_learnt(spark):
     words = {"aa": "kala mika sola tuna", "bb": "grob stark fest hart", "cc": "joli vert rouge bleu", "dd": "xiq zuq wox yaz"}
     rng = np.random.default_rng(4)
