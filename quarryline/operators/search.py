@@ -23,7 +23,7 @@ LITERAL, FULL_TEXT, VECTOR = "L0Literal", "L1Fts", "L2Vector"
 #: What a tier adds to a score when a node was found by several.
 BONUS = {LITERAL: 0.3, FULL_TEXT: 0.1, VECTOR: 0.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
-#: Rows of a span of the text index; spans a top-k search begins with, and spans up to which it names those it goes on with in a filter.
+#: Rows of a span of an index; spans a top-k search begins with, and spans up to which it names those it goes on with.
 SPAN, FIRST_SPANS, MOST_SPANS = 128, 8, 500
 #: Stands between the columns of an index row, so that no phrase runs across.
 _EDGE = "\u0001"
@@ -228,16 +228,19 @@ def _best_of_spans(blocks: DataFrame, docs: DataFrame, bound: Column, value: str
     """The `limit` best rows, of at least `least`, by the sum of their shares over blocks, and the number of blocks read.
 
     The blocks' bounds, without their rows, bound every span.  The spans with the highest bounds are read first; their k-th best row is a
-    threshold, and of the others only spans whose bound reaches it are read.
+    threshold, and of the others only spans whose bound reaches it are read.  The driver sees the MOST_SPANS spans with the highest bounds; if
+    even more reach the threshold, these are joined where they are.
     """
-    spans = stash(blocks.select("seg", "span", bound.alias("bound")).groupBy("seg", "span").agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks")).where(F.col("bound") * (1 + 1e-9) >= least), "spans")
-    first = spans.orderBy(F.desc("bound"), "seg", "span").limit(FIRST_SPANS).collect()
+    spans = blocks.select("seg", "span", bound.alias("bound")).groupBy("seg", "span").agg(F.sum("bound").alias("bound"), F.count("*").alias("blocks"))
+    reaches = lambda least: F.col("bound") * (1 + 1e-9) >= least
+    top = spans.where(reaches(least)).orderBy(F.desc("bound"), "seg", "span").limit(MOST_SPANS + 1).collect()
 
-    def score(chosen) -> DataFrame:
+    def score(chosen: Callable[[DataFrame], DataFrame]) -> list[tuple[str, float]]:
         rows = chosen(blocks).select("seg", "span", "term", F.inline(F.arrays_zip("at", value)))
-        return rows.join(chosen(docs), ["seg", "span", "at"]).groupBy("id").agg(F.sum(share).alias("raw"))
+        return _first(rows.join(chosen(docs), ["seg", "span", "at"]).groupBy("id").agg(F.sum(share).alias("raw")), limit)
 
     def among(some: list) -> Callable[[DataFrame], DataFrame]:
+        """As a filter, by which the scans skip row groups."""
         names: dict[str, list[int]] = {}
         for r in some:
             names.setdefault(r["seg"], []).append(r["span"])
@@ -246,20 +249,15 @@ def _best_of_spans(blocks: DataFrame, docs: DataFrame, bound: Column, value: str
             is_one = is_one | (F.col("seg") == seg) & F.col("span").isin(*numbers)
         return lambda df: df.where(is_one)
 
-    best, read = _first(score(among(first)), limit), sum(r["blocks"] for r in first)
-    if len(first) == FIRST_SPANS:
-        reached = max(least, best[-1][1] - 2e-9 if len(best) == limit else 0.0)
-        taken = spans.sparkSession.createDataFrame([(r["seg"], r["span"]) for r in first], "seg string, span long")
-        rest = spans.where(F.col("bound") * (1 + 1e-9) >= reached).join(F.broadcast(taken), ["seg", "span"], "left_anti")
-        few = rest.limit(MOST_SPANS + 1).collect()
-        more: list[tuple[str, float]] = []
-        if 0 < len(few) <= MOST_SPANS:  # as a filter, by which the scans skip row groups
-            more, read = _first(score(among(few)), limit), read + sum(r["blocks"] for r in few)
-        elif few:
-            rest = stash(rest, "spans")
-            more = _first(score(lambda df: df.join(rest, ["seg", "span"], "left_semi")), limit)
-            read += rest.agg(F.sum("blocks")).first()[0]
-        best = sorted(best + more, key=lambda h: (-round(h[1], 9), h[0]))[:limit]
+    first = top[:FIRST_SPANS]
+    best, read = score(among(first)) if first else [], sum(r["blocks"] for r in first)
+    reached = max(least, best[-1][1] - 2e-9 if len(best) == limit else 0.0)
+    rest = [r for r in top[FIRST_SPANS:] if r["bound"] * (1 + 1e-9) >= reached]
+    if len(first) + len(rest) > MOST_SPANS:
+        wide = stash(spans.where(reaches(reached)), "spans")
+        best, read = score(lambda df: df.join(wide.select("seg", "span"), ["seg", "span"], "left_semi")), wide.agg(F.sum("blocks")).first()[0]
+    elif rest:
+        best, read = sorted(best + score(among(rest)), key=lambda h: (-round(h[1], 9), h[0]))[:limit], read + sum(r["blocks"] for r in rest)
     return [h for h in best if h[1] >= least], read
 
 

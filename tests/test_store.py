@@ -315,6 +315,25 @@ def test_top_k_reads_few_blocks(spark, monkeypatch):
         every = sorted(((-round(sum(w * share(x.split().count(t), len(x.split()) + 1) for t, w in weights.items()), 9), i) for i, x in rows if i <= "n1200"))[:20]
         assert [(i, round(raw, 9)) for i, raw in best] == [(i, -raw) for raw, i in every]
         assert read <= blocks / (2 if average == size / n else 1)
+    monkeypatch.setattr(search, "MOST_SPANS", 20)  # more spans reach the threshold than the driver sees
+    assert [h[0] for h in search._best_rows(tables["fts_postings"], tables["fts_docs"], {"w3": 1.0, "w7": 0.5}, size / n, None, 20)[0]] == [h[0] for h in search._best_rows(tables["fts_postings"], tables["fts_docs"], {"w3": 1.0, "w7": 0.5}, size / n, None, 400)[0]][:20]
+
+
+def test_nearest_vectors_read_few_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "SPAN", 16)
+    rng = random.Random(13)
+    words = [f"{a}_{k}" for a in ("tide", "moon", "reef", "gull", "sand") for k in range(40)]
+    rows = [(f"n{i:04}", "p" if i % 3 else "q", " ".join(rng.choices(words, k=rng.choice([2, 4, 8]))), None, None) for i in range(1500)]
+    rows += [(f"same{i}", "p", "tide_1 moon_2", None, None) for i in range(30)] + [("none", "p", "", None, None)]
+    index = search.vector_index(spark.createDataFrame(rows, "id string, project_id string, name string, summary string, file_path string")).cache()
+    kept = {t: df.cache() for t, df in search.vector_lists(index).items()}
+    for q, project in (("tide_1 moon_2", "p"), ("reef_7 gull_9 sand_11", None), ("nothing here", "q"), ("!", "p")):
+        got = search.vector_search_stored(kept["vector_lists"], kept["vector_docs"], q, project)
+        want = search.vector_search(index, q, project)
+        assert [(r["id"], round(r["score"], 9)) for r in got.collect()] == [(r["id"], round(r["score"], 9)) for r in want.collect()]
+    hits, read = search._nearest(kept["vector_lists"], kept["vector_docs"], "tide_1 moon_2", "p", 20, search.MIN_COSINE)
+    buckets = [str(b) for b, v in enumerate(search.X.query_vector("tide_1 moon_2")) if v]
+    assert len(hits) == 20 and read < kept["vector_lists"].where(F.col("term").isin(buckets)).count() / 2
 
 
 def test_rollups_give_the_same_reports(spark, tmp_path, monkeypatch):
