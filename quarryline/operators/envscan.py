@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Names that are never a project's own.
@@ -69,11 +69,21 @@ def suggestions(keys: DataFrame, name: str, limit: int = SUGGESTIONS) -> DataFra
     return keys.select("key").distinct().select("key", F.levenshtein(F.lit(name), F.col("key")).alias("dist")).orderBy("dist", "key").limit(limit)
 
 
+def validations(keys: DataFrame, names: list[str], limit: int = SUGGESTIONS) -> DataFrame:
+    """name, valid, near for each of some names: whether it is known and, if not, the known keys nearest to it.  One pass over the keys; a task passes on
+    `limit` of them a name."""
+    asked = keys.sparkSession.createDataFrame([(n,) for n in dict.fromkeys(names)], "name string")
+    each = keys.select("key").distinct().select("key", F.explode(F.array(*(F.lit(n) for n in dict.fromkeys(names)))).alias("name")).withColumn("dist", F.levenshtein("name", "key"))
+    best = each.withColumn("r", F.row_number().over(Window.partitionBy("name").orderBy("dist", "key"))).where(F.col("r") <= limit)
+    found = best.groupBy("name").agg((F.min("dist") == 0).alias("valid"), F.sort_array(F.collect_list(F.struct("dist", "key"))).alias("best"))
+    near = F.when(F.col("valid"), F.array().cast("array<string>")).otherwise(F.coalesce(F.col("best.key"), F.array().cast("array<string>")))
+    return asked.join(found, "name", "left").select("name", F.coalesce("valid", F.lit(False)).alias("valid"), near.alias("near"))
+
+
 def validate(keys: DataFrame, name: str) -> tuple[bool, list[str]]:
     """Whether a name is known and, if not, what it may have meant."""
-    if not keys.where(F.col("key") == name).isEmpty():
-        return True, []
-    return False, [r["key"] for r in suggestions(keys, name).collect()]
+    r = validations(keys, [name]).first()
+    return r["valid"], r["near"]
 
 
 def classify(reg: DataFrame) -> DataFrame:

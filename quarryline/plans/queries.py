@@ -191,6 +191,13 @@ query("fts_term_counts", f"""WITH f AS (SELECT list_filter(toks, lambda v: v <>
   SELECT w AS term, count(*) AS df, CAST(0 AS BIGINT) AS total FROM (SELECT unnest(list_distinct(ws)) AS w FROM f) GROUP BY w UNION ALL SELECT '', count(*), CAST(sum(len(ws)) AS BIGINT) FROM f""")(lambda t, s: search.term_counts(doc_fts(t)))
 
 
+@query("fts_build", f"""SELECT w AS term, count(DISTINCT id) AS rows, count(*) AS places FROM (SELECT id, unnest(list_filter(toks, lambda v: v <> chr(1))) AS w FROM ({_DOC_FTS})) GROUP BY w""")
+def _(t, s):
+    """The inverted index built anew, and summed up by term."""
+    blocks = search.text_index(doc_fts(t))["fts_postings"]
+    return blocks.groupBy("term").agg(F.sum(F.size("at")).alias("rows"), F.sum(F.aggregate("tf", F.lit(0).cast("long"), lambda a, b: a + b)).alias("places"))
+
+
 _EDITED = f"""SELECT id, toks FROM ({_DOC_FTS.replace('text', "text || CASE WHEN doc_id % 3 = 0 THEN ' later thnd' ELSE '' END")}) WHERE CAST(id AS BIGINT) % 5 <> 0"""
 
 
@@ -590,7 +597,7 @@ query("registry_by_key", f"SELECT key, row_number() OVER (ORDER BY key) AS place
 )
 query("env_validate", f"""SELECT name, name IN (SELECT key FROM ({_REG})) AS valid, CASE WHEN name IN (SELECT key FROM ({_REG})) THEN NULL ELSE (SELECT string_agg(key, ',' ORDER BY d, key) FROM (SELECT key, levenshtein(v.name, key) AS d FROM ({_REG}) ORDER BY d, key LIMIT 5)) END AS near
   FROM (VALUES ('BRAND_1'), ('BRAND11_ECONOMIC'), ('BRAND11_ECONOMY')) AS v(name)""")(
-    lambda t, s: s.createDataFrame([(name, valid, ",".join(near) or None) for name in ("BRAND_1", "BRAND11_ECONOMIC", "BRAND11_ECONOMY") for valid, near in [envscan.validate(reg_table(t), name)]], "name string, valid boolean, near string")
+    lambda t, s: envscan.validations(reg_table(t), ["BRAND_1", "BRAND11_ECONOMIC", "BRAND11_ECONOMY"]).select("name", "valid", F.when(F.size("near") > 0, F.concat_ws(",", "near")).alias("near"))
 )
 
 

@@ -113,6 +113,7 @@ def test_env(spark):
     assert envscan.validate(reg, "HARBOUR_URL") == (True, [])
     valid, near = envscan.validate(reg, "HARBOUR_URI")
     assert not valid and near[0] == "HARBOUR_URL"
+    assert envscan.validate(reg.limit(0), "X") == (False, [])
     assert tuple(envscan.consistency(reg).first()) == (1, 1, 1, "issues_found")
     assert [tuple(r) for r in envscan.nearest_defined(reg).collect()] == [("TIDE_KEE", "TIDE_KEY")]
 
