@@ -68,6 +68,17 @@ def features(text: bytes) -> np.ndarray:
     return (out / max(np.sqrt(out @ out), 1e-9)).astype(np.float32)
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """A vector's places that are not zero, and what is there: few, so little goes to the driver."""
+    at = np.flatnonzero(x)
+    return at.astype(np.uint16).tobytes() + x[at].astype(np.float16).tobytes()
+
+
+def _unpack(packed, out: np.ndarray) -> None:
+    n = len(packed) // 4
+    out[np.frombuffer(packed, np.uint16, n)] = np.frombuffer(packed, np.float16, n, 2 * n)
+
+
 def codewords(n_classes: int, seed: int = 5) -> np.ndarray:
     """A row of -1 and 1 for each class.  Few classes get the exhaustive code, more the widest of random codes."""
     if n_classes < 2:
@@ -94,19 +105,18 @@ class Model:
     trust: np.ndarray
     limit: float = AMBIGUOUS
 
-    def costs(self, x: np.ndarray) -> np.ndarray:
-        """The weighted loss of every language's codeword, for one vector or a row for each of several."""
-        lean = x @ self.weights + self.bias
+    def costs(self, lean: np.ndarray) -> np.ndarray:
+        """The weighted loss of every language's codeword, from what each bit's classifier says of one text, or of several."""
         return np.logaddexp(0, -self.code * lean[..., None, :]) @ self.trust
 
-    def gaps(self, x: np.ndarray) -> np.ndarray:
-        """How much more the second cheapest codeword costs, for each row."""
-        two = np.partition(self.costs(x), 1, axis=1)
+    def gaps(self, lean: np.ndarray) -> np.ndarray:
+        """How much more the second cheapest codeword costs, for each of several texts."""
+        two = np.partition(self.costs(lean), 1, axis=1)
         return two[:, 1] - two[:, 0]
 
     def score(self, x: np.ndarray) -> tuple[str, float, bool]:
         """The language, how probable it is against the others, and whether it is ambiguous."""
-        cost = self.costs(x)
+        cost = self.costs(x @ self.weights + self.bias)
         order = np.argsort(cost, kind="stable")
         share = np.exp(-(cost - cost[order[0]]) * len(self.trust))
         gap = cost[order[1]] - cost[order[0]] if len(order) > 1 else np.inf
@@ -132,7 +142,7 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
                 apart = zlib.crc32(text) % 5 == 0
                 for k, part in enumerate(parts):
                     langs.append(lang)
-                    xs.append(features(part).astype(np.float16).tobytes())
+                    xs.append(_packed(features(part)))
                     whole.append(k == 0)
                     aside.append(apart)
             yield pa.record_batch([pa.array(langs, pa.string()), pa.array(xs, pa.binary()), pa.array(whole, pa.bool_()), pa.array(aside, pa.bool_())], ["lang", "x", "whole", "aside"])
@@ -141,22 +151,19 @@ def fit(training: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     if not got.num_rows:
         return None
     labels, whole, aside = got.column("lang").to_pylist(), *(np.array(got.column(c).to_pylist()) for c in ("whole", "aside"))
-    x = np.empty((got.num_rows, WIDTH), np.float32)  # filled part by part, so that the driver holds the vectors once
-    at = 0
-    for batch in got.to_batches():
-        for row in batch.column(1):
-            x[at] = np.frombuffer(row.as_buffer(), np.float16)
-            at += 1
-    del got, batch
+    x = np.zeros((got.num_rows, WIDTH), np.float32)
+    for i, row in enumerate(v for batch in got.to_batches() for v in batch.column("x")):
+        _unpack(row.as_buffer(), x[i])
+    del got, row
     languages = sorted(set(labels))
     code = codewords(len(languages))
     y = code[[languages.index(v) for v in labels]].astype(np.float32)
     weights, bias = _descend(x, y, ~aside if (~aside).any() else aside, np.zeros((WIDTH, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32), STEPS)
-    judged = aside if aside.any() else ~aside
-    right = ((np.sign(x[judged] @ weights + bias) == y[judged]).sum(0) + 1) / (judged.sum() + 2)
+    lean, judged = x @ weights + bias, aside if aside.any() else ~aside
+    right = ((np.sign(lean[judged]) == y[judged]).sum(0) + 1) / (judged.sum() + 2)
     trust = np.log(right / (1 - right)).clip(1e-3)
     model = Model(languages, code, weights, bias, trust / trust.sum())
-    plain = x[aside & whole]
+    plain = lean[aside & whole]
     limit = float(np.quantile(model.gaps(plain), PLAIN)) if len(plain) >= LEAST and len(languages) > 1 else AMBIGUOUS
     weights, bias = _descend(x, y, np.ones(len(y), bool), weights, bias, MORE_STEPS)
     return Model(languages, code, weights.astype(float), bias.astype(float), model.trust, limit)
