@@ -71,13 +71,14 @@ def text_changes(now: Snapshot, project: str, texts: DataFrame, stale: DataFrame
     """What adding full-text rows, and taking away those of stale nodes (column id), changes in the text index.
 
     Both are read and written in proportion to themselves: old rows stay where they are, hidden by tombstones, and the statistics get
-    counts of what comes and, negative, of what goes.
+    counts of what comes and, negative, of what goes.  The index of what comes is made first, as its blocks give the counts.
     """
     texts = stash(texts, "texts")
+    index = search.text_index(texts)
     gone = graph.rows_of(now.read("fts", project), "node_id", stale)
-    counts = search.added_counts(search.term_counts(texts).unionByName(search.term_counts(gone, -1))).where("df <> 0 OR total <> 0")
+    counts = search.added_counts(search.index_counts(index["fts_docs"], index["fts_postings"]).unionByName(search.term_counts(gone, -1))).where("df <> 0 OR total <> 0")
     return [
-        Change("fts", project, add=texts, remove=stale.select(F.col("id").alias("key"))),
+        Change("fts", project, add=texts, remove=stale.select(F.col("id").alias("key")), derived=index),
         Change("fts_terms", project, add=counts),
     ]
 

@@ -9,7 +9,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarryline.functions import inversion
 from quarryline.functions import text as X
+from quarryline.functions.inversion import EDGE
 from quarryline.sources.scratch import stash
 from quarryline.sources.store import COMBINED, DERIVED, Derived
 
@@ -25,8 +27,6 @@ BONUS = {LITERAL: 0.3, FULL_TEXT: 0.1, VECTOR: 0.0}
 K1, B, IDF_FLOOR = 1.2, 0.75, 1e-6
 #: Rows of a span of an index; spans a top-k search begins with, and spans up to which it names those it goes on with.
 SPAN, FIRST_SPANS, MOST_SPANS = 128, 8, 500
-#: Stands between the columns of an index row, so that no phrase runs across.
-_EDGE = "\u0001"
 
 
 def _of(df: DataFrame, project: str | None) -> DataFrame:
@@ -85,27 +85,31 @@ def _with_grams(names: DataFrame, grams: DataFrame, low: str) -> DataFrame:
 def fts_index(rows: DataFrame) -> DataFrame:
     """node_id, project_id, toks, size from rows of the full-text table.  The tokens are a generated column, made once however often they are used."""
     parts = [X.fts_tokens(F.col(c)) for c in ("name", "content", "file_path")]
-    toks = F.concat(parts[0], F.array(F.lit(_EDGE)), parts[1], F.array(F.lit(_EDGE)), parts[2])
+    toks = F.concat(parts[0], F.array(F.lit(EDGE)), parts[1], F.array(F.lit(EDGE)), parts[2])
     return rows.select("node_id", "project_id", F.explode(F.array(toks)).alias("toks")).withColumn("size", F.size("toks") - 2)
 
 
 def text_index(rows: DataFrame) -> dict[str, DataFrame]:
     """The inverted index of full-text rows, as the tables fts_docs and fts_postings.
 
-    Rows are numbered by size and parted into spans of SPAN, so that a hot term is as many rows as it has spans.  A row of fts_postings is a term's
-    block in a span: the rows that hold it by their places there, how often, and at which positions.  `top` bounds what the term gives any of
-    them: its largest BM25 share with the average size `avg` that the index was built with.
+    Each partition numbers its rows by length and parts them into spans of SPAN, so that a hot term is as many rows as it has spans.  A row of
+    fts_postings is a term's block in a span: the rows that hold it by their places there, how often, and at which positions, those of one row after
+    those of another.  `top` bounds what the term gives any of them: the BM25 share of its most occurrences in the shortest of them, with the average
+    size `avg` that the index was built with.
+
+    A span lies within a partition, so only the texts are shuffled, and then the blocks; never single tokens.
     """
-    seg, place = uuid.uuid4().hex, ("span", "at")
-    ordered = fts_index(rows).repartitionByRange("size", "node_id").sortWithinPartitions("size", "node_id").withColumn("no", F.monotonically_increasing_id())
-    index = stash(ordered.select(F.floor(F.col("no") / SPAN).alias("span"), (F.col("no") % SPAN).cast("int").alias("at"), "node_id", "project_id", "size", "toks"), "text-index")
-    avg = F.lit(max(index.agg(F.avg("size")).first()[0] or 0.0, 1e-9))
-    each = index.select(*place, "size", F.posexplode("toks").alias("pos", "term")).where(F.col("term") != _EDGE).repartition("term", "span")
-    held = each.groupBy("term", *place, "size").agg(F.sort_array(F.collect_list("pos")).alias("positions")).withColumn("tf", F.size("positions"))
-    row = F.struct("at", "tf", "positions")
-    blocks = held.groupBy("term", "span").agg(F.max(bm25_share(F.col("tf"), F.col("size"), avg)).alias("top"), F.sort_array(F.collect_list(row)).alias("r"))
-    lists = blocks.select("term", F.lit(seg).alias("seg"), "span", avg.alias("avg"), "top", F.col("r.at").alias("at"), F.col("r.tf").alias("tf"), F.col("r.positions").alias("positions"))
-    return {"fts_docs": index.select(F.lit(seg).alias("seg"), *place, "node_id", "project_id", "size"), "fts_postings": lists}
+    seg = uuid.uuid4().hex
+    length = functools.reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(c), F.lit(0)) for c in ("name", "content", "file_path")))
+    ordered = rows.withColumn("length", length).repartition("node_id").sortWithinPartitions("length", "node_id").withColumn("no", F.monotonically_increasing_id())
+    parts = [X.fts_tokens(F.col(c)) for c in ("name", "content", "file_path")]
+    toks = F.concat(parts[0], F.array(F.lit(EDGE)), parts[1], F.array(F.lit(EDGE)), parts[2])
+    spans = ordered.select(F.floor(F.col("no") / SPAN).alias("span"), (F.col("no") % SPAN).cast("int").alias("at"), "node_id", "project_id", toks.alias("toks"))
+    made = stash(spans.mapInArrow(inversion.inverted, inversion.SCHEMA), "text-index")
+    docs = made.where(F.col("term").isNull()).select(F.lit(seg).alias("seg"), "span", F.inline("docs"))
+    avg = F.lit(max(docs.agg(F.avg("size")).first()[0] or 0.0, 1e-9))
+    blocks = made.where(F.col("term").isNotNull())
+    return {"fts_docs": docs, "fts_postings": blocks.select("term", F.lit(seg).alias("seg"), "span", avg.alias("avg"), bm25_share(F.col("most"), F.col("shortest"), avg).alias("top"), "at", "tf", "positions")}
 
 
 def term_counts(rows: DataFrame, sign: int = 1) -> DataFrame:
@@ -114,11 +118,18 @@ def term_counts(rows: DataFrame, sign: int = 1) -> DataFrame:
     Counts of any pieces add up, so a change keeps the statistics with a few rows of its own.
     """
     one, zero = F.lit(sign).cast("long"), F.lit(0).cast("long")
-    held = F.transform(F.array_remove(F.array_distinct("toks"), _EDGE), lambda t: F.struct(t.alias("term"), zero.alias("size")))
+    held = F.transform(F.array_remove(F.array_distinct("toks"), EDGE), lambda t: F.struct(t.alias("term"), zero.alias("size")))
     every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.col("size").cast("long").alias("size"))), held)
     return added_counts(fts_index(rows).select(F.inline(every)).select("term", one.alias("df"), (one * F.col("size")).alias("total")))
 
 
+def index_counts(docs: DataFrame, postings: DataFrame) -> DataFrame:
+    """term_counts of the rows of an index, from its blocks."""
+    zero = F.lit(0).cast("long")
+    every = docs.agg(F.lit("").alias("term"), F.count("*").alias("df"), F.sum("size").alias("total"))
+    return added_counts(postings.select("term", F.size("at").cast("long").alias("df"), zero.alias("total")).unionByName(every.where("df > 0")))
+
+
 def added_counts(counts: DataFrame) -> DataFrame:
     return counts.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total").alias("total"))
 
@@ -272,7 +283,9 @@ def _best_phrases(postings: DataFrame, docs: DataFrame, plan: tuple, n: int, ave
     if len(phrases) == 1:  # it is only where all its words are
         both = blocks.groupBy("seg", "span").agg(*(F.max(c).alias(place[w]) for w, c in is_slot.items())).where(" AND ".join(place.values()))
         blocks = blocks.join(both.select("seg", "span"), ["seg", "span"], "left_semi")
-    each = blocks.select("term", "seg", "span", F.inline(F.arrays_zip("at", "positions")))
+    before = lambda i: F.aggregate(F.slice("tf", 1, i), F.lit(0), lambda a, b: a + b)
+    own = F.transform("at", lambda at, i: F.struct(at.alias("at"), F.slice("positions", before(i) + 1, F.get("tf", i)).alias("positions")))
+    each = blocks.select("term", "seg", "span", F.inline(own))
     held = each.groupBy("seg", "span", "at").agg(*(F.flatten(F.collect_list(F.when(c, F.col("positions")))).alias(place[w]) for w, c in is_slot.items()))
 
     def moved(slot: str, by: int) -> Column:

@@ -46,8 +46,7 @@ class Tables:
         """Tables made from these once a session and written, as a store keeps its indexes, so that a query only asks."""
         held = self.spark.__dict__.setdefault("_quarryline_kept", {})
         if (self.at, name) not in held:
-            made = {t: (df, S.LAYOUT.get(t)) for t, df in make().items()}
-            held[self.at, name] = {t: stash(df.repartitionByRange(*keys).sortWithinPartitions(*keys) if keys else df, t) for t, (df, keys) in made.items()}
+            held[self.at, name] = {t: stash(S.laid_out(t, df), t) for t, df in make().items()}
         return held[self.at, name]
 
 
@@ -171,7 +170,8 @@ for _name, _q in {"fts_single": "thnd", "fts_phrase": "of the", "fts_prefix_and"
 
 
 def _text_tables(rows: DataFrame) -> dict[str, DataFrame]:
-    return search.text_index(rows) | {"fts_terms": search.term_counts(rows)}
+    made = search.text_index(rows)
+    return made | {"fts_terms": search.index_counts(made["fts_docs"], made["fts_postings"])}
 
 
 def _stored_hits(read: Callable[[str], DataFrame], q: str) -> DataFrame:

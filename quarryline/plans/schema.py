@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,7 +22,7 @@ ACCOUNTING_SUMS = _table(("project_id", _S, 0), ("session_id", _S, 0), ("slot",
 REGISTRY = _table(("project_id", _S, 0), ("key", _S, 0), ("is_defined", _B, 0), ("is_used", _B, 0), ("created_at", _TS, 0))
 FTS = _table(("node_id", _S, 0), ("project_id", _S, 0), ("name", _S), ("content", _S), ("file_path", _S))
 _INTS = T.ArrayType(T.IntegerType())
-POSTINGS = _table(("term", _S, 0), ("seg", _S, 0), ("span", _L, 0), ("avg", _D, 0), ("top", _D, 0), ("at", _INTS, 0), ("tf", _INTS, 0), ("positions", T.ArrayType(_INTS), 0))
+POSTINGS = _table(("term", _S, 0), ("seg", _S, 0), ("span", _L, 0), ("avg", _D, 0), ("top", _D, 0), ("at", _INTS, 0), ("tf", _INTS, 0), ("positions", _INTS, 0))
 DOCS = _table(("seg", _S, 0), ("span", _L, 0), ("at", T.IntegerType(), 0), ("node_id", _S, 0), ("project_id", _S, 0), ("size", T.IntegerType(), 0))
 TERMS = _table(("term", _S, 0), ("df", _L, 0), ("total", _L, 0))
 VECTORS = _table(("id", _S, 0), ("project_id", _S, 0), ("vector", T.ArrayType(_table(("b", T.IntegerType()), ("v", T.FloatType())))))
@@ -51,12 +51,26 @@ LAYOUT: dict[str, tuple[str, ...]] = {
     "vector_docs": ("span", "at"), "vector_lists": ("term", "span"), "accounting": ("created_at", "id"),
 }
 
+#: Tables of which each partition is sorted by itself: their blocks are many times the rows they stand for, so they stay where they are made, and a
+#: scan for a term reads a few pages of each file.
+SORTED_IN_PLACE = {"fts_postings"}
+
 #: The closed sets and what an unknown value becomes.
 NODE_TYPES, NODE_DEFAULT = ("file", "module", "function", "struct", "impl", "trait", "enum", "concept", "document"), "concept"
 EDGE_TYPES, EDGE_DEFAULT = ("calls", "imports", "implements", "depends_on", "contains", "documents"), "depends_on"
 FACT_TYPES, FACT_DEFAULT = ("architecture", "api_contract", "decision", "error_pattern", "constraint", "learning"), "decision"
 
 
+def laid_out(table: str, df: DataFrame, files: int | None = None) -> DataFrame:
+    """Rows in their table's layout, in so many partitions if that is said."""
+    keys = LAYOUT.get(table, ())
+    if keys and table not in SORTED_IN_PLACE:
+        df = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
+    elif files:
+        df = df.coalesce(files)
+    return df.sortWithinPartitions(*keys) if keys else df
+
+
 def parse_type(value: str, known: tuple[str, ...], default: str) -> str:
     return value if value in known else default
 

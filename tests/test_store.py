@@ -286,6 +286,47 @@ def test_merged_index_equals_a_new_one(spark, tmp_path, monkeypatch):
         assert asked(store, q) == asked(again, q)
 
 
+def test_blocks_of_an_index(spark, monkeypatch):
+    """Every block against brute force, of texts with marks, CJK characters, no token or null; spans that a batch parts; tokens are never shuffled."""
+    monkeypatch.setattr(search, "SPAN", 4)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    rng, words = random.Random(8), ["tide", "Été", "海", "x1", "noon"]
+    rows = [(f"n{i}", " ".join(rng.choices(words, k=rng.choice([1, 5, 30])))) for i in range(60)] + [("empty", ""), ("null", None), ("!", "-- ")]
+    fts = text_rows(spark, rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
+    try:
+        made = search.text_index(fts)
+        docs = {(r["span"], r["at"]): r for r in made["fts_docs"].collect()}
+        blocks = made["fts_postings"].collect()
+        counts = {tuple(r) for r in search.index_counts(made["fts_docs"], made["fts_postings"]).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    toks = {r["node_id"]: r["toks"] for r in search.fts_index(fts).collect()}
+    assert sorted(r["node_id"] for r in docs.values()) == sorted(toks) and all(r["size"] == len(toks[r["node_id"]]) - 2 for r in docs.values())
+    got, want = {}, {}
+    for b in blocks:
+        assert b["top"] >= max(t * 2.2 / (t + 1.2 * (0.25 + 0.75 * docs[b["span"], a]["size"] / b["avg"])) for a, t in zip(b["at"], b["tf"], strict=True)) - 1e-12
+        rest = b["positions"]
+        for a, t in zip(b["at"], b["tf"], strict=True):
+            got[b["term"], docs[b["span"], a]["node_id"]], rest = rest[:t], rest[t:]
+        assert not rest
+    for i, ts in toks.items():
+        for p, t in enumerate(ts):
+            if t != search.EDGE:
+                want.setdefault((t, i), []).append(p)
+    assert got == want and len({(b["term"], b["span"]) for b in blocks}) == len(blocks)
+    assert counts == {tuple(r) for r in search.term_counts(fts).collect()}
+    none = search.text_index(fts.limit(0))
+    assert none["fts_docs"].count() == none["fts_postings"].count() == search.index_counts(none["fts_docs"], none["fts_postings"]).count() == 0
+
+
+def test_an_index_shuffles_texts_only(spark):
+    """On the way to the blocks there is one exchange, of the texts, and none for the layout of the blocks."""
+    fts = text_rows(spark, [(f"n{i}", "tide moon reef " * 50) for i in range(200)])
+    blocks = search.text_index(fts)["fts_postings"]
+    assert "Exchange" not in S.laid_out("fts_postings", blocks)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_top_k_reads_few_blocks(spark, monkeypatch):
     """The pruned search gives what the whole pass over token arrays gives, from a part of the blocks."""
     monkeypatch.setattr(search, "SPAN", 16)
