@@ -19,8 +19,12 @@ EDGE = "\u0001"
 SCHEMA = "span long, term string, at array<int>, tf array<int>, most int, shortest int, positions array<int>, docs array<struct<at: int, node_id: string, project_id: string, size: int>>"
 
 
+#: What becomes of a byte of a plain text: a letter or digit stays, in lower case, as EDGE does; all else parts tokens.
+_PLAIN = bytes(b if chr(b) in "abcdefghijklmnopqrstuvwxyz0123456789" + EDGE else b + 32 if chr(b) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 32 for b in range(256))
+
+
 def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (span, at, node_id, project_id, toks) in order of spans: each span's blocks, and a row of its documents without a term."""
+    """Of rows (span, at, node_id, project_id, and either plain, an ASCII text with EDGE between columns, or toks) in order of spans: each span's blocks, and a row of its documents without a term."""
     held: list[pa.RecordBatch] = []
     for batch in batches:
         while batch.num_rows:
@@ -36,9 +40,24 @@ def inverted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _span_blocks(pa.Table.from_batches(held))
 
 
+def _token_lists(plain: pa.StringArray, toks: pa.ListArray) -> pa.ListArray:
+    """The tokens of every row; those of plain texts are parted here, as the index's patterns would."""
+    is_plain = pc.is_valid(plain).to_numpy(zero_copy_only=False)
+    texts, others = plain.drop_null(), toks.filter(pa.array(~is_plain)).cast(pa.list_(pa.string()))
+    if not len(texts):
+        return others
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = memoryview(texts.buffers()[2])[offsets[0] : offsets[-1]].tobytes().translate(_PLAIN)
+    texts = pa.StringArray.from_buffers(len(texts), pa.py_buffer((offsets - offsets[0]).tobytes()), pa.py_buffer(data))
+    lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts)).cast(pa.list_(pa.string()))
+    if not len(others):
+        return lists
+    return pa.concat_arrays([lists, others]).take(pa.array(np.argsort(np.argsort(~is_plain, kind="stable"))))
+
+
 def _span_blocks(rows: pa.Table) -> pa.RecordBatch:
     """The inversion of one span: tokens as numbers, in order of token, row and position."""
-    lists = rows["toks"].combine_chunks()
+    lists = _token_lists(rows["plain"].combine_chunks(), rows["toks"].combine_chunks())
     lengths, at = pc.list_value_length(lists).to_numpy(), rows["at"].to_numpy()
     coded = lists.flatten().dictionary_encode()
     code, sizes = coded.indices.to_numpy(), (lengths - 2).astype(np.int32)

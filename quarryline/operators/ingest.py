@@ -76,7 +76,7 @@ def text_changes(now: Snapshot, project: str, texts: DataFrame, stale: DataFrame
     texts = stash(texts, "texts")
     index = search.text_index(texts)
     gone = graph.rows_of(now.read("fts", project), "node_id", stale)
-    counts = search.added_counts(search.index_counts(index["fts_docs"], index["fts_postings"]).unionByName(search.term_counts(gone, -1))).where("df <> 0 OR total <> 0")
+    counts = search.index_counts(index["fts_docs"], index["fts_postings"], gone).where("df <> 0 OR total <> 0")
     return [
         Change("fts", project, add=texts, remove=stale.select(F.col("id").alias("key")), derived=index),
         Change("fts_terms", project, add=counts),

@@ -84,9 +84,12 @@ def _with_grams(names: DataFrame, grams: DataFrame, low: str) -> DataFrame:
 
 def fts_index(rows: DataFrame) -> DataFrame:
     """node_id, project_id, toks, size from rows of the full-text table.  The tokens are a generated column, made once however often they are used."""
+    return rows.select("node_id", "project_id", F.explode(F.array(_toks())).alias("toks")).withColumn("size", F.size("toks") - 2)
+
+
+def _toks() -> Column:
     parts = [X.fts_tokens(F.col(c)) for c in ("name", "content", "file_path")]
-    toks = F.concat(parts[0], F.array(F.lit(EDGE)), parts[1], F.array(F.lit(EDGE)), parts[2])
-    return rows.select("node_id", "project_id", F.explode(F.array(toks)).alias("toks")).withColumn("size", F.size("toks") - 2)
+    return F.concat(parts[0], F.array(F.lit(EDGE)), parts[1], F.array(F.lit(EDGE)), parts[2])
 
 
 def text_index(rows: DataFrame) -> dict[str, DataFrame]:
@@ -102,9 +105,11 @@ def text_index(rows: DataFrame) -> dict[str, DataFrame]:
     seg = uuid.uuid4().hex
     length = functools.reduce(lambda a, b: a + b, (F.coalesce(F.octet_length(c), F.lit(0)) for c in ("name", "content", "file_path")))
     ordered = rows.withColumn("length", length).repartition("node_id").sortWithinPartitions("length", "node_id").withColumn("no", F.monotonically_increasing_id())
-    parts = [X.fts_tokens(F.col(c)) for c in ("name", "content", "file_path")]
-    toks = F.concat(parts[0], F.array(F.lit(EDGE)), parts[1], F.array(F.lit(EDGE)), parts[2])
-    spans = ordered.select(F.floor(F.col("no") / SPAN).alias("span"), (F.col("no") % SPAN).cast("int").alias("at"), "node_id", "project_id", toks.alias("toks"))
+    parts = [F.coalesce(F.col(c), F.lit("")) for c in ("name", "content", "file_path")]
+    text = F.concat_ws(" ", *parts)
+    plain = (F.octet_length(text) == F.length(text)) & ~F.contains(text, F.lit(EDGE))
+    texts = F.when(plain, F.concat_ws(f" {EDGE} ", *parts)), F.when(~plain, _toks())
+    spans = ordered.select(F.floor(F.col("no") / SPAN).alias("span"), (F.col("no") % SPAN).cast("int").alias("at"), "node_id", "project_id", texts[0].alias("plain"), texts[1].alias("toks"))
     made = stash(spans.mapInArrow(inversion.inverted, inversion.SCHEMA), "text-index")
     docs = made.where(F.col("term").isNull()).select(F.lit(seg).alias("seg"), "span", F.inline("docs"))
     avg = F.lit(max(docs.agg(F.avg("size")).first()[0] or 0.0, 1e-9))
@@ -117,17 +122,22 @@ def term_counts(rows: DataFrame, sign: int = 1) -> DataFrame:
 
     Counts of any pieces add up, so a change keeps the statistics with a few rows of its own.
     """
+    return added_counts(_counted(rows, sign))
+
+
+def _counted(rows: DataFrame, sign: int) -> DataFrame:
     one, zero = F.lit(sign).cast("long"), F.lit(0).cast("long")
     held = F.transform(F.array_remove(F.array_distinct("toks"), EDGE), lambda t: F.struct(t.alias("term"), zero.alias("size")))
     every = F.concat(F.array(F.struct(F.lit("").alias("term"), F.col("size").cast("long").alias("size"))), held)
-    return added_counts(fts_index(rows).select(F.inline(every)).select("term", one.alias("df"), (one * F.col("size")).alias("total")))
+    return fts_index(rows).select(F.inline(every)).select("term", one.alias("df"), (one * F.col("size")).alias("total"))
 
 
-def index_counts(docs: DataFrame, postings: DataFrame) -> DataFrame:
-    """term_counts of the rows of an index, from its blocks."""
+def index_counts(docs: DataFrame, postings: DataFrame, gone: DataFrame | None = None) -> DataFrame:
+    """term_counts of the rows of an index, from its blocks, less those of full-text rows that go."""
     zero = F.lit(0).cast("long")
     every = docs.agg(F.lit("").alias("term"), F.count("*").alias("df"), F.sum("size").alias("total"))
-    return added_counts(postings.select("term", F.size("at").cast("long").alias("df"), zero.alias("total")).unionByName(every.where("df > 0")))
+    counts = postings.select("term", F.size("at").cast("long").alias("df"), zero.alias("total")).unionByName(every.where("df > 0"))
+    return added_counts(counts if gone is None else counts.unionByName(_counted(gone, -1)))
 
 
 def added_counts(counts: DataFrame) -> DataFrame:

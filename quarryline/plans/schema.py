@@ -51,9 +51,9 @@ LAYOUT: dict[str, tuple[str, ...]] = {
     "vector_docs": ("span", "at"), "vector_lists": ("term", "span"), "accounting": ("created_at", "id"),
 }
 
-#: Tables of which each partition is sorted by itself: their blocks are many times the rows they stand for, so they stay where they are made, and a
-#: scan for a term reads a few pages of each file.
-SORTED_IN_PLACE = {"fts_postings"}
+#: Tables of which each partition is sorted by itself: blocks are many times the rows they stand for, and counts come dealt by term, so they stay where
+#: they are made, and a scan for a term reads a few pages of each file.
+SORTED_IN_PLACE = {"fts_postings", "fts_terms"}
 
 #: The closed sets and what an unknown value becomes.
 NODE_TYPES, NODE_DEFAULT = ("file", "module", "function", "struct", "impl", "trait", "enum", "concept", "document"), "concept"

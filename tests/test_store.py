@@ -291,7 +291,7 @@ def test_blocks_of_an_index(spark, monkeypatch):
     monkeypatch.setattr(search, "SPAN", 4)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     rng, words = random.Random(8), ["tide", "Été", "海", "x1", "noon"]
-    rows = [(f"n{i}", " ".join(rng.choices(words, k=rng.choice([1, 5, 30])))) for i in range(60)] + [("empty", ""), ("null", None), ("!", "-- ")]
+    rows = [(f"n{i}", " ".join(rng.choices(words, k=rng.choice([1, 5, 30])))) for i in range(60)] + [("empty", ""), ("null", None), ("!", "-- "), ("edge", "Tide\x01\tx1\x01"), ("ctl", "TIDE\x00x1_x1\x7f\r\n noon.")]
     fts = text_rows(spark, rows)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
     try:
