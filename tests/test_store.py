@@ -191,6 +191,19 @@ def test_merges_keep_rows_and_drop_what_is_hidden(spark, tmp_path, monkeypatch):
     assert raw.count() < 28
 
 
+def test_a_large_merge_is_dealt_over_tasks(spark, tmp_path, monkeypatch):
+    """No task of a merge sorts more than about FILE_BYTES of the log."""
+    monkeypatch.setattr(store_module, "FAN", 2)
+    store, some = Store(spark, str(tmp_path)), F.sha2(F.col("id").cast("string"), 256)
+    for k in range(2):
+        log = spark.range(k * 150_000, (k + 1) * 150_000).select(some.alias("id"), F.lit("p").alias("project_id"), F.lit("s").alias("session_id"), F.reverse(some).alias("query_text"), *(F.col("id").alias(c) for c in ("pointer_tokens", "fetched_tokens", "traditional_est")), F.timestamp_seconds("id").alias("created_at"))
+        store.append("accounting", log, "p")
+    merged, = store.snapshot().entries("accounting")
+    files = sorted(f.stat().st_size for f in (tmp_path / merged["at"]).glob("part-*"))
+    assert merged["bytes"] > 32 << 20 and len(files) > 1 and files[-1] < 16 << 20
+    assert tuple(accounting.stored_stats(store.snapshot(), "p").first()) == tuple(accounting.stats(store.read("accounting"), "p").first())
+
+
 def test_a_merge_gives_way(spark, tmp_path, monkeypatch):
     """Segments that another writer replaces while they are merged are not brought back; what it hides meanwhile stays hidden."""
     monkeypatch.setattr(store_module, "FAN", 2)
