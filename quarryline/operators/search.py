@@ -110,7 +110,7 @@ def text_index(rows: DataFrame) -> dict[str, DataFrame]:
     plain = (F.octet_length(text) == F.length(text)) & ~F.contains(text, F.lit(EDGE))
     texts = F.when(plain, F.concat_ws(f" {EDGE} ", *parts)), F.when(~plain, _toks())
     spans = ordered.select(F.floor(F.col("no") / SPAN).alias("span"), (F.col("no") % SPAN).cast("int").alias("at"), "node_id", "project_id", texts[0].alias("plain"), texts[1].alias("toks"))
-    made = stash(spans.mapInArrow(inversion.inverted, inversion.SCHEMA), "text-index")
+    made = stash(spans.mapInArrow(inversion.inverted, inversion.SCHEMA).sortWithinPartitions("term", "span"), "text-index")
     docs = made.where(F.col("term").isNull()).select(F.lit(seg).alias("seg"), "span", F.inline("docs"))
     avg = F.lit(max(docs.agg(F.avg("size")).first()[0] or 0.0, 1e-9))
     blocks = made.where(F.col("term").isNotNull())

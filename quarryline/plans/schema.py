@@ -51,9 +51,9 @@ LAYOUT: dict[str, tuple[str, ...]] = {
     "vector_docs": ("span", "at"), "vector_lists": ("term", "span"), "accounting": ("created_at", "id"),
 }
 
-#: Tables of which each partition is sorted by itself: blocks are many times the rows they stand for, and counts come dealt by term, so they stay where
-#: they are made, and a scan for a term reads a few pages of each file.
-SORTED_IN_PLACE = {"fts_postings", "fts_terms"}
+#: Tables that are not dealt anew by range, as a scan for a term reads a few pages of each file: counts come dealt by term, and are sorted in each
+#: partition; blocks, many times the rows they stand for, come sorted in each.
+SORTED_IN_PLACE, MADE_IN_ORDER = {"fts_terms"}, {"fts_postings"}
 
 #: The closed sets and what an unknown value becomes.
 NODE_TYPES, NODE_DEFAULT = ("file", "module", "function", "struct", "impl", "trait", "enum", "concept", "document"), "concept"
@@ -64,11 +64,11 @@ FACT_TYPES, FACT_DEFAULT = ("architecture", "api_contract", "decision", "error_p
 def laid_out(table: str, df: DataFrame, files: int | None = None) -> DataFrame:
     """Rows in their table's layout, in so many partitions if that is said."""
     keys = LAYOUT.get(table, ())
-    if keys and table not in SORTED_IN_PLACE:
+    if keys and table not in SORTED_IN_PLACE | MADE_IN_ORDER:
         df = df.repartitionByRange(files, *keys) if files else df.repartitionByRange(*keys)
     elif files:
         df = df.coalesce(files)
-    return df.sortWithinPartitions(*keys) if keys else df
+    return df.sortWithinPartitions(*keys) if keys and table not in MADE_IN_ORDER else df
 
 
 def parse_type(value: str, known: tuple[str, ...], default: str) -> str:

@@ -337,7 +337,10 @@ def test_an_index_shuffles_texts_only(spark):
     """On the way to the blocks there is one exchange, of the texts, and none for the layout of the blocks."""
     fts = text_rows(spark, [(f"n{i}", "tide moon reef " * 50) for i in range(200)])
     blocks = search.text_index(fts)["fts_postings"]
-    assert "Exchange" not in S.laid_out("fts_postings", blocks)._jdf.queryExecution().executedPlan().toString()
+    plan = S.laid_out("fts_postings", blocks)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Sort" not in plan
+    parts = blocks.select("term", "span").rdd.glom().collect()
+    assert sum(map(len, parts)) > 0 and all(p == sorted(p) for p in parts)
 
 
 def test_top_k_reads_few_blocks(spark, monkeypatch):
