@@ -313,6 +313,24 @@ def test_line_dedup_by_prefix_alone(spark):
     assert got == brute_lines(rows)
 
 
+@pytest.mark.parametrize("common, most", [(0, 100), (0, 1), (9, 2), (24, 8)])
+def test_line_dedup_parts_lines_once_and_pairs_common_words(spark, monkeypatch, common, most):
+    """Lines are parted once before candidates are verified; which words are looked up in pairs, and for which lines, changes no result; nor do lines on either side of LONG."""
+    parted, again = [], line_dedup._words
+    monkeypatch.setattr(line_dedup, "_words", lambda text: parted.append(1) or again(text))
+    monkeypatch.setattr(line_dedup, "COMMON", common, raising=False)
+    monkeypatch.setattr(line_dedup, "MOST", most, raising=False)
+    rng = np.random.default_rng(7)
+    rows = []
+    for i in range(40):
+        words = [f"c{int(v)}" for v in rng.choice(150, int(rng.choice([4, 5, 6, 20, 95, 100])), replace=False)]
+        near = [w for w in words if rng.random() > 0.12] + [f"r{i}"] * (i % 2)
+        rows.append((i, "\n".join([" ".join(words), " ".join(near), " ".join(words[: len(words) * 4 // 5])])))
+    got = collections.Counter((str(r["doc_id"]), r["n_lines"], r["n_removed"]) for r in line_dedup.dedup_lines(spark.createDataFrame(rows, DOCS)).collect())
+    assert got == brute_lines(rows) and sum(k[2] for k in got) > 40
+    assert len(parted) == 1 + 3
+
+
 def test_pipeline_twice_in_one_process(spark, tmp_path):
     """Neither a second run nor a stage that is called before an earlier result is written takes away what that still reads."""
     rows = [(i, f"a line of words number {i} here\nand {i} more of them in the text") for i in range(30)]
